@@ -1,0 +1,57 @@
+"""What the operators of this subpackage share: splits, shared folders, batch limits, clean inputs."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that one Arrow batch hands to Python; long texts make a batch large, so the count is small.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of this session; the operators call it before they use Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def crc_bucket(doc_id: Column, modulus: int) -> Column:
+    """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(modulus)
+
+
+def texts(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
+    """Only ``columns`` and the text, nulls as empty text: columns of other names never get in the way."""
+    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or in local tests a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quern-shared")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows, stored in the shared folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
