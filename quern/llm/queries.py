@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_codec, token_counts, url_filter, warc
-from quern.llm.common import fresh_folder, prepare, table
+from quern.llm import bpe_codec, lm_score, simhash_dedup, token_counts, url_filter, warc
+from quern.llm.common import crc_bucket, fresh_folder, prepare, table
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -31,6 +31,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), marks, URL_RULES)
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=4, words=4, seed=42)
+    return found.select("doc_id", simhash_dedup.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), budget=2048)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "budget_chars")
@@ -52,6 +57,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 7) == 2)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses are read with their payloads, whose length and digest are taken anew; revisits from
     headers only."""
@@ -68,8 +77,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_lm_score": op9_lm_score,
     "op10_warc": op10_warc,
 }
 
