@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_codec, lm_score, simhash_dedup, token_counts, url_filter, warc
+from quern.llm import bpe_codec, lm_score, quality_rules, simhash_dedup, token_counts, toxicity_knn, url_filter, warc
 from quern.llm.common import crc_bucket, fresh_folder, prepare, table
 
 URL_RULES = [
@@ -31,6 +31,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), marks, URL_RULES)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity_knn.fit(docs, table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 5) != 0)
+    scored = toxicity_knn.score_toxicity(docs, index)
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=4, words=4, seed=42)
     return found.select("doc_id", simhash_dedup.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -41,6 +48,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "budget_chars")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    usable = crc_bucket(F.col("doc_id"), 4) != 2
+    sample = quality_rules.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", usable, quality_rules.SAMPLE)
+    scored = quality_rules.score_quality(docs, quality_rules.fit(sample))
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents' encoding and its decoding."""
     path = vocabulary("byte_bpe_50k.tiktoken")
@@ -77,8 +92,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_lm_score": op9_lm_score,
     "op10_warc": op10_warc,
