@@ -30,9 +30,12 @@ from pyspark.sql import DataFrame
 
 from quern.llm.common import prepare, texts
 
-#: Words whose tables, and token pairs whose compatibility, one Python worker keeps at most.
-KEEP_WORDS = 400_000
+#: Words, prefixes of words and compatibilities of token pairs that one Python worker keeps at most,
+#: and the longest word, in symbols, whose prefixes it keeps.
+KEEP_WORDS = 1_500_000
+KEEP_PREFIXES = 1_500_000
 KEEP_PAIRS = 1_000_000
+LONG_WORD = 48
 
 # The pre-token pattern of the vocabulary, its contractions, and the end of a word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -60,7 +63,8 @@ class PrefixCounter:
         self.rank = {(a, b): r for r, (a, b) in enumerate(pairs)}
         self.made = {a + b: (r, a, b) for (a, b), r in reversed(self.rank.items())}
         self.longest = max(len(t.removesuffix(END)) for t in self.vocabulary)
-        self.letters = byte_letters()
+        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self.prefixes: dict[str, tuple[str, int]] = {"": ("", 0)}
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.specials = tuple(specials)
@@ -116,53 +120,72 @@ class PrefixCounter:
         self.fits[left, right] = found
         return found
 
-    def states(self, word: str) -> tuple[str, list[str], list[int]]:
-        """The word's symbols, and for each prefix of them, not ended, its last token and token count."""
-        if word.isascii() and word.isprintable():
-            mapped = word
-        else:
-            mapped = "".join([self.letters[b] for b in word.encode()])
-        vocabulary, fits, compatible, longest = self.vocabulary, self.fits, self.compatible, self.longest
-        last, count = [""], [0]
-        for i in range(1, len(mapped) + 1):  # as last_start, without a call for each symbol
-            for j in range(i - 1, max(-1, i - longest - 1), -1):
-                if (token := mapped[j:i]) in vocabulary:
-                    pair = (last[j], token)
-                    if fits[pair] if pair in fits else compatible(*pair):
-                        last.append(token)
-                        count.append(count[j] + 1)
-                        break
-            else:
-                raise ValueError(f"no encoding of {mapped!r}")
-        return mapped, last, count
+    def symbols(self, word: str) -> str:
+        """The word's bytes, each as its letter in the vocabulary."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
 
-    def last_start(self, mapped: str, i: int, last: list[str], end: str) -> int:
-        """Where the last token of the prefix of i symbols starts."""
+    def last_start(self, mapped: str, i: int, states, end: str) -> int:
+        """Where the last token of the prefix of i symbols starts; ``states`` gives the states before."""
         vocabulary, fits = self.vocabulary, self.fits
         for j in range(i - 1, max(-1, i - self.longest - 1), -1):
             token = mapped[j:i] + end
             if token in vocabulary:
-                before = last[j]
+                before = states(j)[0]
                 ok = fits.get((before, token))
                 if ok or (ok is None and self.compatible(before, token)):
                     return j
         raise ValueError(f"no encoding of {mapped!r}")
 
+    def states(self, mapped: str) -> list[tuple[str, int]]:
+        """For each prefix of the symbols, not ended as a word, its last token and token count."""
+        found = [("", 0)]
+        for i in range(1, len(mapped) + 1):
+            j = self.last_start(mapped, i, found.__getitem__, "")
+            found.append((mapped[j:i], found[j][1] + 1))
+        return found
+
     def total(self, word: str) -> int:
-        """Tokens of one pre-token."""
+        """Tokens of one pre-token. Words share the states of the prefixes that they share."""
         if len(self.totals) >= KEEP_WORDS:
             self.totals.clear()
-        mapped, last, count = self.states(word)
-        found = self.totals[word] = count[self.last_start(mapped, len(mapped), last, END)] + 1
-        return found
+        mapped = self.symbols(word)
+        size = len(mapped)
+        if size > LONG_WORD:
+            found = self.states(mapped)
+            total = found[self.last_start(mapped, size, found.__getitem__, END)][1] + 1
+        else:
+            prefixes, vocabulary, fits = self.prefixes, self.vocabulary, self.fits
+            if len(prefixes) >= KEEP_PREFIXES:
+                prefixes.clear()
+                prefixes[""] = ("", 0)
+            known = size - 1
+            while mapped[:known] not in prefixes:
+                known -= 1
+            # the states that are missing, and last the end of the word
+            for i in range(known + 1, size + 1):
+                end = END if i == size else ""
+                for j in range(i - 1, -1, -1):
+                    if (token := mapped[j:i] + end) in vocabulary:
+                        before, count = prefixes[mapped[:j]]
+                        ok = fits.get((before, token))
+                        if ok or (ok is None and self.compatible(before, token)):
+                            break
+                else:
+                    raise ValueError(f"no encoding of {mapped!r}")
+                if i < size:
+                    prefixes[mapped[:i]] = (token, count + 1)
+            total = count + 1
+        self.totals[word] = total
+        return total
 
     def table(self, word: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, … characters of one pre-token, each ended there."""
         if word in CONTRACTIONS:  # cut short, it is an apostrophe and a word
             return [self.total("'"), self.total("'") + self.total(word[1]), self.total(word)]
-        mapped, last, count = self.states(word)
+        mapped = self.symbols(word)
+        found = self.states(mapped)
         ends = accumulate(len(c.encode()) for c in word) if len(mapped) > len(word) else range(1, len(word) + 1)
-        return [count[self.last_start(mapped, i, last, END)] + 1 for i in ends]
+        return [found[self.last_start(mapped, i, found.__getitem__, END)][1] + 1 for i in ends]
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -175,19 +198,34 @@ class PrefixCounter:
             return [(text, False)]
         return [(part, part in self.specials) for part in self.special.split(text) if part]
 
+    def counted(self, words: list[str]) -> list[int]:
+        counts = list(map(self.totals.get, words))
+        if None in counts:
+            counts = [self.total(w) if c is None else c for w, c in zip(words, counts)]
+        return counts
+
     def count(self, text: str) -> int:
         """Tokens of the whole text: the count at the last prefix of each pre-token, summed."""
-        found = 0
-        for part, special in self.parts(text):
-            if special:
-                found += 1
-                continue
-            words = self.words.findall(self.normal(part))
-            counts = list(map(self.totals.get, words))
-            if None in counts:
-                counts = [self.total(w) if c is None else c for w, c in zip(words, counts)]
-            found += sum(counts)
-        return found
+        return sum(1 if special else sum(self.counted(self.words.findall(self.normal(part)))) for part, special in self.parts(text))
+
+    def count_within(self, text: str, budget: int) -> tuple[int, int | None]:
+        """Tokens of the whole text, and if they are over the budget, longest_within."""
+        parts = self.parts(text)
+        if len(parts) != 1 or parts[0][1]:
+            total = self.count(text)
+            return total, self.longest_within(text, budget) if total > budget else None
+        normal = self.normal(text)
+        counts = self.counted(self.words.findall(normal))
+        total = sum(counts)
+        if total <= budget:
+            return total, None
+        before = end = 0
+        for n, m in zip(counts, self.words.finditer(normal)):
+            if before + n > budget:
+                fitting = [i for i, c in enumerate(self.table(m[0]), 1) if before + c <= budget]
+                return total, m.start() + fitting[-1] if fitting else end
+            before, end = before + n, m.end()
+        raise AssertionError("the counts exceed the budget somewhere")
 
     def spans(self, text: str) -> Iterator[tuple[int, str, int]]:
         """(position, pre-token, tokens before it) over the normalised text; a special string is one."""
@@ -223,8 +261,6 @@ class PrefixCounter:
         """Characters of the longest prefix that ends after a whole or cut pre-token within the budget."""
         end = 0
         for at, word, before in self.spans(text):
-            if before >= budget:
-                return end
             counts = [1] if word in self.specials else self.table(word)
             if before + counts[-1] <= budget:
                 end = at + len(word)
@@ -247,8 +283,7 @@ def _count(path: str, id_column: str, budget: int, prefixes: bool):
         tables = counter(path)
         for batch in batches:
             whole = batch["text"].to_pylist()
-            counts = [tables.count(t) for t in whole]
-            cuts = [tables.longest_within(t, budget) if n > budget else None for t, n in zip(whole, counts)]
+            counts, cuts = zip(*(tables.count_within(t, budget) for t in whole)) if whole else ((), ())
             columns = [batch[id_column], pc.cast(pc.binary_length(batch["text"]), pa.int64()), pa.array(counts, pa.int64()), pa.array(cuts, pa.int64())]
             names = [id_column, "n_bytes", "n_tokens", "budget_chars"]
             if prefixes:
