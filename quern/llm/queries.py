@@ -92,7 +92,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "warc")
     warc.write_warc(warc.archive_pages(table(spark, sf_dir, "pages")), path)
     full = warc.read_warc(spark, path).where(F.col("record_type") == "response")
-    full = full.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", warc.base32_sha1(F.col("payload")))
+    full = full.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("hexed", F.sha1("payload")).withColumn("payload_digest", warc.base32_of("hexed"))
     again = warc.read_warc(spark, path, payload=False).where(F.col("record_type") == "revisit")
     wanted = ["page_id", "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", "<urn:page:(-?[0-9]+)>", 1).cast("long").alias("refers_to")]
     first = full.select(*wanted[:-1], F.lit(None).cast("long").alias("refers_to"))

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -86,23 +86,23 @@ class _Members(io.RawIOBase):
     """The bytes of a gzip file of many members, as a stream."""
 
     def __init__(self, raw) -> None:
-        self.raw, self.rest, self.inflate = raw, b"", zlib.decompressobj(31)
+        self.raw, self.inflate, self.ready = raw, zlib.decompressobj(31), io.BytesIO()
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, buffer) -> int:
-        while True:
-            data = self.rest or self.raw.read(READ_BYTES)
-            if not data:
+        while not (n := self.ready.readinto(buffer)):
+            if not (data := self.raw.read(READ_BYTES // 16)):
                 return 0
-            out = self.inflate.decompress(data, len(buffer))
-            self.rest = self.inflate.unconsumed_tail
-            if self.inflate.eof:
-                self.rest, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
-            if out:
-                buffer[: len(out)] = out
-                return len(out)
+            parts = []
+            while data:
+                parts.append(self.inflate.decompress(data))
+                data = self.inflate.unused_data
+                if self.inflate.eof:
+                    self.inflate = zlib.decompressobj(31)
+            self.ready = io.BytesIO(b"".join(parts))
+        return n
 
 
 def read_records(raw, compressed: bool, wanted, payloads: bool) -> Iterator[tuple]:
@@ -219,7 +219,7 @@ class WarcWriter(DataSourceWriter):
                 data = deflate.compress(data) + deflate.flush()
             if out is None:
                 names.append(f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                out, size = store.open_output_stream(f"{root}/_pending/{names[-1]}"), 0
+                out, size = store.open_output_stream(f"{root}/_pending/{names[-1]}", compression=None), 0
             out.write(data)
             size += len(data)
             if size >= FILE_BYTES:
@@ -267,21 +267,20 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def base32_sha1(payload) -> "F.Column":
-    """Bare upper-case base32 of a binary column's SHA-1: 160 bits as 32 letters of five."""
-    hexed = F.sha1(payload)
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.lpad(F.conv(F.substring(hexed, i, F.lit(1)), 16, 2), 4, "0")), "")
+def base32_of(hexed: str) -> Column:
+    """Upper-case base32 of a column of 40 hexadecimal digits: five of them make four letters."""
     letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(letters, F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+    groups = [F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int") for g in range(8)]
+    return F.concat(*(F.substring(letters, F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for v in groups for s in (15, 10, 5, 0)))
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """The records, in the source's columns, of pages (page_id, url, html): payloads once, else revisits."""
     own = pages.select("page_id", F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    own = own.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = own.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
-    first = first.where(F.col("last_id") > F.col("first_id")).select("payload_digest", "first_id")
-    marked = own.join(first, "payload_digest", "left")
+    own = own.withColumn("hexed", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    first = own.where(F.col("payload_bytes") >= least_bytes).groupBy("hexed").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
+    first = first.where(F.col("last_id") > F.col("first_id")).select("hexed", "first_id")
+    marked = own.join(first, "hexed", "left")
     revisit = (F.col("page_id") > F.col("first_id")) & (F.col("payload_bytes") >= least_bytes)
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return marked.select(
@@ -290,7 +289,7 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         "target_uri",
         F.lit(None).cast("string").alias("record_date"),
         "page_id",
-        F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"),
+        F.concat(F.lit("sha1:"), base32_of("hexed")).alias("payload_digest"),
         "payload_bytes",
         F.when(revisit, name(F.col("first_id"))).alias("refers_to"),
         F.when(~revisit | revisit.isNull(), F.col("payload")).alias("payload"),
