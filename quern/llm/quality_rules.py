@@ -142,3 +142,9 @@ def score_quality(docs: DataFrame, rules: Rules, threshold: float = 0.7) -> Data
     """(doc_id, score, predicted): predicted is 1 if the score reaches the threshold."""
     scored = statistics(texts(docs, "doc_id")).select("doc_id", compiled(rules).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, rules: Rules, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return statistics(whole).where(compiled(rules) >= threshold).select("row.*")

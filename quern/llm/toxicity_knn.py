@@ -211,3 +211,19 @@ def score_toxicity(docs: DataFrame, index: Index, threshold: float = 0.5) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = texts(docs, "doc_id").mapInArrow(_score(spark.sparkContext.broadcast(index), "doc_id"), f"doc_id {kind}, score double, evidence array<long>")
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def _clean(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keep = [index.score(index.key(terms_of(text or "")))[0] < threshold for text in batch["text"].to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold."""
+    spark = prepare(docs.sparkSession)
+    return docs.mapInArrow(_clean(spark.sparkContext.broadcast(index), threshold), docs.schema)

@@ -1,0 +1,72 @@
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quern.llm import decontaminate, quality_rules, simhash_dedup, toxicity_knn
+from tests.llm.data import AWKWARD, docs
+
+
+def test_stages_and_run_agree(spark, sf):
+    docs_now = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    columns, before = docs_now.columns, docs_now.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs_now, sf).cache()
+        assert after.columns == columns and after.count() <= before
+        assert after.join(docs_now, columns, "left_anti").count() == 0
+        docs_now, before = after, after.count()
+    want = corpus_pipeline.STAGES[-1][1](spark, docs_now, sf)
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "simhash_dedup", "decontamination", "byte_bpe"]
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, want = [], set()
+    for g in range(25):
+        base = text(200).split()
+        rows.append((g * 10, " ".join(base)))
+        want.add(g * 10)
+        for c in range(1, 4):
+            words = list(base)
+            for _ in range(rng.randint(0, 1)):
+                words[rng.randrange(200)] = "new"
+            rows.append((g * 10 + c, " ".join(words)))
+        far = base[:100] + text(100).split()
+        rows.append((g * 10 + 9, " ".join(far)))
+        want.add(g * 10 + 9)
+    assert {r.doc_id for r in simhash_dedup.keep_first(docs(spark, rows)).collect()} == want
+
+
+def test_links_are_those_of_brute_force_or_surer(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(15):
+        base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(120)]
+        for c in range(6):
+            words = list(base)
+            for _ in range(c):
+                words[rng.randrange(120)] = "x"
+            rows.append((g * 10 + c, " ".join(words)))
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs(spark, rows)).collect()}
+    sets = {i: simhash_dedup.shingle_set(t, 5) for i, t in rows}
+    for i in sets:
+        for j in sets:
+            similar = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert similar < 0.88 or found[i] == found[j]
+            assert i // 10 == j // 10 or found[i] != found[j]
+
+
+def test_filters_keep_rows_whole(spark):
+    frame = docs(spark, AWKWARD)
+    good = quality_rules.keep_good(frame, quality_rules.Rules(5.0, ()))
+    assert sorted(map(str, good.collect())) == sorted(map(str, frame.collect())) and good.columns == frame.columns
+    assert quality_rules.keep_good(frame, quality_rules.Rules(-5.0, ())).count() == 0
+    index = toxicity_knn.Index(["bad"], {"bad": 1}, 10, [(1, "bad", 1), (2, "fine", 0)])
+    marked = frame.unionByName(docs(spark, [(99, "so bad, bad.")]))
+    clean = toxicity_knn.keep_clean(marked, index)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, frame.collect())) and clean.columns == frame.columns
+    assert decontaminate.drop_contaminated(frame, spark.createDataFrame([], "item_id long, text string")).count() == len(AWKWARD)
+    assert clean.where(F.col("doc_id") == 99).count() == 0
