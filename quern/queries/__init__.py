@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.queries import retrieval
+from quern.queries import analytics, calendar, ranking, retrieval
 
-FAMILIES = (retrieval,)
+FAMILIES = (analytics, calendar, ranking, retrieval)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
