@@ -1,0 +1,41 @@
+"""Recognised text boxes of a page as a table: columns and rows by their centres, cells by overlap.
+
+The geometry is a fold over one page's boxes, of which there are few; pages are dealt out by key."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCHEMA = "page long, row_no int, column_no int, text string, n_boxes int, confidence double"
+
+
+def cluster_centres(values: list[float], gap: float) -> list[float]:
+    """Centres of values in order: one that lies within ``gap`` of the last centre moves it halfway."""
+    centres: list[float] = []
+    for value in sorted(values):
+        if centres and value - centres[-1] <= gap:
+            centres[-1] = (centres[-1] + value) / 2
+        else:
+            centres.append(value)
+    return centres
+
+
+def nearest(centres: list[float], value: float) -> int:
+    return min(range(len(centres)), key=lambda i: (abs(centres[i] - value), i))
+
+
+def table_cells(column_gap: float = 30.0, row_gap: float = 16.0):
+    def cells(boxes: pd.DataFrame) -> pd.DataFrame:
+        x, y = (boxes["x1"] + boxes["x2"]) / 2, (boxes["y1"] + boxes["y2"]) / 2
+        columns, rows = cluster_centres(list(x), column_gap), cluster_centres(list(y), row_gap)
+        placed = boxes.assign(row_no=[nearest(rows, v) for v in y], column_no=[nearest(columns, v) for v in x]).sort_values(["row_no", "column_no", "y1", "x1", "text"])
+        grouped = placed.groupby(["page", "row_no", "column_no"], as_index=False)
+        return grouped.agg(text=("text", " ".join), n_boxes=("text", "size"), confidence=("confidence", "mean")).astype({"row_no": "int32", "column_no": "int32", "n_boxes": "int32"})
+
+    return cells
+
+
+def grid(boxes: DataFrame, column_gap: float = 30.0, row_gap: float = 16.0) -> DataFrame:
+    """(page, row_no, column_no, text, n_boxes, confidence) from (page, text, x1, y1, x2, y2, confidence)."""
+    return boxes.groupBy("page").applyInPandas(table_cells(column_gap, row_gap), SCHEMA)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.queries import analytics, calendar, ranking, retrieval, text
+from quern.queries import analytics, beyond_sql, calendar, joins, ranking, retrieval, rules, text
 
-FAMILIES = (analytics, calendar, ranking, retrieval, text)
+FAMILIES = (analytics, calendar, joins, ranking, retrieval, rules, text, beyond_sql)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
