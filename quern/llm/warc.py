@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from quern.llm.common import fresh_folder
+
 #: Bytes after which a writing task starts another file, and the pieces in which files are read.
 FILE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
@@ -279,7 +281,10 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = pages.select("page_id", F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     own = own.withColumn("hexed", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     first = own.where(F.col("payload_bytes") >= least_bytes).groupBy("hexed").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
-    first = first.where(F.col("last_id") > F.col("first_id")).select("hexed", "first_id")
+    # stored, so that its size is known: where it is small, Spark joins without moving the payloads
+    stored = fresh_folder(pages.sparkSession, "warc-first")
+    first.where(F.col("last_id") > F.col("first_id")).select("hexed", "first_id").write.parquet(stored)
+    first = pages.sparkSession.read.parquet(stored)
     marked = own.join(first, "hexed", "left")
     revisit = (F.col("page_id") > F.col("first_id")) & (F.col("payload_bytes") >= least_bytes)
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
