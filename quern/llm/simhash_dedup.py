@@ -40,40 +40,40 @@ ROWS = 256
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """Bit i is set if it is in over half the XXH64 hashes of the word shingles, repeats included."""
+def fingerprint(text: str, words: int = 4, seed: int = 42) -> tuple[int, int]:
+    """The fingerprint and the number of distinct shingles. Bit i is set if it is in over half the XXH64
+    hashes of the word shingles, repeats included."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     tokens = text.encode().translate(LOWER).split()
     if not tokens:
-        return 0
+        return 0, 0
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        return digest(joined, seed)
+        return digest(joined, seed), 1
     ends = list(accumulate(len(t) + 1 for t in tokens))
     starts = [0, *ends]
     counts = np.zeros(64, np.int64)
     total = len(tokens) - words + 1
+    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :])], "<u8")
     for low in range(0, total, 65_536):
-        high = min(low + 65_536, total)
-        hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts[low:high], ends[low + words - 1 : high + words - 1])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+        counts += np.unpackbits(hashes[low : low + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0]), len(np.unique(hashes))
 
 
 def _fingerprints(id_column: str, words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch["text"].to_pylist()
-            found = np.array([fingerprint(t, words, seed) for t in whole], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch[id_column], pa.array(found), pa.array([len(t.encode()) for t in whole], pa.int64())], names=[id_column, "fp", "size"])
+            found = [fingerprint(t, words, seed) for t in batch["text"].to_pylist()]
+            fps = np.array([f for f, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch[id_column], pa.array(fps), pa.array([n for _, n in found], pa.int64())], names=[id_column, "fp", "size"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp, size): the fingerprint's 64 bits as a long, and the text's bytes."""
+    """(id, fp, size): the fingerprint's 64 bits as a long, and the number of distinct shingles."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     return texts(docs, id_column, text=text).mapInArrow(_fingerprints(id_column, words, seed), f"`{id_column}` {kind}, fp long, size long")
@@ -213,7 +213,7 @@ def _alike(words: int, similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, wide: int = 12, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, wide: int = 14, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): groups of documents that links of the similarity join."""
     marked = cut_lineage(fingerprints(docs, "doc_id", "text", words, seed))
     nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("size", "doc_id").alias("size")))
@@ -221,8 +221,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     open_pairs = found.where("NOT sure").select("u", "v")
     for side in "uv":
         open_pairs = open_pairs.join(nodes.select(F.col("fp").alias(side), F.col("least").alias(f"doc_{side}"), F.col("size").alias(f"size_{side}")), side)
-    # sets this alike are of like size; half the similarity leaves room for words of any length
-    pairs = cut_lineage(open_pairs.where(F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * (similarity / 2)).select("u", "v", "doc_u", "doc_v"))
+    # sets this alike are as alike in size
+    pairs = cut_lineage(open_pairs.where(F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity).select("u", "v", "doc_u", "doc_v"))
     wanted = pairs.select(F.explode(F.array("doc_u", "doc_v")).alias("doc_id")).distinct()
     bodies = cut_lineage(texts(docs, "doc_id").join(wanted, "doc_id").select("doc_id", "text"))
     full = pairs.join(bodies.select(F.col("doc_id").alias("doc_u"), F.col("text").alias("text_u")), "doc_u").join(bodies.select(F.col("doc_id").alias("doc_v"), F.col("text").alias("text_v")), "doc_v")
