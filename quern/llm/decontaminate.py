@@ -2,8 +2,8 @@
 
 Words are lower-case runs of letters, digits and underscores; shingles are WORDS of them (a shorter
 item is one shingle). Over each document slide windows that have as many shingles as an item. A window
-is fingerprinted if enough of its shingles are shingles of items: fewer cannot reach the similarity
-with any. Fingerprints meet in an index of four blocks of 16 bits: two that differ in at most RADIUS
+is fingerprinted if enough of its shingles are shingles of items of its size: fewer cannot reach the
+similarity with any. Fingerprints meet in an index of four blocks of 16 bits: two that differ in at most RADIUS
 bits differ in at most a quarter as many in some block, and the index holds every item under all block
 values that near, so all within the radius are found. Candidates are then verified by the exact
 similarity of the shingles, weighted by how often they occur: shared weight over joint weight.
@@ -66,17 +66,20 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], similarity: float) -> None:
         self.number: dict[str, int] = {}
         self.found = []
-        codes: dict[int, set[int]] = defaultdict(set)
-        sizes: dict[int, set[int]] = defaultdict(set)
+        sizes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in rows:
             if words := words_of(text):
                 n = min(WORDS, len(words))
                 hashes = shingle_hashes(words, n)
                 self.found.append((item_id, n, len(hashes), int(window_fingerprints(hashes, np.array([0]), len(hashes)).view(np.int64)[0]), hashes.view(np.int64).tolist()))
                 ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint64)
-                codes[n].update(self.codes(ids, n).tolist())
-                sizes[n].add(len(hashes))
-        self.by_length = {n: (np.array(sorted(codes[n]), np.uint64), [(s, least_shared(s, similarity)) for s in sorted(sizes[n])]) for n in codes}
+                sizes[n][len(hashes)].update(self.codes(ids, n).tolist())
+        # for each length of shingles: their codes, the window sizes, and which sizes have which codes
+        self.by_length = {}
+        for n, own in sizes.items():
+            codes = sorted(set().union(*own.values()))
+            members = np.array([[c in own[s] for s in sorted(own)] for c in codes])
+            self.by_length[n] = np.array(codes, np.uint64), [(s, least_shared(s, similarity)) for s in sorted(own)], members
 
     @staticmethod
     def codes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -95,16 +98,19 @@ class Items:
         """(words of a shingle, shingles, start, fingerprint, hashes) of windows that may match."""
         words = words_of(text)
         ids = np.array(list(map(self.number.get, words, [0] * len(words))), np.uint64)
-        for n, (wanted, sizes) in self.by_length.items():
+        for n, (wanted, sizes, members) in self.by_length.items():
             own = self.codes(ids, n)
             at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-            hit = (wanted[at] == own) & (own > 0)
-            if not hit.any():
-                continue
-            counted = np.r_[0, np.cumsum(hit)]
-            for size, least in sizes:
+            places = np.flatnonzero((wanted[at] == own) & (own > 0))
+            of_size = members[at[places]]
+            for (size, least), mine in zip(sizes, of_size.T):
                 if size > len(own):
                     break
+                if mine.sum() < least:
+                    continue
+                hit = np.zeros(len(own), np.int64)
+                hit[places[mine]] = 1
+                counted = np.r_[0, np.cumsum(hit)]
                 starts = np.flatnonzero(counted[size:] - counted[:-size] >= least)
                 # windows that overlap share their hashes
                 for group in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else []:
