@@ -113,6 +113,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+        ), j AS (
+            SELECT *, '.' || host AS h, list_filter(list_transform(string_split(path, '/'), lambda x: regexp_replace(lower(x), '[0-9]+', '0', 'g')), lambda x: x <> '') AS segments FROM u
+        ), k AS (
+            SELECT page_id, url, host, path,
+                CASE WHEN ends_with(h, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/' WHEN ends_with(h, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                    WHEN ends_with(h, '.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN ends_with(h, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                    WHEN ends_with(h, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+                CASE WHEN contains(url, '://') THEN list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x), list_transform(segments, lambda x: 'p:' || x),
+                    list_transform(regexp_extract_all(url, '[?&]([A-Za-z_]+)=', 1), lambda x: 'q:' || x), ['s:' || split_part(url, '://', 1), 'd:' || len(segments)], CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END)) ELSE [] END AS tokens
+            FROM j
+        ), m AS (
+            SELECT row_number() OVER () AS r, tokens, quality = 0 OR toxic = 1 AS bad FROM k JOIN labels ON doc_id = page_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL
+        ), t AS (SELECT r, bad, unnest(tokens) AS x FROM m
+        ), sets AS (
+            SELECT [a.x] AS tokens, a.bad FROM t a
+            UNION ALL SELECT [a.x, b.x], a.bad FROM t a JOIN t b ON a.r = b.r AND a.x < b.x
+            UNION ALL SELECT [a.x, b.x, c.x], a.bad FROM t a JOIN t b ON a.r = b.r AND a.x < b.x JOIN t c ON a.r = c.r AND b.x < c.x
+        ), counted AS (
+            SELECT tokens, count(*) AS n, count(*) FILTER (bad) AS support, count(*) FILTER (bad) / count(*) AS confidence FROM sets GROUP BY tokens
+        ), strong AS (
+            SELECT * FROM counted WHERE support >= ceil(0.002 * (SELECT count(*) FROM m)) AND support > 0 AND n >= 20 AND confidence >= 0.6
+        ), rules AS (
+            SELECT *, array_to_string(tokens, ' ') AS mined_rule FROM strong s WHERE NOT EXISTS (SELECT 1 FROM strong p WHERE len(p.tokens) < len(s.tokens) AND list_has_all(s.tokens, p.tokens) AND p.confidence >= s.confidence)
+        ), best AS (
+            SELECT page_id, arg_max(mined_rule, row(confidence, support, mined_rule)) AS mined_rule, max(confidence) AS confidence FROM k JOIN rules ON list_has_all(k.tokens, rules.tokens) WHERE rule IS NULL GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR mined_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, mined_rule, confidence
+        FROM k LEFT JOIN best USING (page_id)""",
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), r AS (
+            SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u
+        )
+        SELECT u AS vec_id, (SELECT count(*) FROM l WHERE l.u = r.u) AS n_links, min(w) AS component_id, u = min(w) AS kept FROM r GROUP BY u""",
     "op10_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages
