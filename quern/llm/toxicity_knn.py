@@ -2,7 +2,9 @@
 
 Examples are a bounded sample of labelled documents. The vocabulary is those terms whose presence goes
 with the label beyond chance (log-likelihood ratio), at most TERMS; their document frequencies are
-counted over all documents. The examples' vectors form an inverted index in blocks of example numbers,
+counted over all documents. Besides these, a text has one term for how many of them it holds (1, 2-3, 4-7,
+8 or more): a chance hit in a long clean text is then nearer to other chance hits than to toxic texts,
+which hold several. The examples' vectors form an inverted index in blocks of example numbers,
 with the largest weight of each term in each block. A query takes the blocks by falling upper bound
 and stops where no block can reach the k-th best cosine: the neighbours are exact. Their votes weigh
 by nearness and are smoothed towards the examples' share, which makes the score a probability; the
@@ -34,6 +36,8 @@ EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8_000, 2_000, 15, 64
 RATIO, LIFT, LONGEST = 20.0, 3.0, 64
 #: Weight of the examples' share of toxic ones against the votes; results one worker keeps.
 SMOOTH, KEPT = 0.5, 100_000
+#: Names of the terms that tell how many telling terms a text holds; no word has white space.
+HITS = (" 1", " 2", " 4", " 8")
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»¿¡…"
 
 
@@ -46,6 +50,12 @@ def terms_of(text: str) -> Counter:
     return found
 
 
+def hits_of(found: Counter, wanted) -> str | None:
+    """The name for how often a text has one of the wanted terms."""
+    total = sum(n for t, n in found.items() if t in wanted)
+    return HITS[min(total.bit_length(), len(HITS)) - 1] if total else None
+
+
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [[t for t in terms_of(text) if len(t) <= LONGEST] for text in batch["text"].to_pylist()]
@@ -74,7 +84,9 @@ def _frequencies(terms: list[str]):
         for batch in batches:
             rows += batch.num_rows
             for text in batch["text"].to_pylist():
-                found.update({w.strip(STRIP) for w in set(text.lower().split())} & wanted)
+                if own := {w.strip(STRIP) for w in set(text.lower().split())} & wanted:
+                    found.update(own)
+                    found[hits_of(terms_of(text), wanted)] += 1
         names = [*found, None]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*found.values(), rows], pa.int64())], names=["term", "n"])
 
@@ -84,7 +96,7 @@ def _frequencies(terms: list[str]):
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[dict[str, int], int]:
     """Documents with each term, and all documents."""
     counted = texts(docs).mapInArrow(_frequencies(terms), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r.term: r.n for r in counted.collect()}  # in bounds: TERMS and one
+    found = {r.term: r.n for r in counted.collect()}  # in bounds: TERMS and five
     return found, found.pop(None, 0)
 
 
@@ -92,6 +104,8 @@ class Index:
     """The examples' vectors, by term, in blocks of example numbers."""
 
     def __init__(self, terms: list[str], frequencies: dict[str, int], documents: int, examples: list[tuple[int, str, int]]) -> None:
+        self.telling = frozenset(terms)
+        terms = [*terms, *HITS]
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = np.array([math.log((1 + documents) / (1 + frequencies.get(t, 0))) + 1 for t in terms])
         grouped: dict[tuple, list[int]] = {}
@@ -123,7 +137,8 @@ class Index:
             self.postings[t] = (at, weights, np.searchsorted(at // BLOCK, np.arange(self.blocks + 1)))
 
     def key(self, found: Counter) -> tuple:
-        return tuple(sorted((self.number[t], n) for t, n in found.items() if t in self.number))
+        own = [(self.number[t], n) for t, n in found.items() if t in self.telling]
+        return tuple(sorted([*own, (self.number[hits_of(found, self.telling)], 1)])) if own else ()
 
     def vector(self, key: tuple) -> tuple[list[int], np.ndarray]:
         """Terms and unit-length TF-IDF weights."""
