@@ -71,6 +71,13 @@ def tagged_records(texts: DataFrame, question: str = "Q:", answer: str = "A:") -
     return records.select("path", part(r"^\[(\d+)\]").cast("int").alias("number"), part(r"category:\s*([^\n]*)").alias("category"), part(rf"(?s){question}\s*(.*?)\s*(?={answer})").alias("question"), part(rf"(?s){answer}\s*(.*?)\s*$").alias("answer"))
 
 
+def markdown_questions(texts: DataFrame) -> DataFrame:
+    """(path, number, question, answer) of '## question' headings and the text below each, one text a row."""
+    sections = texts.select("path", F.posexplode(F.split("value", r"(?m)^##+ ")).alias("number", "s")).where("number > 0")
+    part = lambda i: F.trim(F.regexp_extract("s", r"(?s)^([^\n]*)\n?\s*(.*?)\s*$", i))
+    return sections.select("path", "number", part(1).alias("question"), part(2).alias("answer")).where("question <> ''")
+
+
 def append_json_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -39,6 +39,12 @@ def test_tagged_records(spark):
     assert [(r.number, r.category, r.question, r.answer) for r in got] == [(1, "x", "why\nnot", "because"), (2, "y", "how", "so")]
 
 
+def test_markdown_questions(spark):
+    text = "# Title\n## What?\nThis.\n\nAnd that.\n### Why?\n\nBecause.\n## \n"
+    got = files.markdown_questions(spark.createDataFrame([("p", text)], "path string, value string")).orderBy("number").collect()
+    assert [(r.question, r.answer) for r in got] == [("What?", "This.\n\nAnd that."), ("Why?", "Because.")]
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, kind string")
     files.write_by_category(rows, "kind", str(tmp_path / "k"))
