@@ -1,4 +1,4 @@
-"""Operators without SQL: sequence similarity, Unicode forms, order-dependent folds, page geometry."""
+"""Operators beyond built-in expressions: sequence similarity, Unicode forms, order-dependent folds, page geometry."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import native_gaps, texts
 from quern.operators.grid import grid
+from quern.queries.text import CHUNKS
 from quern.sources.tables import table
 
 
@@ -47,4 +48,8 @@ def ocr_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (title_similarity, compatibility_titles, sentence_repeat_removal, prompt_budget, ocr_grid)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "prompt_budget": CHUNKS
+    + """, l AS (SELECT doc_id, list_transform(chunks, lambda c: greatest(1, length(c) // 4)) AS n FROM e)
+        SELECT doc_id, len(n)::INT AS n_chunks, least(len(n), greatest(1, len(list_filter(range(1, len(n) + 1), lambda k: 100 + list_sum(n[1:k]) <= 900))))::INT AS n_fitted FROM l""",
+}

@@ -10,6 +10,7 @@ from quern.functions import texts
 from quern.functions.rules import all_reasons, first_rule
 from quern.operators.matching import upsert
 from quern.operators.ranking import first_per_key
+from quern.queries.text import CHUNKS
 from quern.sources.tables import table
 
 USER, NOW = 7, "1998-06-15"
@@ -151,6 +152,8 @@ ORACLES = {
             WHEN upper(text) = text THEN 'shouting' END AS reason FROM documents),
         o AS (SELECT d.doc_id, CASE WHEN reason IS NOT NULL THEN 'excluded: ' || reason WHEN place > 1 THEN 'repeated' WHEN l.doc_id IS NOT NULL THEN 'updated' ELSE 'created' END AS outcome FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id)
         SELECT outcome, count(*) AS n, min(doc_id) AS first_doc FROM o GROUP BY outcome""",
+    "ingest_status": CHUNKS + """ SELECT source, CASE WHEN len(chunks) = 0 THEN 'FAILED' WHEN len(chunks) > 60 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, count(*) AS n, sum(len(chunks))::BIGINT AS n_chunks
+        FROM e JOIN documents USING (doc_id) GROUP BY ALL""",
     "event_documents": """WITH l AS (SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ' ' || l_returnflag || ' ' || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) AS b FROM lineitem GROUP BY 1)
         SELECT o_orderkey, md5('Order ' || o_orderkey || chr(10) || o_orderpriority || coalesce(chr(10) || b, '')) AS content_md5, CASE WHEN n IS NOT NULL THEN '{"n":' || n || ',"status":"' || o_orderstatus || '"}' END AS metadata
         FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""",

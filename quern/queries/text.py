@@ -199,6 +199,15 @@ NORMAL = r"trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 MASK = rf"regexp_replace(regexp_replace(regexp_replace(text, '{texts.EMAIL}', '[EMAIL]', 'g'), '{texts.PHONE}', '[PHONE]', 'g'), '{texts.LONG_NUMBER}', '[ID]', 'g')"
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
+CHUNKS = r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+        f AS (SELECT doc_id, parts, 0 AS i, []::VARCHAR[] AS done, []::VARCHAR[] AS open, 0 AS used FROM p
+            UNION ALL
+            SELECT doc_id, parts, i + 1, CASE WHEN big THEN list_append(done, closed) ELSE done END, CASE WHEN big THEN [tail, part] ELSE list_append(open, part) END,
+                CASE WHEN big THEN length(tail) + length(part) ELSE used + length(part) END
+            FROM (SELECT *, right(closed, 120) AS tail, len(open) > 0 AND used + length(part) > 800 AS big FROM
+                (SELECT *, array_to_string(open, chr(10)) AS closed, parts[i + 1] AS part FROM f WHERE i < len(parts)))),
+        e AS (SELECT doc_id, CASE WHEN len(open) > 0 THEN list_append(done, array_to_string(open, chr(10))) ELSE done END AS chunks FROM f WHERE i = len(parts))"""
+
 _html = "html"
 for _pattern, _to in [(r"(?is)<script\b.*?</script>", " "), (r"(?is)<style\b.*?</style>", " "), (r"(?is)<header\b.*?</header>", " "), (r"(?is)<footer\b.*?</footer>", " "), (r"(?is)<nav\b.*?</nav>", " "), (r"(?is)<aside\b.*?</aside>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]+>", " ")]:
     _html = f"regexp_replace({_html}, '{_pattern}', '{_to}', 'g')"
@@ -238,15 +247,7 @@ ORACLES = {
     "topic_label": r"""WITH f AS (SELECT doc_id, regexp_matches(lower(text), '\|') AS a, regexp_matches(lower(text), 'licen[sc]e|copyright') AS b, regexp_matches(lower(text), 'def |return |import ') AS c,
         regexp_matches(lower(text), '\?') AS d, regexp_matches(lower(text), '[0-9]') AS e FROM documents)
         SELECT doc_id, CASE WHEN a THEN 'table' WHEN b THEN 'licence' WHEN c THEN 'code' WHEN d THEN 'question' WHEN e THEN 'number' ELSE 'other' END AS topic, a::INT + b::INT + c::INT + d::INT + e::INT AS n_rules FROM f""",
-    "chunk_documents": r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
-        f AS (SELECT doc_id, parts, 0 AS i, []::VARCHAR[] AS done, []::VARCHAR[] AS open, 0 AS used FROM p
-            UNION ALL
-            SELECT doc_id, parts, i + 1, CASE WHEN big THEN list_append(done, closed) ELSE done END, CASE WHEN big THEN [tail, part] ELSE list_append(open, part) END,
-                CASE WHEN big THEN length(tail) + length(part) ELSE used + length(part) END
-            FROM (SELECT *, right(closed, 120) AS tail, len(open) > 0 AND used + length(part) > 800 AS big FROM
-                (SELECT *, array_to_string(open, chr(10)) AS closed, parts[i + 1] AS part FROM f WHERE i < len(parts)))),
-        e AS (SELECT doc_id, CASE WHEN len(open) > 0 THEN list_append(done, array_to_string(open, chr(10))) ELSE done END AS chunks FROM f WHERE i = len(parts)),
-        u AS (SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_no, unnest(chunks) AS chunk FROM e)
+    "chunk_documents": CHUNKS + """, u AS (SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_no, unnest(chunks) AS chunk FROM e)
         SELECT doc_id, chunk_no::INT AS chunk_no, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM u""",
     "title_normal_form": r"""SELECT upper(regexp_replace(regexp_replace(p_name, '^(\[[^\]]*\]|[a-z]+)\s+', ''), '[^\p{L}\p{N}]+', '', 'g')) AS title, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1""",
     "noise_flags": r"""WITH r AS (SELECT doc_id, text, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / nullif(length(text), 0) AS ratio, left(text, 300) AS head FROM documents)
