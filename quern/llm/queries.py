@@ -113,6 +113,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # every window of an item's size, of items of five words or more
+    "op1_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents
+        ), ds AS (
+            SELECT doc_id, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS s FROM d WHERE len(w) >= 5
+        ), i AS (
+            SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark
+        ), n AS (
+            SELECT item_id, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS s FROM i WHERE len(w) >= 5
+        ), bag AS (
+            SELECT item_id, x, count(*) AS m FROM (SELECT item_id, unnest(s) AS x FROM n) GROUP BY ALL
+        ), hits AS (
+            SELECT doc_id, item_id, p FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS p FROM ds) JOIN bag USING (x)
+        ), pairs AS (
+            SELECT doc_id, item_id, min(p) AS low, max(p) AS high FROM hits GROUP BY ALL
+        ), starts AS (
+            SELECT doc_id, item_id, ds.s AS s, len(n.s) AS size, unnest(range(greatest(1, low - len(n.s) + 1), least(high, len(ds.s) - len(n.s) + 1) + 1)) AS st FROM pairs JOIN n USING (item_id) JOIN ds USING (doc_id)
+        ), shingles AS (
+            SELECT doc_id, item_id, size, st, x, count(*) AS c FROM (SELECT doc_id, item_id, size, st, unnest(s[st:st + size - 1]) AS x FROM starts) GROUP BY ALL
+        ), alike AS (
+            SELECT doc_id, item_id, size, st, sum(least(c, m)) AS shared FROM shingles JOIN bag USING (item_id, x) GROUP BY ALL
+        ), close_ones AS (
+            SELECT doc_id, item_id, size, st, shared / (2 * size - shared) AS similarity FROM alike WHERE shared / (2 * size - shared) >= 0.8
+        )
+        SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(st, row(similarity, -st)) - 1 AS start_word, any_value(size) + 4 AS n_words FROM close_ones GROUP BY doc_id, item_id""",
     "op2_url_filter": r"""
         WITH u AS (
             SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
