@@ -48,3 +48,19 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int, m
     """Page ``number`` (from 1) of ``size`` rows, at most ``most``."""
     size = max(1, min(size, most))
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+
+
+def spread_rank(df: DataFrame, group: str, key: str, unique: str, digits: int = 3) -> DataFrame:
+    """``df`` with rank and group_size: its place within the group in the order of (key, unique), where the
+    key is hexadecimal text that spreads evenly, such as a hash.
+
+    No task sorts a whole group: rows are ranked among those of equal leading digits, and the counts of
+    the digits before, at most 16 ** digits a group, are added."""
+    marked = df.withColumn("_digits", F.substring(key, 1, digits))
+    counted = marked.groupBy(F.col(group).alias("_group"), F.col("_digits").alias("_own")).agg(F.count("*").alias("_n"))
+    every = W.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_own").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counted.select("_group", "_own", before.alias("_before"), F.sum("_n").over(every).alias("group_size"))
+    joined = marked.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_digits") == F.col("_own")))
+    place = F.row_number().over(W.partitionBy(group, "_digits").orderBy(key, unique))
+    return joined.withColumn("rank", F.col("_before") + place).drop("_digits", "_group", "_own", "_before")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.texts import word_tokens
-from quern.operators.ranking import first_n_per_key, first_per_key, interleave
+from quern.operators.ranking import first_n_per_key, first_per_key, interleave, spread_rank
 from quern.sources.tables import table
 
 
@@ -87,33 +87,30 @@ def title_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of each language goes to the evaluation split: at least one row, at most all but one."""
-    d = table(spark, sf, "documents").select("doc_id", "lang")
-    n = F.count("*").over(W.partitionBy("lang"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(portable_key(F.lit("42"), F.col("doc_id").cast("string")), "doc_id"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", portable_key(F.lit("42"), F.col("doc_id").cast("string")).alias("key"))
+    ranked = spread_rank(d, "lang", "key", "doc_id")
+    n = F.col("group_size")
     share = F.when(n <= 1, 0).otherwise(F.greatest(F.lit(1), F.least(n - 1, F.bround(n * 0.1).cast("long"))))
-    return d.select("doc_id", "lang", F.when(rank <= share, "eval").otherwise("train").alias("split"))
+    return ranked.select("doc_id", "lang", F.when(F.col("rank") <= share, "eval").otherwise("train").alias("split"))
 
 
 def quota_sample(spark: SparkSession, sf: str) -> DataFrame:
     """150 rows of fixed shares by language; what a language lacks is filled from the others in hash order."""
     quotas = F.create_map(*(F.lit(x) for pair in {"en": 90, "de": 30, "fr": 20, "es": 10}.items() for x in pair))
     d = table(spark, sf, "documents").where("n_chars > 800").select("doc_id", "lang", portable_key(F.lit("7"), F.col("doc_id").cast("string")).alias("key"))
-    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id")))
-    quota = ranked.where(F.col("rank") <= quotas[F.col("lang")])
-    rest = ranked.where(~(F.col("rank") <= quotas[F.col("lang")]))
-    pool = quota.withColumn("turn", F.lit(0)).unionByName(rest.withColumn("turn", F.lit(1)))
-    return pool.orderBy("turn", "key", "doc_id").limit(150).select("doc_id", "lang")
+    # no row beyond the 150th of its language can be taken
+    ranked = first_n_per_key(d, ["lang"], ["key", "doc_id"], 150).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id")))
+    turn = F.when(F.col("rank") <= quotas[F.col("lang")], 0).otherwise(1)
+    return ranked.orderBy(turn, "key", "doc_id").limit(150).select("doc_id", "lang")
 
 
 def balanced_upsample(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of rare languages repeated until each has 300, in id order."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    n = F.count("*").over(W.partitionBy("lang"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
-    counted = d.withColumn("n", n).withColumn("rank", rank)
-    copies = F.greatest(F.floor((F.lit(300) - F.col("rank")) / F.col("n")) + 1, F.lit(0))
-    repeated = counted.withColumn("copies", copies).where("copies > 0")
-    return repeated.select("doc_id", "lang", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    first = first_n_per_key(d, ["lang"], ["doc_id"], 300).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")))
+    counted = first.join(d.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+    copies = F.floor((F.lit(300) - F.col("rank")) / F.col("n")) + 1
+    return counted.select("doc_id", "lang", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
 
 
 def interleave_sources(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,6 +47,17 @@ def test_runs_ranks_and_turns(spark):
     assert [(r.bucket, r.n_removed) for r in ranking.duplicate_groups(rows.where("id <> 5"), ["bucket"], "id").collect()] == [("a", 3)]
 
 
+def test_spread_ranks_are_plain_ranks(spark):
+    from pyspark.sql import Window as W
+
+    rows = spark.range(500).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("key"))
+    got = ranking.spread_rank(rows.unionByName(rows.where("id < 20")), "g", "key", "id", digits=1)
+    plain = got.withColumn("want", F.row_number().over(W.partitionBy("g").orderBy("key", "id"))).withColumn("size", F.count("*").over(W.partitionBy("g")))
+    assert plain.count() == 520 and plain.where("size <> group_size").count() == 0
+    ranks = lambda c: sorted((r.g is None, r.g, r.id, r[c]) for r in plain.where("id >= 20").collect())
+    assert [x for x in ranks("rank") if not x[0]] == [x for x in ranks("want") if not x[0]]
+
+
 def test_matches_take_the_first_step_and_the_smallest_id(spark):
     left = spark.createDataFrame([(1, "u", "t"), (2, None, "t"), (3, "z", None)], "l long, url string, title string")
     right = spark.createDataFrame([(10, "u", "x"), (11, "u", "t"), (12, None, "t"), (9, "q", "t")], "r long, url string, title string")
