@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import texts
 from quern.functions.vectors import cosine
 from quern.operators.ranking import first_per_key
+from quern.plans import retrieval as plan
 from quern.sources.tables import table
 
 TERMS = ["the", "Thand", "eaux", "ich", "con", "idiot", "license"]
@@ -98,7 +99,29 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", title.alias("title"), F.md5(F.substring("html", 1, 240)).alias("excerpt_md5"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, lexical_search, metadata_search, rerank_boost, hybrid_merge, notice_search, retrieval_evaluate, hash_embed_sparse, vector_upsert, references)}
+def vector_batch_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """For every fiftieth vector its five nearest of all."""
+    index = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return plan.vector_hits(index, index.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 5)
+
+
+def _questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return documents, table(spark, sf, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
+
+
+def question_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark openings as questions: lexical hits, reranked, the three best of each."""
+    documents, questions = _questions(spark, sf)
+    return plan.reranked(plan.merged(plan.lexical_hits(documents, questions, 20)), documents, questions, 3)
+
+
+def question_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    documents, questions = _questions(spark, sf)
+    return plan.judged(plan.lexical_hits(documents, questions, 20), questions, 0.6)
+
+
+QUERIES = {f.__name__: f for f in (vector_batch_topk, question_batch, question_verdicts, vector_topk, vector_topk_filtered, lexical_search, metadata_search, rerank_boost, hybrid_merge, notice_search, retrieval_evaluate, hash_embed_sparse, vector_upsert, references)}
 
 _COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4)"
 _NEAR = "(SELECT e.vec_id, e.label, " + _COSINE + " AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {} ORDER BY score DESC, e.vec_id LIMIT {})"
@@ -106,7 +129,18 @@ _HITS = lambda terms, text="text": "(" + " + ".join(f"contains(lower({text}), '{
 _LEX = f"(SELECT doc_id, round(least(1.0, 0.1::DOUBLE * {_HITS(TERMS)}), 4) AS score FROM documents)"
 _TOP = f"(SELECT * FROM {_LEX} WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50)"
 
+_WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+_QUESTION = f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format('left(text, 60)')} AS w FROM benchmark WHERE item_id % 2 = 0), d AS (SELECT doc_id AS id, {_WORDS.format('text')} AS w FROM documents),
+    s AS (SELECT query_id, id, round(least(1.0, len(list_intersect(q.w, d.w)) * 0.1::DOUBLE), 4) AS score, q.w AS qw, d.w AS dw FROM q JOIN d ON list_has_any(q.w, d.w)),
+    h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20)"""
+
 ORACLES = {
+    "vector_batch_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
+        SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) WHERE score > 0""",
+    "question_batch": _QUESTION + """, r AS (SELECT query_id, id, round(least(1.0, score + 0.08::DOUBLE * len(list_intersect(list_filter(qw, lambda x: length(x) >= 4), dw))), 4) AS score FROM h)
+        SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3""",
+    "question_verdicts": _QUESTION + """, p AS (SELECT query_id, count(*) AS n, max(score) AS best FROM h GROUP BY 1)
+        SELECT query_id, coalesce(n, 0) AS n, best, CASE WHEN n IS NULL THEN 'none' WHEN best < 0.6 THEN 'low score' ELSE 'enough' END AS verdict FROM q LEFT JOIN p USING (query_id)""",
     "vector_topk": f"SELECT vec_id, score FROM {_NEAR.format('true', 10)} WHERE score > 0",
     "vector_topk_filtered": f"SELECT vec_id, label, score FROM {_NEAR.format('e.label IS NULL OR e.label = 3', 20)} WHERE score > 0",
     "lexical_search": f"SELECT * FROM {_TOP}",
