@@ -204,7 +204,7 @@ def _hashed(shift: int):
 
 
 def _bucket(bits: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         once = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["once"]])
         more = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["more"]])
         counts = np.concatenate([np.ones(len(once), np.int64), *(np.frombuffer(x, np.int64) for x in rows["counts"])])
@@ -228,7 +228,8 @@ def build_filter(training: DataFrame, counts: DataFrame, tokens: int, model: Mod
     bits = -(-size // (1 << power) // 64) * 64
     schema = "bucket long, once binary, more binary, counts binary"
     grams = training.select("text").mapInArrow(_bigrams(shift), schema).unionByName(counts.mapInArrow(_hashed(shift), schema))
-    built = grams.groupBy("bucket").applyInPandas(_bucket(bits), "bucket long, filter binary")
+    # stored, since reading partitions one by one would also build them one by one
+    built = cut_lineage(grams.groupBy("bucket").applyInPandas(_bucket(bits), "bucket long, filter binary"))
     words = np.zeros((bits // 8) << power, np.uint8)
     for row in built.toLocalIterator():  # in bounds: most_bytes
         words[row.bucket * (bits // 8) : (row.bucket + 1) * (bits // 8)] = np.frombuffer(row.filter, np.uint8)
