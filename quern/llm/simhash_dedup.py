@@ -7,10 +7,11 @@ all others are compared with exclusive-or and bit counts. A tile pair gives a sp
 links instead of all of them, so that a large group of near copies costs its size, not its square;
 groups are what stars over these links reach.
 
-`similar_documents` goes on to a similarity: fingerprints within the radius count as alike, those within
-a second, wider radius are candidates, and candidates that no link joins yet are verified by the exact
-Jaccard similarity of their shingle sets. At similarity s, fingerprints differ in about
-64·acos(2s/(1+s))/pi bits: 10 at 0.8, with a deviation of 3, 7 at 0.9.
+`similar_documents` goes on to a similarity: fingerprints within the radius are alike and make groups; a
+second pass over the tiles finds the pairs within a wider radius that lie in different groups and whose
+numbers of shingles allow the similarity, and these are verified by the exact Jaccard similarity of their
+shingle sets. At similarity s, fingerprints differ in about 64·acos(2s/(1+s))/pi bits: 10 at 0.8, with a
+deviation of 3, 7 at 0.9.
 
 Nothing is lost or capped: equal fingerprints are one node, and every pair of tiles that may hold a
 link is compared.
@@ -88,18 +89,21 @@ def lane(index: int) -> Column:
     return F.bit_count(F.shiftrightunsigned("fp", 16 * index).bitwiseAND(F.lit(65535).cast("long")))
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _tiles(columns: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        own = {c: np.concatenate([np.asarray(b[c]) for b in batches]).astype(np.int64) for c in columns}
+        counts = lanes(own["fp"].view(np.uint64))
+        order = np.lexsort(counts.T[::-1])
+        rows = [TaskContext.get().partitionId(), counts.min(0).tolist(), counts.max(0).tolist(), *(own[c][order].tobytes() for c in columns)]
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * len(columns)]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds)], names=["tile", "low", "high", *columns])
 
-    parts = [np.asarray(b["fp"]) for b in batches if b.num_rows]
-    if not parts:
-        return
-    found = np.concatenate(parts).view(np.uint64)
-    counts = lanes(found)
-    found = found[np.lexsort(counts.T[::-1])]
-    rows = [TaskContext.get().partitionId(), counts.min(0).tolist(), counts.max(0).tolist(), found.tobytes()]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds)], names=["tile", "low", "high", "fps"])
+    return run
 
 
 def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,77 +113,97 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return counts[starts], np.r_[starts, len(found)]
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int, wide: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links that join the same fingerprints as all pairs within the radius between two tiles do (within
-    one tile if b is None), and all pairs within the wide radius that these links leave apart."""
-    nodes = a if b is None else np.concatenate([a, b])
-    base, other = (0, a) if b is None else (len(a), b)
-    label = np.arange(len(nodes))
+def near_blocks(a: np.ndarray, b: np.ndarray | None, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row of a, rows of b, bits that differ) for the blocks of two tiles, or of one with itself if
+    b is None, that may hold pairs within reach. Within one tile, a pair may come twice."""
+    other = a if b is None else b
     own, own_at = _runs(a)
     far, far_at = _runs(other)
-    reach = radius if wide is None else wide
-    loose: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(len(own)):
         near = np.flatnonzero(np.abs(far - own[i]).sum(1) <= reach)
         if b is None:
             near = near[near >= i]
-        if not len(near):
-            continue
-        at = np.concatenate([np.arange(far_at[j], far_at[j + 1]) for j in near])
-        right = other[at]
-        for low in range(own_at[i], own_at[i + 1], ROWS):
-            left = a[low : min(low + ROWS, own_at[i + 1])]
-            apart = np.bitwise_count(left[:, None] ^ right[None, :])
-            close = apart <= radius
-            for row in np.flatnonzero(close.any(1)):
-                met = np.unique(label[np.r_[low + row, base + at[close[row]]]])
-                if len(met) > 1:
-                    label[np.isin(label, met)] = met[0]
-            if wide is not None:
-                x, y = np.nonzero((apart <= wide) & ~close)
-                x, y = low + x, base + at[y]
-                open_yet = label[x] != label[y]
-                loose.append((x[open_yet], y[open_yet]))
+        if len(near):
+            at = np.concatenate([np.arange(far_at[j], far_at[j + 1]) for j in near])
+            right = other[at]
+            for low in range(own_at[i], own_at[i + 1], ROWS):
+                left = a[low : min(low + ROWS, own_at[i + 1])]
+                yield low, at, np.bitwise_count(left[:, None] ^ right[None, :])
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same fingerprints as all pairs within the radius between two tiles do, or within
+    one tile if b is None."""
+    nodes, base = (a, 0) if b is None else (np.concatenate([a, b]), len(a))
+    label = np.arange(len(nodes))
+    for low, at, apart in near_blocks(a, b, radius):
+        close = apart <= radius
+        for row in np.flatnonzero(close.any(1)):
+            met = np.unique(label[np.r_[low + row, base + at[close[row]]]])
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
     moved = np.flatnonzero(label != np.arange(len(nodes)))
-    x, y = (np.concatenate([pair[i] for pair in loose]) if loose else np.array([], np.int64) for i in (0, 1))
-    still = label[x] != label[y]
-    return nodes[moved], nodes[label[moved]], nodes[x[still]], nodes[y[still]]
+    return nodes[moved], nodes[label[moved]]
 
 
-def _compare(radius: int, wide: int | None):
+def _read(batch: pa.RecordBatch, row: int, column: str, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(batch[column][row].as_py(), kind)
+
+
+def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a = np.frombuffer(batch["fps_a"][i].as_py(), np.uint64)
-                b = None if batch["a"][i] == batch["b"][i] else np.frombuffer(batch["fps_b"][i].as_py(), np.uint64)
-                u, v, x, y = forest(a, b, radius, wide)
-                if len(u) + len(x):
-                    sure = np.r_[np.ones(len(u), bool), np.zeros(len(x), bool)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, x].view(np.int64)), pa.array(np.r_[v, y].view(np.int64)), pa.array(sure)], names=["u", "v", "sure"])
+                same = batch["a"][i] == batch["b"][i]
+                u, v = forest(_read(batch, i, "fp_a", np.uint64), None if same else _read(batch, i, "fp_b", np.uint64), radius)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return run
 
 
-def links(found: DataFrame, radius: int = 4, wide: int | None = None) -> DataFrame:
-    """(u, v, sure): sure links join the fingerprints (column fp, distinct) as all links within the radius
-    do; the others are the pairs within the wide radius that sure links of their tiles leave apart."""
+def _open_pairs(wide: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (fa, ga, sa), (fb, gb, sb) = ((_read(batch, i, f"{c}_{side}") for c in ("fp", "grp", "size")) for side in "ab")
+                same = batch["a"][i] == batch["b"][i]
+                for low, at, apart in near_blocks(fa.view(np.uint64), None if same else fb.view(np.uint64), wide):
+                    x, y = np.nonzero(apart <= wide)
+                    x, y = x + low, at[y]
+                    keep = (ga[x] != gb[y]) & (np.minimum(sa[x], sb[y]) >= similarity * np.maximum(sa[x], sb[y]))
+                    if same:
+                        keep &= x < y
+                    if keep.any():
+                        x, y = x[keep], y[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (fa[x], fb[y], ga[x], gb[y])], names=["u", "v", "group_u", "group_v"])
+
+    return run
+
+
+def tile_pairs(found: DataFrame, reach: int, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Pairs of tiles of distinct fingerprints (column fp) whose lane counts allow a pair within reach, with
+    the tiles' columns as bytes, dealt out evenly. Null if there are no fingerprints."""
     spark = found.sparkSession
-    size = min(MOST_TILE, max(LEAST_TILE, found.count() // TILES))
-    count = max(1, -(-found.count() // size))
-    ordered = found.repartitionByRange(count, *(lane(i) for i in range(4)), "fp")
-    tiles = cut_lineage(ordered.mapInArrow(_tiles, "tile long, low array<int>, high array<int>, fps binary"))
-    last = tiles.agg(F.max("tile")).first()[0]
-    if last is None:
-        return spark.createDataFrame([], "u long, v long, sure boolean")
+    rows = found.count()
+    size = min(MOST_TILE, max(LEAST_TILE, rows // TILES))
+    ordered = found.select(*columns).repartitionByRange(max(1, -(-rows // size)), *(lane(i) for i in range(4)), "fp")
+    tiles = cut_lineage(ordered.mapInArrow(_tiles(columns), "tile long, low array<int>, high array<int>, " + ", ".join(f"{c} binary" for c in columns)))
+    last = tiles.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0]
     spans = tiles.select("tile", "low", "high")
     left = spans.select(F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence("tile", F.lit(last))).alias("b"))
     right = spans.select(F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     apart = [F.greatest(F.lit(0), F.col("low_a")[i] - F.col("high_b")[i], F.col("low_b")[i] - F.col("high_a")[i]) for i in range(4)]
-    pairs = left.join(right, "b").where(sum(apart[1:], apart[0]) <= (radius if wide is None else wide)).select("a", "b")
-    full = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fps_a")), "a")
-    full = full.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fps_b")), "b")
+    full = left.join(right, "b").where(sum(apart[1:], apart[0]) <= reach).select("a", "b")
+    for side in "ab":
+        full = full.join(tiles.select(F.col("tile").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return full.repartition(parts, "a", "b").mapInArrow(_compare(radius, wide), "u long, v long, sure boolean")
+    return full.repartition(parts, "a", "b")
+
+
+def links(found: DataFrame, radius: int = 4) -> DataFrame:
+    """(u, v): links that join the fingerprints (column fp, distinct) as all links within the radius do."""
+    return tile_pairs(found, radius).mapInArrow(_links(radius), "u long, v long")
 
 
 def _grouped(marked: DataFrame, nodes: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
@@ -193,7 +217,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     """(id, fp, component_id): component_id is the smallest id that links of the radius reach."""
     marked = cut_lineage(fingerprints(docs, id_column, text, words, seed))
     nodes = cut_lineage(marked.groupBy("fp").agg(F.min(id_column).alias("least")))
-    return _grouped(marked, nodes, links(nodes.select("fp"), radius).select("u", "v"), id_column)
+    return _grouped(marked, nodes, links(nodes.select("fp"), radius), id_column)
 
 
 def shingle_set(text: str, words: int) -> set[bytes]:
@@ -217,17 +241,21 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """(doc_id, fp, component_id): groups of documents that links of the similarity join."""
     marked = cut_lineage(fingerprints(docs, "doc_id", "text", words, seed))
     nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("size", "doc_id").alias("size")))
-    found = cut_lineage(links(nodes.select("fp"), radius, wide))
-    open_pairs = found.where("NOT sure").select("u", "v")
+    groups = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    placed = cut_lineage(nodes.join(groups, "fp", "left").select("fp", "least", "size", F.coalesce("component", "fp").alias("grp")))
+    # pairs of different groups whose sets are alike enough in size to be that similar
+    pairs = cut_lineage(tile_pairs(placed, wide, ("fp", "grp", "size")).mapInArrow(_open_pairs(wide, similarity), "u long, v long, group_u long, group_v long"))
+    named = pairs
     for side in "uv":
-        open_pairs = open_pairs.join(nodes.select(F.col("fp").alias(side), F.col("least").alias(f"doc_{side}"), F.col("size").alias(f"size_{side}")), side)
-    # sets this alike are as alike in size
-    pairs = cut_lineage(open_pairs.where(F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity).select("u", "v", "doc_u", "doc_v"))
-    wanted = pairs.select(F.explode(F.array("doc_u", "doc_v")).alias("doc_id")).distinct()
+        named = named.join(placed.select(F.col("fp").alias(side), F.col("least").alias(f"doc_{side}")), side)
+    wanted = named.select(F.explode(F.array("doc_u", "doc_v")).alias("doc_id")).distinct()
     bodies = cut_lineage(texts(docs, "doc_id").join(wanted, "doc_id").select("doc_id", "text"))
-    full = pairs.join(bodies.select(F.col("doc_id").alias("doc_u"), F.col("text").alias("text_u")), "doc_u").join(bodies.select(F.col("doc_id").alias("doc_v"), F.col("text").alias("text_v")), "doc_v")
-    verified = full.select("u", "v", "text_u", "text_v").mapInArrow(_alike(words, similarity), "u long, v long")
-    return _grouped(marked, nodes, found.where("sure").select("u", "v").unionByName(verified), "doc_id")
+    full = named.join(bodies.select(F.col("doc_id").alias("doc_u"), F.col("text").alias("text_u")), "doc_u").join(bodies.select(F.col("doc_id").alias("doc_v"), F.col("text").alias("text_v")), "doc_v")
+    verified = full.select(F.col("group_u").alias("u"), F.col("group_v").alias("v"), "text_u", "text_v").mapInArrow(_alike(words, similarity), "u long, v long").distinct()
+    joined = connected_components(verified).select(F.col("node").alias("grp"), "component")
+    final = placed.join(joined, "grp", "left").select("fp", "least", F.coalesce("component", "grp").alias("component"))
+    names = final.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(final.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:
