@@ -64,6 +64,22 @@ def test_tiles_link_what_all_pairs_link(spark, seed, monkeypatch):
     assert {f: placed.get(f, f) for f in found} == {f: c for f, _, c in want}
 
 
+def test_tiles_give_every_open_pair_once(spark, monkeypatch):
+    """Pairs within and across tiles against all pairs, with both fingerprints' limits."""
+    monkeypatch.setattr(simhash_dedup, "LEAST_TILE", 16)
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 1 << 62, (20, 2))
+    flips = lambda: sum(1 << int(b) for b in rng.integers(0, 62, rng.integers(0, 12)))
+    rows = sorted({int(a) ^ flips(): (int(b) ^ flips(), int(rng.integers(50, 70)), int(rng.integers(0, 60))) for a, b in np.repeat(centres, 8, axis=0)}.items())
+    rows = [(fp, group, size, second) for fp, (second, size, group) in rows]
+    pairs = simhash_dedup.tile_pairs(spark.createDataFrame(rows, "fp long, grp long, size long, second long"), 14, ("fp", "grp", "size", "second"))
+    got = pairs.mapInArrow(simhash_dedup._open_pairs(14, 20, 0.8), "u long, v long, group_u long, group_v long").collect()
+    apart = lambda x, y: (x ^ y).bit_count()
+    want = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if apart(a[0], b[0]) <= 14 and apart(a[0], b[0]) + apart(a[3], b[3]) <= 20 and a[1] != b[1] and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])]
+    assert len(want) > 50
+    assert sorted(tuple(sorted((r.u, r.v))) for r in got) == sorted(want)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(3, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "x y z"), (None, "x y z"), (None, None), (7, "")]
     kept = simhash_dedup.keep_first(docs(spark, rows))
