@@ -7,16 +7,15 @@ all others are compared with exclusive-or and bit counts. A tile pair gives a sp
 links instead of all of them, so that a large group of near copies costs its size, not its square;
 groups are what stars over these links reach.
 
-`similar_documents` goes on to a similarity: fingerprints within the radius are alike and make groups; a
-second pass over the tiles finds the pairs within a wider radius that lie in different groups, whose
-numbers of shingles allow the similarity and which also hold up over 128 bits, those of a second
-fingerprint included; these are verified by the exact Jaccard similarity of their shingle sets. At
-similarity s, fingerprints differ in about 64·acos(2s/(1+s))/pi bits: 10 at 0.8, with a deviation of 3,
-7 at 0.9. Unlike texts come within 14 of 64 bits by chance, and such pairs grow with the square of the
-input; with the second fingerprint they have to come within 34 of 128, which hardly any do and which
-pairs at 0.8 hardly ever miss (21 bits, with a deviation of 4).
-
-Nothing is lost or capped: equal fingerprints are one node, and every pair of tiles that may hold a
+`similar_documents` goes by the exact Jaccard similarity of shingle sets alone. Documents of equal sets are
+one node, with a fingerprint of 128 bits over its shingles. Pairs whose
+sizes allow the similarity and whose fingerprints are near are candidates, and only a verified candidate is a
+link. First come spanning forests of the nearest candidates, so that a large group of near copies costs its
+size; then all candidates of nodes that are not in one group yet. At similarity s, fingerprints differ in
+about 128·acos(2s/(1+s))/pi bits: 19 at 0.8, with a deviation of 4, where 34 are allowed; in the first
+64 bits 10, with a deviation of 3, where 14 are.
+
+In `near_duplicates` nothing is lost or capped: equal fingerprints are one node, and every pair of tiles that may hold a
 link is compared.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like
@@ -40,7 +39,7 @@ from quern.llm.components import connected_components
 #: Fingerprints of a tile: about a 24th of all, so that there are pairs enough to deal out, in bounds.
 LEAST_TILE, MOST_TILE, TILES = 2_048, 65_536, 24
 #: Rows of the left tile that are compared at once.
-ROWS = 256
+ROWS = 128
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -77,26 +76,21 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(29))
 
 
-def _fingerprints(id_column: str, words: int, seed: int, second: bool):
+def _fingerprints(id_column: str, words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch["text"].to_pylist():
-                hashes = hashes_of(text, words, seed)
-                found.append((majority(hashes), majority(remixed(hashes)) if second else 0, len(np.unique(hashes))))
-            fps, others = (pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1))
-            rows = [batch[id_column], fps, pa.array([f[2] for f in found], pa.int64()), *([others] if second else [])]
-            yield pa.RecordBatch.from_arrays(rows, names=[id_column, "fp", "size", "second"][: len(rows)])
+            found = [fingerprint(text, words, seed) for text in batch["text"].to_pylist()]
+            fps = pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch[id_column], fps, pa.array([n for _, n in found], pa.int64())], names=[id_column, "fp", "size"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, second: bool = False) -> DataFrame:
-    """(id, fp, size): the fingerprint's 64 bits as a long, and the number of distinct shingles; with
-    ``second`` also a fingerprint of the remixed hashes."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
+    """(id, fp, size): the fingerprint's 64 bits as a long, and the number of distinct shingles."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
-    return texts(docs, id_column, text=text).mapInArrow(_fingerprints(id_column, words, seed, second), f"`{id_column}` {kind}, fp long, size long" + ", second long" * second)
+    return texts(docs, id_column, text=text).mapInArrow(_fingerprints(id_column, words, seed), f"`{id_column}` {kind}, fp long, size long")
 
 
 def lanes(found: np.ndarray) -> np.ndarray:
@@ -108,7 +102,7 @@ def lane(index: int) -> Column:
     return F.bit_count(F.shiftrightunsigned("fp", 16 * index).bitwiseAND(F.lit(65535).cast("long")))
 
 
-def _tiles(columns: tuple[str, ...]):
+def _tiles(columns: tuple[str, ...], by_size: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -116,10 +110,10 @@ def _tiles(columns: tuple[str, ...]):
         if not batches:
             return
         own = {c: np.concatenate([np.asarray(b[c]) for b in batches]).astype(np.int64) for c in columns}
-        counts = lanes(own["fp"].view(np.uint64))
+        counts = own["size"][:, None] if by_size else lanes(own["fp"].view(np.uint64))
         order = np.lexsort(counts.T[::-1])
         rows = [TaskContext.get().partitionId(), counts.min(0).tolist(), counts.max(0).tolist(), *(own[c][order].tobytes() for c in columns)]
-        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * len(columns)]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * len(columns)]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds)], names=["tile", "low", "high", *columns])
 
     return run
@@ -181,41 +175,82 @@ def _links(radius: int):
     return run
 
 
-def _open_pairs(wide: int, both: int, similarity: float):
+def _spanning(x: np.ndarray, y: np.ndarray, group_x: np.ndarray, group_y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs, ordered by x, join groups that those before have not joined; label is kept up."""
+    chosen = []
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    for low, high in zip(starts, np.r_[starts[1:], len(x)]):
+        met, at = np.unique(label[group_y[low:high]], return_index=True)
+        own = label[group_x[low]]
+        met, at = met[met != own], at[met != own]
+        if len(met):
+            chosen.append(low + at)
+            label[np.isin(label, met)] = own
+    return np.concatenate(chosen) if chosen else np.array([], np.int64)
+
+
+def _open_pairs(wide: int, both: int, similarity: float, key: str = "fp", spanning: bool = False):
+    """Pairs of different groups that lie within wide, and with the second fingerprint within both, and whose
+    sizes allow the similarity; ``spanning``: of each pair of tiles only those that join groups."""
+    columns = tuple(dict.fromkeys(("fp", "grp", "size", "second", key)))
+
+    def side(batch: pa.RecordBatch, row: int, name: str) -> dict[str, np.ndarray]:
+        own = {c: _read(batch, row, f"{c}_{name}") for c in columns}
+        order = np.argsort(own["size"], kind="stable")
+        return {c: v[order] for c, v in own.items()} | {c: v[order].view(np.uint64) for c, v in own.items() if c in ("fp", "second")}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (fa, ga, sa, ta), (fb, gb, sb, tb) = ([_read(batch, i, f"{c}_{side}") for c in ("fp", "grp", "size", "second")] for side in "ab")
                 same = batch["a"][i] == batch["b"][i]
-                for low, at, apart in near_blocks(fa.view(np.uint64), None if same else fb.view(np.uint64), wide):
+                a = side(batch, i, "a")
+                b = a if same else side(batch, i, "b")
+                numbers = np.unique(np.concatenate([a["grp"], b["grp"]]))
+                label = np.arange(len(numbers))
+                for low in range(0, len(a["fp"]), ROWS):
+                    high = min(low + ROWS, len(a["fp"]))
+                    start, stop = np.searchsorted(b["size"], [np.floor(similarity * a["size"][low]), np.ceil(a["size"][high - 1] / similarity) + 1])
+                    start = max(start, low) if same else start
+                    if start >= stop:
+                        continue
+                    apart = np.bitwise_count(a["fp"][low:high, None] ^ b["fp"][None, start:stop])
                     x, y = np.nonzero(apart <= wide)
                     first = apart[x, y].astype(np.int64)
-                    x, y = x + low, at[y]
-                    keep = first + np.bitwise_count(ta[x].view(np.uint64) ^ tb[y].view(np.uint64)) <= both
-                    keep &= (ga[x] != gb[y]) & (np.minimum(sa[x], sb[y]) >= similarity * np.maximum(sa[x], sb[y]))
+                    x, y = x + low, y + start
+                    keep = first + np.bitwise_count(a["second"][x] ^ b["second"][y]) <= both
+                    keep &= (a["grp"][x] != b["grp"][y]) & (np.minimum(a["size"][x], b["size"][y]) >= similarity * np.maximum(a["size"][x], b["size"][y]))
                     if same:
                         keep &= x < y
-                    if keep.any():
-                        x, y = x[keep], y[keep]
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (fa[x], fb[y], ga[x], gb[y])], names=["u", "v", "group_u", "group_v"])
+                    x, y = x[keep], y[keep]
+                    if spanning and len(x):
+                        chosen = _spanning(x, y, np.searchsorted(numbers, a["grp"][x]), np.searchsorted(numbers, b["grp"][y]), label)
+                        x, y = x[chosen], y[chosen]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (a[key][x], b[key][y], a["grp"][x], b["grp"][y])], names=["u", "v", "group_u", "group_v"])
 
     return run
 
 
-def tile_pairs(found: DataFrame, reach: int, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """Pairs of tiles of distinct fingerprints (column fp) whose lane counts allow a pair within reach, with
-    the tiles' columns as bytes, dealt out evenly. Null if there are no fingerprints."""
+def tile_pairs(found: DataFrame, reach: int, columns: tuple[str, ...] = ("fp",), similarity: float = 0.0) -> DataFrame:
+    """Pairs of tiles of fingerprints (column fp) whose lane counts allow a pair within reach, with the
+    tiles' columns as bytes, dealt out evenly. With a similarity, tiles go by the column size, and pairs
+    are those whose sizes allow it."""
     spark = found.sparkSession
     rows = found.count()
     size = min(MOST_TILE, max(LEAST_TILE, rows // TILES))
-    ordered = found.select(*columns).repartitionByRange(max(1, -(-rows // size)), *(lane(i) for i in range(4)), "fp")
-    tiles = cut_lineage(ordered.mapInArrow(_tiles(columns), "tile long, low array<int>, high array<int>, " + ", ".join(f"{c} binary" for c in columns)))
+    by = ["size", "fp"] if similarity else [*(lane(i) for i in range(4)), "fp"]
+    ordered = found.select(*columns).repartitionByRange(max(1, -(-rows // size)), *by)
+    tiles = cut_lineage(ordered.mapInArrow(_tiles(columns, similarity > 0), "tile long, low array<long>, high array<long>, " + ", ".join(f"{c} binary" for c in columns)))
     last = tiles.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0]
     spans = tiles.select("tile", "low", "high")
     left = spans.select(F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence("tile", F.lit(last))).alias("b"))
     right = spans.select(F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    apart = [F.greatest(F.lit(0), F.col("low_a")[i] - F.col("high_b")[i], F.col("low_b")[i] - F.col("high_a")[i]) for i in range(4)]
-    full = left.join(right, "b").where(sum(apart[1:], apart[0]) <= reach).select("a", "b")
+    if similarity:
+        near = (F.col("high_a")[0] >= similarity * F.col("low_b")[0]) & (F.col("high_b")[0] >= similarity * F.col("low_a")[0])
+    else:
+        apart = [F.greatest(F.lit(0), F.col("low_a")[i] - F.col("high_b")[i], F.col("low_b")[i] - F.col("high_a")[i]) for i in range(4)]
+        near = sum(apart[1:], apart[0]) <= reach
+    full = left.join(right, "b").where(near).select("a", "b")
     for side in "ab":
         full = full.join(tiles.select(F.col("tile").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
@@ -246,37 +281,82 @@ def shingle_set(text: str, words: int) -> set[bytes]:
     return {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
 
 
-def _alike(words: int, similarity: float):
+def set_hashes(text: str, words: int, seed: int) -> np.ndarray:
+    return np.unique(hashes_of(text, words, seed))
+
+
+def _sketches(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            found = []
+            for text in batch["text"].to_pylist():
+                every = hashes_of(text, words, seed)
+                hashes = np.unique(every)
+                found.append((xxhash.xxh64_intdigest(hashes.tobytes()), majority(every), majority(remixed(every)), len(hashes)))
+            rows = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *rows], names=["doc_id", "node", "fp", "second", "size"])
+
+    return run
+
+
+def _sets(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            found = [set_hashes(text, words, seed).tobytes() for text in batch["text"].to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.binary())], names=["node", "own"])
+
+    return run
+
+
+def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch["text_u"].to_pylist(), batch["text_v"].to_pylist()):
-                x, y = shingle_set(a, words), shingle_set(b, words)
-                keep.append(len(x & y) >= similarity * len(x | y))
+            for i in range(batch.num_rows):
+                x, y = _read(batch, i, "own_u"), _read(batch, i, "own_v")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, wide: int = 14, both: int = 34, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): groups of documents that links of the similarity join."""
-    marked = cut_lineage(fingerprints(docs, "doc_id", "text", words, seed, second=True))
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("size", "second"), "doc_id").alias("own")).select("fp", "least", "own.*"))
-    groups = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = cut_lineage(nodes.join(groups, "fp", "left").select("fp", "least", "size", "second", F.coalesce("component", "fp").alias("grp")))
-    # pairs of different groups whose sets are alike enough in size to be that similar
-    pairs = cut_lineage(tile_pairs(placed, wide, ("fp", "grp", "size", "second")).mapInArrow(_open_pairs(wide, both, similarity), "u long, v long, group_u long, group_v long"))
-    named = pairs
+def _verified(docs: DataFrame, placed: DataFrame, pairs: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """(u, v): the groups of those pairs whose shingle sets are that similar."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = wanted.join(placed.select("node", F.col("least").alias("doc_id")), "node").select("doc_id").distinct()
+    bodies = texts(docs, "doc_id").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(words, seed), "node long, own binary")
+    bodies = cut_lineage(bodies.dropDuplicates(["node"]))
+    full = pairs
     for side in "uv":
-        named = named.join(placed.select(F.col("fp").alias(side), F.col("least").alias(f"doc_{side}")), side)
-    wanted = named.select(F.explode(F.array("doc_u", "doc_v")).alias("doc_id")).distinct()
-    bodies = cut_lineage(texts(docs, "doc_id").join(wanted, "doc_id").select("doc_id", "text"))
-    full = named.join(bodies.select(F.col("doc_id").alias("doc_u"), F.col("text").alias("text_u")), "doc_u").join(bodies.select(F.col("doc_id").alias("doc_v"), F.col("text").alias("text_v")), "doc_v")
-    verified = full.select(F.col("group_u").alias("u"), F.col("group_v").alias("v"), "text_u", "text_v").mapInArrow(_alike(words, similarity), "u long, v long").distinct()
-    joined = connected_components(verified).select(F.col("node").alias("grp"), "component")
-    final = placed.join(joined, "grp", "left").select("fp", "least", F.coalesce("component", "grp").alias("component"))
-    names = final.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(final.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+        full = full.join(bodies.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}")), side)
+    return full.select(F.col("group_u").alias("u"), F.col("group_v").alias("v"), "own_u", "own_v").mapInArrow(_alike(similarity), "u long, v long").distinct()
+
+
+#: Bits of 128 for spanning forests of candidates, before all pairs of different groups are compared.
+NEAREST = (12, 24)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, wide: int = 14, both: int = 34, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): groups of documents that links of the similarity join."""
+    prepare(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = cut_lineage(texts(docs, "doc_id").mapInArrow(_sketches(words, seed), f"doc_id {kind}, node long, fp long, second long, size long"))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("size").alias("size"))
+    placed = cut_lineage(nodes.withColumn("grp", F.col("node")))
+    columns = ("fp", "grp", "size", "second", "node")
+    for reach in (*NEAREST, both):
+        open_pairs = _open_pairs(min(reach, wide), reach, similarity, "node", spanning=reach < both)
+        pairs = cut_lineage(tile_pairs(placed, wide, columns, similarity).mapInArrow(open_pairs, "u long, v long, group_u long, group_v long"))
+        joined = connected_components(_verified(docs, placed, pairs, similarity, words, seed)).select(F.col("node").alias("grp"), "component")
+        placed = cut_lineage(placed.join(joined, "grp", "left").select("node", "least", "fp", "second", "size", F.coalesce("component", "grp").alias("grp")))
+    names = placed.groupBy("grp").agg(F.min("least").alias("component_id"))
+    return marked.join(placed.join(names, "grp").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:

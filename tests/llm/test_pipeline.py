@@ -70,3 +70,31 @@ def test_filters_keep_rows_whole(spark):
     assert sorted(map(str, clean.collect())) == sorted(map(str, frame.collect())) and clean.columns == frame.columns
     assert decontaminate.drop_contaminated(frame, spark.createDataFrame([], "item_id long, text string")).count() == len(AWKWARD)
     assert clean.where(F.col("doc_id") == 99).count() == 0
+
+
+def grouped(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs(spark, rows)).collect()}
+
+
+def test_texts_that_share_only_a_repeated_passage_both_stay(spark):
+    """Fingerprints over repeats would be ruled by the passage; the sets are alike to about 0.07."""
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = []
+    for g in range(12):
+        passage = text(41)
+        rows += [(g * 10 + c, " ".join([passage] * 60) + " " + text(300)) for c in range(2)]
+    assert grouped(spark, rows) == {i: i for i, _ in rows}
+
+
+def test_near_fingerprints_link_only_verified_pairs(spark, monkeypatch):
+    """Even if every fingerprint is the same, only pairs of the similarity are linked."""
+    monkeypatch.setattr(simhash_dedup, "NEAREST", (128,))
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = []
+    for g in range(6):
+        base = text(60).split()
+        rows += [(g * 10, " ".join(base)), (g * 10 + 1, " ".join([*base[:-1], "end"]))]
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs(spark, rows), wide=64, both=129).collect()}
+    assert found == {i: i // 10 * 10 for i, _ in rows}
