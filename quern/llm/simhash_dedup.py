@@ -8,12 +8,12 @@ links instead of all of them, so that a large group of near copies costs its siz
 groups are what stars over these links reach.
 
 `similar_documents` goes by the exact Jaccard similarity of shingle sets alone. Documents of equal sets are
-one node, with a fingerprint of 128 bits over its shingles. Pairs whose
+one node, with a fingerprint of 128 bits over its distinct shingles, as the similarity counts them. Pairs whose
 sizes allow the similarity and whose fingerprints are near are candidates, and only a verified candidate is a
 link. First come spanning forests of the nearest candidates, so that a large group of near copies costs its
 size; then all candidates of nodes that are not in one group yet. At similarity s, fingerprints differ in
-about 128·acos(2s/(1+s))/pi bits: 19 at 0.8, with a deviation of 4, where 34 are allowed; in the first
-64 bits 10, with a deviation of 3, where 14 are.
+about 128·acos(2s/(1+s))/pi bits: 19 at 0.8, with a deviation of 4, where 38 are allowed; in the first
+64 bits 10, with a deviation of 3, where 22 are.
 
 In `near_duplicates` nothing is lost or capped: equal fingerprints are one node, and every pair of tiles that may hold a
 link is compared.
@@ -292,9 +292,8 @@ def _sketches(words: int, seed: int):
         for batch in batches:
             found = []
             for text in batch["text"].to_pylist():
-                every = hashes_of(text, words, seed)
-                hashes = np.unique(every)
-                found.append((xxhash.xxh64_intdigest(hashes.tobytes()), majority(every), majority(remixed(every)), len(hashes)))
+                hashes = set_hashes(text, words, seed)
+                found.append((xxhash.xxh64_intdigest(hashes.tobytes()), majority(hashes), majority(remixed(hashes)), len(hashes)))
             rows = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *rows], names=["doc_id", "node", "fp", "second", "size"])
 
@@ -342,7 +341,7 @@ def _verified(docs: DataFrame, placed: DataFrame, pairs: DataFrame, similarity:
 NEAREST = (12, 24)
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, wide: int = 14, both: int = 34, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, wide: int = 22, both: int = 38, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): groups of documents that links of the similarity join."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -98,3 +98,51 @@ def test_near_fingerprints_link_only_verified_pairs(spark, monkeypatch):
         rows += [(g * 10, " ".join(base)), (g * 10 + 1, " ".join([*base[:-1], "end"]))]
     found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs(spark, rows), wide=64, both=129).collect()}
     assert found == {i: i // 10 * 10 for i, _ in rows}
+
+
+def test_a_repeated_line_does_not_hide_a_near_copy(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = []
+    for g in range(12):
+        body, line = text(300), text(40)
+        rows += [(g * 10, f"{body} {line}"), (g * 10 + 1, body + f" {line}" * 60)]
+    assert grouped(spark, rows) == {i: i // 10 * 10 for i, _ in rows}
+
+
+def test_pairs_just_at_the_similarity_are_those_of_brute_force(spark):
+    """300 pairs of similarity 0.8 to 0.82, each of other words, and as many of 0.78 to 0.8."""
+    rng = random.Random(7)
+    text = lambda n: ["".join(rng.choices("abcdefgh", k=8)) for _ in range(n)]
+    rows, want = [], {}
+    for g in range(600):
+        low, high = (0.8, 0.82) if g < 300 else (0.78, 0.7999)
+        while True:
+            base = text(rng.randint(60, 200))
+            n = round(len(base) * rng.uniform(0.08, 0.14))
+            other = text(n) + base[n:] if g % 2 else base + text(2 * n)
+            x, y = (simhash_dedup.shingle_set(" ".join(t), 5) for t in (base, other))
+            if low <= len(x & y) / len(x | y) <= high:
+                break
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if g < 300 else 2 * g + 1}
+    assert grouped(spark, rows) == want
+
+
+def test_a_group_of_near_copies_falls_apart_as_by_brute_force(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.choice((1, 4, 6, 9))):
+            words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [simhash_dedup.shingle_set(t, 5) for _, t in rows]
+    alike = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, j in alike:
+            label[i] = min(label[i], label[j])
+    found = grouped(spark, rows)
+    assert [found[i] for i in range(len(rows))] == label and 2 < len(set(label)) < 120
