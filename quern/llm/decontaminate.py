@@ -1,7 +1,8 @@
 """Benchmark items within documents, by SimHash over windows of the items' sizes.
 
 Words are lower-case runs of letters, digits and underscores; shingles are WORDS of them (a shorter
-item is one shingle). Over each document slide windows that have as many shingles as an item. A window
+item is one shingle). Over each document slide windows that have as many shingles as an item; a document
+of fewer shingles, but enough to reach the similarity, is one window as a whole. A window
 is fingerprinted if enough of its shingles are shingles of items of its size: fewer cannot reach the
 similarity with any. Fingerprints meet in an index of four blocks of 16 bits: two that differ in at most RADIUS
 bits differ in at most a quarter as many in some block, and the index holds every item under all block
@@ -55,9 +56,9 @@ def window_fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np
     return np.packbits((sums[starts + size] - sums[starts]) * 2 > size, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def least_shared(size: int, similarity: float) -> int:
-    """Shingles that two bags of ``size`` share at least if they are that similar."""
-    return int(np.ceil(2 * similarity / (1 + similarity) * size - 1e-9))
+def least_shared(size: int, similarity: float, other: int | None = None) -> int:
+    """Shingles that two bags of ``size``, or of ``size`` and ``other``, share at least if they are that similar."""
+    return int(np.ceil(similarity / (1 + similarity) * (size + (size if other is None else other)) - 1e-9))
 
 
 class Items:
@@ -65,6 +66,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float) -> None:
         self.number: dict[str, int] = {}
+        self.similarity = similarity
         self.found = []
         sizes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in rows:
@@ -105,7 +107,13 @@ class Items:
             of_size = members[at[places]]
             for (size, least), mine in zip(sizes, of_size.T):
                 if size > len(own):
-                    break
+                    # all of a document that is shorter than the item
+                    if len(own) < self.similarity * size - 1e-9:
+                        break
+                    if mine.sum() >= least_shared(size, self.similarity, len(own)):
+                        hashes = shingle_hashes(words, n)
+                        yield n, size, 0, window_fingerprints(hashes, np.array([0]), len(hashes))[0], hashes
+                    continue
                 if mine.sum() < least:
                     continue
                 hit = np.zeros(len(own), np.int64)
@@ -183,15 +191,16 @@ def _contaminated(docs: DataFrame, items: Items, similarity: float, radius: int)
     seen = cut_lineage(seen.withColumn("window", F.sha2(F.concat_ws(",", F.col("shingles").cast("array<string>")), 256)))
     own = spark.createDataFrame(items.found, "item_id long, n long, size long, fp long, own array<long>").withColumnRenamed("fp", "item_fp")
     index = own.select("item_id", "n", "size", F.explode(block_values("item_fp", radius // 4)).alias("at")).select("item_id", "n", "size", "at.block", "at.value")
-    distinct = seen.groupBy("window", "n", "size", "fp").agg(F.first("shingles").alias("shingles"))
-    probes = distinct.select("window", "n", "size", "fp", F.explode(block_values("fp", 0)).alias("at")).select("window", "n", "size", "fp", "at.block", "at.value")
+    # a whole document may be a window for items of several sizes
+    distinct = seen.groupBy("window", "n", "fp").agg(F.first("shingles").alias("shingles"), F.collect_set("size").alias("sizes"))
+    probes = distinct.select("window", "n", F.explode("sizes").alias("size"), "fp").withColumn("at", F.explode(block_values("fp", 0))).select("window", "n", "size", "fp", "at.block", "at.value")
     candidates = probes.join(index, ["n", "size", "block", "value"]).select("window", "item_id", "fp").distinct()
     near = candidates.join(own.select("item_id", "item_fp", "own").dropDuplicates(), "item_id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     full = near.join(distinct.select("window", "shingles"), "window").select("window", "item_id", "shingles", "own")
     verified = full.mapInArrow(_verify, "window string, item_id long, similarity double").where(F.col("similarity") >= similarity)
     best = F.struct(F.col("similarity"), -F.col("start"))
-    hits = seen.select("doc_id", "n", "size", "start", "window").join(verified, "window")
-    grouped = hits.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start", best).alias("start_word"), F.max_by(F.col("size") + F.col("n") - 1, best).alias("n_words"))
+    hits = seen.select("doc_id", "start", (F.size("shingles") + F.col("n") - 1).alias("words"), "window").join(verified, "window")
+    grouped = hits.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start", best).alias("start_word"), F.max_by("words", best).alias("n_words"))
     return grouped.select("doc_id", "item_id", "similarity", "start_word", "n_words")
 
 

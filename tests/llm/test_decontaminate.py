@@ -87,3 +87,29 @@ def test_query_finds_all_passages_that_brute_force_finds(spark, sf):
     want = brute(read("documents"), read("benchmark"))
     got = {(r.doc_id, r.item_id): r.similarity for r in op1_decontamination(spark, sf).collect()}
     assert set(got) <= set(want) and {k for k, s in want.items() if s >= 0.9} <= set(got)
+
+
+def test_documents_shorter_than_the_item(spark):
+    """Whole documents that are an item less some words, against the similarity of all of their shingles."""
+    passages = [(i, text(60)) for i in range(12)] + [(50, text(20)), (51, text(64)), (52, text(7))]
+    rows = []
+    for i, p in passages:
+        words = p.split()
+        for cut in (1, 2, 4, 9, 14):
+            rows += [(len(rows), " ".join(words[:-cut])), (len(rows) + 1, " ".join(words[cut:]))]
+        rows.append((len(rows), " ".join(words[:30] + words[31:])))
+        rows.append((len(rows), " ".join(words[:8] + words[9:])))
+    rows += [(900, passages[50 - 38][1]), (901, "one two three"), (902, text(55))]
+    bag = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = dict(brute(rows, passages))
+    for doc_id, body in rows:
+        for item_id, item in passages:
+            own, wanted = bag(body.split()), bag(item.split())
+            if 0 < len(own) < len(wanted) and (alike := decontaminate.weighted_similarity(own, wanted)) >= 0.8:
+                want[doc_id, item_id] = alike
+    found = decontaminate.contaminated(docs(spark, rows), items(spark, passages)).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in found}
+    assert len(want) > 80 and set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert {k for k, s in want.items() if s >= 0.85} <= set(got) and len(got) >= 0.9 * len(want)
+    lengths = {i: len(t.split()) for i, t in rows}
+    assert all((r.start_word, r.n_words) == (0, lengths[r.doc_id]) for r in found)
