@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch hands to Python; long texts make a batch large, so the count is small.
-BATCH_ROWS = 1000
+#: Rows and bytes that one Arrow batch hands to Python, at most; one row may have more.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches of this session; the operators call it before they use Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

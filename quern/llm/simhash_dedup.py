@@ -8,12 +8,14 @@ links instead of all of them, so that a large group of near copies costs its siz
 groups are what stars over these links reach.
 
 `similar_documents` goes by the exact Jaccard similarity of shingle sets alone. Documents of equal sets are
-one node, with a fingerprint of 128 bits over its distinct shingles, as the similarity counts them. Pairs whose
-sizes allow the similarity and whose fingerprints are near are candidates, and only a verified candidate is a
-link. First come spanning forests of the nearest candidates, so that a large group of near copies costs its
-size; then all candidates of nodes that are not in one group yet. At similarity s, fingerprints differ in
-about 128·acos(2s/(1+s))/pi bits: 19 at 0.8, with a deviation of 4, where 38 are allowed; in the first
-64 bits 10, with a deviation of 3, where 22 are.
+one node, with four fingerprints of 64 bits over its distinct shingles, as the similarity counts them. Pairs
+whose sizes allow the similarity and whose fingerprints are near are candidates, and only a verified candidate
+is a link. First each node is held against the hub of the nodes that its nearest candidates chain it to, the
+one with most of them: that settles a large group of near copies at the cost of its size. What is left are
+candidates of different groups. They are compared in pairs of blocks whose shingle sets fit in memory; a task
+gets each set once and gives a spanning forest of the links, so no pair of documents ever becomes a row. At
+similarity s, fingerprints differ in about 256·acos(2s/(1+s))/pi bits: 39 at 0.8, with a deviation of 6, where
+64 are allowed; in the first 64 bits 10, with a deviation of 3, where 22 are.
 
 In `near_duplicates` nothing is lost or capped: equal fingerprints are one node, and every pair of tiles that may hold a
 link is compared.
@@ -34,12 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut_lineage, prepare, texts
-from quern.llm.components import connected_components
+from quern.llm.components import Joined, connected_components
 
 #: Fingerprints of a tile: about a 24th of all, so that there are pairs enough to deal out, in bounds.
 LEAST_TILE, MOST_TILE, TILES = 2_048, 65_536, 24
-#: Rows of the left tile that are compared at once.
-ROWS = 128
+#: Rows of the left and of the right tile that are compared at once.
+ROWS, STRIDE = 128, 16_384
+#: Nodes and shingles of a block whose sets are held in memory, at most (or one node).
+BLOCK_NODES, BLOCK_SHINGLES = 2_048, 2_000_000
+#: Nodes of a hub that one stretch of comparisons takes.
+HELD = 2_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -111,7 +117,7 @@ def _tiles(columns: tuple[str, ...], by_size: bool):
             return
         own = {c: np.concatenate([np.asarray(b[c]) for b in batches]).astype(np.int64) for c in columns}
         counts = own["size"][:, None] if by_size else lanes(own["fp"].view(np.uint64))
-        order = np.lexsort(counts.T[::-1])
+        order = np.lexsort((own["fp"], *counts.T[::-1]))
         rows = [TaskContext.get().partitionId(), counts.min(0).tolist(), counts.max(0).tolist(), *(own[c][order].tobytes() for c in columns)]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * len(columns)]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds)], names=["tile", "low", "high", *columns])
@@ -148,13 +154,12 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     """Links that join the same fingerprints as all pairs within the radius between two tiles do, or within
     one tile if b is None."""
     nodes, base = (a, 0) if b is None else (np.concatenate([a, b]), len(a))
-    label = np.arange(len(nodes))
+    joined = Joined(len(nodes))
     for low, at, apart in near_blocks(a, b, radius):
         close = apart <= radius
         for row in np.flatnonzero(close.any(1)):
-            met = np.unique(label[np.r_[low + row, base + at[close[row]]]])
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
+            joined.join(np.r_[low + row, base + at[close[row]]])
+    label = joined.roots()
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 
@@ -175,58 +180,93 @@ def _links(radius: int):
     return run
 
 
-def _spanning(x: np.ndarray, y: np.ndarray, group_x: np.ndarray, group_y: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which of the pairs, ordered by x, join groups that those before have not joined; label is kept up."""
-    chosen = []
-    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    for low, high in zip(starts, np.r_[starts[1:], len(x)]):
-        met, at = np.unique(label[group_y[low:high]], return_index=True)
-        own = label[group_x[low]]
-        met, at = met[met != own], at[met != own]
-        if len(met):
-            chosen.append(low + at)
-            label[np.isin(label, met)] = own
-    return np.concatenate(chosen) if chosen else np.array([], np.int64)
+#: Fingerprints of a node; ``fp`` comes first and is what tiles are ordered by after the size.
+MARKS = ("fp", "second", "third", "fourth")
 
 
-def _open_pairs(wide: int, both: int, similarity: float, key: str = "fp", spanning: bool = False):
-    """Pairs of different groups that lie within wide, and with the second fingerprint within both, and whose
-    sizes allow the similarity; ``spanning``: of each pair of tiles only those that join groups."""
-    columns = tuple(dict.fromkeys(("fp", "grp", "size", "second", key)))
+def blocks_of(sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the blocks that a tile's nodes, in order of size, are cut into."""
+    row, shingles = np.arange(len(sizes)) // BLOCK_NODES, np.cumsum(sizes) // BLOCK_SHINGLES
+    return np.cumsum(np.r_[False, (row[1:] != row[:-1]) | (shingles[1:] != shingles[:-1])])
 
-    def side(batch: pa.RecordBatch, row: int, name: str) -> dict[str, np.ndarray]:
-        own = {c: _read(batch, row, f"{c}_{name}") for c in columns}
-        order = np.argsort(own["size"], kind="stable")
-        return {c: v[order] for c, v in own.items()} | {c: v[order].view(np.uint64) for c, v in own.items() if c in ("fp", "second")}
+
+def _side(batch: pa.RecordBatch, row: int, name: str, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    own = {c: _read(batch, row, f"{c}_{name}", np.uint64 if c in MARKS else np.int64) for c in columns}
+    return own | {"block": blocks_of(own["size"])}
+
+
+def candidates(a: dict, b: dict | None, wide: int, both: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of two tiles, or of one with itself if b is None, that are near in their first and in all fingerprints
+    and whose sizes allow the similarity; each pair once."""
+    other = a if b is None else b
+    for low in range(0, len(a["fp"]), ROWS):
+        high = min(low + ROWS, len(a["fp"]))
+        first, last = np.searchsorted(other["size"], [np.floor(similarity * a["size"][low]), np.ceil(a["size"][high - 1] / similarity) + 1])
+        for start in range(max(first, low) if b is None else first, last, STRIDE):
+            stop = min(start + STRIDE, last)
+            apart = np.bitwise_count(a["fp"][low:high, None] ^ other["fp"][None, start:stop])
+            x, y = np.nonzero(apart <= wide)
+            total = apart[x, y].astype(np.int64)
+            x, y = x + low, y + start
+            for mark in MARKS[1:]:
+                total += np.bitwise_count(a[mark][x] ^ other[mark][y])
+            keep = (total <= both) & (np.minimum(a["size"][x], other["size"][y]) >= similarity * np.maximum(a["size"][x], other["size"][y]))
+            if b is None:
+                keep &= x < y
+            if keep.any():
+                yield x[keep], y[keep]
+
+
+def _chained(wide: int, both: int, similarity: float):
+    """(node, root, met): a spanning forest of the candidates of two tiles, and how many each node has."""
+    columns = (*MARKS, "size", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                same = batch["a"][i] == batch["b"][i]
-                a = side(batch, i, "a")
-                b = a if same else side(batch, i, "b")
-                numbers = np.unique(np.concatenate([a["grp"], b["grp"]]))
-                label = np.arange(len(numbers))
-                for low in range(0, len(a["fp"]), ROWS):
-                    high = min(low + ROWS, len(a["fp"]))
-                    start, stop = np.searchsorted(b["size"], [np.floor(similarity * a["size"][low]), np.ceil(a["size"][high - 1] / similarity) + 1])
-                    start = max(start, low) if same else start
-                    if start >= stop:
-                        continue
-                    apart = np.bitwise_count(a["fp"][low:high, None] ^ b["fp"][None, start:stop])
-                    x, y = np.nonzero(apart <= wide)
-                    first = apart[x, y].astype(np.int64)
-                    x, y = x + low, y + start
-                    keep = first + np.bitwise_count(a["second"][x] ^ b["second"][y]) <= both
-                    keep &= (a["grp"][x] != b["grp"][y]) & (np.minimum(a["size"][x], b["size"][y]) >= similarity * np.maximum(a["size"][x], b["size"][y]))
-                    if same:
-                        keep &= x < y
+                a = _side(batch, i, "a", columns)
+                b = None if batch["a"][i] == batch["b"][i] else _side(batch, i, "b", columns)
+                nodes = a["node"] if b is None else np.concatenate([a["node"], b["node"]])
+                base = 0 if b is None else len(a["node"])
+                joined, met = Joined(len(nodes)), np.zeros(len(nodes), np.int64)
+                for x, y in candidates(a, b, wide, both, similarity):
+                    y = y + base
+                    met += np.bincount(x, minlength=len(nodes)) + np.bincount(y, minlength=len(nodes))
+                    joined.pairs(x, y)
+                some = np.flatnonzero(met)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[joined.roots()[some]]), pa.array(met[some])], names=["node", "root", "met"])
+
+    return run
+
+
+def _open_blocks(wide: int, both: int, similarity: float):
+    """(u, v, node, …): each block of one tile and each of the other that hold candidates of different groups, with
+    the nodes that have them."""
+    columns = (*MARKS, "size", "node", "grp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a = _side(batch, i, "a", columns)
+                b = None if batch["a"][i] == batch["b"][i] else _side(batch, i, "b", columns)
+                other = a if b is None else b
+                wide_a, wide_b = int(a["block"].max()) + 1, int(other["block"].max()) + 1
+                left, right = np.array([], np.int64), np.array([], np.int64)
+                for x, y in candidates(a, b, wide, both, similarity):
+                    keep = a["grp"][x] != other["grp"][y]
                     x, y = x[keep], y[keep]
-                    if spanning and len(x):
-                        chosen = _spanning(x, y, np.searchsorted(numbers, a["grp"][x]), np.searchsorted(numbers, b["grp"][y]), label)
-                        x, y = x[chosen], y[chosen]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (a[key][x], b[key][y], a["grp"][x], b["grp"][y])], names=["u", "v", "group_u", "group_v"])
+                    left = np.union1d(left, x * wide_b + other["block"][y])
+                    right = np.union1d(right, y * wide_a + a["block"][x])
+                if b is None:  # within one block, a node may be on either side
+                    right = np.setdiff1d(right, left)
+                number = [batch["a"][i].as_py() << 20, batch["b"][i].as_py() << 20]
+                for side, rows, far, swap in ((a, left // wide_b, left % wide_b, False), (other, right // wide_a, right % wide_a, True)):
+                    u, v = (far, side["block"][rows]) if swap else (side["block"][rows], far)
+                    for low in range(0, len(rows), 5_000):
+                        some = slice(low, low + 5_000)
+                        values = [u[some] + number[0], v[some] + number[1], *(side[c][rows[some]].view(np.int64) for c in columns)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["u", "v", *columns])
 
     return run
 
@@ -238,7 +278,7 @@ def tile_pairs(found: DataFrame, reach: int, columns: tuple[str, ...] = ("fp",),
     spark = found.sparkSession
     rows = found.count()
     size = min(MOST_TILE, max(LEAST_TILE, rows // TILES))
-    by = ["size", "fp"] if similarity else [*(lane(i) for i in range(4)), "fp"]
+    by = ["size", *MARKS] if similarity else [*(lane(i) for i in range(4)), "fp"]
     ordered = found.select(*columns).repartitionByRange(max(1, -(-rows // size)), *by)
     tiles = cut_lineage(ordered.mapInArrow(_tiles(columns, similarity > 0), "tile long, low array<long>, high array<long>, " + ", ".join(f"{c} binary" for c in columns)))
     last = tiles.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0]
@@ -292,10 +332,14 @@ def _sketches(words: int, seed: int):
         for batch in batches:
             found = []
             for text in batch["text"].to_pylist():
-                hashes = set_hashes(text, words, seed)
-                found.append((xxhash.xxh64_intdigest(hashes.tobytes()), majority(hashes), majority(remixed(hashes)), len(hashes)))
-            rows = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *rows], names=["doc_id", "node", "fp", "second", "size"])
+                hashes = mixed = set_hashes(text, words, seed)
+                row = [xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)]
+                for _ in MARKS:
+                    row.append(majority(mixed))
+                    mixed = remixed(mixed)
+                found.append(row)
+            columns = np.array(found, np.uint64).reshape(len(found), 2 + len(MARKS)).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "node", "size", *MARKS])
 
     return run
 
@@ -312,48 +356,123 @@ def _sets(words: int, seed: int):
     return run
 
 
-def _alike(similarity: float):
+def _with_sets(docs: DataFrame, nodes: DataFrame, placed: DataFrame, words: int, seed: int) -> DataFrame:
+    """``nodes`` (column node, repeats allowed) with the shingle set of each as ``own``."""
+    wanted = nodes.select("node").distinct().join(placed.select("node", F.col("least").alias("doc_id")), "node").select("doc_id").distinct()
+    bodies = texts(docs, "doc_id").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(words, seed), "node long, own binary")
+    return nodes.join(bodies.groupBy("node").agg(F.first("own").alias("own")), "node")
+
+
+def shared_counts(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, nodes: int) -> np.ndarray:
+    """How many of the shingles numbered x each node has, by the lists of nodes of each shingle."""
+    sizes = ends[x] - starts[x]
+    ends_at = np.cumsum(sizes)
+    if not len(x) or not ends_at[-1]:
+        return np.zeros(nodes, np.int64)
+    places = np.arange(ends_at[-1]) + np.repeat(starts[x] - (ends_at - sizes), sizes)
+    return np.bincount(owners[places], minlength=nodes)
+
+
+def linked_groups(own: dict, sets: list[np.ndarray], wide: int, both: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of one block pair's nodes and their roots: a spanning forest of the candidates that are that similar."""
+    names, group = np.unique(own["grp"], return_inverse=True)
+    joined = Joined(len(names))
+    sizes = np.array([len(s) for s in sets])
+    # shingles that at least two nodes have, by number, and who has them
+    shingles, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(number, kind="stable")
+    ends = np.cumsum(np.bincount(number, minlength=len(shingles)))
+    starts = np.r_[0, ends[:-1]]
+    at = np.r_[0, np.cumsum(sizes)]
+    owners = owner[order]
+    for x in range(len(sets) - 1):
+        later = np.arange(x + 1, len(sets))
+        apart = np.bitwise_count(own["fp"][x] ^ own["fp"][later])
+        later = later[(apart <= wide) & (own["size"][later] >= similarity * own["size"][x]) & (similarity * own["size"][later] <= own["size"][x])]
+        total = sum(np.bitwise_count(own[m][x] ^ own[m][later]).astype(np.int64) for m in MARKS)
+        later = later[(total <= both) & (joined.find(group[later]) != joined.find(group[x : x + 1]))]
+        if not len(later):
+            continue
+        mine = number[at[x] : at[x + 1]]
+        if len(later) < 8:
+            shared = np.array([len(np.intersect1d(mine, number[at[y] : at[y + 1]], assume_unique=True)) for y in later])
+        else:
+            shared = shared_counts(mine, starts, ends, owners, len(sets))[later]
+        near = later[shared >= similarity * (sizes[x] + sizes[later] - shared)]
+        if len(near):
+            joined.join(np.r_[group[x], group[near]])
+    root = joined.roots()
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _linked(wide: int, both: int, similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        found = table.combine_chunks().sort_by("node")
+        node = found["node"].to_numpy()
+        found = found.filter(pa.array(np.r_[True, node[1:] != node[:-1]]))
+        own = {c: found[c].to_numpy().view(np.uint64) if c in MARKS else found[c].to_numpy() for c in (*MARKS, "size", "grp")}
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in found["own"]]
+        u, v = linked_groups(own, sets, wide, both, similarity)
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    return run
+
+
+def _like_hub(similarity: float):
+    """(node, hub) of the rows that are that similar to their hub's, which comes first of its rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.array([], np.uint64)
         for batch in batches:
             keep = []
-            for i in range(batch.num_rows):
-                x, y = _read(batch, i, "own_u"), _read(batch, i, "own_v")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for hub, part, node, own in zip(*(batch[c] for c in ("hub", "part", "node", "own"))):
+                now, own = (hub.as_py(), part.as_py()), np.frombuffer(own.as_buffer(), np.uint64)
+                if node == hub:
+                    at, held = now, own
+                shared = len(np.intersect1d(held, own, assume_unique=True)) if at == now and node != hub else -1
+                keep.append(shared >= similarity * (len(held) + len(own) - shared) and shared >= 0)
+            yield batch.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(docs: DataFrame, placed: DataFrame, pairs: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """(u, v): the groups of those pairs whose shingle sets are that similar."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = wanted.join(placed.select("node", F.col("least").alias("doc_id")), "node").select("doc_id").distinct()
-    bodies = texts(docs, "doc_id").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(words, seed), "node long, own binary")
-    bodies = cut_lineage(bodies.dropDuplicates(["node"]))
-    full = pairs
-    for side in "uv":
-        full = full.join(bodies.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}")), side)
-    return full.select(F.col("group_u").alias("u"), F.col("group_v").alias("v"), "own_u", "own_v").mapInArrow(_alike(similarity), "u long, v long").distinct()
+def settled(docs: DataFrame, placed: DataFrame, wide: int, near: int, similarity: float, words: int, seed: int) -> DataFrame:
+    """(node, hub) of the nodes that are similar to the hub of the nodes which near candidates chain them to."""
+    found = cut_lineage(tile_pairs(placed, wide, (*MARKS, "size", "node"), similarity).mapInArrow(_chained(wide, near, similarity), "node long, root long, met long"))
+    chained = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    counted = chained.join(found.groupBy("node").agg(F.sum("met").alias("met")), "node")
+    hubs = counted.groupBy("component").agg(F.max_by("node", F.struct("met", "node")).alias("hub"), F.count("*").alias("nodes"))
+    parts = F.ceil(F.col("nodes") / HELD).cast("long")
+    members = chained.join(hubs, "component").where("node <> hub").select("hub", F.pmod(F.xxhash64("node"), parts).alias("part"), "node")
+    heads = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("hub").alias("node"))
+    full = _with_sets(docs, cut_lineage(members.unionByName(heads)), placed, words, seed)
+    ordered = full.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
+    return ordered.mapInArrow(_like_hub(similarity), "node long, hub long")
 
 
-#: Bits of 128 for spanning forests of candidates, before all pairs of different groups are compared.
-NEAREST = (12, 24)
+#: Bits of 256 within which candidates are near enough to look for a hub.
+NEAREST = 44
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, wide: int = 22, both: int = 38, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, wide: int = 22, both: int = 64, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): groups of documents that links of the similarity join."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = cut_lineage(texts(docs, "doc_id").mapInArrow(_sketches(words, seed), f"doc_id {kind}, node long, fp long, second long, size long"))
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("size").alias("size"))
-    placed = cut_lineage(nodes.withColumn("grp", F.col("node")))
-    columns = ("fp", "grp", "size", "second", "node")
-    for reach in (*NEAREST, both):
-        open_pairs = _open_pairs(min(reach, wide), reach, similarity, "node", spanning=reach < both)
-        pairs = cut_lineage(tile_pairs(placed, wide, columns, similarity).mapInArrow(open_pairs, "u long, v long, group_u long, group_v long"))
-        joined = connected_components(_verified(docs, placed, pairs, similarity, words, seed)).select(F.col("node").alias("grp"), "component")
-        placed = cut_lineage(placed.join(joined, "grp", "left").select("node", "least", "fp", "second", "size", F.coalesce("component", "grp").alias("grp")))
+    schema = f"doc_id {kind}, node long, size long, " + ", ".join(f"{m} long" for m in MARKS)
+    marked = cut_lineage(texts(docs, "doc_id").mapInArrow(_sketches(words, seed), schema))
+    # equal sets have equal sizes and fingerprints
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("size", *MARKS)))
+    nodes = cut_lineage(nodes)
+    hubs = cut_lineage(settled(docs, nodes, wide, min(NEAREST, both), similarity, words, seed))
+    placed = cut_lineage(nodes.join(hubs, "node", "left").withColumn("grp", F.coalesce("hub", "node")).drop("hub"))
+    columns = (*MARKS, "size", "node", "grp")
+    blocks = tile_pairs(placed, wide, columns, similarity).mapInArrow(_open_blocks(wide, both, similarity), ", ".join(f"{c} long" for c in ("u", "v", *columns)))
+    full = _with_sets(docs, cut_lineage(blocks), placed, words, seed)
+    linked = full.groupBy("u", "v").applyInArrow(_linked(wide, both, similarity), "u long, v long")
+    joined = connected_components(linked).select(F.col("node").alias("grp"), "component")
+    placed = cut_lineage(placed.join(joined, "grp", "left").select("node", "least", F.coalesce("component", "grp").alias("grp")))
     names = placed.groupBy("grp").agg(F.min("least").alias("component_id"))
     return marked.join(placed.join(names, "grp").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 

@@ -89,14 +89,14 @@ def test_texts_that_share_only_a_repeated_passage_both_stay(spark):
 
 def test_near_fingerprints_link_only_verified_pairs(spark, monkeypatch):
     """Even if every fingerprint is the same, only pairs of the similarity are linked."""
-    monkeypatch.setattr(simhash_dedup, "NEAREST", (128,))
+    monkeypatch.setattr(simhash_dedup, "NEAREST", 256)
     rng = random.Random(4)
     text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
     rows = []
     for g in range(6):
         base = text(60).split()
         rows += [(g * 10, " ".join(base)), (g * 10 + 1, " ".join([*base[:-1], "end"]))]
-    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs(spark, rows), wide=64, both=129).collect()}
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs(spark, rows), wide=64, both=256).collect()}
     assert found == {i: i // 10 * 10 for i, _ in rows}
 
 
@@ -146,3 +146,59 @@ def test_a_group_of_near_copies_falls_apart_as_by_brute_force(spark):
             label[i] = min(label[i], label[j])
     found = grouped(spark, rows)
     assert [found[i] for i in range(len(rows))] == label and 2 < len(set(label)) < 120
+
+
+def test_groups_are_those_of_all_pairs_of_the_documents(spark):
+    """Links by exact similarity between all documents of a whole table; at least 0.9 must be found, none added."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: simhash_dedup.shingle_set(t or "", 5) for i, t in rows}
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs(spark, rows)).collect()}
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    links = hits = 0
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            x, y = sets[i], sets[j]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                links, hits = links + 1, hits + (found[i] == found[j])
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    assert links > 50 and hits >= 0.98 * links
+    assert all(root(i) == root(found[i]) for i in ids)
+
+
+def test_a_large_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    """Copies of one base within the similarity of it but mostly not of each other, and many repeated rows."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
+    rows = [(0, " ".join(base))] + [(0, " ".join(base))] * 30
+    for i in range(1, 700):
+        words = list(base)
+        for at in rng.sample(range(0, 200, 10), 4):
+            words[at] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    compared = []
+    whole = simhash_dedup._with_sets
+    monkeypatch.setattr(simhash_dedup, "_with_sets", lambda docs, nodes, *more: compared.append(nodes.count()) or whole(docs, nodes, *more))
+    assert grouped(spark, rows) == dict.fromkeys(range(700), 0)
+    assert sum(compared) < 4 * 700
+
+
+def test_nulls_repeats_and_empty_tables_through_all_stages(spark, tmp_path):
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    rows = {
+        "documents": [(i, t, None, "s", None) for i, t in AWKWARD],
+        "labels": [(i, 1, 0) for i in range(12)] + [(None, None, None), (3, 1, 0), (4, None, 1)],
+        "benchmark": [(1, None), (None, "one two three four five six"), (2, "")],
+    }
+    for folder, some in (("full", rows), ("none", {"documents": [], "labels": [], "benchmark": []}), ("unlabelled", rows | {"labels": []})):
+        for name, kind in kinds.items():
+            spark.createDataFrame(some[name], kind).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{folder}").collect()
+        assert len(got) <= len(some["documents"])
+    assert {r.doc_id for r in got} <= {i for i, _ in AWKWARD}

@@ -65,19 +65,29 @@ def test_tiles_link_what_all_pairs_link(spark, seed, monkeypatch):
 
 
 def test_tiles_give_every_open_pair_once(spark, monkeypatch):
-    """Pairs within and across tiles against all pairs, with both fingerprints' limits."""
-    monkeypatch.setattr(simhash_dedup, "LEAST_TILE", 16)
+    """Blocks and nodes of the open pairs within and across tiles against all pairs, with all limits."""
+    for name, value in (("LEAST_TILE", 16), ("BLOCK_NODES", 5), ("STRIDE", 7), ("ROWS", 3)):
+        monkeypatch.setattr(simhash_dedup, name, value)
     rng = np.random.default_rng(2)
-    centres = rng.integers(0, 1 << 62, (20, 2))
+    centres = rng.integers(0, 1 << 62, (20, 4))
     flips = lambda: sum(1 << int(b) for b in rng.integers(0, 62, rng.integers(0, 12)))
-    rows = sorted({int(a) ^ flips(): (int(b) ^ flips(), int(rng.integers(50, 70)), int(rng.integers(0, 60))) for a, b in np.repeat(centres, 8, axis=0)}.items())
-    rows = [(fp, group, size, second) for fp, (second, size, group) in rows]
-    pairs = simhash_dedup.tile_pairs(spark.createDataFrame(rows, "fp long, grp long, size long, second long"), 14, ("fp", "grp", "size", "second"))
-    got = pairs.mapInArrow(simhash_dedup._open_pairs(14, 20, 0.8), "u long, v long, group_u long, group_v long").collect()
+    rows = [(i, *(int(x) ^ flips() for x in c), int(rng.integers(50, 70)), int(rng.integers(0, 60))) for i, c in enumerate(np.repeat(centres, 8, axis=0))]
+    columns = ("node", *simhash_dedup.MARKS, "size", "grp")
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns))
+    pairs = simhash_dedup.tile_pairs(frame, 14, (*simhash_dedup.MARKS, "size", "node", "grp"), 0.8)
+    schema = ", ".join(f"{c} long" for c in ("u", "v", *simhash_dedup.MARKS, "size", "node", "grp"))
+    got = [(r.u, r.v, r.node) for r in pairs.mapInArrow(simhash_dedup._open_blocks(14, 40, 0.8), schema).collect()]
+    assert len(got) == len(set(got))
     apart = lambda x, y: (x ^ y).bit_count()
-    want = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if apart(a[0], b[0]) <= 14 and apart(a[0], b[0]) + apart(a[3], b[3]) <= 20 and a[1] != b[1] and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])]
+    alike = lambda a, b: apart(a[1], b[1]) <= 14 and sum(map(apart, a[1:5], b[1:5])) <= 40 and min(a[5], b[5]) >= 0.8 * max(a[5], b[5])
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if alike(a, b) and a[6] != b[6]}
     assert len(want) > 50
-    assert sorted(tuple(sorted((r.u, r.v))) for r in got) == sorted(want)
+    together: dict = {}
+    for u, v, node in got:
+        together.setdefault((u, v), set()).add(node)
+    # each pair meets in some pair of blocks, and no node comes without a partner there
+    assert all(any({x, y} <= held for held in together.values()) for x, y in want)
+    assert all(any((min(x, y), max(x, y)) in want for y in held if y != x) for held in together.values() for x in held)
 
 
 def test_one_document_of_each_group_stays(spark):
@@ -93,3 +103,16 @@ def test_a_chain_is_one_component(spark):
     placed = {r.node: r.component for r in connected_components(edges).collect()}
     assert placed == {i: 0 for i in range(201)} | {300: 300, 301: 300}
     assert connected_components(edges.where("false")).collect() == []
+
+
+def test_joined_places():
+    rng = np.random.default_rng(1)
+    joined, pairs = simhash_dedup.Joined(300), rng.integers(0, 300, (150, 2))
+    joined.pairs(pairs[:100, 0], pairs[:100, 1])
+    for x, y in pairs[100:]:
+        joined.join(np.array([x, y]))
+    label = list(range(300))
+    for _ in range(300):
+        for x, y in pairs:
+            label[x] = label[y] = min(label[x], label[y])
+    assert joined.roots().tolist() == label
