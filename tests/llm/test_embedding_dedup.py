@@ -64,15 +64,58 @@ def test_query_is_that_of_brute_force(spark, sf):
     assert sorted((tuple(r) for r in op5_embedding_dedup(spark, sf).collect()), key=str) == brute(rows)
 
 
-def test_tree_nodes_cover_their_points_and_radii_fall():
+def tree_of(points):
+    order, nodes, radius = embedding_dedup.grow(points)
+    assert sorted(order) == list(range(len(points)))
+    return order, embedding_dedup.Tree(points[order], nodes, radius)
+
+
+def clustered():
     rng = np.random.default_rng(5)
-    points = embedding_dedup._unit(np.repeat(rng.normal(size=(30, 8)), 40, axis=0) + rng.normal(scale=0.02, size=(1200, 8)))
-    tree, order = embedding_dedup.grow(points, np.arange(len(points)), 0)
-    assert sorted(order) == list(range(len(points))) and tree.parts
-    stack = [tree]
-    while stack:
-        node = stack.pop()
-        assert np.linalg.norm(points[order[node.start : node.end]] - node.centre, axis=1).max() <= node.radius + 1e-12
-        assert not node.parts or (node.parts[0].start, node.parts[-1].end) == (node.start, node.end)
-        assert all(p.radius <= node.radius for p in node.parts)
-        stack += node.parts
+    return embedding_dedup._unit(np.repeat(rng.normal(size=(30, 8)), 40, axis=0) + rng.normal(scale=0.02, size=(1200, 8)))
+
+
+def test_nets_nest_cover_and_separate():
+    for points in (clustered(), embedding_dedup._unit(np.random.default_rng(1).normal(size=(600, 64)))):
+        _, tree = tree_of(points)
+        away = lambda x, y: np.linalg.norm(tree.unit[x] - tree.unit[y], axis=-1)
+        assert tree.last[0] > 0
+        for node in range(len(tree.start)):
+            own = np.arange(tree.start[node], tree.end[node])
+            assert away(own, tree.centre[node]).max() <= tree.radius[node] + 1e-12
+            parts = np.arange(tree.first[node], tree.last[node])
+            if len(parts):
+                assert (tree.start[parts[0]], tree.end[parts[-1]]) == (tree.start[node], tree.end[node]) and (tree.end[parts[:-1]] == tree.start[parts[1:]]).all()
+                assert tree.centre[node] in tree.centre[parts] and (tree.radius[parts] <= tree.radius[node] / 2 + 1e-4).all()
+                assert all(away(tree.centre[parts], tree.centre[p])[parts != p].min(initial=9) > tree.radius[node] / 2 - 1e-4 for p in parts)
+            else:
+                assert len(own) <= embedding_dedup.LEAF or tree.radius[node] <= embedding_dedup.POINT
+
+
+def test_traversal_gives_the_links_of_all_pairs_and_prunes_clusters():
+    for points, share in ((clustered(), 0.1), (embedding_dedup._unit(np.random.default_rng(1).normal(size=(1200, 64))), 0.7)):
+        copies = np.random.default_rng(2).integers(1, 4, len(points))
+        close = points @ points.T >= 0.95
+        np.fill_diagonal(close, False)
+        order, tree = tree_of(points)
+        linked, _, joined, compared = embedding_dedup.traverse(tree, None, copies[order], None, 0.95)
+        assert (linked == (close @ copies)[order]).all() and compared <= share * len(points) ** 2
+        groups = joined.roots()
+        assert (groups[:, None] == groups[None, :])[close[np.ix_(order, order)]].all()
+        half = len(points) // 2
+        (left, a), (right, b) = tree_of(points[:half]), tree_of(points[half:])
+        linked_a, linked_b, _, compared = embedding_dedup.traverse(a, b, copies[:half][left], copies[half:][right], 0.95)
+        assert (linked_a == (close[:half, half:] @ copies[half:])[left]).all() and (linked_b == (close[half:, :half] @ copies[:half])[right]).all()
+
+
+def test_upper_nets_prune_far_leaves_only():
+    rng = np.random.default_rng(3)
+    sample = embedding_dedup._unit(np.repeat(rng.normal(size=(12, 16)), 20, axis=0) + rng.normal(scale=0.05, size=(240, 16)))
+    centres, parents = embedding_dedup.upper_nets(sample, 40)
+    assert len(parents) > 1 and (parents[0] == 0).all() and all(set(up) <= set(down) for up, down in zip(parents, parents[1:]))
+    assert all(len(set(up[down == n])) == 1 for up, down in zip(parents, parents[1:]) for n in down)  # chains
+    nearest = (sample @ centres.T).argmax(1)
+    radii = np.array([np.linalg.norm(sample[nearest == i] - c, axis=1).max(initial=0) for i, c in enumerate(centres)])
+    kept = set(embedding_dedup.surviving_leaves(centres, parents, radii, 0.3))
+    want = {(min(nearest[i], nearest[j]), max(nearest[i], nearest[j])) for i, j in zip(*np.nonzero(np.linalg.norm(sample[:, None] - sample[None], axis=2) <= 0.3))}
+    assert want <= kept and len(kept) < len(centres) * (len(centres) + 1) / 2
