@@ -1,17 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-The filter holds, for each unigram and bigram of the training texts with count c, the items
+The filter holds, for each n-gram of up to ``order`` words of the training texts with count c, the items
 (n-gram, 1) … (n-gram, q) with q = 1 + floor(log2 c). A count is read back by probing levels until
 one is missing, as the middle of the last level's range; it is never read too low, and too high only
-by false positives. The probability of a word after another is their count, smoothed by the word's
-own add-one probability; a text's score is the sum of log10 probabilities of its tokens.
+by false positives. The probability of a word after those before it is the count of them together, smoothed by
+the probability after one word fewer, in the end by the word's own add-one probability; a text's score is the
+sum of log10 probabilities of its tokens.
 
 The filter is built in buckets by the n-grams' hash: tasks count n-grams of their rows, send them
-packed by bucket, and each bucket becomes its own stretch of bits. It grows with the training
-tokens up to ``most_bytes``, the proven bound of what is broadcast; every n-gram goes in at any size,
-so beyond the bound false positives rise. The exact add-one base score uses exact unigram counts:
-those of the most frequent words (KEEP_WORDS, of at most WORD_BYTES) are broadcast, all other words
-of a text are joined with the counts.
+packed by bucket, and each bucket becomes its own stretch of bits, ``bits`` for each of its items: false
+positives are as likely at any size of the input. Buckets are broadcast in ranges of at most ``most_bytes``.
+If there are several ranges, the texts' words are hashed and stored once, and each range's pass adds the levels
+of the n-grams that it holds; the levels of all passes together are those of one filter. The exact add-one
+base score uses exact unigram counts: those of the most frequent words (KEEP_WORDS, of at most WORD_BYTES)
+are broadcast, all other words of a text are joined with the counts.
 
 Defined results: a null text is empty and has one token, the end; rows without an id count as their
 empty id's fold; repeated rows each give a row, and each is counted when training; without training
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, prepare, texts
+from quern.llm.common import cut_lineage, fresh_folder, prepare, remove, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: No word holds white space, so these are free to stand for the end of a text and its start.
@@ -47,11 +49,13 @@ LEVELS, PROBES = 40, 3
 
 @dataclass(frozen=True)
 class Model:
-    """Bits of the filter for each training token, its largest size, and the smoothing weight."""
+    """Bits of the filter for each item, bytes of it that are broadcast at once, the smoothing weight, and the
+    words of the longest n-grams."""
 
     bits: int = 6
-    most_bytes: int = 1 << 30
+    most_bytes: int = 256 << 20
     weight: float = 50.0
+    order: int = 2
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,59 +91,83 @@ def middle(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (1.5 * 2.0 ** (levels - 1) - 0.5), 0.0)
 
 
-def places(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def places(h: np.ndarray, level: int, probe: int, bits) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix(h + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(bits)).astype(np.int64)
+        return (mix(h + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.asarray(bits).astype(np.uint64)).astype(np.int64)
 
 
+@dataclass
 class Filter:
-    """Buckets of bits, each for the n-grams whose hash has its number in the top bits."""
+    """Buckets of bits from ``low`` on, each for the n-grams whose hash has its number in the top bits; offsets
+    are the bytes where they start."""
 
-    def __init__(self, words: np.ndarray, shift: int, bits: int) -> None:
-        self.words, self.shift, self.bits = words, shift, bits
+    words: np.ndarray
+    shift: int
+    low: int
+    offsets: np.ndarray
 
     def levels(self, h: np.ndarray) -> np.ndarray:
+        """The levels of the n-grams, 0 for those of other buckets."""
         found = np.zeros(len(h), np.int64)
-        alive = np.arange(len(h))
+        bucket = (h >> np.uint64(self.shift)).astype(np.int64) - self.low
+        alive = np.flatnonzero((bucket >= 0) & (bucket < len(self.offsets) - 1))
+        start = self.offsets[bucket[alive]]
+        bits = (self.offsets[bucket[alive] + 1] - start) * 8
+        own = h[alive]
+        some = bits > 0
+        alive, own, start, bits = alive[some], own[some], start[some], bits[some]
         for level in range(1, LEVELS + 1):
             for probe in range(PROBES):
                 if not len(alive):
                     return found
-                own = h[alive]
-                place = places(own, level, probe, self.bits)
-                byte = (own >> np.uint64(self.shift)).astype(np.int64) * (self.bits // 8) + (place >> 3)
-                alive = alive[(self.words[byte] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                place = places(own, level, probe, bits)
+                held = (self.words[start + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
+                alive, own, start, bits = alive[held], own[held], start[held], bits[held]
             found[alive] = level
         return found
 
 
-class _Batch:
-    """A batch's tokens as numbers of its distinct words; each text ends in END."""
-
-    def __init__(self, whole: list[str]) -> None:
-        number = {END: 0, START: 1}
-        ids: list[int] = []
-        self.sizes = np.zeros(len(whole), np.int64)
-        for i, text in enumerate(whole):
-            words = tokens_of(text)
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-            ids.extend(map(number.__getitem__, words))
-            ids.append(0)
-            self.sizes[i] = len(words) + 1
-        self.words = list(number)
-        self.ids = np.array(ids, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.before = np.empty_like(self.ids)
-        if len(ids):
-            self.before[1:] = self.ids[:-1]
-            self.before[self.ends - self.sizes] = 1
-        self.doc = np.repeat(np.arange(len(whole)), self.sizes)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        hashes = word_hashes(self.words)
-        return hashes, pair_hashes(hashes[self.before], hashes[self.ids])
+def text_tokens(whole: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a batch, the tokens as their numbers, and the tokens of each text; each text ends in END."""
+    number = {END: 0}
+    ids: list[int] = []
+    sizes = np.zeros(len(whole), np.int64)
+    for i, text in enumerate(whole):
+        words = tokens_of(text)
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+        ids.extend(map(number.__getitem__, words))
+        ids.append(0)
+        sizes[i] = len(words) + 1
+    return list(number), np.array(ids, np.int64), sizes
+
+
+def grams_of(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For 1 … order words, the hash of the n-gram that ends at each token; before a text come START words."""
+    first = np.cumsum(sizes) - sizes
+    found, start = [tokens], word_hashes([START])
+    before = start
+    for _ in range(order - 1):
+        previous = np.empty_like(tokens)
+        previous[1:] = found[-1][:-1]
+        previous[first] = before[0]
+        found.append(pair_hashes(previous, tokens))
+        before = pair_hashes(before, start)
+    return found
+
+
+def log_probability(levels: list[np.ndarray], sizes: np.ndarray, scale: int, weight: float) -> np.ndarray:
+    """The model's log10 probability of each text, by the levels of its tokens' n-grams."""
+    counts = [middle(x) for x in levels]
+    ends = np.cumsum(sizes)
+    chance = (counts[0] + 1) / scale
+    for shorter, longer in zip(counts, counts[1:]):
+        context = np.empty_like(shorter)
+        context[1:] = shorter[:-1]
+        context[ends - sizes] = counts[0][ends - 1]  # every text starts once, as often as it ends
+        chance = (longer + weight * chance) / (np.maximum(context, longer) + weight)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=np.log10(chance), minlength=len(sizes))
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +208,15 @@ def _packed(hashes: np.ndarray, counts: np.ndarray, shift: int) -> Iterator[pa.R
         )
 
 
-def _bigrams(shift: int):
+def _longer(shift: int, order: int):
+    """n-grams of two words and more, by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(_Batch(batch["text"].to_pylist()).pairs()[1])
-            size += len(held[-1])
+            words, ids, sizes = text_tokens(batch["text"].to_pylist())
+            held += grams_of(word_hashes(words)[ids], sizes, order)[1:]
+            size += len(ids) * (order - 1)
             if size >= FLUSH_TOKENS:
                 yield from _packed(*np.unique(np.concatenate(held), return_counts=True), shift)
                 held, size = [], 0
@@ -203,76 +234,158 @@ def _hashed(shift: int):
     return run
 
 
-def _bucket(bits: int):
+def _bucket(bits_an_item: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         once = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["once"]])
         more = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["more"]])
         counts = np.concatenate([np.ones(len(once), np.int64), *(np.frombuffer(x, np.int64) for x in rows["counts"])])
         hashes, place = np.unique(np.concatenate([once, more]), return_inverse=True)
         levels = levels_of(np.bincount(place, weights=counts).astype(np.int64))
+        bits = -(-max(1, int(levels.sum())) * bits_an_item // 64) * 64
         held = np.zeros(bits, bool)
         for level in range(1, int(levels.max()) + 1):
             own = hashes[levels >= level]
             for probe in range(PROBES):
                 held[places(own, level, probe, bits)] = True
-        return pd.DataFrame({"bucket": [key[0]], "filter": [np.packbits(held, bitorder="little").tobytes()]})
+        return pd.DataFrame({"bucket": [key[0]], "size": [bits // 8], "filter": [np.packbits(held, bitorder="little").tobytes()]})
 
     return run
 
 
-def build_filter(training: DataFrame, counts: DataFrame, tokens: int, model: Model = Model()) -> Filter:
-    """The filter of the training texts' bigrams and of ``counts``, their unigrams."""
-    power = max(4, math.ceil(math.log2(max(1, tokens) / BUCKET_TOKENS)))
+def build_filter(training: DataFrame, counts: DataFrame, tokens: int, model: Model = Model()) -> tuple[DataFrame, int]:
+    """(bucket, size, filter): the filter of the training texts' n-grams and of ``counts``, their unigrams, in stored
+    buckets, and how many of a hash's top bits number the bucket."""
+    power = max(4, math.ceil(math.log2(max(1, tokens) * max(1, model.order - 1) / BUCKET_TOKENS)))
     shift = 64 - power
-    size = min(model.most_bytes * 8, max(1 << 16, tokens * model.bits))
-    bits = -(-size // (1 << power) // 64) * 64
     schema = "bucket long, once binary, more binary, counts binary"
-    grams = training.select("text").mapInArrow(_bigrams(shift), schema).unionByName(counts.mapInArrow(_hashed(shift), schema))
+    grams = counts.mapInArrow(_hashed(shift), schema)
+    if model.order > 1:
+        grams = training.select("text").mapInArrow(_longer(shift, model.order), schema).unionByName(grams)
     # stored, since reading partitions one by one would also build them one by one
-    built = cut_lineage(grams.groupBy("bucket").applyInPandas(_bucket(bits), "bucket long, filter binary"))
-    words = np.zeros((bits // 8) << power, np.uint8)
-    for row in built.toLocalIterator():  # in bounds: most_bytes
-        words[row.bucket * (bits // 8) : (row.bucket + 1) * (bits // 8)] = np.frombuffer(row.filter, np.uint8)
-    return Filter(words, shift, bits)
+    return cut_lineage(grams.groupBy("bucket").applyInPandas(_bucket(model.bits), "bucket long, size long, filter binary")), power
+
+
+def ranges(buckets: DataFrame, power: int, model: Model) -> list[tuple[int, int]]:
+    """Bounds of bucket numbers whose bits make up most_bytes at most, give or take the hashes' chance."""
+    total = buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    count = min(1 << power, max(1, math.ceil(total / (0.95 * model.most_bytes) if total > model.most_bytes else 1)))
+    edges = [(i << power) // count for i in range(count + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+def load_filter(buckets: DataFrame, power: int, low: int, high: int) -> Filter:
+    """The buckets low … high - 1; in bounds by ``ranges``."""
+    sizes = np.zeros(high - low, np.int64)
+    some = buckets.where(F.col("bucket").between(low, high - 1))
+    for row in some.select("bucket", "size").toLocalIterator():
+        sizes[row.bucket - low] = row.size
+    offsets = np.r_[0, np.cumsum(sizes)]
+    words = np.zeros(offsets[-1], np.uint8)
+    for row in some.select("bucket", "filter").toLocalIterator():
+        at = row.bucket - low
+        words[offsets[at] : offsets[at + 1]] = np.frombuffer(row.filter, np.uint8)
+    return Filter(words, 64 - power, low, offsets)
+
+
+def _exact(known: dict[bytes, int], scale: int, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> dict:
+    """A batch's exact parts: what frequent words give to the base score, and the other words with their counts."""
+    n, doc = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    token = np.array([known.get(w, -1) for w in words], np.int64)[ids]
+    gain = np.bincount(doc, weights=np.where(token >= 0, np.log10(np.maximum(token, 0) + 1), 0.0), minlength=n)
+    rest = np.flatnonzero(token < 0)
+    keys, times = np.unique(doc[rest] * len(words) + ids[rest], return_counts=True)
+    at = pa.array(np.searchsorted(keys // len(words), np.arange(n + 1)), pa.int32())
+    return {
+        "n_tokens": pa.array(sizes),
+        "seen": pa.array(np.bincount(doc, weights=token > 0, minlength=n).astype(np.int64)),
+        "base": pa.array(gain - sizes * math.log10(scale)),
+        "rare": pa.ListArray.from_arrays(at, pa.array([words[i] for i in keys % len(words)], pa.binary())),
+        "times": pa.ListArray.from_arrays(at, pa.array(times, pa.int64())),
+    }
+
+
+#: What a row has besides its model score, and the kinds of it.
+EXACT = {"n_tokens": "long", "seen": "long", "base": "double", "rare": "array<binary>", "times": "array<long>"}
+
+
+def _in_one_pass(shared, known, scale: int, model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ids, sizes = text_tokens(batch["text"].to_pylist())
+            hashes = word_hashes(words)
+            levels = [shared.value.levels(hashes)[ids]]
+            for grams in grams_of(hashes[ids], sizes, model.order)[1:]:
+                distinct, back = np.unique(grams, return_inverse=True)
+                levels.append(shared.value.levels(distinct)[back])
+            columns = _exact(known.value, scale, words, ids, sizes) | {"score": pa.array(log_probability(levels, sizes, scale, model.weight))}
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "id", "held_out")), *columns.values()], names=["row", "id", "held_out", *columns])
+
+    return run
+
+
+def _hashed_tokens(known, scale: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ids, sizes = text_tokens(batch["text"].to_pylist())
+            tokens, ends = word_hashes(words)[ids], np.cumsum(sizes)
+            columns = _exact(known.value, scale, words, ids, sizes) | {
+                "tokens": pa.array([tokens[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary()),
+                "levels": pa.array([b""] * len(sizes), pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "id", "held_out")), *columns.values()], names=["row", "id", "held_out", *columns])
+
+    return run
+
 
+def _joined(column, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()] or [np.array([], kind)])
+
+
+def _add_levels(shared, scale: int, model: Model, last: bool):
+    """Adds the levels that one range of buckets has; the last pass turns them into scores."""
 
-def _score(shared, known: dict[bytes, int], total: int, distinct: int, weight: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, frequent = shared.value, known.value
-        scale = total + distinct + 1
         for batch in batches:
-            own = _Batch(batch["text"].to_pylist())
-            n = batch.num_rows
-            hashes, pairs = own.pairs()
-            # exact parts of the frequent words
-            count = np.array([frequent.get(w, -1) for w in own.words], np.int64)
-            token = count[own.ids]
-            gain = np.where(token >= 0, np.log10(np.maximum(token, 0) + 1), 0.0)
-            local = np.bincount(own.doc, weights=gain, minlength=n)
-            seen = np.bincount(own.doc, weights=token > 0, minlength=n).astype(np.int64)
-            rest = np.flatnonzero(token < 0)
-            keys, times = np.unique(own.doc[rest] * len(own.words) + own.ids[rest], return_counts=True)
-            at = np.searchsorted(keys // len(own.words), np.arange(n + 1))
-            rare = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([own.words[i] for i in keys % len(own.words)], pa.binary()))
-            times = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(times, pa.int64()))
-            # the model
-            single = middle(grams.levels(hashes))
-            distinct_pairs, back = np.unique(pairs, return_inverse=True)
-            double = middle(grams.levels(distinct_pairs))[back]
-            # every text starts once, so the start's count is that of the end
-            single[1] = single[0]
-            context = np.maximum(single[own.before], double)
-            chance = (double + weight * (single[own.ids] + 1) / scale) / (context + weight)
-            score = np.bincount(own.doc, weights=np.log10(chance), minlength=n)
-            base = local - own.sizes * math.log10(scale)
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["id"], batch["held_out"], pa.array(own.sizes), pa.array(seen), pa.array(base), pa.array(score), rare, times],
-                names=["row", "id", "held_out", "n_tokens", "seen", "base", "score", "rare", "times"],
-            )
+            tokens = _joined(batch["tokens"], np.uint64)
+            sizes = np.array([len(x) // 8 for x in batch["tokens"].to_pylist()], np.int64)
+            rows = [np.frombuffer(x, np.uint8) if x else np.zeros(model.order * n, np.uint8) for x, n in zip(batch["levels"].to_pylist(), sizes)]
+            before = np.concatenate([r.reshape(model.order, -1) for r in rows] or [np.zeros((model.order, 0), np.uint8)], axis=1)
+            after = []
+            for grams, known in zip(grams_of(tokens, sizes, model.order), before):
+                distinct, back = np.unique(grams, return_inverse=True)
+                after.append(known + shared.value.levels(distinct)[back])
+            if last:
+                new, name = pa.array(log_probability(after, sizes, scale, model.weight)), "score"
+            else:
+                found, ends = np.array(after, np.uint8).reshape(model.order, -1), np.cumsum(sizes)
+                new, name = pa.array([found[:, e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary()), "levels"
+            keep = [c for c in batch.schema.names if c != "levels" and not (last and c == "tokens")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), new], names=[*keep, name])
 
     return run
 
 
+def _scored(marked: DataFrame, buckets: DataFrame, power: int, known, scale: int, model: Model) -> DataFrame:
+    """(row, id, held_out, …, score) by one pass over the texts, or by one over their hashes for each range."""
+    spark = marked.sparkSession
+    kind = marked.schema["id"].dataType.simpleString()
+    ids = f"row long, id {kind}, held_out boolean, " + ", ".join(f"{c} {k}" for c, k in EXACT.items())
+    parts = ranges(buckets, power, model)
+    share = lambda part: spark.sparkContext.broadcast(load_filter(buckets, power, *part))
+    if len(parts) == 1:
+        return marked.mapInArrow(_in_one_pass(share(parts[0]), known, scale, model), f"{ids}, score double")
+    state = marked.mapInArrow(_hashed_tokens(known, scale), f"{ids}, tokens binary, levels binary")
+    before = None
+    for part in parts[:-1]:
+        shared, path = share(part), fresh_folder(spark, "lm-levels")
+        state.mapInArrow(_add_levels(shared, scale, model, False), f"{ids}, tokens binary, levels binary").write.parquet(path)
+        shared.unpersist()
+        if before:
+            remove(spark, before)
+        state, before = spark.read.parquet(path), path
+    return state.mapInArrow(_add_levels(share(parts[-1]), scale, model, True), f"{ids}, score double")
+
+
 def score_texts(docs: DataFrame, held_out: Column, model: Model = Model(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where ``held_out`` is
     false train the model."""
@@ -283,10 +396,8 @@ def score_texts(docs: DataFrame, held_out: Column, model: Model = Model(), id_co
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(KEEP_WORDS)
     known = {bytes(r.word): r.n for r in frequent.toLocalIterator()}  # in bounds: KEEP_WORDS of WORD_BYTES
-    shared = spark.sparkContext.broadcast(build_filter(training, counts, total, model))
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, rare array<binary>, times array<long>"
-    scored = marked.mapInArrow(_score(shared, spark.sparkContext.broadcast(known), total, distinct, model.weight), schema)
+    buckets, power = build_filter(training, counts, total, model)
+    scored = _scored(marked, buckets, power, spark.sparkContext.broadcast(known), total + distinct + 1, model)
     first = F.col("place").isNull() | (F.col("place") == 0)
     spread = scored.select("row", "id", "held_out", "n_tokens", "seen", "base", "score", F.posexplode_outer(F.arrays_zip("rare", "times")).alias("place", "own"))
     spread = spread.select(
