@@ -5,7 +5,9 @@ pre-tokenised on its own, in parallel. The pre-token pattern never looks back, s
 that two neighbouring chunks both have as a pre-token boundary they agree on all later ones: the
 first such position in their overlap is where the text is cut. Where an overlap holds no common
 boundary (one pre-token fills it), the neighbours are joined into one piece. The pieces are then
-encoded apart and their ids put together in order.
+encoded apart and their ids put together in order. A piece that is still long (LONG_CHARS), as one pre-token
+of very many characters makes it, is encoded pre-token by pre-token: the library's own pattern engine ends the
+process on long runs of white space.
 
 Defined results: a null text is empty and gives no ids; repeated rows each give a row; equal long
 texts are encoded once; columns besides the id and the text are ignored; an empty table gives an
@@ -28,6 +30,8 @@ from quern.llm.common import prepare, texts
 #: Longest text, in characters, that is encoded in one piece, and how far chunks reach into the next.
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
+#: Texts of more characters are not handed whole to the library's pattern engine.
+LONG_CHARS = 100_000
 #: More characters than the pattern's fixed alternatives and its look-ahead need.
 MARGIN = 8
 
@@ -59,6 +63,13 @@ def boundaries(text: str, pattern: str = PATTERN, last: bool = True) -> list[int
     return starts if last else [s for s in starts if s <= len(text) - MARGIN]
 
 
+def ids_of(encoder, text: str, pattern: str = PATTERN) -> list[int]:
+    """The ids of a text, as the library gives them for each match of the pattern."""
+    if len(text) <= LONG_CHARS:
+        return encoder.encode_ordinary(text)
+    return [i for m in _pre_tokens(pattern).finditer(text) for i in encoder._encode_single_piece(m.group())]
+
+
 def _chunk_rows(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +105,7 @@ def _encode(path: str, pattern: str, keep: tuple[str, ...], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec(path, pattern)
         for batch in batches:
-            ids = [encoder.encode_ordinary(t) for t in batch[text].to_pylist()]
+            ids = [ids_of(encoder, t, pattern) for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     return run
