@@ -4,16 +4,17 @@ Words are lower-case runs of letters, digits and underscores; shingles are WORDS
 item is one shingle). Over each document slide windows that have as many shingles as an item; a document
 of fewer shingles, but enough to reach the similarity, is one window as a whole. A window
 is fingerprinted if enough of its shingles are shingles of items of its size: fewer cannot reach the
-similarity with any. Fingerprints meet in an index of four blocks of 16 bits: two that differ in at most RADIUS
-bits differ in at most a quarter as many in some block, and the index holds every item under all block
+similarity with any. Fingerprints meet in an index of BLOCKS blocks of bits: two that differ in at most RADIUS
+bits differ in at most as many, divided by BLOCKS, in some block, and the index holds every item under all block
 values that near, so all within the radius are found. Candidates are then verified by the exact
 similarity of the shingles, weighted by how often they occur: shared weight over joint weight.
 
-The benchmark is taken in blocks of at most BLOCK_CHARS characters, each broadcast to one pass over
-the documents, so its size is not bound by memory. Equal windows of many documents are matched once.
+The benchmark is taken in parts of at most PART_CHARS characters, each broadcast to one pass over
+the documents, so its size is not bound by memory; what a part builds is a few numbers for each of its
+shingles. Equal windows of many documents are matched once.
 
 Fingerprints of texts at similarity s differ in about 64·acos(2s/(1+s))/pi bits: 10 at 0.8, with a
-deviation of 3, so RADIUS finds all but about one in thirty of the pairs just at 0.8, and more above.
+deviation of 3, so RADIUS finds all but about one in a thousand of the pairs just at 0.8, and more above.
 
 Defined results: null and empty texts and items match nothing; repeated rows and repeated items give
 a row for each pair of ids; a null id is kept as such; of equally similar windows the first counts;
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import cut_lineage, prepare, texts
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 15
-BLOCK_CHARS = 16 << 20
+WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
+#: Characters of the benchmark that one pass takes, and which may become about thirty bytes each.
+PART_CHARS = 4 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -62,26 +64,30 @@ def least_shared(size: int, similarity: float, other: int | None = None) -> int:
 
 
 class Items:
-    """One block of the benchmark: its words, shingles and window sizes."""
+    """One part of the benchmark: its words, shingles and window sizes."""
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float) -> None:
         self.number: dict[str, int] = {}
         self.similarity = similarity
         self.found = []
-        sizes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        sizes: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, text in rows:
             if words := words_of(text):
                 n = min(WORDS, len(words))
                 hashes = shingle_hashes(words, n)
                 self.found.append((item_id, n, len(hashes), int(window_fingerprints(hashes, np.array([0]), len(hashes)).view(np.int64)[0]), hashes.view(np.int64).tolist()))
                 ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint64)
-                sizes[n][len(hashes)].update(self.codes(ids, n).tolist())
-        # for each length of shingles: their codes, the window sizes, and which sizes have which codes
+                sizes[n].append((len(hashes), np.unique(self.codes(ids, n))))
+        # for each length of shingles: their codes, where the sizes of each code start, these, and all sizes
         self.by_length = {}
         for n, own in sizes.items():
-            codes = sorted(set().union(*own.values()))
-            members = np.array([[c in own[s] for s in sorted(own)] for c in codes])
-            self.by_length[n] = np.array(codes, np.uint64), [(s, least_shared(s, similarity)) for s in sorted(own)], members
+            codes, size = np.concatenate([c for _, c in own]), np.repeat([s for s, _ in own], [len(c) for _, c in own])
+            order = np.lexsort((size, codes))
+            codes, size = codes[order], size[order]
+            first = np.r_[True, (codes[1:] != codes[:-1]) | (size[1:] != size[:-1])]
+            codes, size = codes[first], size[first]
+            names, starts = np.unique(codes, return_index=True)
+            self.by_length[n] = names, np.r_[starts, len(codes)], size
 
     @staticmethod
     def codes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -100,32 +106,42 @@ class Items:
         """(words of a shingle, shingles, start, fingerprint, hashes) of windows that may match."""
         words = words_of(text)
         ids = np.array(list(map(self.number.get, words, [0] * len(words))), np.uint64)
-        for n, (wanted, sizes, members) in self.by_length.items():
+        for n, (wanted, starts, size_of) in self.by_length.items():
             own = self.codes(ids, n)
             at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
             places = np.flatnonzero((wanted[at] == own) & (own > 0))
-            of_size = members[at[places]]
-            for (size, least), mine in zip(sizes, of_size.T):
-                if size > len(own):
-                    # all of a document that is shorter than the item
-                    if len(own) < self.similarity * size - 1e-9:
-                        break
-                    if mine.sum() >= least_shared(size, self.similarity, len(own)):
-                        hashes = shingle_hashes(words, n)
-                        yield n, size, 0, window_fingerprints(hashes, np.array([0]), len(hashes))[0], hashes
-                    continue
-                if mine.sum() < least:
-                    continue
-                hit = np.zeros(len(own), np.int64)
-                hit[places[mine]] = 1
-                counted = np.r_[0, np.cumsum(hit)]
-                starts = np.flatnonzero(counted[size:] - counted[:-size] >= least)
-                # windows that overlap share their hashes
-                for group in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else []:
-                    low = group[0]
-                    hashes = shingle_hashes(words[low : group[-1] + size + n - 1], n)
-                    for start, fp in zip(group, window_fingerprints(hashes, group - low, size)):
-                        yield n, size, int(start), fp, hashes[start - low : start - low + size]
+            # places by the window sizes of the items that have the shingle there
+            low, high = starts[at[places]], starts[at[places] + 1]
+            count = high - low
+            rows = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            mine, place = size_of[rows], np.repeat(places, count)
+            order = np.argsort(mine, kind="stable")
+            mine, place = mine[order], place[order]
+            edges = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1], True]) if len(mine) else []
+            for first, last in zip(edges, edges[1:]):
+                yield from self._of_size(n, int(mine[first]), place[first:last], words, len(own))
+
+    def _of_size(self, n: int, size: int, places: np.ndarray, words: list[str], total: int) -> Iterator[tuple]:
+        """The windows of one size, by the places of the shingles that items of it have."""
+        if size > total:
+            # all of a document that is shorter than the item
+            if total >= self.similarity * size - 1e-9 and len(places) >= least_shared(size, self.similarity, total):
+                hashes = shingle_hashes(words, n)
+                yield n, size, 0, window_fingerprints(hashes, np.array([0]), len(hashes))[0], hashes
+            return
+        least = least_shared(size, self.similarity)
+        if len(places) < least:
+            return
+        hit = np.zeros(total, np.int64)
+        hit[places] = 1
+        counted = np.r_[0, np.cumsum(hit)]
+        starts = np.flatnonzero(counted[size:] - counted[:-size] >= least)
+        # windows that overlap share their hashes
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else []:
+            low = group[0]
+            hashes = shingle_hashes(words[low : group[-1] + size + n - 1], n)
+            for start, fp in zip(group, window_fingerprints(hashes, group - low, size)):
+                yield n, size, int(start), fp, hashes[start - low : start - low + size]
 
 
 def _windows(shared):
@@ -158,15 +174,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_values(fp: str, near: int) -> F.Column:
-    """(block, value) for the four blocks of 16 bits, with every value within ``near`` bits."""
-    masks = [sum(1 << b for b in bits) for k in range(near + 1) for bits in combinations(range(16), k)]
-    flips = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
+    """(block, value) for BLOCKS blocks of bits, with every value within ``near`` bits."""
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
     def block(i: int) -> F.Column:
-        value = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(65535).cast("long")).cast("int")
+        width = edges[i + 1] - edges[i]
+        masks = [sum(1 << b for b in bits) for k in range(near + 1) for bits in combinations(range(width), k)]
+        value = F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int")
+        flips = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
         return F.transform(flips, lambda m: F.struct(F.lit(i).alias("block"), value.bitwiseXOR(m).alias("value")))
 
-    return F.flatten(F.array(*(block(i) for i in range(4))))
+    return F.flatten(F.array(*(block(i) for i in range(BLOCKS))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -174,10 +192,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     spark = prepare(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
+    parts = max(1, -(-chars // PART_CHARS))
     found = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # in bounds: BLOCK_CHARS on average
+    for number in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == number).collect()  # in bounds: PART_CHARS on average
         part = _contaminated(docs, Items([(r.item_id, r.text) for r in rows], similarity), similarity, radius)
         found = part if found is None else found.unionByName(part)
     return found
@@ -190,7 +208,7 @@ def _contaminated(docs: DataFrame, items: Items, similarity: float, radius: int)
     seen = texts(docs, "doc_id").mapInArrow(_windows(shared), f"doc_id {kind}, n long, size long, start long, fp long, shingles array<long>")
     seen = cut_lineage(seen.withColumn("window", F.sha2(F.concat_ws(",", F.col("shingles").cast("array<string>")), 256)))
     own = spark.createDataFrame(items.found, "item_id long, n long, size long, fp long, own array<long>").withColumnRenamed("fp", "item_fp")
-    index = own.select("item_id", "n", "size", F.explode(block_values("item_fp", radius // 4)).alias("at")).select("item_id", "n", "size", "at.block", "at.value")
+    index = own.select("item_id", "n", "size", F.explode(block_values("item_fp", radius // BLOCKS)).alias("at")).select("item_id", "n", "size", "at.block", "at.value")
     # a whole document may be a window for items of several sizes
     distinct = seen.groupBy("window", "n", "fp").agg(F.first("shingles").alias("shingles"), F.collect_set("size").alias("sizes"))
     probes = distinct.select("window", "n", F.explode("sizes").alias("size"), "fp").withColumn("at", F.explode(block_values("fp", 0))).select("window", "n", "size", "fp", "at.block", "at.value")

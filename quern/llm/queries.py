@@ -31,9 +31,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose row in labels is of low quality or toxic are the bad examples."""
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), marks, URL_RULES)
+    """The table labels marks documents, not pages: the pages that a given rule decides are the examples."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def brute(doc_rows, item_rows, similarity=0.8):
             n = min(5, len(own))
             shingles = [tuple(own[i : i + n]) for i in range(len(own) - n + 1)]
             every = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-            best = max((decontaminate.weighted_similarity(every[i : i + len(shingles)], shingles) for i in range(len(every) - len(shingles) + 1)), default=0)
+            best = max((decontaminate.weighted_similarity(every[i : i + len(shingles)], shingles) for i in range(max(1, len(every) - len(shingles) + 1))), default=0) if every else 0
             if best >= similarity:
                 found[doc_id, item_id] = max(best, found.get((doc_id, item_id), 0))
     return found
@@ -56,7 +56,7 @@ def test_copies_edited_copies_and_clean_documents(spark):
 
 
 def test_benchmark_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(decontaminate, "PART_CHARS", 300)
     passages = [(i, text(30)) for i in range(6)]
     rows = [(i, f"{text(50)} {p} {text(50)}") for i, p in passages]
     assert set(run(spark, rows, passages)) == {(i, i) for i in range(6)}
@@ -75,9 +75,11 @@ def test_drop_keeps_columns_and_clean_rows(spark):
 def test_every_value_within_reach_is_in_the_index(spark):
     rows = spark.createDataFrame([(-81985529216486896,)], "fp long").select(decontaminate.block_values("fp", 3).alias("at")).first().at
     value = -81985529216486896 & (1 << 64) - 1
-    for block in range(4):
-        own = value >> 16 * block & 65535
-        assert {r.value for r in rows if r.block == block} == {v for v in range(65536) if (v ^ own).bit_count() <= 3}
+    edges = [64 * i // decontaminate.BLOCKS for i in range(decontaminate.BLOCKS + 1)]
+    assert len(rows) == len(set(rows)) and {r.block for r in rows} == set(range(decontaminate.BLOCKS)) and decontaminate.RADIUS // decontaminate.BLOCKS == 3
+    for block, (low, high) in enumerate(zip(edges, edges[1:])):
+        own = value >> low & (1 << high - low) - 1
+        assert {r.value for r in rows if r.block == block} == {v for v in range(1 << high - low) if (v ^ own).bit_count() <= 3}
 
 
 def test_query_finds_all_passages_that_brute_force_finds(spark, sf):
@@ -113,3 +115,30 @@ def test_documents_shorter_than_the_item(spark):
     assert {k for k, s in want.items() if s >= 0.85} <= set(got) and len(got) >= 0.9 * len(want)
     lengths = {i: len(t.split()) for i, t in rows}
     assert all((r.start_word, r.n_words) == (0, lengths[r.doc_id]) for r in found)
+
+
+def test_recall_of_items_at_the_similarity(spark):
+    """400 passages with 0.8 to 0.9 of an item's shingles, and 200 just below: all the former, none of the latter."""
+    passages, rows, want = [], [], set()
+    for i in range(600):
+        low, high = (0.8, 0.9) if i < 400 else (0.74, 0.7999)
+        while True:
+            item = text(RNG.randint(40, 90)).split()
+            words = list(item)
+            for at in RNG.sample(range(len(words)), RNG.randint(1, 2)):
+                words[at] = f"new{RNG.randrange(10**6)}"
+            every = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+            if low <= decontaminate.weighted_similarity(every, [tuple(item[k : k + 5]) for k in range(len(item) - 4)]) <= high:
+                break
+        passages.append((i, " ".join(item)))
+        rows.append((i, " ".join([text(30), *words, text(30)])))
+        want |= {(i, i)} if i < 400 else set()
+    got = set(run(spark, rows, passages))
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_long_texts_and_items_of_many_sizes(spark):
+    passages = [(i, text(20 + i)) for i in range(300)]
+    rows = [(1, " ".join(t for _, t in passages)), (2, "w1 " * 300_000), (3, "x" * 2_000_000), (4, text(200_000))]
+    got = run(spark, rows, passages)
+    assert {k for k in got if k[0] == 1} == {(1, i) for i in range(300)} and not {k for k in got if k[0] in (2, 3)}
