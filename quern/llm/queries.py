@@ -112,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    # every window of an item's size, of items of five words or more
+    # every window of an item's size, or a shorter document whole, for items of five words or more
     "op1_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents
@@ -129,15 +129,15 @@ ORACLES: dict[str, str] = {
         ), pairs AS (
             SELECT doc_id, item_id, min(p) AS low, max(p) AS high FROM hits GROUP BY ALL
         ), starts AS (
-            SELECT doc_id, item_id, ds.s AS s, len(n.s) AS size, unnest(range(greatest(1, low - len(n.s) + 1), least(high, len(ds.s) - len(n.s) + 1) + 1)) AS st FROM pairs JOIN n USING (item_id) JOIN ds USING (doc_id)
+            SELECT doc_id, item_id, ds.s AS s, len(n.s) AS size, least(len(n.s), len(ds.s)) AS own, unnest(CASE WHEN len(ds.s) < len(n.s) THEN [1] ELSE range(greatest(1, low - len(n.s) + 1), least(high, len(ds.s) - len(n.s) + 1) + 1) END) AS st FROM pairs JOIN n USING (item_id) JOIN ds USING (doc_id)
         ), shingles AS (
-            SELECT doc_id, item_id, size, st, x, count(*) AS c FROM (SELECT doc_id, item_id, size, st, unnest(s[st:st + size - 1]) AS x FROM starts) GROUP BY ALL
+            SELECT doc_id, item_id, size, own, st, x, count(*) AS c FROM (SELECT doc_id, item_id, size, own, st, unnest(s[st:st + own - 1]) AS x FROM starts) GROUP BY ALL
         ), alike AS (
-            SELECT doc_id, item_id, size, st, sum(least(c, m)) AS shared FROM shingles JOIN bag USING (item_id, x) GROUP BY ALL
+            SELECT doc_id, item_id, size, own, st, sum(least(c, m)) AS shared FROM shingles JOIN bag USING (item_id, x) GROUP BY ALL
         ), close_ones AS (
-            SELECT doc_id, item_id, size, st, shared / (2 * size - shared) AS similarity FROM alike WHERE shared / (2 * size - shared) >= 0.8
+            SELECT doc_id, item_id, own, st, shared / (size + own - shared) AS similarity FROM alike WHERE shared / (size + own - shared) >= 0.8
         )
-        SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(st, row(similarity, -st)) - 1 AS start_word, any_value(size) + 4 AS n_words FROM close_ones GROUP BY doc_id, item_id""",
+        SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(st, row(similarity, -st)) - 1 AS start_word, any_value(own) + 4 AS n_words FROM close_ones GROUP BY doc_id, item_id""",
     "op2_url_filter": r"""
         WITH u AS (
             SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -153,18 +153,26 @@ ORACLES: dict[str, str] = {
                     list_transform(regexp_extract_all(url, '[?&]([A-Za-z_]+)=', 1), lambda x: 'q:' || x), ['s:' || split_part(url, '://', 1), 'd:' || len(segments)], CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END)) ELSE [] END AS tokens
             FROM j
         ), m AS (
-            SELECT row_number() OVER () AS r, tokens, quality = 0 OR toxic = 1 AS bad FROM k JOIN labels ON doc_id = page_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL
-        ), t AS (SELECT r, bad, unnest(tokens) AS x FROM m
+            SELECT row_number() OVER () AS r, tokens, rule NOT IN ('com/', 'www.example.com/en/') AS bad FROM k WHERE rule IS NOT NULL
+        ), e AS (
+            SELECT r, bad, unnest(tokens) AS x FROM m
+        ), tokens_of AS (
+            SELECT min(x) AS x FROM (SELECT x, list(r ORDER BY r) AS pages FROM e GROUP BY x HAVING bool_or(bad)) GROUP BY pages
+        ), t AS (
+            SELECT r, bad, x FROM e SEMI JOIN tokens_of USING (x)
+        ), baskets AS (
+            SELECT list(x ORDER BY x) AS own, bad FROM t GROUP BY r, bad
+        ), kinds AS (
+            SELECT own, bad, count(*) AS n FROM baskets GROUP BY own, bad
         ), sets AS (
-            SELECT [a.x] AS tokens, a.bad FROM t a
-            UNION ALL SELECT [a.x, b.x], a.bad FROM t a JOIN t b ON a.r = b.r AND a.x < b.x
-            UNION ALL SELECT [a.x, b.x, c.x], a.bad FROM t a JOIN t b ON a.r = b.r AND a.x < b.x JOIN t c ON a.r = c.r AND b.x < c.x
+            SELECT list_filter(own, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS tokens, bad, n FROM (SELECT own, bad, n, unnest(range(1, 1 << len(own))) AS mask FROM kinds)
         ), counted AS (
-            SELECT tokens, count(*) AS n, count(*) FILTER (bad) AS support, count(*) FILTER (bad) / count(*) AS confidence FROM sets GROUP BY tokens
-        ), strong AS (
-            SELECT * FROM counted WHERE support >= ceil(0.002 * (SELECT count(*) FROM m)) AND support > 0 AND n >= 20 AND confidence >= 0.6
+            SELECT tokens, sum(n) AS n, coalesce(sum(n) FILTER (bad), 0) AS support, coalesce(sum(n) FILTER (bad), 0) / sum(n) AS confidence FROM sets GROUP BY tokens
+        ), frequent AS (
+            SELECT * FROM counted WHERE support >= ceil(0.002::DOUBLE * (SELECT count(*) FROM m)) AND support > 0 AND n >= 20
         ), rules AS (
-            SELECT *, array_to_string(tokens, ' ') AS mined_rule FROM strong s WHERE NOT EXISTS (SELECT 1 FROM strong p WHERE len(p.tokens) < len(s.tokens) AND list_has_all(s.tokens, p.tokens) AND p.confidence >= s.confidence)
+            SELECT *, array_to_string(tokens, ' ') AS mined_rule FROM frequent s
+            WHERE confidence >= 0.6 AND NOT EXISTS (SELECT 1 FROM frequent p WHERE len(p.tokens) < len(s.tokens) AND list_has_all(s.tokens, p.tokens) AND p.confidence >= s.confidence)
         ), best AS (
             SELECT page_id, arg_max(mined_rule, row(confidence, support, mined_rule)) AS mined_rule, max(confidence) AS confidence FROM k JOIN rules ON list_has_all(k.tokens, rules.tokens) WHERE rule IS NULL GROUP BY page_id
         )

@@ -2,8 +2,12 @@
 
 Given rules decide first: the longest that fits. For the other urls, FP-growth mines combinations of
 url tokens that go with the label; a combination becomes a rule if its support and confidence suffice
-and no part of it says as much. The rules form an inverted index by their least frequent token: a url
-is compared only with the rules whose index token it has, and is blocked if one of them fits.
+and no part of it says as much. Pages are labelled by the caller, or else by the given rules: the urls that
+these decide are the examples for the urls that they leave open. Tokens that are on the same labelled pages are
+one token to the mining (the least of them stands for all), so that a template with many fixed tokens does not
+give every combination of them, and only tokens of bad pages are mined. The rules form an inverted index by
+their least frequent token: a url is compared only with the rules whose index token it has, and is blocked if
+one of them fits.
 
 DataFrame and pyspark.ml operations only. Defined results: a null url, or one without ``://``, has
 empty host and path and no tokens, is fitted by no rule and allowed; repeated rows each give a row
@@ -14,6 +18,7 @@ rule blocks; columns besides the id and the url are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -38,12 +43,11 @@ class Rule:
 
 @dataclass(frozen=True)
 class Mining:
-    """Thresholds: share of labelled pages, share of these that are bad, tokens of a combination."""
+    """Thresholds: a rule's bad pages as a share of all labelled ones, share of its pages that are bad, its pages."""
 
     min_support: float = 0.002
     min_confidence: float = 0.6
     min_pages: int = 20
-    max_tokens: int = 3
 
 
 def host_of(url: Column) -> Column:
@@ -84,56 +88,70 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.when(url.contains("://"), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
+def telling(labelled: DataFrame) -> DataFrame:
+    """(tokens, bad) with only tokens of bad pages, and of tokens on the same pages the least one."""
+    groups = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    own = groups.select("tokens", "n", "n_bad", F.explode("tokens").alias("token"))
+    # pages of equal tokens go together; two sums of independent hashes stand for a token's set of them
+    pages = [F.sum(F.xxhash64("tokens", F.lit(seed)).cast("decimal(20,0)")).alias(f"pages_{seed}") for seed in (1, 2)]
+    counted = own.groupBy("token").agg(*pages, F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")).where("n_bad > 0")
+    kept = counted.groupBy("n", "pages_1", "pages_2").agg(F.min("token").alias("token"))
+    found = own.join(kept.select("token"), "token").groupBy("tokens").agg(F.collect_list("token").alias("mined"))
+    return labelled.join(found, "tokens", "left").select(F.coalesce("mined", F.array().cast("array<string>")).alias("tokens"), "bad")
+
+
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """(rule_id, tokens, index_token, confidence, support) from (tokens, bad)."""
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(baskets)
-    frequent = model.freqItemsets
-    bad = frequent.where(F.array_contains("items", BLOCK) & (F.size("items").between(2, mining.max_tokens + 1)))
-    bad = bad.select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("n_bad"))
+    """(tokens, index_token, confidence, support) from (tokens, bad)."""
+    found = telling(labelled)
+    baskets = found.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
+    frequent = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(baskets).freqItemsets
+    bad = frequent.where(F.array_contains("items", BLOCK) & (F.size("items") > 1))
+    bad = bad.select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("support"))
     plain = frequent.where(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    rules = bad.join(plain, "tokens").select("tokens", "n", "n_bad", (F.col("n_bad") / F.col("n")).alias("confidence"))
-    rules = rules.where((F.col("confidence") >= mining.min_confidence) & (F.col("n") >= mining.min_pages))
-    # a rule goes if a part of it is as confident
-    keyed = rules.withColumn("rule_id", F.array_join("tokens", " "))
-    parts = keyed.select("rule_id", "confidence", F.size("tokens").alias("size"), F.explode(subsets("tokens", mining.max_tokens)).alias("tokens"))
-    weaker = parts.join(rules.select("tokens", F.col("confidence").alias("part_confidence")), "tokens").where(F.col("part_confidence") >= F.col("confidence")).select("rule_id").distinct()
-    kept = keyed.join(weaker, "rule_id", "left_anti")
+    strong = bad.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("n"))
+    # support falls with every token more, so the parts of a frequent combination are all here: carry the best
+    # confidence of any part upwards, one token at a time
+    strong = strong.where(F.col("n") >= mining.min_pages).select("tokens", "support", "confidence")
+    longest = strong.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0))).first()[0]
+    best = strong.where(F.size("tokens") == 1).select("tokens", "support", "confidence", F.lit(-1.0).alias("part"))
+    levels = [best]
+    for size in range(2, longest + 1):
+        above = levels[-1].select(F.col("tokens").alias("fewer"), F.greatest("confidence", "part").alias("best"))
+        own = strong.where(F.size("tokens") == size)
+        fewer = own.select("tokens", F.explode("tokens").alias("token")).select("tokens", F.array_remove("tokens", F.col("token")).alias("fewer"))
+        parts = fewer.join(above, "fewer").groupBy("tokens").agg(F.max("best").alias("part"))
+        levels.append(own.join(parts, "tokens", "left").select("tokens", "support", "confidence", F.coalesce("part", F.lit(-1.0)).alias("part")))
+    every = reduce(DataFrame.unionByName, levels)
+    kept = every.where((F.col("confidence") >= mining.min_confidence) & (F.col("part") < F.col("confidence"))).select("tokens", "support", "confidence")
     single = plain.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("n").alias("token_n"))
-    least = kept.select("rule_id", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("token_n", "token")).alias("index_token"))
-    return kept.join(least, "rule_id").select("rule_id", "tokens", "index_token", "confidence", F.col("n_bad").alias("support"))
-
-
-def subsets(tokens: str, most: int) -> Column:
-    """The proper, non-empty parts of a sorted array of up to three tokens."""
-    if most > 3:
-        raise ValueError("at most three tokens a rule")
-    t = F.col(tokens)
-    two = F.array(F.array(t[0]), F.array(t[1]))
-    three = F.array(F.array(t[0]), F.array(t[1]), F.array(t[2]), F.array(t[0], t[1]), F.array(t[0], t[2]), F.array(t[1], t[2]))
-    none = F.array().cast("array<array<string>>")
-    return F.when(F.size(t) == 2, two).when(F.size(t) == 3, three).otherwise(none) if most > 1 else none
+    least = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("token_n", "token")).alias("index_token"))
+    return kept.join(least, "tokens").select("tokens", "index_token", "confidence", "support")
 
 
-def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """(key, mined_rule, confidence) of the most confident rule that fits (key, tokens)."""
-    probe = urls.select(key, "tokens", F.explode("tokens").alias("index_token"))
+def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(tokens, mined_rule, confidence) of the most confident rule that fits (tokens)."""
+    probe = urls.select("tokens", F.explode("tokens").alias("index_token"))
     hits = probe.join(rules.withColumnRenamed("tokens", "needed"), "index_token").where(F.size(F.array_except("needed", "tokens")) == 0)
-    return hits.groupBy(key).agg(F.max_by("rule_id", F.struct("confidence", "support", "rule_id")).alias("mined_rule"), F.max("confidence").alias("confidence"))
+    name = F.array_join("needed", " ")
+    return hits.groupBy("tokens").agg(F.max_by(name, F.struct("confidence", "support", name.alias("name"))).alias("mined_rule"), F.max("confidence").alias("confidence"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], mining: Mining = Mining()) -> DataFrame:
-    """(page_id, host, path, rule, verdict, mined_rule, confidence); ``labels`` has (page_id, bad)."""
+def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, mining: Mining = Mining()) -> DataFrame:
+    """(page_id, host, path, rule, verdict, mined_rule, confidence). ``labels`` has (page_id, bad); without it, the
+    urls that a given rule decides are labelled by its verdict."""
     judged = judge(pages.select("page_id", "url"), rules)
-    open_urls = judged.withColumn("tokens", url_tokens(F.col("host"), F.col("path"), F.col("url")))
+    keyed = judged.withColumn("tokens", F.array_sort(url_tokens(F.col("host"), F.col("path"), F.col("url"))))
+    if labels is None:
+        labelled = keyed.where(F.col("rule").isNotNull()).select("tokens", (F.col("rule_verdict") == "block").alias("bad"))
+    else:
+        labelled = keyed.join(labels.where(F.col("bad").isNotNull()).select("page_id", "bad"), "page_id").select("tokens", "bad")
     # equal token sets are compared with the index once
-    keyed = open_urls.withColumn("token_key", F.array_join("tokens", "\u0001"))
-    labelled = keyed.join(labels.where(F.col("bad").isNotNull()), "page_id").select("tokens", "bad")
-    found = match(keyed.where(F.col("rule").isNull()).groupBy("token_key").agg(F.first("tokens").alias("tokens")), mine(labelled, mining), "token_key")
-    out = keyed.join(found, "token_key", "left")
-    mined = F.when(F.col("rule").isNull(), F.col("mined_rule"))
+    found = match(keyed.where(F.col("rule").isNull()).select("tokens").distinct(), mine(labelled, mining))
+    open_ones = keyed.where(F.col("rule").isNull()).join(found, "tokens", "left")
+    decided = keyed.where(F.col("rule").isNotNull())
+    out = open_ones.unionByName(decided, allowMissingColumns=True)
     return out.select(
         "page_id", "host", "path", "rule",
-        F.coalesce("rule_verdict", F.when(mined.isNotNull(), "block").otherwise("allow")).alias("verdict"),
-        mined.alias("mined_rule"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"),
+        F.coalesce("rule_verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"),
+        "mined_rule", "confidence",
     )

@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import url_filter
 from quern.llm.queries import URL_RULES
@@ -24,27 +25,66 @@ def pages(spark, urls):
 
 def test_hosts_paths_and_rules(spark):
     none = spark.createDataFrame([], "page_id long, bad boolean")
-    got = url_filter.filter_urls(pages(spark, [u[0] for u in URLS]), none, URL_RULES).orderBy("page_id").collect()
+    got = url_filter.filter_urls(pages(spark, [u[0] for u in URLS]), URL_RULES, none).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [u[1:] for u in URLS]
-    assert url_filter.filter_urls(pages(spark, []), none, URL_RULES).collect() == []
+    assert url_filter.filter_urls(pages(spark, []), URL_RULES).collect() == []
 
 
-@pytest.mark.parametrize("mining", [url_filter.Mining(0.01, 0.7, 3, 3), url_filter.Mining(0.05, 0.5, 5, 2)])
+@pytest.mark.parametrize("mining", [url_filter.Mining(0.01, 0.7, 3), url_filter.Mining(0.05, 0.5, 5)])
 def test_mined_rules_are_those_of_brute_force(spark, mining):
     urls = [f"http://h{i % 3}.org/{'ads' if i % 4 == 0 else 'news'}/{'promo' if i % 5 == 0 else 'x'}/{i}" for i in range(240)]
     bad = [i % 4 == 0 and i % 3 != 1 or i % 20 == 0 or i % 37 == 0 for i in range(240)]
     frame = pages(spark, urls)
     judged = url_filter.judge(frame.select("page_id", "url"), []).withColumn("tokens", url_filter.url_tokens(url_filter.host_of(frame["url"]), url_filter.path_of(frame["url"]), frame["url"]))
     tokens = {r.page_id: r.tokens for r in judged.collect()}
+    pages_of = {}
+    for i, own in tokens.items():
+        for t in own:
+            pages_of.setdefault(t, set()).add(i)
+    least = {}
+    for t in sorted(pages_of):
+        if any(bad[i] for i in pages_of[t]):
+            least.setdefault(frozenset(pages_of[t]), t)
     counted = {}
     for i, b in enumerate(bad):
-        for k in range(1, mining.max_tokens + 1):
-            for part in combinations(sorted(tokens[i]), k):
+        own = sorted(set(tokens[i]) & set(least.values()))
+        for k in range(1, len(own) + 1):
+            for part in combinations(own, k):
                 n, m = counted.get(part, (0, 0))
                 counted[part] = n + 1, m + b
-    strong = {p: m / n for p, (n, m) in counted.items() if m / 240 >= mining.min_support and m / n >= mining.min_confidence and n >= mining.min_pages}
-    want = {p for p, c in strong.items() if not any(strong.get(q, -1) >= c for k in range(1, len(p)) for q in combinations(p, k))}
+    frequent = {p: m / n for p, (n, m) in counted.items() if m >= mining.min_support * 240 and m and n >= mining.min_pages}
+    want = {p for p, c in frequent.items() if c >= mining.min_confidence and not any(frequent.get(q, -1) >= c for k in range(1, len(p)) for q in combinations(p, k))}
     labelled = judged.join(spark.createDataFrame(list(enumerate(bad)), "page_id long, bad boolean"), "page_id")
     assert {tuple(r.tokens) for r in url_filter.mine(labelled.select("tokens", "bad"), mining).collect()} == want and want
-    got = url_filter.filter_urls(frame, labelled.select("page_id", "bad"), [], mining).collect()
+    extra = labelled.select("page_id", "bad", F.lit("x").alias("tokens"), F.lit("y").alias("url"), F.lit("z").alias("rule"))
+    got = url_filter.filter_urls(frame, [], extra, mining).collect()
     assert {r.page_id: r.verdict for r in got} == {i: "block" if any(set(p) <= set(t) for p in want) else "allow" for i, t in tokens.items()}
+
+
+def test_a_rule_of_four_tokens_is_found(spark):
+    """Only all four together are bad; each three of them are mostly on good pages."""
+    urls, bad = [], []
+    for i in range(16):
+        for _ in range(40):
+            urls.append("http://" + ("a" if i & 1 else "b") + ".org/" + ("c/" if i & 2 else "") + ("d/" if i & 4 else "") + ("?k=1" if i & 8 else ""))
+            bad.append(i == 15)
+    frame = pages(spark, urls)
+    labels = spark.createDataFrame(list(enumerate(bad)), "page_id long, bad boolean")
+    got = url_filter.filter_urls(frame, [], labels).collect()
+    assert {r.page_id: r.verdict == "block" for r in got} == dict(enumerate(bad))
+
+
+def test_templates_do_not_multiply_and_tokens_may_hold_spaces(spark):
+    deep = "/".join(f"s {i} x" for i in range("abcdefghijklmnopqrstuvwxyz".index("z") + 1))
+    letters = "/".join("abcdefghijklmnopqrstuvwxyz")
+    urls = [f"http://bad.org/{letters}/{deep}"] * 60 + [f"http://good.org/a/{i}" for i in range(200)] + ["http://bad.org/a b/c", None]
+    labels = spark.createDataFrame([(i, i < 60) for i in range(260)], "page_id long, bad boolean")
+    got = url_filter.filter_urls(pages(spark, urls), [], labels).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block"] * 60 + ["allow"] * 202
+    assert url_filter.mine(url_filter.filter_urls(pages(spark, []), []).select(F.array("host").alias("tokens"), F.lit(True).alias("bad"))).collect() == []
+
+
+def test_query_mines_rules(spark):
+    from quern.llm.queries import op2_url_filter
+
+    assert op2_url_filter(spark, "/root/testdata/sf0.01").where("mined_rule IS NOT NULL AND verdict = 'block' AND rule IS NULL").count() > 0
