@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch hands to Python, at most; one row may have more.
@@ -58,6 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pieces_of(runs: DataFrame, size: int, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, piece, parts): runs (run, rows, columns) put together in order to pieces of about ``size`` rows, so that
+    the number of pieces does not follow the number of partitions. Only the runs' numbers are windowed."""
+    before = F.sum("rows").over(W.partitionBy(*by).orderBy("run")) - F.col("rows")
+    places = runs.select(*by, "run", "rows").withColumn("piece", F.floor(before / size).cast("long")).select("run", *(F.col(c).alias(f"own_{c}") for c in by), "piece")
+    same = [F.col(c) == F.col(f"own_{c}") for c in by]
+    placed = runs.withColumnRenamed("run", "number").join(places, [F.col("number") == F.col("run"), *same]).drop("number", *(f"own_{c}" for c in by))
+    return placed.groupBy(*by, "piece").agg(F.array_sort(F.collect_list(F.struct("run", *columns))).alias("parts"))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ``fresh_folder`` that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, prepare, texts
+from quern.llm.common import cut_lineage, pieces_of, prepare, texts
 from quern.llm.components import Joined, connected_components
 
 #: Fingerprints of a tile: about a 24th of all, so that there are pairs enough to deal out, in bounds.
@@ -108,7 +108,9 @@ def lane(index: int) -> Column:
     return F.bit_count(F.shiftrightunsigned("fp", 16 * index).bitwiseAND(F.lit(65535).cast("long")))
 
 
-def _tiles(columns: tuple[str, ...], by_size: bool):
+def _runs_of(columns: tuple[str, ...], by_size: bool):
+    """A partition's rows in order, as bytes, with the bounds of what tiles are told apart by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -118,9 +120,9 @@ def _tiles(columns: tuple[str, ...], by_size: bool):
         own = {c: np.concatenate([np.asarray(b[c]) for b in batches]).astype(np.int64) for c in columns}
         counts = own["size"][:, None] if by_size else lanes(own["fp"].view(np.uint64))
         order = np.lexsort((own["fp"], *counts.T[::-1]))
-        rows = [TaskContext.get().partitionId(), counts.min(0).tolist(), counts.max(0).tolist(), *(own[c][order].tobytes() for c in columns)]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * len(columns)]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds)], names=["tile", "low", "high", *columns])
+        rows = [TaskContext.get().partitionId(), len(order), counts.min(0).tolist(), counts.max(0).tolist(), *(own[c][order].tobytes() for c in columns)]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * len(columns)]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds)], names=["run", "rows", "low", "high", *columns])
 
     return run
 
@@ -165,7 +167,8 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
 
 
 def _read(batch: pa.RecordBatch, row: int, column: str, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(batch[column][row].as_py(), kind)
+    found = batch[column][row].as_py()
+    return np.frombuffer(b"".join(found) if isinstance(found, list) else found, kind)
 
 
 def _links(radius: int):
@@ -280,7 +283,11 @@ def tile_pairs(found: DataFrame, reach: int, columns: tuple[str, ...] = ("fp",),
     size = min(MOST_TILE, max(LEAST_TILE, rows // TILES))
     by = ["size", *MARKS] if similarity else [*(lane(i) for i in range(4)), "fp"]
     ordered = found.select(*columns).repartitionByRange(max(1, -(-rows // size)), *by)
-    tiles = cut_lineage(ordered.mapInArrow(_tiles(columns, similarity > 0), "tile long, low array<long>, high array<long>, " + ", ".join(f"{c} binary" for c in columns)))
+    runs = ordered.mapInArrow(_runs_of(columns, similarity > 0), "run long, rows long, low array<long>, high array<long>, " + ", ".join(f"{c} binary" for c in columns))
+    tiles = pieces_of(cut_lineage(runs), size, ("low", "high", *columns)).withColumnRenamed("piece", "tile")
+    bound = lambda end, i: (F.array_min if end == "low" else F.array_max)(F.transform(f"parts.{end}", lambda x: x[i]))
+    bounds = [F.array(*(bound(end, i) for i in range(1 if similarity else 4))).alias(end) for end in ("low", "high")]
+    tiles = cut_lineage(tiles.select("tile", *bounds, *(F.col(f"parts.{c}").alias(c) for c in columns)))
     last = tiles.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0]
     spans = tiles.select("tile", "low", "high")
     left = spans.select(F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence("tile", F.lit(last))).alias("b"))
