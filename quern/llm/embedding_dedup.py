@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, prepare
+from quern.llm.common import cut_lineage, pieces_of, prepare
 from quern.llm.components import Joined, connected_components
 
 #: Vectors of the sample that the upper nets come from, centres of the last upper net, at most.
@@ -254,8 +254,8 @@ def _place(centres: np.ndarray):
     return run
 
 
-def _pack(size: int):
-    """Packs of one leaf's points, of at most ``size``, in the order of their trees."""
+def _leaf_runs(size: int):
+    """Runs of one leaf's points in order of their distance, of at most ``size``, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -269,13 +269,28 @@ def _pack(size: int):
         spans = [(low, min(low + size, high)) for first, high in zip(edges, edges[1:]) for low in range(first, high, size)]
         for number, (low, high) in enumerate(spans):
             part = table.slice(low, high - low)
-            raw = _matrix(part["vector"])
-            unit = _unit(raw)
-            order, nodes, radius = grow(unit)
-            ids, copies = (part[c].to_numpy()[order].astype(np.int64) for c in ("point", "copies"))
-            values = [TaskContext.get().partitionId() << 20 | number, int(leaf[low]), unit[0].tolist(), float(radius[0]), *(x.tobytes() for x in (ids, copies, raw[order], nodes.astype(np.int32), radius))]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * len(BODY)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["pack", "leaf", "centre", "radius", *BODY])
+            ids, copies = (part[c].to_numpy().astype(np.int64).tobytes() for c in ("point", "copies"))
+            values = [int(leaf[low]), TaskContext.get().partitionId() << 20 | number, int(high - low), ids, copies, _matrix(part["vector"]).tobytes()]
+            kinds = [*[pa.int64()] * 3, *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["leaf", "run", "rows", "points", "copies", "vectors"])
+
+    return run
+
+
+def _pack(kind: str):
+    """Packs in the order of their trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids, copies = (np.frombuffer(b"".join(row[c]), np.int64) for c in ("points", "copies"))
+                raw = np.frombuffer(b"".join(row["vectors"]), kind).reshape(len(ids), -1)
+                unit = _unit(raw)
+                order, nodes, radius = grow(unit)
+                values = [row["leaf"] << 32 | row["piece"], row["leaf"], unit[0].tolist(), float(radius[0]), *(x.tobytes() for x in (ids[order], copies[order], raw[order], nodes.astype(np.int32), radius))]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * len(BODY)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["pack", "leaf", "centre", "radius", *BODY])
 
     return run
 
@@ -330,8 +345,12 @@ def near_pairs(points: DataFrame, cosine: float) -> DataFrame:
     if kind not in ("float", "double"):
         points, kind = points.withColumn("vector", F.col("vector").cast("array<double>")), "double"
     placed = points.select("point", "copies", "vector").mapInArrow(_place(centres), f"point long, copies long, vector array<{kind}>, leaf long, away double")
+    raw = ("points", "copies", "vectors")
+    ordered = placed.repartitionByRange(max(1, -(-rows // size)), "leaf", "away", "point")
+    runs = ordered.mapInArrow(_leaf_runs(max(1, size // 4)), "leaf long, run long, rows long, " + ", ".join(f"{c} binary" for c in raw))
     schema = "pack long, leaf long, centre array<double>, radius double, " + ", ".join(f"{c} binary" for c in BODY)
-    packs = cut_lineage(placed.repartitionByRange(max(1, -(-rows // size)), "leaf", "away", "point").mapInArrow(_pack(MOST_PACK), schema))
+    pieces = pieces_of(cut_lineage(runs), size, raw, by=("leaf",)).select("leaf", "piece", *(F.col(f"parts.{c}").alias(c) for c in raw))
+    packs = cut_lineage(pieces.mapInArrow(_pack("f4" if kind == "float" else "f8"), schema))
     apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, p: s + p))
     own = F.broadcast(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "leaf long, middle array<double>"))
     radii = np.zeros(len(centres))
