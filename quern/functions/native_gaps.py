@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 
 @pandas_udf(StringType())
@@ -20,33 +20,3 @@ def compatibility_form(text: pd.Series) -> pd.Series:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity of two strings (not an edit distance)."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-
-@pandas_udf(StringType())
-def without_repeats(text: pd.Series) -> pd.Series:
-    """Sentences that repeat one of the last six kept ones are left out."""
-
-    def once(t: str | None) -> str | None:
-        if t is None:
-            return None
-        kept: list[str] = []
-        for sentence in (s.strip() for s in t.split(".")):
-            if sentence and sentence.lower() not in [k.lower() for k in kept[-6:]]:
-                kept.append(sentence)
-        return ". ".join(kept)
-
-    return text.map(once)
-
-
-@pandas_udf(ArrayType(IntegerType()))
-def fitted_chunks(lengths: pd.Series, fixed: pd.Series, budget: pd.Series) -> pd.Series:
-    """Positions of the chunks (token counts, best first) that fit a budget after its fixed part: the last
-    ones go first, and one chunk stays if there is any."""
-
-    def fit(own, used: int, most: int) -> list[int]:
-        kept = list(range(len(own)))
-        while len(kept) > 1 and used + sum(own[i] for i in kept) > most:
-            kept.pop()
-        return kept
-
-    return pd.Series([fit(list(n), f, b) for n, f, b in zip(lengths, fixed, budget)])

@@ -1,41 +1,39 @@
-"""Recognised text boxes of a page as a table: columns and rows by their centres, cells by overlap.
+"""Recognised text boxes of a page as a table: columns and rows by their centres, cells by nearness.
 
-The geometry is a fold over one page's boxes, of which there are few; pages are dealt out by key."""
+A page's few boxes are one row's array, over which the centres are folded; pages are dealt out by key, once."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-SCHEMA = "page long, row_no int, column_no int, text string, n_boxes int, confidence double"
 
+def gap_centres(values: Column, gap: float) -> Column:
+    """Centres of clusters on a line: values in rising order; each either opens a cluster, if it is further than
+    ``gap`` from the latest centre, or moves that centre to the middle between them."""
+    empty = F.array().cast("array<double>")
 
-def cluster_centres(values: list[float], gap: float) -> list[float]:
-    """Centres of values in order: one that lies within ``gap`` of the last centre moves it halfway."""
-    centres: list[float] = []
-    for value in sorted(values):
-        if centres and value - centres[-1] <= gap:
-            centres[-1] = (centres[-1] + value) / 2
-        else:
-            centres.append(value)
-    return centres
+    def step(found: Column, value: Column) -> Column:
+        latest = F.try_element_at(found, F.lit(-1))
+        apart = latest.isNull() | (value - latest > gap)
+        return F.when(apart, F.array_append(found, value)).otherwise(F.array_append(F.slice(found, 1, F.size(found) - 1), (latest + value) / 2))
 
+    return F.aggregate(F.array_sort(values), empty, step)
 
-def nearest(centres: list[float], value: float) -> int:
-    return min(range(len(centres)), key=lambda i: (abs(centres[i] - value), i))
 
-
-def table_cells(column_gap: float = 30.0, row_gap: float = 16.0):
-    def cells(boxes: pd.DataFrame) -> pd.DataFrame:
-        x, y = (boxes["x1"] + boxes["x2"]) / 2, (boxes["y1"] + boxes["y2"]) / 2
-        columns, rows = cluster_centres(list(x), column_gap), cluster_centres(list(y), row_gap)
-        placed = boxes.assign(row_no=[nearest(rows, v) for v in y], column_no=[nearest(columns, v) for v in x]).sort_values(["row_no", "column_no", "y1", "x1", "text"])
-        grouped = placed.groupby(["page", "row_no", "column_no"], as_index=False)
-        return grouped.agg(text=("text", " ".join), n_boxes=("text", "size"), confidence=("confidence", "mean")).astype({"row_no": "int32", "column_no": "int32", "n_boxes": "int32"})
-
-    return cells
+def nearest_centre(centres: Column, value: Column) -> Column:
+    """The place, from 0, of the centre nearest to a value; of equally near ones the first."""
+    away = F.transform(centres, lambda c: F.abs(c - value))
+    return (F.array_position(away, F.array_min(away)) - 1).cast("int")
 
 
 def grid(boxes: DataFrame, column_gap: float = 30.0, row_gap: float = 16.0) -> DataFrame:
     """(page, row_no, column_no, text, n_boxes, confidence) from (page, text, x1, y1, x2, y2, confidence)."""
-    return boxes.groupBy("page").applyInPandas(table_cells(column_gap, row_gap), SCHEMA)
+    middle = lambda a, b: F.transform("boxes", lambda box: (box[a] + box[b]) / 2)
+    pages = boxes.groupBy("page").agg(F.collect_list(F.struct("y1", "x1", "text", "y2", "x2", "confidence")).alias("boxes"))
+    pages = pages.withColumn("columns", gap_centres(middle("x1", "x2"), column_gap)).withColumn("rows", gap_centres(middle("y1", "y2"), row_gap))
+    placed = pages.select("page", "columns", "rows", F.explode("boxes").alias("box"))
+    x, y = (F.col("box.x1") + F.col("box.x2")) / 2, (F.col("box.y1") + F.col("box.y2")) / 2
+    cells = placed.select("page", nearest_centre(F.col("rows"), y).alias("row_no"), nearest_centre(F.col("columns"), x).alias("column_no"), "box")
+    words = F.transform(F.array_sort(F.collect_list("box")), lambda box: box["text"])
+    return cells.groupBy("page", "row_no", "column_no").agg(F.array_join(words, " ").alias("text"), F.count("*").cast("int").alias("n_boxes"), F.avg("box.confidence").alias("confidence"))

@@ -20,19 +20,20 @@ def title_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compatibility_titles(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", native_gaps.compatibility_form(F.substring("text", 1, 80)).alias("title"))
+    """Keys of whole first lines: compatibility form, letters and digits only, in capitals."""
+    d = table(spark, sf, "documents").select("doc_id", native_gaps.compatibility_form(F.substring_index("text", "\n", 1)).alias("title"))
     return d.select("doc_id", F.upper(F.regexp_replace("title", r"[^\p{L}\p{N}]+", "")).alias("title_key"))
 
 
 def sentence_repeat_removal(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", native_gaps.without_repeats("text").alias("text"))
+    return c.select("conv_id", "turn", texts.without_repeats(F.col("text")).alias("text"))
 
 
 def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
     """How many of a text's chunks fit a budget of 900 estimated tokens beside 100 fixed ones."""
     d = table(spark, sf, "documents").select("doc_id", F.transform(texts.paragraph_chunks(F.col("text")), lambda c: texts.token_estimate(c).cast("int")).alias("lengths"))
-    return d.select("doc_id", F.size("lengths").alias("n_chunks"), F.size(native_gaps.fitted_chunks("lengths", F.lit(100), F.lit(900))).alias("n_fitted"))
+    return d.select("doc_id", F.size("lengths").alias("n_chunks"), texts.fitted_count(F.col("lengths"), 100, 900).alias("n_fitted"))
 
 
 def ocr_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +49,27 @@ def ocr_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (title_similarity, compatibility_titles, sentence_repeat_removal, prompt_budget, ocr_grid)}
+_BOXES = """b AS (SELECT l_orderkey AS page, l_returnflag AS text, (l_linenumber - 1) % 3 * 100 + l_quantity % 7 AS x1, (l_linenumber - 1) % 3 * 100 + 60 + l_quantity % 7 AS x2,
+        (l_linenumber - 1) // 3 * 40 + l_quantity % 7 / 2 AS y1, (l_linenumber - 1) // 3 * 40 + 18 + l_quantity % 7 / 2 AS y2, 1 - l_discount AS confidence FROM lineitem)"""
+_CENTRES = lambda name, values, gap: f"""{name}0 AS (SELECT page, list({values} ORDER BY {values}) AS v FROM b GROUP BY page),
+        {name}1 AS (SELECT page, v, 1 AS i, [v[1]] AS c FROM {name}0 UNION ALL
+            SELECT page, v, i + 1, CASE WHEN v[i + 1] - c[-1] > {gap} THEN list_append(c, v[i + 1]) ELSE list_append(c[:len(c) - 1], (c[-1] + v[i + 1]) / 2) END FROM {name}1 WHERE i < len(v)),
+        {name} AS (SELECT page, c FROM {name}1 WHERE i = len(v))"""
+_NEAREST = lambda c, v: f"(list_position(list_transform({c}, lambda q: abs(q - ({v}))), list_min(list_transform({c}, lambda q: abs(q - ({v}))))) - 1)::INT"
+
 ORACLES = {
+    "ocr_grid": f"""WITH RECURSIVE {_BOXES}, {_CENTRES('x', '(x1 + x2) / 2', 30)}, {_CENTRES('y', '(y1 + y2) / 2', 16)},
+        p AS (SELECT page, {_NEAREST('y.c', '(y1 + y2) / 2')} AS row_no, {_NEAREST('x.c', '(x1 + x2) / 2')} AS column_no, y1, x1, text, confidence FROM b JOIN x USING (page) JOIN y USING (page))
+        SELECT page, row_no, column_no, string_agg(text, ' ' ORDER BY y1, x1, text) AS text, count(*)::INT AS n_boxes, avg(confidence) AS confidence FROM p GROUP BY page, row_no, column_no""",
+    "sentence_repeat_removal": r"""WITH RECURSIVE s AS (SELECT conv_id, turn, string_split(regexp_replace(text, '(\n+)', chr(2) || '\1' || chr(2), 'g'), chr(2)) AS parts FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+        t AS (SELECT conv_id, turn, flatten(list_transform(parts, lambda p: CASE WHEN starts_with(p, chr(10)) THEN [p] ELSE list_filter(list_transform(string_split(regexp_replace(p, '([.!?。！？요다까죠])\s+', '\1' || chr(3), 'g'), chr(3)),
+            lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') END)) AS t FROM s),
+        f AS (SELECT conv_id, turn, t, 0 AS i, '' AS done, []::VARCHAR[] AS recent, false AS inside FROM t UNION ALL
+            SELECT conv_id, turn, t, i + 1, CASE WHEN line THEN done || x WHEN seen THEN done ELSE done || CASE WHEN inside THEN ' ' ELSE '' END || x END,
+                CASE WHEN line OR seen THEN recent ELSE list_append(recent, plain)[-6:] END, CASE WHEN line THEN false WHEN seen THEN inside ELSE true END
+            FROM (SELECT *, starts_with(x, chr(10)) AS line, list_contains(recent, plain) AS seen FROM (SELECT *, t[i + 1] AS x, regexp_replace(t[i + 1], '\s+', ' ', 'g') AS plain FROM f WHERE i < len(t))))
+        SELECT conv_id, turn, regexp_replace(regexp_replace(done, '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM f WHERE i = len(t)
+        UNION ALL SELECT conv_id, turn, NULL FROM conversations WHERE role = 'assistant' AND text IS NULL""",
     "prompt_budget": CHUNKS
     + """, l AS (SELECT doc_id, list_transform(chunks, lambda c: greatest(1, length(c) // 4)) AS n FROM e)
         SELECT doc_id, len(n)::INT AS n_chunks, least(len(n), greatest(1, len(list_filter(range(1, len(n) + 1), lambda k: 100 + list_sum(n[1:k]) <= 900))))::INT AS n_fitted FROM l""",

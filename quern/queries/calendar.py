@@ -91,9 +91,9 @@ def day_badges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weekday_series(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each weekday of an order's first 21 days, without fixed holidays."""
+    """One row for each weekday of the 21 days from an order's day on, without fixed holidays."""
     holidays = spark.createDataFrame([(m, d) for m, d in HOLIDAYS], "month int, day_of_month int")
-    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.to_date("o_orderdate").alias("low"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("low"))
     days = o.select("o_orderkey", F.explode(intervals.day_series(F.col("low"), F.date_add("low", 20))).alias("day")).where(F.weekday("day") < 5)
     marked = days.withColumn("month", F.month("day")).withColumn("day_of_month", F.dayofmonth("day"))
     return marked.join(F.broadcast(holidays), ["month", "day_of_month"], "left_anti").select("o_orderkey", "day")
@@ -119,12 +119,17 @@ def visibility_case(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audience_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers and customers of one nation group, where a null on either side of a further key fits: an
-    account below zero counts as unknown, and the segment by the account's sign."""
-    c = table(spark, sf, "customer").where("c_custkey <= 100").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 2000)).alias("c_band"))
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.when(F.col("s_acctbal") >= 0, F.floor(F.col("s_acctbal") / 2000)).alias("s_band"))
-    fits = F.col("c_band").isNull() | F.col("s_band").isNull() | (F.col("c_band") == F.col("s_band"))
-    return c.join(s, "c_nationkey").where(fits).select("c_custkey", "s_suppkey")
+    """How many suppliers suit each customer, and the first: of their nation and of the same band, where a null on
+    either side fits (an account below zero has no band). Suppliers are counted by nation and band first."""
+    band = lambda c: F.when(F.col(c) >= 0, F.floor(F.col(c) / 2000)).alias("band")
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), band("c_acctbal"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), band("s_acctbal"))
+    per = s.groupBy("nation", "band").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))
+    every = per.groupBy("nation").agg(F.sum("n").alias("n_all"), F.min("first").alias("first_all"), F.sum(F.when(F.col("band").isNull(), F.col("n"))).alias("n_open"), F.min(F.when(F.col("band").isNull(), F.col("first"))).alias("first_open"))
+    joined = c.join(every, "nation").join(per.where("band IS NOT NULL"), ["nation", "band"], "left")
+    n = F.when(F.col("band").isNull(), F.col("n_all")).otherwise(F.coalesce("n", F.lit(0)) + F.coalesce("n_open", F.lit(0)))
+    first = F.when(F.col("band").isNull(), F.col("first_all")).otherwise(F.least("first", "first_open"))
+    return joined.select("c_custkey", n.alias("n_suppliers"), first.alias("first_supplier")).where("n_suppliers > 0")
 
 
 def priority_order_page(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,11 +160,11 @@ def span_parse(spark: SparkSession, sf: str) -> DataFrame:
     """'3/2 ~ 3/9' spans and times within a text: start, end (exclusive, the next day) and a deadline a minute on."""
     a = F.to_date("l_shipdate")
     text = F.concat(F.month(a), F.lit("/"), F.dayofmonth(a), F.lit(" ~ "), F.month(F.date_add(a, 5)), F.lit("/"), F.dayofmonth(F.date_add(a, 5)), F.lit(" 18:30"))
-    lines = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", text.alias("line"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("line"))
     part = lambda i: F.regexp_extract("line", r"(\d+)/(\d+) ~ (\d+)/(\d+) (\d+):(\d+)", i).cast("int")
     date = lambda m, d: F.try_to_date(F.concat_ws("-", F.lit("2024"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
     low, high = date(part(1), part(2)), date(part(3), part(4))
-    return lines.select("l_orderkey", low.alias("start_day"), F.date_add(F.when(high < low, low).otherwise(high), 1).alias("end_day"), (part(5) * 60 + part(6) + 1).alias("deadline_minute"))
+    return lines.select("l_orderkey", "l_linenumber", low.alias("start_day"), F.date_add(F.when(high < low, low).otherwise(high), 1).alias("end_day"), (part(5) * 60 + part(6) + 1).alias("deadline_minute"))
 
 
 QUERIES = {
@@ -188,7 +193,7 @@ ORACLES = {
     "day_badges": SHIPMENTS + f""", d AS (SELECT *, deadline_at::DATE - DATE '{NOW}' AS n FROM s WHERE deadline_at IS NOT NULL)
         SELECT o_orderkey, CASE WHEN n = 0 THEN 'D-Day' WHEN n > 0 THEN 'D-' || n ELSE 'D+' || -n END AS badge, greatest(n, 0)::INT AS days_left,
         CASE WHEN n <= 1 THEN 40 WHEN n <= 3 THEN 30 WHEN n <= 7 THEN 20 WHEN n <= 14 THEN 10 ELSE 0 END AS urgency, (end_at::DATE - start_at::DATE) >= 3 AS is_long FROM d""",
-    "weekday_series": f"""SELECT o_orderkey, day FROM (SELECT o_orderkey, unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + 20, INTERVAL 1 DAY))::DATE AS day FROM orders WHERE o_orderpriority = '1-URGENT')
+    "weekday_series": f"""SELECT o_orderkey, day FROM (SELECT o_orderkey, unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + 20, INTERVAL 1 DAY))::DATE AS day FROM orders)
         WHERE isodow(day) < 6 AND (month(day), day(day)) NOT IN ({', '.join(map(str, HOLIDAYS))})""",
     "consecutive_runs": """WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'error'),
         a AS (SELECT user_id, day, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INT AS anchor FROM d),
@@ -197,16 +202,16 @@ ORACLES = {
     "visibility_case": """WITH r AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN 'always' WHEN k IS NULL THEN 'no metadata' WHEN event_type = 'error' AND k < 30 THEN 'noise'
         WHEN k % 7 = 0 THEN 'source' WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'default' END AS reason FROM (SELECT *, (props->>'$.k')::INT AS k FROM events))
         SELECT event_id, reason, reason IN ('always', 'default') AS visible FROM r""",
-    "audience_match": """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 2000) END AS b FROM customer WHERE c_custkey <= 100),
+    "audience_match": """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 2000) END AS b FROM customer),
         s AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal >= 0 THEN floor(s_acctbal / 2000) END AS b FROM supplier)
-        SELECT c_custkey, s_suppkey FROM c JOIN s ON c_nationkey = s_nationkey AND (c.b IS NULL OR s.b IS NULL OR c.b = s.b)""",
+        SELECT c_custkey, count(*) AS n_suppliers, min(s_suppkey) AS first_supplier FROM c JOIN s ON c_nationkey = s_nationkey AND (c.b IS NULL OR s.b IS NULL OR c.b = s.b) GROUP BY c_custkey""",
     "priority_order_page": """SELECT o_orderkey, o_orderdate, CASE WHEN o_orderpriority = '2-HIGH' THEN 0 WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 2 END AS priority
         FROM orders ORDER BY priority, o_orderdate, o_orderkey LIMIT 20 OFFSET 40""",
     "important_first": """SELECT o_orderkey, o_orderdate::DATE AS day, o_totalprice > 300000 AS important,
         (row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY o_totalprice > 300000 DESC, o_orderdate, o_orderkey))::INT AS place FROM orders""",
     "text_dates": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y.%m.%d') WHEN 2 THEN strftime(o_orderdate, '%Y/%m/%d')
         WHEN 3 THEN strftime(o_orderdate, '%Y%m%d') ELSE '2026-13-45' END AS written, CASE WHEN o_orderkey % 5 < 4 THEN o_orderdate::DATE END AS parsed FROM orders""",
-    "span_parse": """WITH t AS (SELECT l_orderkey, l_shipdate::DATE AS a, l_shipdate::DATE + 5 AS b FROM lineitem WHERE l_linenumber = 1),
-        u AS (SELECT l_orderkey, try_cast('2024-' || strftime(a, '%m-%d') AS DATE) AS lo, try_cast('2024-' || strftime(b, '%m-%d') AS DATE) AS hi FROM t)
-        SELECT l_orderkey, lo AS start_day, CASE WHEN hi < lo THEN lo ELSE hi END + 1 AS end_day, 18 * 60 + 31 AS deadline_minute FROM u""",
+    "span_parse": """WITH t AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS a, l_shipdate::DATE + 5 AS b FROM lineitem),
+        u AS (SELECT l_orderkey, l_linenumber, try_cast('2024-' || strftime(a, '%m-%d') AS DATE) AS lo, try_cast('2024-' || strftime(b, '%m-%d') AS DATE) AS hi FROM t)
+        SELECT l_orderkey, l_linenumber, lo AS start_day, CASE WHEN hi < lo THEN lo ELSE hi END + 1 AS end_day, 18 * 60 + 31 AS deadline_minute FROM u""",
 }

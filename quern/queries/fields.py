@@ -83,9 +83,9 @@ def relative_dates(spark: SparkSession, sf: str) -> DataFrame:
 def metadata_date_filter(spark: SparkSession, sf: str) -> DataFrame:
     """ISO dates compared as text: a range that overlaps, a missing end taken as the start, blank passing."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
-    l = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", iso("l_shipdate").alias("start_date"), F.when(F.col("l_quantity") > 25, iso(F.date_add("l_shipdate", 10))).alias("end_date"))  # noqa: E741
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", iso("l_shipdate").alias("start_date"), F.when(F.col("l_quantity") > 25, iso(F.date_add("l_shipdate", 10))).alias("end_date"))  # noqa: E741
     low, high = "1997-05-01", "1997-05-20"
-    return l.where((F.col("start_date") <= high) & (F.coalesce("end_date", "start_date") >= low)).select("l_orderkey", "start_date", "end_date")
+    return l.where((F.col("start_date") <= high) & (F.coalesce("end_date", "start_date") >= low)).select("l_orderkey", "l_linenumber", "start_date", "end_date")
 
 
 def answer_cleaning(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +147,7 @@ ORACLES = {
         SELECT o_orderkey, word, CASE word WHEN 'today' THEN d WHEN 'tomorrow' THEN d + 1 WHEN 'this week' THEN w WHEN 'next week' THEN w + 7 WHEN 'this month' THEN m WHEN 'next month' THEN (m + INTERVAL 1 MONTH)::DATE END AS low,
         CASE word WHEN 'today' THEN d WHEN 'tomorrow' THEN d + 1 WHEN 'this week' THEN w + 6 WHEN 'next week' THEN w + 13 WHEN 'this month' THEN last_day(m) WHEN 'next month' THEN last_day((m + INTERVAL 1 MONTH)::DATE) END AS high,
         word IN ('today', 'tomorrow') AS exact FROM b""",
-    "metadata_date_filter": """WITH l AS (SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS start_date, CASE WHEN l_quantity > 25 THEN strftime(l_shipdate + INTERVAL 10 DAY, '%Y-%m-%d') END AS end_date FROM lineitem WHERE l_linenumber = 1)
+    "metadata_date_filter": """WITH l AS (SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS start_date, CASE WHEN l_quantity > 25 THEN strftime(l_shipdate + INTERVAL 10 DAY, '%Y-%m-%d') END AS end_date FROM lineitem)
         SELECT * FROM l WHERE start_date <= '1997-05-20' AND coalesce(end_date, start_date) >= '1997-05-01'""",
     "answer_cleaning": r"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?is)^(assistant|answer)\s*:\s*', ''), '(?s)```.*?```', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t
             FROM conversations WHERE role = 'assistant')

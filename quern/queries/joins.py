@@ -95,7 +95,7 @@ def subject_match(spark: SparkSession, sf: str) -> DataFrame:
 def spatial_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes (an order line's discount, tax and quantity as a rectangle) placed into the cell of a 10 by 5
     grid that they overlap most. A box meets only the cells that its corners span."""
-    b = table(spark, sf, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 1000).alias("x1"), (F.col("l_discount") * 1000 + F.col("l_quantity") / 4).alias("x2"), (F.col("l_tax") * 600).alias("y1"), (F.col("l_tax") * 600 + 6).alias("y2"))
+    b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 1000).alias("x1"), (F.col("l_discount") * 1000 + F.col("l_quantity") / 4).alias("x2"), (F.col("l_tax") * 600).alias("y1"), (F.col("l_tax") * 600 + 6).alias("y2"))
     span = lambda low, high: F.sequence(F.floor(F.col(low) / 10).cast("int"), F.floor(F.col(high) / 10).cast("int"))
     cells = b.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
     side = lambda low, high, c: F.greatest(F.lit(0.0), F.least(F.col(high), F.col(c) * 10 + 10.0) - F.greatest(F.col(low), F.col(c) * 10.0))
@@ -107,7 +107,7 @@ def spatial_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def track_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """One event for each track of a common one; others keep their own."""
     tracks = F.array(*map(F.lit, ("java", "python", "mobile", "embedded")))
-    e = table(spark, sf, "events").where("event_id < 2000")
+    e = table(spark, sf, "events")
     own = F.array(F.try_element_at(tracks, (F.col("user_id") % 4 + 1).cast("int")))
     return e.select("event_id", F.explode(F.when(F.col("event_type") == "signup", tracks).otherwise(own)).alias("track"))
 
@@ -158,12 +158,12 @@ ORACLES = {
     "upsert_rows": """SELECT event_id, round(CASE WHEN event_id % 4 = 0 THEN value + 10 ELSE value END, 4) AS value, CASE WHEN event_id % 4 = 0 AND value + 10 >= 60 THEN 'PASS' ELSE 'FAIL' END AS status FROM events""",
     "subject_match": """WITH m AS (SELECT DISTINCT right(p_brand, 1) AS mark FROM part), h AS (SELECT p_partkey, mark, (mark = right(p_brand, 1))::INT AS exact FROM part JOIN m ON contains(left(md5(p_name), 6), mark))
         SELECT p_partkey, mark, CASE WHEN exact = 1 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM h QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, mark DESC) = 1""",
-    "spatial_overlap": """WITH b AS (SELECT l_orderkey, l_linenumber, l_discount * 1000 AS x1, l_discount * 1000 + l_quantity / 4 AS x2, l_tax * 600 AS y1, l_tax * 600 + 6 AS y2 FROM lineitem WHERE l_linenumber <= 2),
+    "spatial_overlap": """WITH b AS (SELECT l_orderkey, l_linenumber, l_discount * 1000 AS x1, l_discount * 1000 + l_quantity / 4 AS x2, l_tax * 600 AS y1, l_tax * 600 + 6 AS y2 FROM lineitem),
         g AS (SELECT cx, cy FROM range(0, 12) a(cx), range(0, 7) c(cy)),
         o AS (SELECT l_orderkey, l_linenumber, cx::INT AS cx, cy::INT AS cy, round(greatest(0.0, least(x2, cx * 10 + 10.0) - greatest(x1, cx * 10.0)) * greatest(0.0, least(y2, cy * 10 + 10.0) - greatest(y1, cy * 10.0)), 6) AS area
             FROM b JOIN g ON floor(x1 / 10) <= cx AND cx <= floor(x2 / 10) AND floor(y1 / 10) <= cy AND cy <= floor(y2 / 10))
         SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY area DESC, cx, cy) = 1""",
-    "track_expansion": """SELECT event_id, unnest(CASE WHEN event_type = 'signup' THEN ['java', 'python', 'mobile', 'embedded'] ELSE [['java', 'python', 'mobile', 'embedded'][user_id % 4 + 1]] END) AS track FROM events WHERE event_id < 2000""",
+    "track_expansion": """SELECT event_id, unnest(CASE WHEN event_type = 'signup' THEN ['java', 'python', 'mobile', 'embedded'] ELSE [['java', 'python', 'mobile', 'embedded'][user_id % 4 + 1]] END) AS track FROM events""",
     "multiset_intersection": f"SELECT word, least(a, b) AS n FROM ({_BAG.format(n='a', lang='en')}) JOIN ({_BAG.format(n='b', lang='de')}) USING (word)",
     "qna_pairs": """WITH a AS (SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1 HAVING count(*) >= 2),
         q AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1)

@@ -42,7 +42,7 @@ def chat_context_prev6(spark: SparkSession, sf: str) -> DataFrame:
     """The six messages before each answer, oldest first."""
     before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
     c = table(spark, sf, "conversations")
-    context = F.collect_list(F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.substring(F.coalesce("text", F.lit("")), 1, 40))).over(before)
+    context = F.collect_list(F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))).over(before)
     return c.withColumn("context", F.array_join(context, " / ")).where("role = 'assistant'").select("conv_id", "turn", "context")
 
 
@@ -66,7 +66,7 @@ def neighbour_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     own = W.partitionBy("doc_id").orderBy("line_no")
     near = lines.select("doc_id", "line_no", "line", F.lag("line").over(own).alias("before"), F.lead("line").over(own).alias("after"))
-    return near.where(F.length("line") < 30).select("doc_id", "line_no", "line", F.substring(F.coalesce("before", F.lit("")), 1, 20).alias("before"), F.substring(F.coalesce("after", F.lit("")), 1, 20).alias("after"))
+    return near.where(F.length("line") < 30).select("doc_id", "line_no", "line", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
 
 
 def forward_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +97,7 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 def quota_sample(spark: SparkSession, sf: str) -> DataFrame:
     """150 rows of fixed shares by language; what a language lacks is filled from the others in hash order."""
     quotas = F.create_map(*(F.lit(x) for pair in {"en": 90, "de": 30, "fr": 20, "es": 10}.items() for x in pair))
-    d = table(spark, sf, "documents").where("n_chars > 800").select("doc_id", "lang", portable_key(F.lit("7"), F.col("doc_id").cast("string")).alias("key"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", portable_key(F.lit("7"), F.col("doc_id").cast("string")).alias("key"))
     # no row beyond the 150th of its language can be taken
     ranked = first_n_per_key(d, ["lang"], ["key", "doc_id"], 150).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id")))
     turn = F.when(F.col("rank") <= quotas[F.col("lang")], 0).otherwise(1)
@@ -163,13 +163,13 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_extendedprice DESC, l_shipdate DESC, l_linenumber) = 1""",
     "nth_ranked": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 3",
     "chat_context_prev6": """SELECT conv_id, turn, context FROM (SELECT conv_id, turn, role,
-        coalesce(string_agg(coalesce(role, '') || ':' || left(coalesce(text, ''), 40), ' / ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations)
+        coalesce(string_agg(coalesce(role, '') || ':' || coalesce(text, ''), ' / ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations)
         WHERE role = 'assistant'""",
     "chat_last8": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8",
     "chat_latest_message": """SELECT conv_id, left(arg_max(text, turn), 120) AS preview, max(turn) FILTER (role = 'assistant') AS last_answer FROM conversations GROUP BY conv_id""",
     "chat_session_stats": """SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn, count(*) FILTER (role = 'user') AS n_user FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 100""",
     "neighbour_lines": f"""WITH n AS (SELECT *, lag(line) OVER w AS b, lead(line) OVER w AS a FROM {LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-        SELECT doc_id, line_no::INT AS line_no, line, left(coalesce(b, ''), 20) AS before, left(coalesce(a, ''), 20) AS after FROM n WHERE length(line) < 30""",
+        SELECT doc_id, line_no::INT AS line_no, line, coalesce(b, '') AS before, coalesce(a, '') AS after FROM n WHERE length(line) < 30""",
     "forward_fill": """WITH p AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS signup_value, count(*) FILTER (event_type = 'signup') OVER w AS period
             FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
         SELECT event_id, signup_value, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, period ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS purchase_value FROM p""",
@@ -177,7 +177,7 @@ ORACLES = {
         SELECT doc_id, section::BIGINT AS section, arg_min(line, line_no) AS heading, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM m GROUP BY doc_id, section""",
     "stratified_split": """WITH r AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5('42-' || doc_id), doc_id) AS rank FROM documents)
         SELECT doc_id, lang, CASE WHEN rank <= CASE WHEN n <= 1 THEN 0 ELSE greatest(1, least(n - 1, round_even(n * 0.1, 0)::BIGINT)) END THEN 'eval' ELSE 'train' END AS split FROM r""",
-    "quota_sample": """WITH r AS (SELECT doc_id, lang, md5('7-' || doc_id) AS key, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id), doc_id) AS rank FROM documents WHERE n_chars > 800),
+    "quota_sample": """WITH r AS (SELECT doc_id, lang, md5('7-' || doc_id) AS key, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id), doc_id) AS rank FROM documents),
         q AS (SELECT *, CASE WHEN rank <= CASE lang WHEN 'en' THEN 90 WHEN 'de' THEN 30 WHEN 'fr' THEN 20 WHEN 'es' THEN 10 END THEN 0 ELSE 1 END AS turn FROM r)
         SELECT doc_id, lang FROM q ORDER BY turn, key, doc_id LIMIT 150""",
     "balanced_upsample": """WITH r AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),

@@ -79,8 +79,9 @@ def retrieval_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_embed_sparse(spark: SparkSession, sf: str) -> DataFrame:
     """Signed feature hashing of the words in 384 dimensions, of unit length, as sparse rows."""
-    d = table(spark, sf, "documents").where("n_chars < 2000").select("doc_id", F.explode(texts.signed_hash_features(F.col("text"))).alias("f"))
-    summed = d.groupBy("doc_id", F.col("f.dimension").alias("dimension")).agg(F.sum("f.sign").alias("v"))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(texts.word_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    d = words.select("doc_id", "n", texts.signed_feature(F.col("word")).alias("f"))
+    summed = d.groupBy("doc_id", F.col("f.dimension").alias("dimension")).agg(F.sum(F.col("f.sign") * F.col("n")).alias("v"))
     norms = summed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
     return summed.join(norms, "doc_id").where("v <> 0").select("doc_id", "dimension", F.round(F.col("v") / F.col("norm"), 6).alias("weight"))
 
@@ -107,11 +108,11 @@ def vector_batch_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def _questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return documents, table(spark, sf, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
+    return documents, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def question_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark openings as questions: lexical hits, reranked, the three best of each."""
+    """Benchmark items as questions: lexical hits, reranked, the three best of each."""
     documents, questions = _questions(spark, sf)
     return plan.reranked(plan.merged(plan.lexical_hits(documents, questions, 20)), documents, questions, 3)
 
@@ -130,7 +131,7 @@ _LEX = f"(SELECT doc_id, round(least(1.0, 0.1::DOUBLE * {_HITS(TERMS)}), 4) AS s
 _TOP = f"(SELECT * FROM {_LEX} WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50)"
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
-_QUESTION = f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format('left(text, 60)')} AS w FROM benchmark WHERE item_id % 2 = 0), d AS (SELECT doc_id AS id, {_WORDS.format('text')} AS w FROM documents),
+_QUESTION = f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format('text')} AS w FROM benchmark), d AS (SELECT doc_id AS id, {_WORDS.format('text')} AS w FROM documents),
     s AS (SELECT query_id, id, round(least(1.0, len(list_intersect(q.w, d.w)) * 0.1::DOUBLE), 4) AS score, q.w AS qw, d.w AS dw FROM q JOIN d ON list_has_any(q.w, d.w)),
     h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20)"""
 
@@ -152,7 +153,7 @@ ORACLES = {
         WHERE h > 0 ORDER BY score DESC, n_chars DESC, doc_id DESC LIMIT 4""",
     "retrieval_evaluate": f"""SELECT lang, source, n, best, CASE WHEN best < 0.3 THEN 'low score' WHEN NOT named THEN 'term missing' ELSE 'enough' END AS verdict FROM
         (SELECT lang, source, count(*) AS n, max(score) AS best, bool_or(contains(lower(text), 'license')) AS named FROM documents JOIN {_LEX} USING (doc_id) GROUP BY ALL)""",
-    "hash_embed_sparse": r"""WITH w AS (SELECT doc_id, sha256(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS h FROM documents WHERE n_chars < 2000),
+    "hash_embed_sparse": r"""WITH w AS (SELECT doc_id, sha256(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS h FROM documents),
         f AS (SELECT doc_id, (('0x' || left(h, 8))::BIGINT % 384)::INT AS dimension, sum(CASE WHEN ('0x' || substring(h, 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL)
         SELECT doc_id, dimension, round(v / sqrt((sum(v * v) OVER (PARTITION BY doc_id))::DOUBLE), 6) AS weight FROM f QUALIFY v <> 0""",
     "vector_upsert": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM embeddings",

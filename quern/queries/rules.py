@@ -32,10 +32,17 @@ def route_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quality_score(spark: SparkSession, sf: str) -> DataFrame:
-    """A run's quality with penalties, between 0 and 1."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    score = clamp(F.lit(1.0) - points([(F.col("event_type") == "error", 0.6), (k < 20, 0.25), (F.col("value") < 10, 0.2), (F.col("value").isNull(), 0.5)]) + F.when(k > 90, 0.05).otherwise(0.0), 0.0, 1.0)
-    return table(spark, sf, "events").select("event_id", F.round(score, 3).alias("score"), (k < 20).alias("is_fallback"))
+    """A run's quality: a base by its kind (error, no context, fallback, plain), less what was not found, substituted,
+    slow or too short, between 0 and 1. Runs are events: their number tells the policy, their value the latency."""
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    policy = F.element_at(F.array(*map(F.lit, ("DIRECT", "RAG_FALLBACK", "NO_CONTEXT", "SCHEDULE_DB_DIRECT", "NO_EXACT_MATCH", "RAG"))), (n % 6 + 1).cast("int"))
+    run = table(spark, sf, "events").select("event_id", policy.alias("policy"), ((F.col("event_type") == "error") | (policy == "ERROR")).alias("is_error"), F.coalesce(k % 4, F.lit(0)).alias("retrieved"), F.coalesce(k % 3, F.lit(0)).alias("fallbacks"), F.coalesce(k % 5, F.lit(0)).alias("references"), (F.coalesce("value", F.lit(0.0)) * 100).cast("long").alias("latency"), F.col("event_type").alias("answer"))
+    lacks, falls = F.col("policy").rlike("NO_CONTEXT|NO_MATCH|NO_EXACT_MATCH"), F.col("policy").contains("FALLBACK")
+    base = first_rule([(F.col("is_error"), 0.1), (lacks, 0.45), (falls, 0.65)], 1.0)
+    nothing = (F.col("retrieved") == 0) & (F.col("references") == 0) & ~F.col("policy").contains("SCHEDULE_DB_DIRECT")
+    less = points([(nothing, 0.15), (F.col("fallbacks") > 0, 0.1), (F.length(F.trim("answer")) < 6, 0.1)]) + first_rule([(F.col("latency") >= 20000, 0.2), (F.col("latency") >= 10000, 0.1)], 0.0)
+    score = clamp(F.round(base - F.when(F.col("is_error") | lacks, 0.0).otherwise(less), 3), 0.0, 1.0)
+    return run.select("event_id", score.alias("score"), falls.alias("is_fallback"), lacks.alias("is_no_context"))
 
 
 def query_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,9 +102,11 @@ ORACLES = {
     "route_stage": """WITH s AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN (props->>'$.k')::INT < 10 THEN 'cache' WHEN event_type = 'view' AND (props->>'$.k')::INT < 50 THEN 'database'
         WHEN event_type IN ('click', 'view') THEN 'search' WHEN value > 50 THEN 'model' ELSE 'fallback' END AS stage FROM events)
         SELECT event_id, stage, stage IN ('search', 'model') AS used_rag, stage = 'database' AS used_db, CASE WHEN stage IN ('model', 'search') THEN 'model' WHEN stage = 'failed' THEN 'none' ELSE 'template' END AS generator FROM s""",
-    "quality_score": """WITH e AS (SELECT *, (props->>'$.k')::INT AS k FROM events)
-        SELECT event_id, round(greatest(0.0, least(1.0, 1.0::DOUBLE - (CASE WHEN event_type = 'error' THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN k < 20 THEN 0.25 ELSE 0 END + CASE WHEN value < 10 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN value IS NULL THEN 0.5 ELSE 0 END)
-        + CASE WHEN k > 90 THEN 0.05::DOUBLE ELSE 0 END)), 3) AS score, k < 20 AS is_fallback FROM e""",
+    "quality_score": """WITH e AS (SELECT *, (props->>'$.k')::INT AS k, ['DIRECT', 'RAG_FALLBACK', 'NO_CONTEXT', 'SCHEDULE_DB_DIRECT', 'NO_EXACT_MATCH', 'RAG'][event_id % 6 + 1] AS policy FROM events),
+        r AS (SELECT event_id, policy, event_type, event_type = 'error' AS is_error, contains(policy, 'FALLBACK') AS falls, regexp_matches(policy, 'NO_CONTEXT|NO_MATCH|NO_EXACT_MATCH') AS lacks, coalesce(k % 4, 0) = 0 AND coalesce(k % 5, 0) = 0 AND policy <> 'SCHEDULE_DB_DIRECT' AS nothing,
+            coalesce(k % 3, 0) > 0 AS other, trunc(coalesce(value, 0) * 100) AS latency FROM e)
+        SELECT event_id, greatest(0.0, least(1.0, round(CASE WHEN is_error THEN 0.1 WHEN lacks THEN 0.45 WHEN falls THEN 0.65 ELSE 1.0 END::DOUBLE - CASE WHEN is_error OR lacks THEN 0.0 ELSE CASE WHEN nothing THEN 0.15 ELSE 0 END + CASE WHEN other THEN 0.1 ELSE 0 END
+            + CASE WHEN length(event_type) < 6 THEN 0.1 ELSE 0 END + CASE WHEN latency >= 20000 THEN 0.2 WHEN latency >= 10000 THEN 0.1 ELSE 0 END END::DOUBLE, 3)))::DOUBLE AS score, falls AS is_fallback, lacks AS is_no_context FROM r""",
     "query_classifier": r"""WITH k AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\b(when|date|day|week)\b') THEN 'schedule' WHEN regexp_matches(t, '\b(rule|must|may)\b') THEN 'rule' WHEN contains(t, '?') THEN 'question'
             WHEN length(t) < 20 THEN 'small talk' ELSE 'general' END AS kind FROM (SELECT *, lower(coalesce(text, '')) AS t FROM conversations WHERE role = 'user')),
         c AS (SELECT *, CASE kind WHEN 'schedule' THEN 0.9 WHEN 'rule' THEN 0.8 WHEN 'question' THEN 0.6 WHEN 'small talk' THEN 0.4 ELSE 0.2 END::DOUBLE AS confidence FROM k)

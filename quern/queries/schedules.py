@@ -44,8 +44,7 @@ def skip_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
 def section_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Purchases are section heads of a user's events: each section's range ends where the next begins."""
     own = W.partitionBy("user_id").orderBy("ts", "event_id")
-    heads = table(spark, sf, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("low"), F.lead("ts").over(own).alias("high"), F.row_number().over(own).alias("section"))
-    return heads.where("section <= 5")
+    return table(spark, sf, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("low"), F.lead("ts").over(own).alias("high"), F.row_number().over(own).alias("section"))
 
 
 def notice_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +110,7 @@ ORACLES = {
         FROM orders GROUP BY ALL HAVING count(*) > 1) SELECT o_custkey, week, urgent, kept, array_to_string(list_filter(m, lambda x: x <> kept), ',') AS removed FROM k""",
     "skip_reason_counts": """SELECT reason, count(*) AS n FROM (SELECT unnest([event_type, floor(value / 30)::BIGINT::VARCHAR]) AS reason FROM events WHERE event_id % 50 <> 0) WHERE reason IS NOT NULL GROUP BY reason""",
     "section_ranges": """WITH h AS (SELECT user_id, event_id, ts AS low, lead(ts) OVER w AS high, (row_number() OVER w)::INT AS section FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT * FROM h WHERE section <= 5""",
+        SELECT * FROM h""",
     "notice_order": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS published FROM orders ORDER BY published DESC NULLS LAST, o_totalprice DESC, o_orderkey DESC LIMIT 40""",
     "reading_order": "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ' ' ORDER BY floor(l_quantity / 10), l_extendedprice, l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey",
     "followup_rank": """WITH c AS (SELECT conv_id, list_filter(list_transform(string_split(arg_max(text, turn), '.'), lambda s: trim(s, ' ')), lambda s: s <> '') AS s FROM conversations WHERE role = 'assistant' GROUP BY conv_id)

@@ -77,14 +77,19 @@ def label_join_quality(spark: SparkSession, sf: str) -> DataFrame:
 def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Items whose word bag some document contains to 60 per cent at least: the most contained such pair an item.
 
-    Words meet on the word: each side is a bag of counts, the item side small, nothing is paired that
-    shares no word."""
+    Such a document has one of any words that make up over 40 per cent of the item. Of each item the rarest such words
+    are taken, and only documents that have one of them are compared with it."""
     bag = lambda name, key: table(spark, sf, name).select(key, F.explode(texts.word_tokens(F.col("text"))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    items = bag("benchmark", "item_id").withColumnRenamed("n", "m")
-    total = items.groupBy("item_id").agg(F.sum("m").alias("total"))
-    shared = bag("documents", "doc_id").join(items, "word").groupBy("doc_id", "item_id").agg(F.sum(F.least("n", "m")).alias("shared"))
-    pairs = shared.join(total, "item_id").withColumn("share", F.round(F.col("shared") / F.col("total"), 6)).where("share >= 0.6")
-    return pairs.groupBy("item_id").agg(F.max("share").alias("share"), F.min_by("doc_id", F.struct(-F.col("share"), F.col("doc_id"))).alias("doc_id"))
+    items, found = bag("benchmark", "item_id").withColumnRenamed("n", "m"), bag("documents", "doc_id")
+    known = found.join(items.select("word").distinct(), "word", "left_semi")
+    seen = known.groupBy("word").agg(F.count("*").alias("n_docs"))
+    own = W.partitionBy("item_id")
+    ranked = items.join(seen, "word", "left").withColumn("total", F.sum("m").over(own)).withColumn("before", F.sum("m").over(own.orderBy(F.coalesce("n_docs", F.lit(0)), "word")) - F.col("m"))
+    rare = ranked.where("before <= 0.41 * total").select("item_id", "word")
+    pairs = known.join(rare, "word").select("doc_id", "item_id").distinct()
+    shared = pairs.join(ranked.select("item_id", "word", "m", "total"), "item_id").join(known, ["doc_id", "word"])
+    shares = shared.groupBy("doc_id", "item_id").agg(F.round(F.sum(F.least("n", "m")) / F.first("total"), 6).alias("share")).where("share >= 0.6")
+    return shares.groupBy("item_id").agg(F.max("share").alias("share"), F.min_by("doc_id", F.struct(-F.col("share"), F.col("doc_id"))).alias("doc_id"))
 
 
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,14 +204,15 @@ NORMAL = r"trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 MASK = rf"regexp_replace(regexp_replace(regexp_replace(text, '{texts.EMAIL}', '[EMAIL]', 'g'), '{texts.PHONE}', '[PHONE]', 'g'), '{texts.LONG_NUMBER}', '[ID]', 'g')"
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
-CHUNKS = r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+CHUNKS = r"""WITH RECURSIVE t AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS found FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, CASE WHEN len(found) > 0 THEN found ELSE [text] END AS parts FROM t),
         f AS (SELECT doc_id, parts, 0 AS i, []::VARCHAR[] AS done, []::VARCHAR[] AS open, 0 AS used FROM p
             UNION ALL
             SELECT doc_id, parts, i + 1, CASE WHEN big THEN list_append(done, closed) ELSE done END, CASE WHEN big THEN [tail, part] ELSE list_append(open, part) END,
                 CASE WHEN big THEN length(tail) + length(part) ELSE used + length(part) END
             FROM (SELECT *, right(closed, 120) AS tail, len(open) > 0 AND used + length(part) > 800 AS big FROM
-                (SELECT *, array_to_string(open, chr(10)) AS closed, parts[i + 1] AS part FROM f WHERE i < len(parts)))),
-        e AS (SELECT doc_id, CASE WHEN len(open) > 0 THEN list_append(done, array_to_string(open, chr(10))) ELSE done END AS chunks FROM f WHERE i = len(parts))"""
+                (SELECT *, array_to_string(open, chr(10) || chr(10)) AS closed, parts[i + 1] AS part FROM f WHERE i < len(parts)))),
+        e AS (SELECT doc_id, list_append(done, array_to_string(open, chr(10) || chr(10))) AS chunks FROM f WHERE i = len(parts))"""
 
 _html = "html"
 for _pattern, _to in [(r"(?is)<script\b.*?</script>", " "), (r"(?is)<style\b.*?</style>", " "), (r"(?is)<header\b.*?</header>", " "), (r"(?is)<footer\b.*?</footer>", " "), (r"(?is)<nav\b.*?</nav>", " "), (r"(?is)<aside\b.*?</aside>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]+>", " ")]:

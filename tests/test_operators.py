@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -6,7 +7,7 @@ from quern.functions import native_gaps, texts, times
 from quern.functions.rules import all_reasons, any_of_groups, first_rule
 from quern.functions.vectors import cosine
 from quern.operators import intervals, matching, ranking
-from quern.operators.grid import cluster_centres, grid
+from quern.operators.grid import gap_centres, grid
 
 
 def ts(text):
@@ -73,25 +74,25 @@ def test_changes_treat_nulls_as_equal(spark):
     assert sorted((r.id, r.v) for r in matching.upsert(old, new, ["id"]).collect()) == [(1, None), (2, None), (3, "a"), (4, "b")]
 
 
-def fold(text, size, overlap):
+def fold(text, size, overlap, whole=False):
+    """Chunks by a plain loop: blank lines part paragraphs, a text without any is one."""
     done, own, used = [], [], 0
-    for part in (p.strip() for p in text.split("\n")):
-        if not part:
-            continue
+    for part in [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()] or [text]:
         if own and used + len(part) > size:
-            done.append("\n".join(own))
-            tail = done[-1][-overlap:]
-            own, used = [tail, part], len(tail) + len(part)
-        else:
-            own.append(part)
-            used += len(part)
-    return done + (["\n".join(own)] if own else [])
+            done.append("\n\n".join(own))
+            own = [own[-1] if whole else done[-1][-overlap:]]
+            used = len(own[0])
+        own.append(part)
+        used += len(part)
+    return [*done, "\n\n".join(own)]
 
 
 def test_chunks_are_those_of_the_fold(spark):
-    rows = ["", "one", "\n\n", "\n".join("p" * n for n in (50, 30, 90, 5, 5, 100, 1)), "\n".join(f"line {i} " * (i % 4 + 1) for i in range(40))]
-    got = spark.createDataFrame([(t,) for t in rows], "text string").select(texts.paragraph_chunks(F.col("text"), 100, 12).alias("c")).collect()
-    assert [r.c for r in got] == [fold(t, 100, 12) for t in rows]
+    rows = ["", "one", "\n\n", " \n", "\n\n".join("p" * n for n in (50, 30, 90, 5, 5, 100, 1)), "\n \n".join(f"line {i}\nand " * (i % 4 + 1) for i in range(40))]
+    frame = spark.createDataFrame([(t,) for t in [*rows, None]], "text string")
+    got = frame.select(texts.paragraph_chunks(F.col("text"), 100, 12).alias("a"), texts.paragraph_chunks(F.col("text"), 100, whole_paragraph=True).alias("b")).collect()
+    assert [r.a for r in got] == [*(fold(t, 100, 12) for t in rows), []]
+    assert [r.b for r in got] == [*(fold(t, 100, 12, True) for t in rows), []]
 
 
 def test_text_expressions(spark):
@@ -105,9 +106,22 @@ def test_text_expressions(spark):
 
 
 def test_functions_without_built_ins(spark):
-    row = spark.createDataFrame([("ﬁ①", "A. b. a. c", [10, 20, 30])], "t string, s string, n array<int>")
-    got = row.select(native_gaps.compatibility_form("t").alias("t"), native_gaps.without_repeats("s").alias("s"), native_gaps.fitted_chunks("n", F.lit(5), F.lit(36)).alias("fit"), native_gaps.sequence_ratio(F.lit("abcd"), F.lit("bcde")).alias("ratio")).first()
-    assert (got.t, got.s, got.fit, got.ratio) == ("fi1", "A. b. c", [0, 1], 0.75)
+    row = spark.createDataFrame([("ﬁ①", [10, 20, 30])], "t string, n array<int>")
+    got = row.select(native_gaps.compatibility_form("t").alias("t"), texts.fitted_count(F.col("n"), 5, 36).alias("fit"), texts.fitted_count(F.col("n"), 99, 36).alias("one"), native_gaps.sequence_ratio(F.lit("abcd"), F.lit("bcde")).alias("ratio")).first()
+    assert (got.t, got.fit, got.one, got.ratio) == ("fi1", 2, 1, 0.75)
+
+
+def test_repeated_sentences_go_within_their_memory(spark):
+    cases = {
+        "A one.  B two. A one. C": "A one. B two. C",
+        "a. b.\n\n\n\nA. a.\nb.  c.": "a. b.\n\nA.\nc.",
+        "a. b. c. d. e. f. g. a. g.": "a. b. c. d. e. f. g. a.",
+        "같다 했다 같다 했다 3.5 x": "같다 했다 3.5 x",
+        "": "",
+        " x\n": "x",
+    }
+    frame = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
+    assert [r.t for r in frame.select(texts.without_repeats(F.col("t")).alias("t")).collect()] == [*cases.values(), None]
 
 
 def test_cosine_of_odd_vectors(spark):
@@ -124,7 +138,8 @@ def test_rules_fold_in_order(spark):
 
 
 def test_grid_cells(spark):
-    assert cluster_centres([100, 0, 10, 16], 16) == [10.5, 100]
+    lines = spark.createDataFrame([([100.0, 0.0, 10.0, 16.0],), ([],), ([5.0, 5.0],), ([0.0, 10.0, 10.0],)], "v array<double>")
+    assert [r.c for r in lines.select(gap_centres(F.col("v"), 16.0).alias("c")).collect()] == [[10.5, 100.0], [], [5.0], [7.5]]
     boxes = [(1, "b", 100, 0, 140, 10, 0.5), (1, "a", 0, 0, 40, 10, 1.0), (1, "c", 0, 60, 40, 70, 0.5), (1, "d", 2, 62, 42, 72, 1.0), (2, "solo", 0, 0, 1, 1, None)]
     frame = spark.createDataFrame([(p, t, *map(float, xy), c) for p, t, *xy, c in boxes], "page long, text string, x1 double, y1 double, x2 double, y2 double, confidence double")
     got = sorted((r.page, r.row_no, r.column_no, r.text, r.n_boxes) for r in grid(frame).collect())

@@ -1,0 +1,99 @@
+"""Rules for questions and planned events on cases of their own."""
+
+import datetime as dt
+import difflib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.functions import phrases, questions
+from quern.queries import planning
+
+TODAY = dt.date(2026, 5, 20)  # a Wednesday
+
+
+def asked(spark, rows):
+    frame = spark.createDataFrame([(i, q) for i, q in enumerate(rows)], "n int, question string")
+    return frame.select("n", phrases.normal(F.col("question")).alias("t"), F.lit(TODAY).alias("today"))
+
+
+def day(month, number, year=2026):
+    return dt.date(year, month, number)
+
+
+def test_dates_of_questions(spark):
+    cases = {
+        "오늘 일정 알려줘": (TODAY, TODAY, True), "오늘부터 남은 일정": (TODAY, TODAY + dt.timedelta(365), False), "내일 뭐 있어": (day(5, 21), day(5, 21), True),
+        "모레": (day(5, 22), day(5, 22), True), "어제": (day(5, 19), day(5, 19), True), "2025년 12월 3일 시험": (day(12, 3, 2025), day(12, 3, 2025), True),
+        "2025-2-30 또는 6월 7일": (day(6, 7), day(6, 7), True), "6월 31일": None, "15일 평가": (day(5, 15), day(5, 15), True), "3일 이내": None, "3일간 2일": (day(5, 2), day(5, 2), True),
+        "다음 주 시험": (day(5, 25), day(5, 31), False), "이번주": (day(5, 18), day(5, 24), False), "지난주": (day(5, 11), day(5, 17), False), "저저번달": (day(3, 1), day(3, 31), False),
+        "저번달": (day(4, 1), day(4, 30), False), "다음달": (day(6, 1), day(6, 30), False), "이번 월": (day(5, 1), day(5, 31), False), "2월 일정": (day(2, 1), day(2, 28), False), "13월": None, "아무 말": None, None: None,
+    }
+    got = {r.n: r.d for r in questions.with_dates(asked(spark, list(cases))).select("n", "d").collect()}
+    for n, (question, want) in enumerate(cases.items()):
+        found = got[n] and tuple(got[n])
+        if question == "6월 31일":  # no such day of June: the day of this month stands alone
+            assert found == (day(5, 31), day(5, 31), True)
+        else:
+            assert found == want, question
+
+
+def test_kinds_of_questions(spark):
+    cases = {
+        "오늘 일정": ("SCHEDULE_EXACT_DATE", 0), "6월 일정": ("SCHEDULE_MONTH", 0), "이번주 시험": ("SCHEDULE_RANGE", 0), "시험 망했 어떡해": ("GENERAL_CHAT", 0), "가장 가까운 평가": ("SCHEDULE_RANGE", 1), "다가오는 과제": ("SCHEDULE_RANGE", 3),
+        "급한 과제": ("SCHEDULE_RANGE", 5), "일정": ("SCHEDULE_RANGE", 0), "공지 보여줘": ("GENERAL_NOTICE", 0), "안녕": ("GENERAL_CHAT", 0), "지금까지 본 시험과 앞으로 볼 시험": ("SCHEDULE_RANGE", 0),
+    }
+    q = questions.with_dates(asked(spark, list(cases)))
+    got = q.select("n", questions.schedule_query(F.col("t"), F.col("today"), F.col("d")).alias("p")).orderBy("n").collect()
+    assert [(r.p.query_type, r.p.result_limit) for r in got] == list(cases.values())
+    assert (got[-1].p.start_date, got[-1].p.end_date) == (TODAY - dt.timedelta(365), TODAY + dt.timedelta(365))
+
+
+def test_routes_filters_and_ranks(spark):
+    cases = {
+        "오늘 날짜 알려줘": ("current_date_rule", "", "", 0), "최근 공지 요약": ("notice_question", "", "", 0), "과락 몇 번이면 퇴소야": ("official_rule_question", "", "", 0), "과락 때문에 불안": ("default", "", "", 0),
+        "이번주 큰일 나는 거": ("urgent_recommendation_rule", "", "", 0), "뭐부터 하지": ("recommendation_rule", "", "", 0), "프로젝트 설명해줘": ("project_explanation_question", "", "", 0), "내 성적 평균": ("personal_score_rule", "", "", 0),
+        "두번째 시험 일정은": ("complex_schedule_rule", "exam", "", 2), "평가 말고 중요 일정": ("complex_schedule_rule", "important", "exam", 0), "다가오는 시험": ("exam_upcoming_rule", "exam", "", 0), "마감 빼고 공휴일만": ("complex_schedule_rule", "holiday", "deadline,assignment", 0),
+    }
+    got = asked(spark, list(cases)).select("n", questions.route(F.col("t"), F.lit("GENERAL_CHAT")).alias("r")).orderBy("n").collect()
+    assert [(r.r.reason, ",".join(r.r.filters), ",".join(r.r.excludes), r.r["rank"]) for r in got] == list(cases.values())
+    assert asked(spark, ["안녕"]).select(questions.route(F.col("t"), F.lit("SCHEDULE_RANGE"))["route"].alias("r")).first().r == "schedule_db"
+
+
+def test_tokens(spark):
+    got = asked(spark, ["이번주 시험 일정 알려줘", "Spring boot 설명해줘요 12월 3회 발표해줘", ""]).select(questions.query_tokens(F.col("t")).alias("w"), questions.notice_tokens(F.col("t")).alias("v")).collect()
+    assert [r.w for r in got] == [["시험", "평가", "과목평가", "월말평가", "exam"], ["spring", "boot", "설명", "발표"], []]
+    assert [r.v for r in got] == [["시험", "일정"], ["spring", "boot", "설명해줘요", "12월", "3회", "발표해줘"], []]
+
+
+def test_plans_are_held_to_their_intent(spark):
+    rows = [("schedule_query", "DB", [" Schedule ", "score", "schedule"], 0.9), ("schedule_query", "llm", None, 0.9), ("general_chat", "none", [], 0.54), ("nonsense", None, ["rag"], 1.0), ("unknown", "llm", [], 0.9)]
+    got = spark.createDataFrame(rows, "i string, r string, s array<string>, c double").select(questions.verified_plan(*map(F.col, "irsc")).alias("p")).collect()
+    assert [tuple(r.p) for r in got] == [("db", ["schedule"], True, "accepted"), ("db", ["schedule"], True, "route_corrected"), ("clarify", [], False, "low_confidence"), ("clarify", [], False, "clarify_required"), ("clarify", [], False, "low_confidence")]
+
+
+def test_wrapping_titles_are_those_of_a_plain_loop(spark, sf):
+    space = lambda x: re.sub(r"\s+", " ", x or "").strip()
+    tight = lambda x: re.sub(r"[\s.()\-_/\]:\[]+", "", space(x)).upper()
+    phrase = lambda x: any(w in space(x) for w in planning.WRAPPERS) or re.search(r"트랙\s*시간표", space(x), re.I)
+    rows = planning.wrapper_titles(spark, sf).collect()
+    for r in rows:
+        own, other = tight(r.title), tight(r.source)
+        near = other and (own == other or phrase(r.source) and difflib.SequenceMatcher(None, own, other).ratio() >= 0.9)
+        assert r.wrapper == bool(not own or phrase(r.title) or r.timetable and near), r
+    assert 0 < sum(r.wrapper for r in rows) < len(rows)
+
+
+@pytest.mark.parametrize(("title", "want"), [("", True), ("12:30~13:30", True), ("7월 3일", True), ("SQL", False), ("js", True), ("설날", False), ("가나", True), ("For Youth", True), ("SQL 특강", False)])
+def test_meaningless_titles(spark, title, want):
+    assert spark.createDataFrame([(title,)], "t string").select(planning.is_meaningless(F.col("t")).alias("m")).first().m == want
+
+
+def test_exams_that_are_not_taken(spark):
+    rows = [(1, "과목평가", 1, "exam", 0.9, True), (2, "과목평가1", 1, "exam", 0.9, True), (3, "휴일", 2, "holiday", None, False), (4, "월말평가2", 2, "exam", 0.9, True), (5, "수업", 3, "exam", 0.9, True), (6, "SW 역량테스트", 3, "x", 0.2, False), (7, "SW 역량테스트", 3, "x", None, True)]
+    rows += [(10 + d, "평가 과목 7", 4 + d, "exam", 0.5, False) for d in range(5)] + [(20, "공지", 9, "notice", None, False)]
+    frame = spark.createDataFrame([(i, t, day(6, d), k, r, p) for i, t, d, k, r, p in rows], "event_id int, title string, day date, event_type string, ratio double, placed boolean")
+    got = {r.event_id: r.reason for r in planning.exam_filter(frame).collect()}
+    late = "exam_too_many_consecutive_days"
+    assert got == {1: "generic_exam_calendar_marker", 2: None, 3: None, 4: "holiday_exam_conflict", 5: "review_required_exam_title", 6: "low_overlap_exam", 7: None, 10: None, 11: None, 12: None, 13: late, 14: late, 20: None}
