@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled documents. The vocabulary is those terms whose presence goes
-with the label beyond chance (log-likelihood ratio), at most TERMS; their document frequencies are
-counted over all documents. Besides these, a text has one term for how many of them it holds (1, 2-3, 4-7,
-8 or more): a chance hit in a long clean text is then nearer to other chance hits than to toxic texts,
-which hold several. The examples' vectors form an inverted index in blocks of example numbers,
-with the largest weight of each term in each block. A query takes the blocks by falling upper bound
-and stops where no block can reach the k-th best cosine: the neighbours are exact. Their votes weigh
-by nearness and are smoothed towards the examples' share, which makes the score a probability; the
-neighbours' ids are the evidence.
-
-Defined results: a text that has no term of the vocabulary (an empty or null one, too) scores as the
-examples without terms do; equal cosines at the k-th place all vote; without toxic examples there are
-no terms; repeated rows each give a row; other columns are ignored; an empty table gives an empty
-result. Labels, language, source and id never enter a score.
+Examples are a bounded sample of labelled documents, all of whose terms count. A term's weight in a text is
+(1 + log its count there) times its inverse document frequency over all documents, times the square of its
+relevance, log2(2 + a / max(1, c)) for a toxic and c other examples that have it: by inverse frequencies alone
+texts are near to those of their subject and language, whatever their label. The examples' vectors form an
+inverted index in blocks of examples of like words, with the largest weight of each term in each block. A query
+takes the blocks by falling upper bound and stops where no block can reach the k-th best cosine: the neighbours
+are exact. Their votes weigh by nearness and are smoothed towards the examples' share, which makes the score a
+probability; the neighbours' ids are the evidence.
+
+Defined results: terms that no example has are left out of a text's vector; a text that has no other (an empty
+or null one, too) scores as the examples without terms do; equal cosines at the k-th place all vote; copies of a
+labelled text are one example; without toxic examples scores are small and without any examples one half; repeated
+rows each give a row; other columns are ignored; an empty table gives an empty result. Labels, language, source
+and id never enter a score.
 """
 
 from __future__ import annotations
@@ -25,21 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut_lineage, prepare, texts
 from quern.llm.quality_rules import labelled_sample
 
-#: Examples and terms, at most; neighbours that vote; examples of a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8_000, 2_000, 15, 64
-#: A term's least log-likelihood ratio, its least lift in toxic examples, its longest characters.
-RATIO, LIFT, LONGEST = 20.0, 3.0, 64
+#: Examples, and terms of all of them together, at most; neighbours that vote; examples of a block.
+EXAMPLES, POSTINGS, NEIGHBOURS, BLOCK = 3_000, 3_000_000, 15, 256
 #: Weight of the examples' share of toxic ones against the votes; results one worker keeps.
 SMOOTH, KEPT = 0.5, 100_000
-#: Names of the terms that tell how many telling terms a text holds; no word has white space.
-HITS = (" 1", " 2", " 4", " 8")
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»¿¡…"
 
+Example = tuple[int, list[str], list[int], int]
+
 
 def terms_of(text: str) -> Counter:
     """Counts of lower-case words without punctuation around them."""
@@ -50,174 +49,146 @@ def terms_of(text: str) -> Counter:
     return found
 
 
-def hits_of(found: Counter, wanted) -> str | None:
-    """The name for how often a text has one of the wanted terms."""
-    total = sum(n for t, n in found.items() if t in wanted)
-    return HITS[min(total.bit_length(), len(HITS)) - 1] if total else None
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [terms_of(text) for text in batch["text"].to_pylist()]
+        terms, counts = pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], terms, counts], names=["doc_id", "label", "terms", "counts"])
 
 
-def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [[t for t in terms_of(text) if len(t) <= LONGEST] for text in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["label"], pa.array(found, pa.list_(pa.string()))], names=["label", "terms"])
-
-
-def telling_terms(examples: DataFrame) -> list[str]:
-    """Terms that examples of label 1 have more often than chance and LIFT allow, the most telling first."""
-    marked = examples.select("text", "label").mapInArrow(_present, "label int, terms array<string>")
-    bad, rows = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    if not bad or bad == rows:
-        return []
-    counted = marked.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("a >= 4")
-    a, n = F.col("a").cast("double"), F.col("n").cast("double")
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    share = bad / rows
-    ratio = 2 * (part(a, n * share) + part(n - a, n * (1 - share)) + part(bad - a, (rows - n) * share) + part((rows - bad) - (n - a), (rows - n) * (1 - share)))
-    lift = (a / bad) / ((n - a + 0.5) / (rows - bad + 1))
-    best = counted.select("term", ratio.alias("ratio"), lift.alias("lift")).where((F.col("ratio") >= RATIO) & (F.col("lift") >= LIFT))
-    return [r.term for r in best.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
-
-
-def _frequencies(terms: list[str]):
+def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, found, rows = set(terms), Counter(), 0
+        wanted, found, rows = shared.value, Counter(), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch["text"].to_pylist():
-                if own := {w.strip(STRIP) for w in set(text.lower().split())} & wanted:
-                    found.update(own)
-                    found[hits_of(terms_of(text), wanted)] += 1
-        names = [*found, None]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*found.values(), rows], pa.int64())], names=["term", "n"])
+                found.update({w.strip(STRIP) for w in set(text.lower().split())} & wanted)
+        yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), pa.array([*found.values(), rows], pa.int64())], names=["term", "n"])
 
     return run
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[dict[str, int], int]:
+def document_frequencies(docs: DataFrame, terms: set[str]) -> tuple[dict[str, int], int]:
     """Documents with each term, and all documents."""
-    counted = texts(docs).mapInArrow(_frequencies(terms), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r.term: r.n for r in counted.collect()}  # in bounds: TERMS and five
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    counted = texts(docs).mapInArrow(_frequencies(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r.term: r.n for r in counted.toLocalIterator()}  # in bounds: POSTINGS
     return found, found.pop(None, 0)
 
 
 class Index:
-    """The examples' vectors, by term, in blocks of example numbers."""
-
-    def __init__(self, terms: list[str], frequencies: dict[str, int], documents: int, examples: list[tuple[int, str, int]]) -> None:
-        self.telling = frozenset(terms)
-        terms = [*terms, *HITS]
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf = np.array([math.log((1 + documents) / (1 + frequencies.get(t, 0))) + 1 for t in terms])
-        grouped: dict[tuple, list[int]] = {}
-        none, none_bad, bad = 0, 0, 0
-        for doc_id, text, label in examples:
-            bad += label
-            if key := self.key(terms_of(text)):
-                entry = grouped.setdefault(key, [0, 0, doc_id])
-                entry[0] += 1
-                entry[1] += label
-                entry[2] = min(entry[2], doc_id)
-            else:
-                none, none_bad = none + 1, none_bad + label
+    """The examples' vectors, by term, in blocks of examples."""
+
+    def __init__(self, examples: list[Example], frequencies: dict[str, int], documents: int) -> None:
+        worded = [e for e in examples if e[1]]
+        # examples of one leading word stand together, so that blocks have few terms and tight bounds
+        worded.sort(key=lambda e: (max(zip(e[2], e[1])), e[0], e[3]))
+        bad, blank = sum(e[3] for e in examples), [e[3] for e in examples if not e[1]]
         self.share = (bad + 0.5) / (len(examples) + 1)
-        self.without = (none_bad + SMOOTH * self.share) / (none + SMOOTH)
-        # like vectors stand together, so that blocks have few terms and tight bounds
-        keys = sorted(grouped)
-        self.rows, self.bad, self.ids = (np.array([grouped[k][i] for k in keys], np.int64) for i in range(3))
-        self.blocks = -(-len(keys) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for e, key in enumerate(keys):
-            for t, weight in zip(*self.vector(key)):
-                postings.setdefault(t, []).append((e, weight))
-        self.most = np.zeros((len(terms), self.blocks))
-        self.postings = {}
-        for t, found in postings.items():
-            at, weights = np.array([e for e, _ in found]), np.array([w for _, w in found])
-            np.maximum.at(self.most[t], at // BLOCK, weights)
-            self.postings[t] = (at, weights, np.searchsorted(at // BLOCK, np.arange(self.blocks + 1)))
-
-    def key(self, found: Counter) -> tuple:
-        own = [(self.number[t], n) for t, n in found.items() if t in self.telling]
-        return tuple(sorted([*own, (self.number[hits_of(found, self.telling)], 1)])) if own else ()
-
-    def vector(self, key: tuple) -> tuple[list[int], np.ndarray]:
-        """Terms and unit-length TF-IDF weights."""
-        weights = np.array([(1 + math.log(n)) * self.idf[t] for t, n in key])
-        return [t for t, _ in key], weights / math.sqrt((weights**2).sum())
-
-    def nearest(self, key: tuple, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        self.without = (sum(blank) + SMOOTH * self.share) / (len(blank) + SMOOTH)
+        self.ids, self.bad = (np.array([e[i] for e in worded], np.int64) for i in (0, 3))
+        self.number: dict[str, int] = {}
+        term = np.array([self.number.setdefault(t, len(self.number)) for e in worded for t in e[1]], np.int64)
+        owner = np.repeat(np.arange(len(worded)), [len(e[1]) for e in worded])
+        count = np.array([n for e in worded for n in e[2]], np.float64)
+        size = len(self.number)
+        toxic = np.bincount(term, weights=self.bad[owner], minlength=size) if size else np.zeros(0)
+        other = np.bincount(term, minlength=size) - toxic if size else np.zeros(0)
+        idf = np.array([math.log((1 + documents) / (1 + frequencies.get(t, 0))) + 1 for t in self.number])
+        self.weight = idf * np.log2(2 + toxic / np.maximum(1, other)) ** 2
+        own = (1 + np.log(count)) * self.weight[term] if size else count
+        norm = np.sqrt(np.bincount(owner, weights=own**2, minlength=len(worded)))
+        own = own / norm[owner]
+        # for each block its postings by term: who has it, with what weight
+        self.blocks = []
+        for low in range(0, len(worded), BLOCK):
+            mine = (owner >= low) & (owner < low + BLOCK)
+            order = np.argsort(term[mine], kind="stable")
+            t, w = term[mine][order], own[mine][order]
+            starts = np.searchsorted(t, np.arange(size + 1)).astype(np.int32)
+            most = np.zeros(size)
+            np.maximum.at(most, t, w)
+            self.blocks.append((low, starts, (owner[mine][order] - low).astype(np.int32), w))
+            self.most = np.vstack([self.most, most]) if low else most[None, :]
+
+    def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit-length weights of a text."""
+        own = [(self.number[t], n) for t, n in found.items() if t in self.number]
+        terms = np.array([t for t, _ in own], np.int64)
+        weights = (1 + np.log(np.array([n for _, n in own], np.float64))) * self.weight[terms] if own else np.zeros(0)
+        return terms, weights / math.sqrt((weights**2).sum()) if own else weights
+
+    def nearest(self, found: Counter, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the examples at least as near as the k-th nearest, none at cosine 0."""
-        terms, weights = self.vector(key)
-        bound = weights @ self.most[terms]
-        seen, cosines = [np.array([], np.int64)], [np.array([])]
-        least = 0.0
+        terms, weights = self.vector(found)
+        if not len(terms) or not self.blocks:
+            return np.array([], np.int64), np.array([])
+        bound = self.most[:, terms] @ weights
+        every, values, least = np.array([], np.int64), np.array([]), 0.0
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
+            if bound[b] <= 0 or bound[b] < least - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                if t in self.postings:
-                    at, own, starts = self.postings[t]
-                    part = slice(starts[b], starts[b + 1])
-                    score[at[part] - b * BLOCK] += w * own[part]
-            hit = np.flatnonzero(score > 0)
-            seen.append(hit + b * BLOCK)
-            cosines.append(score[hit])
-            every, values = np.concatenate(seen), np.concatenate(cosines)
-            order = np.lexsort((every, -values))
-            reached = np.searchsorted(np.cumsum(self.rows[every[order]]), k)
-            if reached < len(order):
-                least = values[order[reached]]
-                stay = order[values[order] >= least - 1e-12]
-                seen, cosines = [every[stay]], [values[stay]]
-        every, values = np.concatenate(seen), np.concatenate(cosines)
+            low, starts, owners, own = self.blocks[b]
+            start, size = starts[terms], starts[terms + 1] - starts[terms]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+            score = np.bincount(owners[place], weights=own[place] * np.repeat(weights, size), minlength=1)
+            hit = np.flatnonzero(score > max(0.0, least - 1e-12))
+            every, values = np.r_[every, hit + low], np.r_[values, score[hit]]
+            if len(every) > k:
+                least = np.partition(values, -k)[-k]
+                stay = values >= least - 1e-12
+                every, values = every[stay], values[stay]
         order = np.lexsort((every, -values))
         return every[order], values[order]
 
-    def score(self, key: tuple) -> tuple[float, list[int]]:
+    def score(self, text: str) -> tuple[float, list[int]]:
         """The smoothed, distance-weighted vote, and the ids of up to three of the nearest examples."""
-        if not key:
-            return self.without, []
-        found, cosines = self.nearest(key)
+        found, cosines = self.nearest(terms_of(text))
         if not len(found):
             return self.without, []
         weight = 1 / (0.05 + 1 - np.minimum(cosines, 1))
         votes = (weight * self.bad[found]).sum() + SMOOTH * self.share
-        return float(votes / ((weight * self.rows[found]).sum() + SMOOTH)), self.ids[found[:3]].tolist()
+        return float(votes / (weight.sum() + SMOOTH)), self.ids[found[:3]].tolist()
+
+
+def scores(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[float, list[int]]]]]:
+    """Each batch with the results of its texts; copies of a text are scored once a worker."""
+    import xxhash
+
+    kept: dict = {}
+    for batch in batches:
+        found = []
+        for text in batch["text"].to_pylist():
+            key = xxhash.xxh128_digest(text or "")
+            if (result := kept.get(key)) is None:
+                if len(kept) >= KEPT:
+                    kept.clear()
+                result = kept[key] = index.score(text or "")
+            found.append(result)
+        yield batch, found
 
 
 def _score(shared, id_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, kept = shared.value, {}
-        for batch in batches:
-            found = []
-            for text in batch["text"].to_pylist():
-                key = index.key(terms_of(text))
-                if (result := kept.get(key)) is None:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    result = kept[key] = index.score(key)
-                found.append(result)
+        for batch, found in scores(shared.value, batches):
             yield pa.RecordBatch.from_arrays([batch[id_column], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[id_column, "score", "evidence"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most: int = EXAMPLES) -> Index:
-    """The index over at most ``most`` labelled documents that ``usable`` allows."""
+    """The index over at most ``most`` labelled documents that ``usable`` allows, with at most POSTINGS terms in all."""
     prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, usable, most).withColumn("label", F.col("label").cast("int"))
-    # copies of one text would make its chance words telling
-    examples = cut_lineage(sample.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id")))
-    terms = telling_terms(examples)
-    frequencies, documents = document_frequencies(docs, terms)
-    rows = [(r.doc_id, r.text, r.label) for r in examples.select("doc_id", "text", "label").toLocalIterator()] if terms else []
-    if not terms:
-        bad, count = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-        index = Index([], {}, documents, [])
-        index.share = index.without = (bad + 0.5) / (count + 1)
-        return index
-    return Index(terms, frequencies, documents, rows)
+    distinct = sample.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = cut_lineage(texts(distinct, "doc_id", "label").mapInArrow(_counted, f"doc_id {kind}, label int, terms array<string>, counts array<long>"))
+    so_far = F.sum(F.size("terms")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "label"))  # of at most ``most`` rows
+    chosen = counted.withColumn("so_far", so_far).where(F.col("so_far") <= POSTINGS)
+    rows = [(r.doc_id, r.terms, r.counts, r.label) for r in chosen.toLocalIterator()]  # in bounds: POSTINGS
+    frequencies, documents = document_frequencies(docs, {t for r in rows for t in r[1]})
+    return Index(rows, frequencies, documents)
 
 
 def score_toxicity(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
@@ -230,10 +201,8 @@ def score_toxicity(docs: DataFrame, index: Index, threshold: float = 0.5) -> Dat
 
 def _clean(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            keep = [index.score(index.key(terms_of(text or "")))[0] < threshold for text in batch["text"].to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch, found in scores(shared.value, batches):
+            yield batch.filter(pa.array([s < threshold for s, _ in found], pa.bool_()))
 
     return run
 

@@ -64,7 +64,7 @@ def test_filters_keep_rows_whole(spark):
     good = quality_rules.keep_good(frame, quality_rules.Rules(5.0, ()))
     assert sorted(map(str, good.collect())) == sorted(map(str, frame.collect())) and good.columns == frame.columns
     assert quality_rules.keep_good(frame, quality_rules.Rules(-5.0, ())).count() == 0
-    index = toxicity_knn.Index(["bad"], {"bad": 1}, 10, [(1, "bad", 1), (2, "fine", 0)])
+    index = toxicity_knn.Index([(1, ["bad"], [1], 1), (2, ["fine"], [1], 0), (3, [], [], 0)], {"bad": 1, "fine": 1}, 10)
     marked = frame.unionByName(docs(spark, [(99, "so bad, bad.")]))
     clean = toxicity_knn.keep_clean(marked, index)
     assert sorted(map(str, clean.collect())) == sorted(map(str, frame.collect())) and clean.columns == frame.columns

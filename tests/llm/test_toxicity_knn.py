@@ -1,5 +1,7 @@
 import math
 import random
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -9,40 +11,79 @@ from tests.llm.data import AWKWARD, docs
 from tests.llm.test_quality_rules import auc
 
 
-def test_held_out_accuracy(spark):
+def example(doc_id, text, label):
+    found = toxicity_knn.terms_of(text)
+    return doc_id, list(found), list(found.values()), label
+
+
+def test_held_out_accuracy_and_calibration(spark):
     from quern.llm.queries import op3_toxicity
 
     sf = "/root/testdata/sf0.1"
     got = op3_toxicity(spark, sf)
     rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert auc(rows, "score", "toxic") > 0.9
-    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
+    assert auc(rows, "score", "toxic") > 0.96
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.98
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    # scores as probabilities: mean score and share of toxic ones, in all and in thirds of the scale
+    for low, high in ((0, 1.01), (0, 1 / 3), (2 / 3, 1.01)):
+        some = [r for r in rows if low <= r.score < high]
+        assert abs(sum(r.score for r in some) - sum(r.toxic for r in some)) <= 0.08 * len(some) + 2
+
+
+def plain_score(text, examples, frequencies, documents, k=15):
+    """Votes by brute force over all examples, in plain loops."""
+    have = {t: [0, 0] for _, terms, _, _ in examples for t in terms}
+    for _, terms, _, label in examples:
+        for t in terms:
+            have[t][label] += 1
+    weight = {t: (math.log((1 + documents) / (1 + frequencies.get(t, 0))) + 1) * math.log2(2 + a / max(1, c)) ** 2 for t, (c, a) in have.items()}
+
+    def vector(found):
+        own = {t: (1 + math.log(n)) * weight[t] for t, n in found.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in own.values())) or 1
+        return {t: x / norm for t, x in own.items()}
 
+    query = vector(toxicity_knn.terms_of(text))
+    ranked = sorted(((sum(query.get(t, 0) * x for t, x in vector(dict(zip(terms, counts))).items()), label) for _, terms, counts, label in examples), reverse=True)
+    ranked = [r for r in ranked if r[0] > 0]
+    share = (sum(e[3] for e in examples) + 0.5) / (len(examples) + 1)
+    if not ranked:
+        blank = [e[3] for e in examples if not e[1]]
+        return (sum(blank) + 0.5 * share) / (len(blank) + 0.5)
+    least = ranked[min(k, len(ranked)) - 1][0]
+    votes = [(1 / (1.05 - min(c, 1)), label) for c, label in ranked if c >= least - 1e-12]
+    return (sum(w * y for w, y in votes) + 0.5 * share) / (sum(w for w, _ in votes) + 0.5)
 
-def test_neighbours_are_those_of_brute_force():
+
+def test_neighbours_and_scores_are_those_of_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity_knn, "BLOCK", 40)
     rng = random.Random(3)
-    terms = [f"t{i}" for i in range(12)]
-    draw = lambda: " ".join(rng.choices(terms, k=rng.randint(0, 6)))
-    examples = [(i, draw(), rng.randint(0, 1)) for i in range(900)]
-    index = toxicity_knn.Index(terms, {t: 1 + i * 7 for i, t in enumerate(terms)}, 1000, examples)
-    entries = sorted({k for _, text, _ in examples if (k := index.key(toxicity_knn.terms_of(text)))})
-    assert index.blocks > 3
-    for _ in range(60):
-        key = index.key(toxicity_knn.terms_of(draw() + " t3"))
-        own = dict(zip(*index.vector(key)))
-        cosines = [sum(own.get(t, 0) * w for t, w in zip(*index.vector(e))) for e in entries]
-        ranked = sorted(range(len(entries)), key=lambda e: -cosines[e])
-        votes = least = 0
-        for e in ranked:
-            votes += index.rows[e]
-            least = cosines[e]
-            if votes >= toxicity_knn.NEIGHBOURS:
-                break
-        want = {e for e in ranked if cosines[e] >= least - 1e-9 and cosines[e] > 0}
-        found, values = index.nearest(key)
-        assert set(found.tolist()) == want
-        assert all(math.isclose(v, cosines[e], rel_tol=1e-9) for e, v in zip(found, values))
+    terms = [f"t{i}" for i in range(60)]
+    draw = lambda: " ".join(rng.choices(terms, weights=range(1, 61), k=rng.randint(0, 12)))
+    examples = [example(i, draw(), rng.randint(0, 1)) for i in range(900)]
+    frequencies = {t: 1 + i * 7 for i, t in enumerate(terms)}
+    index = toxicity_knn.Index(examples, frequencies, 1000)
+    assert len(index.blocks) > 3
+    for text in [draw() for _ in range(80)] + ["", "unknown", "t3", "t59 t59 unknown"]:
+        assert math.isclose(index.score(text)[0], plain_score(text, examples, frequencies, 1000), rel_tol=1e-9)
+
+
+def test_query_scores_are_those_of_brute_force(spark, sf):
+    from quern.llm.queries import op3_toxicity
+
+    docs_now = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    usable = sorted(i for i in labels if i in docs_now and zlib.crc32(str(i).encode()) % 5)
+    distinct = {(docs_now[i], labels[i]): i for i in reversed(usable)}
+    examples = [example(i, t, y) for (t, y), i in distinct.items()]
+    frequencies = Counter(t for text in docs_now.values() for t in toxicity_knn.terms_of(text))
+    got = {r.doc_id: r.score for r in op3_toxicity(spark, sf).collect()}
+    assert len(got) == len(docs_now)
+    for i in sorted(docs_now)[:60]:
+        assert math.isclose(got[i], plain_score(docs_now[i], examples, frequencies, len(docs_now)), rel_tol=1e-9)
 
 
 def test_awkward_rows(spark):
