@@ -7,7 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -16,9 +16,13 @@ from pyspark.sql.types import ArrayType, StringType
 WORD_NAMESPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def json_documents(spark: SparkSession, path: str, items: str, schema: str) -> DataFrame:
+def _reader(source: SparkSession | DataFrameReader) -> DataFrameReader:
+    return source.read if isinstance(source, SparkSession) else source
+
+
+def json_documents(source: SparkSession | DataFrameReader, path: str, items: str, schema: str) -> DataFrame:
     """One row an item of JSON files that are lists, or hold a list under ``items``, or are one object."""
-    raw = spark.read.text(path, wholetext=True).select("value")
+    raw = _reader(source).text(path, wholetext=True).select("value")
     as_list = F.from_json("value", f"array<struct<{schema}>>")
     held = F.from_json("value", f"struct<`{items}`: array<struct<{schema}>>>")[items]
     one = F.array(F.from_json("value", f"struct<{schema}>"))
@@ -26,9 +30,16 @@ def json_documents(spark: SparkSession, path: str, items: str, schema: str) -> D
     return raw.select(F.explode(chosen).alias("item")).where("item IS NOT NULL").select("item.*")
 
 
-def tolerant_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_by_ending(spark: SparkSession, path: str, items: str, schema: str) -> DataFrame:
+    """The records of a folder: lines of .jsonl and .ndjson files, lists or objects of .json files."""
+    lines = tolerant_json_lines(spark.read.option("pathGlobFilter", "*.{jsonl,ndjson}"), path, schema)
+    whole = json_documents(spark.read.option("pathGlobFilter", "*.json"), path, items, schema)
+    return lines.unionByName(whole)
+
+
+def tolerant_json_lines(source: SparkSession | DataFrameReader, path: str, schema: str) -> DataFrame:
     """Objects of JSON lines; blank and malformed lines and other values are passed over."""
-    lines = spark.read.text(path).where(F.trim("value").startswith("{"))
+    lines = _reader(source).text(path).where(F.trim("value").startswith("{"))
     parsed = lines.select(F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
     return parsed.where("r._broken IS NULL").select("r.*").drop("_broken")
 
@@ -38,18 +49,34 @@ def strict_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _written(paragraph: ElementTree.Element) -> str:
+    """What a paragraph shows: its runs' text, tabs and line breaks in order, without white space at its ends."""
+    shows = {"t": lambda node: node.text or "", "tab": lambda _: "\t", "br": lambda _: "\n", "cr": lambda _: "\n"}
+    found = []
+    for node in paragraph.iter():
+        name = node.tag.removeprefix(WORD_NAMESPACE)
+        if node.tag != name and name in shows:
+            found.append(shows[name](node))
+    return "".join(found).strip()
+
+
 @pandas_udf(ArrayType(StringType()))
 def _paragraphs(content: pd.Series) -> pd.Series:
-    def read(data: bytes) -> list[str]:
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            root = ElementTree.fromstring(archive.read("word/document.xml"))
-        return ["".join(t.text or "" for t in p.iter(f"{WORD_NAMESPACE}t")) for p in root.iter(f"{WORD_NAMESPACE}p")]
+    """The paragraphs of zipped documents that are not blank; none of what is no such document."""
+
+    def of(data: bytes) -> list[str]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as archive, archive.open("word/document.xml") as body:
+                tree = ElementTree.parse(body)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return []
+        return [text for text in map(_written, tree.iter(f"{WORD_NAMESPACE}p")) if text]
 
-    return content.map(read)
+    return content.map(of)
 
 
 def word_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of the paragraphs of .docx files."""
+    """(path, line_no, line) of the paragraphs of .docx files that are not blank; broken files have none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
     return files.select("path", F.posexplode(_paragraphs("content")).alias("line_no", "line"))
 
@@ -86,6 +113,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_csv_history(df: DataFrame, path: str) -> None:
+    """One more run's rows under those of the runs before it."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def rebuild_index(chunks: DataFrame, path: str) -> None:
+    """An index made anew: what was there goes."""
+    chunks.write.mode("overwrite").parquet(path)
+
+
+def replace_import_types(rows: DataFrame, kind: str, path: str) -> None:
+    """All rows of the import types that ``rows`` has are replaced by them; other types stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(kind).parquet(path)
+
+
 def write_by_category(df: DataFrame, category: str, path: str) -> None:
     """One folder a category; a later write replaces only the categories that it has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(category).json(path)

@@ -89,3 +89,37 @@ def test_windowed_metrics_count_an_id_once(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.event_type, r.n, r.avg_value) for r in spark.table("metrics").collect()] == [("view", 2, 3.0)]
+
+
+def test_records_by_file_ending(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"t": "1"}\n\nbroken\n{"t": "2"}\n')
+    (tmp_path / "b.ndjson").write_text('{"t": "3"}\n')
+    (tmp_path / "c.json").write_text('[{"t": "4"}, {"t": "5"}]')
+    (tmp_path / "d.json").write_text('{"items": [{"t": "6"}]}')
+    (tmp_path / "e.txt").write_text('{"t": "7"}')
+    assert sorted(r.t for r in files.json_by_ending(spark, str(tmp_path), "items", "t string").collect()) == list("123456")
+
+
+def test_histories_indexes_and_imports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, kind string")
+    path = lambda name: str(tmp_path / name)
+    for _ in range(2):
+        files.append_csv_history(rows, path("h"))
+    assert spark.read.option("header", True).csv(path("h")).count() == 6
+    files.rebuild_index(rows, path("i"))
+    files.rebuild_index(rows.where("id = 1"), path("i"))
+    assert [r.id for r in spark.read.parquet(path("i")).collect()] == [1]
+    files.replace_import_types(rows, "kind", path("t"))
+    files.replace_import_types(rows.where("id = 2").withColumn("id", F.col("id") + 10), "kind", path("t"))
+    assert sorted((r.id, r.kind) for r in spark.read.parquet(path("t")).collect()) == [(1, "a"), (12, "b")]
+
+
+def test_word_texts_with_tabs_breaks_blank_paragraphs_and_broken_files(spark, tmp_path):
+    ns = files.WORD_NAMESPACE.strip("{}")
+    body = "<w:p><w:r><w:t> a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c </w:t></w:r></w:p><w:p><w:r><w:t> </w:t></w:r></w:p><w:p/><w:p><w:r><w:t>d</w:t></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body>{body}</w:body></w:document>')
+    (tmp_path / "y.docx").write_text("no archive")
+    with zipfile.ZipFile(tmp_path / "z.docx", "w") as archive:
+        archive.writestr("other.xml", "<x/>")
+    assert [(r.line_no, r.line) for r in files.word_documents(spark, str(tmp_path)).orderBy("line_no").collect()] == [(0, "a\tb\nc"), (1, "d")]
