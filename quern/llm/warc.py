@@ -5,10 +5,11 @@ at FILE_BYTES, so that partitions stay small. The reader parses a record's heade
 pushed filter on record type or on a header column is tested on them, and a record that fails it is
 passed over by seeking beyond its block: its payload is neither read nor decoded. Payloads are also
 passed over if the read was asked for headers only (option payload=false). Files ending in .gz
-(one member for each record, as the format has it) are read as a stream.
+(one member for each record, as the format has it) are read as a stream. Folders below the path are read
+too. A record that ends before its length fails the read.
 
 Files are reached through `pyarrow.fs`, so a path may be local or in any store that it knows. Writing
-goes to names of the task's own under _pending; the driver moves them when the job commits, so tasks
+goes to names of the task's own in a folder of the job's own under _pending; the driver moves them when the job commits, so tasks
 that were run twice or lost leave nothing behind.
 
 Defined results of `archive_pages`: a null html is an empty payload; a null url leaves the target
@@ -110,6 +111,7 @@ class _Members(io.RawIOBase):
 def read_records(raw, compressed: bool, wanted, payloads: bool) -> Iterator[tuple]:
     """Rows of the source's columns for the records whose headers ``wanted`` accepts."""
     file = io.BufferedReader(_Members(raw), READ_BYTES) if compressed else io.BufferedReader(raw, READ_BYTES)
+    length = 0 if compressed else raw.size()
     while True:
         line = file.readline()
         while line in (b"\r\n", b"\n"):
@@ -131,15 +133,19 @@ def read_records(raw, compressed: bool, wanted, payloads: bool) -> Iterator[tupl
         take = wanted(row)
         if take and payloads and row["record_type"] != "revisit":
             block = file.read(size)
+            if len(block) < size:
+                raise ValueError(f"a record ends after {len(block)} of its {size} bytes")
             body = block.partition(b"\r\n\r\n")[2] if found.get("content-type", "").startswith("application/http") else block
             yield (*row.values(), body)
             continue
         if compressed:
             left = size
             while left:
-                left -= len(file.read(min(left, READ_BYTES)))
-        else:
-            file.seek(size, 1)
+                if not (part := file.read(min(left, READ_BYTES))):
+                    raise ValueError(f"a record ends {left} bytes early")
+                left -= len(part)
+        elif file.seek(size, 1) > length:
+            raise ValueError(f"a record ends {file.tell() - length} bytes early")
         if take:
             yield (*row.values(), None)
 
@@ -180,7 +186,7 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = open_store(self.path)
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        found = [f for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if "/_pending/" not in f.path]
         if not found and (info := store.get_file_info(root)).type == fs.FileType.File:
             found = [info]
         return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.base_name.removesuffix(".gz").endswith(".warc")]
@@ -206,11 +212,12 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options) -> None:
         self.path = options["path"]
         self.gzip = options.get("compression", "none") == "gzip"
+        self.job = f"_pending/{uuid.uuid4().hex}"
         self.date = options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator) -> WriterCommitMessage:
         store, root = open_store(self.path)
-        store.create_dir(f"{root}/_pending", recursive=True)
+        store.create_dir(f"{root}/{self.job}", recursive=True)
         names, out, size = [], None, 0
         for row in iterator:
             values = row.asDict()
@@ -221,7 +228,7 @@ class WarcWriter(DataSourceWriter):
                 data = deflate.compress(data) + deflate.flush()
             if out is None:
                 names.append(f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                out, size = store.open_output_stream(f"{root}/_pending/{names[-1]}", compression=None), 0
+                out, size = store.open_output_stream(f"{root}/{self.job}/{names[-1]}", compression=None), 0
             out.write(data)
             size += len(data)
             if size >= FILE_BYTES:
@@ -236,15 +243,15 @@ class WarcWriter(DataSourceWriter):
         store.create_dir(root, recursive=True)
         for message in messages:
             for name in message.names if message else ():
-                store.move(f"{root}/_pending/{name}", f"{root}/{name}")
+                store.move(f"{root}/{self.job}/{name}", f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages) -> None:
         from pyarrow import fs
 
         store, root = open_store(self.path)
-        if store.get_file_info(f"{root}/_pending").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/_pending")
+        if store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.job}")
 
 
 class WarcSource(DataSource):

@@ -3,6 +3,7 @@ import hashlib
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.llm import warc
@@ -54,3 +55,27 @@ def test_no_pages(spark, tmp_path):
     path = f"{tmp_path}/{uuid.uuid4().hex}"
     warc.write_warc(warc.archive_pages(pages(spark, [])), path)
     assert warc.read_warc(spark, path).collect() == []
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_cut_archives_fail_and_folders_below_are_read(spark, tmp_path, compression):
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    warc.write_warc(warc.archive_pages(pages(spark, [(5, "u", "long" * 300_000)])), f"{path}/below", compression)
+    (file,) = [f for f in warc.WarcReader({"path": path}).partitions()]
+    assert warc.read_warc(spark, path).count() == 1
+    whole = open(file.path, "rb").read()
+    open(file.path, "wb").write(whole[: len(whole) // 2])
+    for payload in ("true", "false"):
+        reader = warc.WarcReader({"path": path, "payload": payload})
+        with pytest.raises(ValueError, match="a record ends"):
+            list(reader.read(file))
+
+
+def test_jobs_of_one_path_do_not_meet(tmp_path):
+    one, other = (warc.WarcWriter({"path": str(tmp_path)}) for _ in range(2))
+    row = lambda i: Row(record_type="response", record_id=f"<urn:page:{i}>", target_uri=None, record_date=None, page_id=i, payload_digest=None, payload_bytes=1, refers_to=None, payload=b"x")
+    first, second = one.write(iter([row(1)])), other.write(iter([row(2)]))
+    one.commit([first])
+    other.commit([second])
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    assert sorted(r[4] for part in reader.partitions() for r in reader.read(part)) == [1, 2]
