@@ -15,7 +15,9 @@ def title_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of part names of one brand and size whose sequences are alike to 0.86: blocked before compared."""
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     other = p.select(F.col("p_partkey").alias("other_key"), F.col("p_name").alias("other_name"), "p_brand", "p_size")
-    near = p.join(other, ["p_brand", "p_size"]).where("p_partkey < other_key")
+    lengths = F.length("p_name"), F.length("other_name")
+    # two strings share no more than the shorter one has
+    near = p.join(other, ["p_brand", "p_size"]).where("p_partkey < other_key").where(2 * F.least(*lengths) >= 0.8599 * (lengths[0] + lengths[1]))
     return near.select("p_partkey", "other_key", F.round(native_gaps.sequence_ratio("p_name", "other_name"), 6).alias("ratio")).where("ratio >= 0.86")
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import difflib
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,22 @@ def test_exams_that_are_not_taken(spark):
     got = {r.event_id: r.reason for r in planning.exam_filter(frame).collect()}
     late = "exam_too_many_consecutive_days"
     assert got == {1: "generic_exam_calendar_marker", 2: None, 3: None, 4: "holiday_exam_conflict", 5: "review_required_exam_title", 6: "low_overlap_exam", 7: None, 10: None, 11: None, 12: None, 13: late, 14: late, 20: None}
+
+
+def test_similar_names_and_compatible_titles_are_those_of_plain_loops(spark, sf):
+    from quern.queries import beyond_sql
+
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size").collect()
+    want = {}
+    for i, a in enumerate(parts):
+        for b in parts[i + 1 :]:
+            if (a.p_brand, a.p_size) == (b.p_brand, b.p_size):
+                low, high = sorted((a, b))
+                if (ratio := round(difflib.SequenceMatcher(None, low.p_name, high.p_name).ratio(), 6)) >= 0.86:
+                    want[low.p_partkey, high.p_partkey] = ratio
+    got = {(r.p_partkey, r.other_key): r.ratio for r in beyond_sql.title_similarity(spark, sf).collect()}
+    assert got == want
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    key = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t.split("\n")[0]) if unicodedata.category(c)[0] in "LN").upper()
+    got = {r.doc_id: r.title_key for r in beyond_sql.compatibility_titles(spark, sf).collect()}
+    assert got == {i: None if t is None else key(t) for i, t in texts.items()}
