@@ -24,6 +24,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label=block"
 
@@ -102,16 +104,17 @@ def telling(labelled: DataFrame) -> DataFrame:
 
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """(tokens, index_token, confidence, support) from (tokens, bad)."""
-    found = telling(labelled)
+    found = cut_lineage(telling(labelled))
     baskets = found.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    frequent = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(baskets).freqItemsets
+    # stored, since it is read many times and each reading would mine again
+    frequent = cut_lineage(FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(baskets).freqItemsets)
     bad = frequent.where(F.array_contains("items", BLOCK) & (F.size("items") > 1))
     bad = bad.select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("support"))
     plain = frequent.where(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
     strong = bad.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("n"))
     # support falls with every token more, so the parts of a frequent combination are all here: carry the best
     # confidence of any part upwards, one token at a time
-    strong = strong.where(F.col("n") >= mining.min_pages).select("tokens", "support", "confidence")
+    strong = cut_lineage(strong.where(F.col("n") >= mining.min_pages).select("tokens", "support", "confidence"))
     longest = strong.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0))).first()[0]
     best = strong.where(F.size("tokens") == 1).select("tokens", "support", "confidence", F.lit(-1.0).alias("part"))
     levels = [best]
@@ -120,7 +123,7 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
         own = strong.where(F.size("tokens") == size)
         fewer = own.select("tokens", F.explode("tokens").alias("token")).select("tokens", F.array_remove("tokens", F.col("token")).alias("fewer"))
         parts = fewer.join(above, "fewer").groupBy("tokens").agg(F.max("best").alias("part"))
-        levels.append(own.join(parts, "tokens", "left").select("tokens", "support", "confidence", F.coalesce("part", F.lit(-1.0)).alias("part")))
+        levels.append(cut_lineage(own.join(parts, "tokens", "left").select("tokens", "support", "confidence", F.coalesce("part", F.lit(-1.0)).alias("part"))))
     every = reduce(DataFrame.unionByName, levels)
     kept = every.where((F.col("confidence") >= mining.min_confidence) & (F.col("part") < F.col("confidence"))).select("tokens", "support", "confidence")
     single = plain.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("n").alias("token_n"))
