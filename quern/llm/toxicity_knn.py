@@ -4,9 +4,10 @@ Examples are a bounded sample of labelled documents, all of whose terms count. A
 (1 + log its count there) times its inverse document frequency over all documents, times the square of its
 relevance, log2(2 + a / max(1, c)) for a toxic and c other examples that have it: by inverse frequencies alone
 texts are near to those of their subject and language, whatever their label. The examples' vectors form an
-inverted index in blocks of examples of like words, with the largest weight of each term in each block. A query
-takes the blocks by falling upper bound and stops where no block can reach the k-th best cosine: the neighbours
-are exact. Their votes weigh by nearness and are smoothed towards the examples' share, which makes the score a
+inverted index in blocks of examples of like words, with the largest weight of each term in each block. What
+common terms (those of a sixteenth of the examples) add to the cosines is one matrix product for many texts; a
+query then takes the blocks by falling upper bound, the best of these sums and the largest weights of its other
+terms, and stops where no block can reach the k-th best cosine: the neighbours are exact. Their votes weigh by nearness and are smoothed towards the examples' share, which makes the score a
 probability; the neighbours' ids are the evidence.
 
 Defined results: terms that no example has are left out of a text's vector; a text that has no other (an empty
@@ -32,7 +33,9 @@ from quern.llm.common import cut_lineage, prepare, texts
 from quern.llm.quality_rules import labelled_sample
 
 #: Examples, and terms of all of them together, at most; neighbours that vote; examples of a block.
-EXAMPLES, POSTINGS, NEIGHBOURS, BLOCK = 3_000, 3_000_000, 15, 256
+EXAMPLES, POSTINGS, NEIGHBOURS, BLOCK = 3_000, 3_000_000, 15, 1_024
+#: A term in one of so many examples is common; texts whose common terms are multiplied at once.
+COMMON, ROWS = 16, 64
 #: Weight of the examples' share of toxic ones against the votes; results one worker keeps.
 SMOOTH, KEPT = 0.5, 100_000
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»¿¡…"
@@ -99,42 +102,52 @@ class Index:
         own = (1 + np.log(count)) * self.weight[term] if size else count
         norm = np.sqrt(np.bincount(owner, weights=own**2, minlength=len(worded)))
         own = own / norm[owner]
-        # for each block its postings by term: who has it, with what weight
-        self.blocks = []
-        for low in range(0, len(worded), BLOCK):
+        # common terms by rows of all examples
+        have = np.bincount(term, minlength=size) if size else np.zeros(0)
+        common = np.flatnonzero(have * COMMON >= max(1, len(worded)))
+        self.row = np.full(size, -1)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), len(worded)))
+        dense = self.row[term] >= 0 if size else np.zeros(0, bool)
+        self.common[self.row[term[dense]], owner[dense]] = own[dense]
+        term, owner, own = term[~dense], owner[~dense], own[~dense]
+        # for each block the postings of its other terms: who has it, with what weight
+        self.blocks, self.starts = [], np.arange(0, len(worded), BLOCK)
+        self.most = np.zeros((len(self.starts), size))
+        for number, low in enumerate(self.starts):
             mine = (owner >= low) & (owner < low + BLOCK)
             order = np.argsort(term[mine], kind="stable")
             t, w = term[mine][order], own[mine][order]
-            starts = np.searchsorted(t, np.arange(size + 1)).astype(np.int32)
-            most = np.zeros(size)
-            np.maximum.at(most, t, w)
-            self.blocks.append((low, starts, (owner[mine][order] - low).astype(np.int32), w))
-            self.most = np.vstack([self.most, most]) if low else most[None, :]
+            np.maximum.at(self.most[number], t, w)
+            self.blocks.append((np.searchsorted(t, np.arange(size + 1)).astype(np.int32), (owner[mine][order] - low).astype(np.int32), w))
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit-length weights of a text."""
-        own = [(self.number[t], n) for t, n in found.items() if t in self.number]
-        terms = np.array([t for t, _ in own], np.int64)
-        weights = (1 + np.log(np.array([n for _, n in own], np.float64))) * self.weight[terms] if own else np.zeros(0)
-        return terms, weights / math.sqrt((weights**2).sum()) if own else weights
-
-    def nearest(self, found: Counter, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the examples at least as near as the k-th nearest, none at cosine 0."""
-        terms, weights = self.vector(found)
-        if not len(terms) or not self.blocks:
-            return np.array([], np.int64), np.array([])
-        bound = self.most[:, terms] @ weights
+        terms = np.array([self.number.get(t, -1) for t in found], np.int64)
+        counts = np.array(list(found.values()), np.float64)
+        terms, counts = terms[terms >= 0], counts[terms >= 0]
+        weights = (1 + np.log(counts)) * self.weight[terms]
+        return terms, weights / math.sqrt((weights**2).sum()) if len(terms) else weights
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the examples at least as near as the k-th nearest, none at cosine 0, for other terms
+        and what the common ones add."""
+        bound = np.maximum.reduceat(base, self.starts) + self.most[:, terms] @ weights
         every, values, least = np.array([], np.int64), np.array([]), 0.0
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or bound[b] < least - 1e-9:
                 break
-            low, starts, owners, own = self.blocks[b]
+            low, (starts, owners, own) = self.starts[b], self.blocks[b]
+            score = base[low : low + BLOCK].copy()
             start, size = starts[terms], starts[terms + 1] - starts[terms]
-            ends = np.cumsum(size)
-            place = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
-            score = np.bincount(owners[place], weights=own[place] * np.repeat(weights, size), minlength=1)
+            some = size > 0
+            if some.any():
+                start, size = start[some], size[some]
+                ends = np.cumsum(size)
+                place = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+                score += np.bincount(owners[place], weights=own[place] * np.repeat(weights[some], size), minlength=len(score))
             hit = np.flatnonzero(score > max(0.0, least - 1e-12))
-            every, values = np.r_[every, hit + low], np.r_[values, score[hit]]
+            every, values = np.concatenate([every, hit + low]), np.concatenate([values, score[hit]])
             if len(every) > k:
                 least = np.partition(values, -k)[-k]
                 stay = values >= least - 1e-12
@@ -142,9 +155,21 @@ class Index:
         order = np.lexsort((every, -values))
         return every[order], values[order]
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """The smoothed, distance-weighted vote, and the ids of up to three of the nearest examples."""
-        found, cosines = self.nearest(terms_of(text))
+    def scores(self, whole: list[str]) -> list[tuple[float, list[int]]]:
+        """For each text the smoothed, distance-weighted vote, and the ids of up to three of the nearest examples."""
+        found = []
+        for first in range(0, len(whole), ROWS):
+            vectors = [self.vector(terms_of(text)) for text in whole[first : first + ROWS]]
+            queries = np.zeros((len(vectors), len(self.common)))
+            for query, (terms, weights) in zip(queries, vectors):
+                common = self.row[terms] >= 0
+                query[self.row[terms[common]]] = weights[common]
+            for (terms, weights), base in zip(vectors, queries @ self.common):
+                other = self.row[terms] < 0
+                found.append(self.vote(*self.nearest(terms[other], weights[other], base)) if len(terms) else (self.without, []))
+        return found
+
+    def vote(self, found: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int]]:
         if not len(found):
             return self.without, []
         weight = 1 / (0.05 + 1 - np.minimum(cosines, 1))
@@ -158,15 +183,13 @@ def scores(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa
 
     kept: dict = {}
     for batch in batches:
-        found = []
-        for text in batch["text"].to_pylist():
-            key = xxhash.xxh128_digest(text or "")
-            if (result := kept.get(key)) is None:
-                if len(kept) >= KEPT:
-                    kept.clear()
-                result = kept[key] = index.score(text or "")
-            found.append(result)
-        yield batch, found
+        whole = [text or "" for text in batch["text"].to_pylist()]
+        keys = [xxhash.xxh128_digest(text) for text in whole]
+        if len(kept) >= KEPT:
+            kept.clear()
+        new = {key: text for key, text in zip(keys, whole) if key not in kept}
+        kept.update(zip(new, index.scores(list(new.values()))))
+        yield batch, [kept[key] for key in keys]
 
 
 def _score(shared, id_column: str):

@@ -67,8 +67,10 @@ def test_neighbours_and_scores_are_those_of_brute_force(monkeypatch):
     frequencies = {t: 1 + i * 7 for i, t in enumerate(terms)}
     index = toxicity_knn.Index(examples, frequencies, 1000)
     assert len(index.blocks) > 3
-    for text in [draw() for _ in range(80)] + ["", "unknown", "t3", "t59 t59 unknown"]:
-        assert math.isclose(index.score(text)[0], plain_score(text, examples, frequencies, 1000), rel_tol=1e-9)
+    assert 0 < len(index.common) < 60
+    queries = [draw() for _ in range(80)] + ["", "unknown", "t3", "t59 t59 unknown"]
+    for text, (score, _) in zip(queries, index.scores(queries)):
+        assert math.isclose(score, plain_score(text, examples, frequencies, 1000), rel_tol=1e-9)
 
 
 def test_query_scores_are_those_of_brute_force(spark, sf):
