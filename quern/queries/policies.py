@@ -23,10 +23,10 @@ MODES = ("", "", "", "", "", "", "model_error", "ai_server_down", "lora_reasoner
 STORED, FALLBACKS = ("db", "llm_intent_db", "personal_db", "personal_db_llm", "personal_db_lora"), ("GENERAL_KNOWLEDGE_FALLBACK", "GENERAL_ADVICE_FALLBACK", "CAUTIOUS_FALLBACK")
 OTHER_TYPES = ("study", "assignment", "lecture", "deadline", "notice", "generated", "evaluation", "learning", "mentoring", "unknown", "other", "etc", "기타")
 EXAM_WORDS, DEADLINE_WORDS = ("평가", "시험", "과목평가", "월말평가"), ("마감", "제출", "과제")
-KINDS = ("SSAFY_OFFICIAL", "GENERAL_TECH", "GENERAL_ADVICE", "OTHER")
-ANSWERS = (("SSAFY_OFFICIAL", "OFFICIAL_NO_CONTEXT", False), ("GENERAL_TECH", "GENERAL_KNOWLEDGE_FALLBACK", True), ("GENERAL_ADVICE", "GENERAL_ADVICE_FALLBACK", True))
+KINDS = ("OFFICIAL", "GENERAL_TECH", "GENERAL_ADVICE", "OTHER")
+ANSWERS = (("OFFICIAL", "OFFICIAL_NO_CONTEXT", False), ("GENERAL_TECH", "GENERAL_KNOWLEDGE_FALLBACK", True), ("GENERAL_ADVICE", "GENERAL_ADVICE_FALLBACK", True))
 PRIORITY = ("우선", "먼저", "1.", "2.", "3.", "순위", "중요", "집중", "줄이", "나누", "균형", "확인", "공유", "조율", "결정", "선택", "현실적", "최소", "핵심")
-DOMAIN = ("ssafy", "싸피", "과락", "월말", "평가", "프로젝트", "팀원", "팀", "발표", "프로님", "멘토", "멘토링", "시험", "알고리즘", "출결", "지각", "수료", "공지", "관통", "git", "github", "mattermost")
+DOMAIN = ("academy", "아카데미", "과락", "월말", "평가", "프로젝트", "팀원", "팀", "발표", "프로님", "멘토", "멘토링", "시험", "알고리즘", "출결", "지각", "수료", "공지", "관통", "git", "github", "mattermost")
 ACTIONS = ("확인", "공유", "정리", "나누", "조율", "줄이", "집중", "요청", "상담", "준비", "체크", "기록", "말해", "물어", "계획", "시작", "정하", "작성", "연락", "복습", "테스트", "수정")
 ASK_STOPS = ("어떻게", "하시겠습니까", "좋을까요", "무엇부터", "해야", "하나요", "할까요")
 TOKEN_STOPS = ("것", "수", "있", "합니다", "하세요", "좋습니다", "먼저", "그리고", "하지만", "때문", "대한", "현재", "상황", "정도", "경우", "일반적으로", "입니다")
@@ -256,7 +256,7 @@ ORACLES = {
         WHEN used_rag AND used_llm THEN 'rag_plus_llm' WHEN used_db AND used_llm THEN 'db_plus_llm' WHEN used_llm THEN 'llm' WHEN used_rag THEN 'rag_no_context' WHEN used_db THEN 'server_db_formatter' ELSE stage END AS generator FROM w""",
     "run_metrics": f"""WITH {RUNS}, d AS (SELECT ts::DATE AS day, * FROM w), t AS (SELECT day, stage, count(*) AS n FROM d GROUP BY ALL), b AS (SELECT day, arg_max(stage, row(n, stage)) AS top_stage FROM t GROUP BY day)
         SELECT day, count(*) AS n, {', '.join(f"round(100 * count(*) FILTER ({c}) / count(*), 1) AS {c}_pct" for c in ('used_db', 'used_rag', 'used_llm', 'used_intent', 'converted'))}, coalesce(round(avg(tokens), 1), 0.0) AS avg_tokens, any_value(top_stage) AS top_stage FROM d JOIN b USING (day) GROUP BY day""",
-    "answer_policies": f"""WITH e AS (SELECT event_id, {_at(KINDS, 'event_id')} AS kind, coalesce((props->>'$.k')::INT, 0) % 3 > 0 AS lacking FROM events), p AS (SELECT event_id, CASE WHEN NOT lacking THEN 'RAG_GROUNDED' WHEN kind = 'SSAFY_OFFICIAL' THEN 'OFFICIAL_NO_CONTEXT'
+    "answer_policies": f"""WITH e AS (SELECT event_id, {_at(KINDS, 'event_id')} AS kind, coalesce((props->>'$.k')::INT, 0) % 3 > 0 AS lacking FROM events), p AS (SELECT event_id, CASE WHEN NOT lacking THEN 'RAG_GROUNDED' WHEN kind = 'OFFICIAL' THEN 'OFFICIAL_NO_CONTEXT'
         WHEN kind = 'GENERAL_TECH' THEN 'GENERAL_KNOWLEDGE_FALLBACK' WHEN kind = 'GENERAL_ADVICE' THEN 'GENERAL_ADVICE_FALLBACK' ELSE 'CAUTIOUS_FALLBACK' END AS policy FROM e)
         SELECT event_id, policy, policy <> 'OFFICIAL_NO_CONTEXT' AS use_llm, policy = 'RAG_GROUNDED' AS use_references FROM p""",
     "retrieval_policies": f"""WITH {questions.ASKED}, {questions.DATES}, {questions.PARSED}, n AS (SELECT event_id, CASE p.k WHEN 'SCHEDULE_EXACT_DATE' THEN 'SCHEDULE_METADATA_EXACT' WHEN 'SCHEDULE_MONTH' THEN 'SCHEDULE_METADATA_RANGE' WHEN 'SCHEDULE_RANGE' THEN 'SCHEDULE_METADATA_RANGE' ELSE 'SEMANTIC_RETRIEVAL' END AS name FROM p)

@@ -86,7 +86,7 @@ def test_wrapping_titles_are_those_of_a_plain_loop(spark, sf):
     assert 0 < sum(r.wrapper for r in rows) < len(rows)
 
 
-@pytest.mark.parametrize(("title", "want"), [("", True), ("12:30~13:30", True), ("7월 3일", True), ("SQL", False), ("js", True), ("설날", False), ("가나", True), ("For Youth", True), ("SQL 특강", False)])
+@pytest.mark.parametrize(("title", "want"), [("", True), ("12:30~13:30", True), ("7월 3일", True), ("SQL", False), ("js", True), ("설날", False), ("가나", True), ("For All", True), ("SQL 특강", False)])
 def test_meaningless_titles(spark, title, want):
     assert spark.createDataFrame([(title,)], "t string").select(planning.is_meaningless(F.col("t")).alias("m")).first().m == want
 
