@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_codec, decontaminate, embedding_dedup, lm_score, quality_rules, simhash_dedup, token_counts, toxicity_knn, url_filter, warc
+from quern.llm import bpe_codec, decontaminate, embedding_dedup, lexical_search, lm_score, piece_codec, quality_rules, resample, simhash_dedup, token_counts, toxicity_knn, url_filter, warc
 from quern.llm.common import crc_bucket, fresh_folder, prepare, table
 
 URL_RULES = [
@@ -98,6 +98,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again.select(*wanted))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five in a hundred of the documents, drawn towards the benchmark's distribution of word runs."""
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    decoded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), path, end=True).select("doc_id", "ids"), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -109,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_lm_score": op9_lm_score,
     "op10_warc": op10_warc,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
@@ -201,4 +225,52 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first_id THEN first_id END AS refers_to
         FROM letters""",
+    # a feature's crc is folded over its bytes with the table of the 256 steps
+    "op11_importance_resampling": r"""
+        WITH crc AS (
+            SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS steps FROM range(256) t(b)
+        ), texts AS (
+            SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), item_id, text FROM benchmark
+        ), w AS (
+            SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts
+        ), f AS (
+            SELECT side, r, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' ')), list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))) AS feature FROM w
+        ), hashed AS (
+            SELECT feature, xor(list_reduce(list_transform(range(1, length(digits), 2), lambda i: ('0x' || substring(digits, i, 2))::BIGINT),
+                lambda c, b: xor(c // 256, steps[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT feature, hex(encode(feature)) AS digits FROM f), crc
+        ), counted AS (
+            SELECT side, bucket, count(*) AS n FROM f JOIN hashed USING (feature) GROUP BY ALL
+        ), b AS (
+            SELECT range AS bucket, coalesce(any_value(n) FILTER (side = 'd'), 0) AS s, coalesce(any_value(n) FILTER (side = 't'), 0) AS t FROM range(10000) LEFT JOIN counted ON bucket = range GROUP BY range
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM b) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM b
+        ), weights AS (
+            SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r
+        ), scored AS (
+            SELECT r, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM w LEFT JOIN weights USING (r) WHERE side = 'd'
+        ), places AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (r)""",
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), i AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark
+        ), total AS (
+            SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+        ), queries AS (
+            SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(terms) AS term FROM i) GROUP BY ALL
+        ), postings AS (
+            SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), total
+        ), lengths AS (
+            SELECT r, doc_id, 75 + (25 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, total WHERE len(terms) > 0
+        ), scores AS (
+            SELECT item_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM queries JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY ALL
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores JOIN lengths USING (r) WHERE score > 0) WHERE rank <= 20""",
 }
