@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from quern.llm.common import prepare, texts
 
 #: Words whose pieces one Python worker keeps, about, and characters a word that these may have.
-KEEP_WORDS, WORD_CHARS = 400_000, 100
-#: Characters of text that are handed to the library's decoder at once.
-DECODE_IDS = 500_000
+KEEP_WORDS, WORD_CHARS = 200_000, 100
+#: Bytes of text that are encoded together; a longer text is encoded on its own.
+TEXT_BYTES = 1 << 20
+#: Ids that are handed to the library's decoder at once; a longer text's are decoded on their own.
+DECODE_IDS = 200_000
 
 # The space mark, and the kinds of pieces of the model format.
 MARK = "▁"
@@ -47,23 +49,24 @@ def map_rules(blob: bytes) -> dict[str, str]:
     if not blob:
         return {}
     size = struct.unpack_from("<I", blob)[0]
-    units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
+    units = np.frombuffer(blob, "<u4", size // 4, 4)
+    labels, numbers = np.where(units & 0x80000000, 0, units & 0xFF), np.arange(1, 256)
     written = blob[4 + size :]
     rules: dict[str, str] = {}
 
     def children_at(unit: int) -> int:
         return (unit >> 10) << ((unit & 0x200) >> 6)
 
-    todo = [(children_at(units[0]), b"")]
+    todo = [(children_at(int(units[0])), b"")]
     while todo:
         place, key = todo.pop()
-        for byte in range(1, 256):
-            at = place ^ byte
-            if at >= len(units) or units[at] & 0x800000FF != byte:
-                continue
-            below = at ^ children_at(units[at])
-            if units[at] & 0x100:
-                start = units[below] & 0x7FFFFFFF
+        near = place ^ numbers
+        near = near[near < len(units)]
+        for at in near[labels[near] == place ^ near].tolist():
+            byte, unit = place ^ at, int(units[at])
+            below = at ^ children_at(unit)
+            if unit & 0x100:
+                start = int(units[below]) & 0x7FFFFFFF
                 rules[(key + bytes([byte])).decode(errors="surrogateescape")] = written[start : written.index(b"\0", start)].decode()
             todo.append((below, key + bytes([byte])))
     return rules
@@ -162,7 +165,6 @@ class PieceCoder:
         with open(path, "rb") as file:
             blob = file.read()
         model = sentencepiece_model_pb2.ModelProto.FromString(blob)
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.end = model.trainer_spec.eos_id
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.fallback = model.trainer_spec.byte_fallback
@@ -179,6 +181,9 @@ class PieceCoder:
         crossing = any(MARK in p.piece.lstrip(MARK) for p in model.pieces if p.type in (NORMAL, USER_DEFINED, UNUSED))
         # a run of unknown characters may go on into the next word unless it becomes bytes
         self.words = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if merges and self.fallback and not crossing else None
+        # a word that is met for the first time gets the next number
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
         self.forget()
 
     def unknown_reads(self, normal: str) -> np.ndarray:
@@ -199,7 +204,6 @@ class PieceCoder:
         if len(self.known) > KEEP_WORDS:
             self.forget()
         try:
-            # a word that is met for the first time gets the next number
             own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             new = list(islice(self.known, len(self.sizes), None))
             if new:
@@ -217,8 +221,7 @@ class PieceCoder:
         return ids, sizes
 
     def forget(self) -> None:
-        self.known: defaultdict[str, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
+        self.known.clear()
         self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,34 +251,49 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The library's own processor of a model."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def runs_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of rows with about ``most`` in all, by the rows' running sums."""
+    row = 0
+    while row < len(offsets) - 1:
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        yield row, last
+        row = last
+
+
 def _encode(path: str, id_column: str, end: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder_ = coder(path)
         for batch in batches:
-            whole = batch["text"].to_pylist()
-            ids, low, high, counts = coder_.encode(whole)
-            if end:
-                at, size = np.cumsum(counts), pc.cast(pc.binary_length(batch["text"]), pa.int64()).to_numpy(zero_copy_only=False)
-                ids, low, high = np.insert(ids, at, coder_.end), np.insert(low, at, size), np.insert(high, at, size)
-                counts = counts + 1
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in (ids, low, high)]
-            yield pa.RecordBatch.from_arrays([batch[id_column], *lists], names=[id_column, "ids", "begins", "ends"])
+            sizes = pc.cast(pc.binary_length(batch["text"]), pa.int64()).to_numpy(zero_copy_only=False)
+            for row, last in runs_of(np.concatenate([[0], np.cumsum(sizes)]), TEXT_BYTES):
+                ids, low, high, counts = coder_.encode(batch["text"].slice(row, last - row).to_pylist())
+                if end:
+                    at, size = np.cumsum(counts), sizes[row:last]
+                    ids, low, high = np.insert(ids, at, coder_.end), np.insert(low, at, size), np.insert(high, at, size)
+                    counts = counts + 1
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in (ids, low, high)]
+                yield pa.RecordBatch.from_arrays([batch[id_column].slice(row, last - row), *lists], names=[id_column, "ids", "begins", "ends"])
 
     return run
 
 
 def _decode(path: str, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = coder(path).library
+        decoder = library(path)
         for batch in batches:
-            offsets = batch["ids"].offsets.to_numpy()
-            out, row = [], 0
-            while row < batch.num_rows:
-                last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + DECODE_IDS, "right")) - 1)
-                out += library.decode([x or [] for x in batch["ids"].slice(row, last - row).to_pylist()], num_threads=1)
-                row = last
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(out, pa.string())], names=[*keep, "decoded"])
+            for row, last in runs_of(batch["ids"].offsets.to_numpy(), DECODE_IDS):
+                some = batch.slice(row, last - row)
+                out = decoder.decode([x or [] for x in some["ids"].to_pylist()], num_threads=1)
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in keep), pa.array(out, pa.string())], names=[*keep, "decoded"])
 
     return run
 
