@@ -87,25 +87,37 @@ class Normaliser:
         self.rules = rules | {k: k for k in keep}
         self.dummy_prefix, self.fewer_spaces, self.suffix = dummy_prefix, fewer_spaces, suffix
         self.space = MARK if mark else " "
-        # alternatives are tried in their order: of those with a common beginning, the longest matches first
-        keys = sorted(keep, key=len, reverse=True) + sorted((k for k in rules if k not in set(keep)), key=len, reverse=True)
-        self.known = regex.compile("|".join(map(regex.escape, keys))) if keys else None
+        self.lengths: dict[str, list[int]] = {}
+        for key in self.rules:
+            self.lengths.setdefault(key[0], []).append(len(key))
+        self.lengths = {c: sorted(set(n), reverse=True) for c, n in self.lengths.items()}
+        self.first = regex.compile("[" + "".join(map(regex.escape, self.lengths)) + "]") if self.lengths else None
+
+    def longest(self, text: str, at: int) -> int:
+        """Where the longest prefix of ``text`` from ``at`` on that a rule knows ends, or ``at``."""
+        for n in self.lengths.get(text[at], ()):
+            if text[at : at + n] in self.rules:
+                return at + n
+        return at
 
     def replaced(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """(characters, where each comes from in the original's bytes, whether it leads its replacement): all
         characters that one replacement wrote come from the place where it read."""
         sizes = utf8_sizes(text)
         place = np.concatenate([[0], np.cumsum(sizes)])
-        if self.known is None:
+        if self.first is None:
             return text, place, np.ones(len(text), bool)
         out, start, lead, low = [], [], [], 0
-        for m in self.known.finditer(text):
-            written = self.rules[m[0]]
-            out += [text[low : m.start()], written]
-            start += [place[low : m.start()], np.full(len(written), place[m.start()])]
+        for m in self.first.finditer(text):
+            at = m.start()
+            if at < low or (end := self.longest(text, at)) == at:
+                continue
+            written = self.rules[text[at:end]]
+            out += [text[low:at], written]
+            start += [place[low:at], np.full(len(written), place[at])]
             spaces = len(written) - len(written.lstrip(" "))
-            lead += [np.ones(m.start() - low, bool), np.arange(len(written)) < max(spaces, 1)]
-            low = m.end()
+            lead += [np.ones(at - low, bool), np.arange(len(written)) < max(spaces, 1)]
+            low = end
         start.append(place[low:])
         return "".join([*out, text[low:]]), np.concatenate(start), np.concatenate([*lead, np.ones(len(text) - low, bool)])
 
@@ -113,17 +125,17 @@ class Normaliser:
         """Characters at the front that are read as single spaces."""
         at = 0
         while at < len(text):
-            m = self.known.match(text, at) if self.known else None
-            if (self.rules[m[0]] if m else text[at]) != " ":
+            end = self.longest(text, at)
+            if (self.rules[text[at:end]] if end > at else text[at]) != " ":
                 break
-            at = m.end() if m else at + 1
+            at = max(end, at + 1)
         return at
 
     def normal(self, text: str) -> tuple[str, np.ndarray]:
         """(normalised text, for each of its characters and its end the place in the original's UTF-8 bytes)."""
         if not text:
             return "", np.zeros(1, np.int64)
-        if self.known is None and not self.fewer_spaces:
+        if self.first is None and not self.fewer_spaces:
             place = np.arange(len(text) + 1) if text.isascii() else np.concatenate([[0], np.cumsum(utf8_sizes(text))])
             text = text.replace(" ", self.space)
             first = 0

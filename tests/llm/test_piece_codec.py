@@ -15,8 +15,7 @@ TEXTS = [
 ]
 
 
-def library(path):
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+library = piece_codec.library
 
 
 def changed(tmp_path, name, **spec):
