@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from quern.llm.common import prepare, texts
 
 #: Words whose pieces one Python worker keeps, about, and characters a word that these may have.
-KEEP_WORDS, WORD_CHARS = 200_000, 100
+KEEP_WORDS, WORD_CHARS = 500_000, 100
 #: Bytes of text that are encoded together; a longer text is encoded on its own.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 #: Ids that are handed to the library's decoder at once; a longer text's are decoded on their own.
 DECODE_IDS = 200_000
 
@@ -166,6 +166,14 @@ class Normaliser:
         return text, place
 
 
+def numbered() -> defaultdict[str, int]:
+    """A dictionary that gives each key the next number when it is asked for the first time. It refers to itself:
+    cleared, it leaves nothing behind."""
+    found: defaultdict[str, int] = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
 class PieceCoder:
     """The pieces of one model file."""
 
@@ -192,10 +200,8 @@ class PieceCoder:
         merges = model.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
         crossing = any(MARK in p.piece.lstrip(MARK) for p in model.pieces if p.type in (NORMAL, USER_DEFINED, UNUSED))
         # a run of unknown characters may go on into the next word unless it becomes bytes
-        self.words = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if merges and self.fallback and not crossing else None
-        # a word that is met for the first time gets the next number
-        self.known: defaultdict[str, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
+        self.words = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if merges and self.fallback and not crossing and spec.escape_whitespaces else None
+        self.known = numbered()
         self.forget()
 
     def unknown_reads(self, normal: str) -> np.ndarray:
@@ -204,12 +210,15 @@ class PieceCoder:
         return np.array([len(p.surface.encode()) for p in pieces], np.int64)
 
     def words_of(self, normal: str) -> list[str]:
-        """The words of a normalised text: each starts with all the space marks before it."""
+        """The words of a normalised text, without the mark that each starts with; one that starts with no mark or
+        with several is given as it is, after a space, which no normalised text of such a model holds."""
+        if not normal:
+            return []
         if self.words is None:
-            return [normal] if normal else []
-        if MARK + MARK in normal or " " in normal:
-            return self.words.findall(normal)
-        return normal.replace(MARK, " " + MARK).removeprefix(" ").split(" ") if normal else []
+            return [" " + normal]
+        if MARK + MARK in normal or not normal.startswith(MARK):
+            return [w[1:] if w.startswith(MARK) and not w.startswith(MARK + MARK) else " " + w for w in self.words.findall(normal)]
+        return normal[1:].split(MARK)
 
     def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, one after the other, how many each word has)."""
@@ -217,24 +226,34 @@ class PieceCoder:
             self.forget()
         try:
             own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            new = list(islice(self.known, len(self.sizes), None))
+            new = list(islice(self.known, self.held, None))
             if new:
-                found = self.segmenter.encode(new, num_threads=1)
-                self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
-                self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)])
+                self.learn(self.segmenter.encode([w[1:] if w[:1] == " " else MARK + w for w in new], num_threads=1))
         except BaseException:
             self.forget()
             raise
-        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[own]
-        before = np.cumsum(sizes) - sizes
-        ids = self.ids[np.repeat(starts[own] - before, sizes) + np.arange(sizes.sum())]
-        if sum(len(w) for w in new) > KEEP_WORDS * WORD_CHARS:
+        starts = self.edges[own]
+        sizes = self.edges[own + 1] - starts
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(len(words) and ends[-1])]
+        if sum(map(len, new)) > KEEP_WORDS * WORD_CHARS:
             self.forget()
         return ids, sizes
 
+    def learn(self, found: list[list[int]]) -> None:
+        """Put the ids of the next words behind those that are held; room is doubled when it is used up."""
+        ends = self.edges[self.held] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        while len(self.edges) <= self.held + len(found):
+            self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
+        while len(self.ids) < ends[-1]:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.edges[self.held] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int32)
+        self.edges[self.held + 1 : self.held + 1 + len(found)] = ends
+        self.held += len(found)
+
     def forget(self) -> None:
         self.known.clear()
-        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.held, self.ids, self.edges = 0, np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first byte, byte after the last, pieces of each text): the texts' pieces one after the other, with
