@@ -5,6 +5,7 @@ A page's few boxes are one row's array, over which the centres are folded; pages
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,3 +38,19 @@ def grid(boxes: DataFrame, column_gap: float = 30.0, row_gap: float = 16.0) -> D
     cells = placed.select("page", nearest_centre(F.col("rows"), y).alias("row_no"), nearest_centre(F.col("columns"), x).alias("column_no"), "box")
     words = F.transform(F.array_sort(F.collect_list("box")), lambda box: box["text"])
     return cells.groupBy("page", "row_no", "column_no").agg(F.array_join(words, " ").alias("text"), F.count("*").cast("int").alias("n_boxes"), F.avg("box.confidence").alias("confidence"))
+
+
+def cell_above(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(page, box_no, cell_no): for boxes (page, box_no, cx, cy) the last cell (page, cell_no, column_no, x1, x2, y1) at or above
+    their middle in a column that spans it, of equally near ones that of the smallest number. Boxes under no cell have no row.
+
+    Boxes meet a page's columns, which are few, and not its cells: cells and boxes of a column are put in one order by
+    their height, once, and each box takes the cell that came last."""
+    columns = cells.groupBy("page", "column_no").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
+    own = boxes.join(columns, "page").where((F.col("cx") >= F.col("x1")) & (F.col("cx") <= F.col("x2")))
+    marks = own.select("page", "column_no", F.col("cy").alias("y"), F.lit(1).alias("late"), "box_no", F.lit(None).cast(cells.schema["cell_no"].dataType).alias("cell_no"))
+    both = marks.unionByName(cells.select("page", "column_no", F.col("y1").alias("y"), F.lit(0).alias("late"), F.lit(None).cast(boxes.schema["box_no"].dataType).alias("box_no"), "cell_no"))
+    order = W.partitionBy("page", "column_no").orderBy("y", "late", F.desc("cell_no")).rowsBetween(W.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("late") == 0, F.struct("y", (-F.col("cell_no")).alias("back"))), ignorenulls=True).over(order)
+    found = both.withColumn("seen", seen).where("late = 1 AND seen IS NOT NULL")
+    return found.groupBy("page", "box_no").agg(F.max("seen").alias("seen")).select("page", "box_no", (-F.col("seen.back")).alias("cell_no"))
