@@ -234,3 +234,28 @@ def keyword_links(base: Column, keywords: Sequence[str]) -> Column:
     other = F.filter(found, lambda x: (urls.without_fragment(x["url"]) != urls.without_fragment(base)) & ~last(x["url"]).isin("list.do", "list", "index.do", "index"))
     addresses = F.transform(other, lambda x: x["url"])
     return F.filter(other, lambda x, i: F.array_position(addresses, x["url"]) == i + 1)
+
+
+# Names of a page number in addresses, and of functions that turn pages.
+PAGE_NUMBER = r"(?i)[?&](?:pageNo|pageIndex|currentPageNo|page)=([0-9]+)"
+PAGE_TURNER = r"(?i)(?:fn[A-Za-z0-9_]*Page|goPage|movePage|linkPage)\s*\(\s*['\"]?([0-9]{1,3})"
+
+
+def next_page(base: Column, seen: Column | None = None) -> Column:
+    """The address of the page with the smallest number above this one's (1, if it has none) that a link, a script's page turner or
+    a link's text of digits up to 500 names, and that is not among ``seen`` (array of addresses); null if there is none."""
+    number = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
+    digits = lambda text: F.when(text.rlike("^[0-9]{1,3}$"), text.cast("int"))
+    named = lambda link: F.coalesce(number(link["onclick"], PAGE_TURNER), number(link["href"], PAGE_NUMBER), F.when(digits(link["text"]) <= 500, digits(link["text"])))
+    here = F.coalesce(number(base, PAGE_NUMBER), F.lit(1))
+    first = F.regexp_replace(base, r"(?s)#.*$", "")
+    own = F.regexp_extract(first, r"(?i)[?&](pageNo|pageIndex|currentPageNo|page)=[0-9]+", 1)
+
+    def address(n: Column) -> Column:
+        added = F.concat(first, F.when(F.contains(first, F.lit("?")), "&").otherwise("?"), F.lit("pageNo="), n.cast("string"))
+        put = F.concat(F.regexp_extract(first, r"(?is)^(.*?[?&](?:pageNo|pageIndex|currentPageNo|page)=)[0-9]+", 1), n.cast("string"), F.regexp_extract(first, r"(?is)^.*?[?&](?:pageNo|pageIndex|currentPageNo|page)=[0-9]+(.*)$", 1))
+        return F.when(own == "", added).otherwise(put)
+
+    above = F.array_sort(F.array_distinct(F.filter(F.transform("links", named), lambda n: n > here)))
+    new = F.transform(above, address)
+    return F.try_element_at(new if seen is None else F.filter(new, lambda u: ~F.array_contains(seen, u)), F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import native_gaps, texts
+from quern.functions import budgets, native_gaps, texts
 from quern.operators.grid import grid
 from quern.queries.text import CHUNKS
 from quern.sources.tables import table
@@ -38,6 +38,15 @@ def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("lengths").alias("n_chunks"), texts.fitted_count(F.col("lengths"), 100, 900).alias("n_fitted"))
 
 
+def prompt_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """What stays of a prompt made of a text's first eight chunks, three examples of its first lines, a memory as long as the text
+    and a style, within 900 estimated tokens."""
+    lengths = lambda values: F.transform(values, lambda c: F.length(c))
+    d = table(spark, sf, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("memory"), lengths(F.slice(texts.paragraph_chunks(F.col("text")), 1, 8)).alias("chunks"), lengths(F.slice(F.split("text", "\n"), 1, 3)).alias("shots"))
+    fitted = d.select("doc_id", budgets.fitted_parts(F.lit(120), F.col("chunks"), F.col("shots"), F.col("memory"), F.lit(200), 900).alias("p"))
+    return fitted.select("doc_id", F.array_join(F.col("p.chunks").cast("array<string>"), " ").alias("chunks"), "p.shots", "p.memory", "p.style", "p.tokens")
+
+
 def ocr_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes made of order lines: an order is a page, its lines stand in three columns and rows of 20."""
     n = F.col("l_linenumber") - 1
@@ -50,7 +59,7 @@ def ocr_grid(spark: SparkSession, sf: str) -> DataFrame:
     return grid(boxes)
 
 
-QUERIES = {f.__name__: f for f in (title_similarity, compatibility_titles, sentence_repeat_removal, prompt_budget, ocr_grid)}
+QUERIES = {f.__name__: f for f in (title_similarity, compatibility_titles, sentence_repeat_removal, prompt_budget, prompt_parts, ocr_grid)}
 _BOXES = """b AS (SELECT l_orderkey AS page, l_returnflag AS text, (l_linenumber - 1) % 3 * 100 + l_quantity % 7 AS x1, (l_linenumber - 1) % 3 * 100 + 60 + l_quantity % 7 AS x2,
         (l_linenumber - 1) // 3 * 40 + l_quantity % 7 / 2 AS y1, (l_linenumber - 1) // 3 * 40 + 18 + l_quantity % 7 / 2 AS y2, 1 - l_discount AS confidence FROM lineitem)"""
 _CENTRES = lambda name, values, gap: f"""{name}0 AS (SELECT page, list({values} ORDER BY {values}) AS v FROM b GROUP BY page),

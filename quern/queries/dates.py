@@ -16,7 +16,7 @@ YEAR = 2026
 def spans_of_lines(lines: DataFrame, *key: str) -> DataFrame:
     """(key…, start, length, first, last, start_at, end_at, all_day) of all dates and ranges of dates in lines (key…, line). Only lines with a
     digit are read by the scanner."""
-    read = spans.with_spans(lines.where(F.col("line").rlike("[0-9]")), "line").where(F.size("spans") > 0)
+    read = spans.with_spans(lines.where(F.col("line").rlike("[0-9]")), "line")
     each = read.select(*key, spans.without_spans(F.col("line")).alias("rest"), F.explode("spans").alias("s")).select(*key, "rest", "s.*")
     when = spans.with_moments(spans.with_days(each, YEAR), "rest")
     return when.select(*key, "start", "length", "first", "last", "start_at", "end_at", "all_day")

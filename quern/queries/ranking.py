@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions import budgets
 from quern.functions.texts import word_tokens
 from quern.operators.ranking import first_n_per_key, first_per_key, interleave, spread_rank
 from quern.sources.tables import table
@@ -113,6 +114,18 @@ def balanced_upsample(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("doc_id", "lang", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
 
 
+#: What copies of a row are put between.
+OPENINGS, CLOSINGS = ("In short:", "As noted,", "For the record:"), ("That is all.", "More follows.")
+
+
+def mutated_upsample(spark: SparkSession, sf: str) -> DataFrame:
+    """As `balanced_upsample`, each copy rewritten by its number."""
+    copies = balanced_upsample(spark, sf).withColumnRenamed("doc_id", "id").select("id", "copy")
+    d = table(spark, sf, "documents").join(copies, F.col("doc_id") == F.col("id"))
+    text = budgets.rewritten(F.coalesce("text", F.lit("")), F.col("doc_id"), F.col("copy"), OPENINGS, CLOSINGS, 5)
+    return d.select("doc_id", "copy", F.md5(text).alias("text_md5"))
+
+
 def interleave_sources(spark: SparkSession, sf: str) -> DataFrame:
     return interleave(table(spark, sf, "documents").select("doc_id", "source"), "source", ["doc_id"], 130).select("doc_id", "source", "turn")
 
@@ -149,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_per_key, keep_first_per_key, keep_best_per_key, nth_ranked, chat_context_prev6, chat_last8, chat_latest_message, chat_session_stats, neighbour_lines, forward_fill, title_sections,
-        stratified_split, quota_sample, balanced_upsample, interleave_sources, representative_title, recent_prelimit, few_shot_select, centre_bounds,
+        stratified_split, quota_sample, balanced_upsample, mutated_upsample, interleave_sources, representative_title, recent_prelimit, few_shot_select, centre_bounds,
     )
 }
 
@@ -183,6 +196,10 @@ ORACLES = {
     "balanced_upsample": """WITH r AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
         c AS (SELECT *, greatest(floor((300 - rank) / n) + 1, 0)::BIGINT AS copies FROM r)
         SELECT doc_id, lang, unnest(range(1, copies + 1)) AS copy FROM c""",
+    "mutated_upsample": """WITH r AS (SELECT doc_id, lang, coalesce(text, '') AS text, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
+        c AS (SELECT doc_id, text, unnest(range(1, greatest(floor((300 - rank) / n) + 1, 0)::BIGINT + 1)) AS copy FROM r), t AS (SELECT *, (doc_id * 7 + 5 + copy - 2) % 6 AS turn, (copy - 2) // 6 AS around FROM c)
+        SELECT doc_id, copy, md5(CASE WHEN copy = 1 THEN text ELSE CASE WHEN around > 0 THEN '(' || (around + 1)::BIGINT || ') ' ELSE '' END
+            || CASE turn % 3 WHEN 0 THEN 'In short:' WHEN 1 THEN 'As noted,' ELSE 'For the record:' END || ' ' || text || ' ' || CASE WHEN turn < 3 THEN 'That is all.' ELSE 'More follows.' END END) AS text_md5 FROM t""",
     "interleave_sources": """WITH t AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS turn FROM documents) SELECT * FROM t ORDER BY turn, source LIMIT 130""",
     "representative_title": "SELECT p_brand, arg_min(p_name, row(length(p_name), p_name)) AS title, count(DISTINCT p_name) AS n_titles FROM part GROUP BY p_brand",
     "recent_prelimit": """SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50) ORDER BY o_totalprice DESC, o_orderkey LIMIT 3""",
