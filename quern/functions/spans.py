@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 YEAR, MONTH, DAY, FROM = "년", "월", "일", "부터"
 
 
-def _number(digits: str, sign: str) -> str:
+def number(digits: str, sign: str, joints: bool = True) -> str:
     """A number and its sign: the word, or one of the joints between the numbers of a date."""
-    return rf"({digits})\s*(?:[.\-/]|{sign})"
+    return rf"({digits})\s*(?:[.\-/]|{sign})" if joints else rf"({digits})\s*{sign}"
 
 
-_YEAR, _MONTH, _DAY = rf"(?:{_number('[0-9]{4}', YEAR)}\s*)?", _number("[0-9]{1,2}", MONTH), rf"([0-9]{{1,2}})(?:\s*{DAY})?"
+_YEAR, _MONTH, _DAY = rf"(?:{number('[0-9]{4}', YEAR)}\s*)?", number("[0-9]{1,2}", MONTH), rf"([0-9]{{1,2}})(?:\s*{DAY})?"
 _BETWEEN = rf"\s*(?:~|-|{FROM})\s*"
 _ALONE_BEFORE, _ALONE_AFTER = r"(?<![0-9:])", r"(?![0-9:])"
 #: Groups: year, month, day of the first date, then of the second.

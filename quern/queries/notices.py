@@ -5,7 +5,6 @@ Their JSON metadata is made of event numbers, as the test tables hold none of th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import times
@@ -21,8 +20,8 @@ DATE_PATHS = (
     "raw_json.posted_at", "raw_json.published_at", "raw_json.source_date", "notice_date", "published_at", "posted_at", "source_date",
 )
 TITLE_KEYS = ("title", "subject", "notice_title", "article_title", "board_title", "original_title", "list_title")
-GENERIC = ("게시물 목록", "게시물 상세", "공지사항 상세", "멘토 스토리 상세", "상세", "목록", "ACADEMY", "")
-NOTICES, HOLIDAY_SOURCES, MANUAL = ("notice", "academy_notice", "announcement"), ("national_holiday", "holiday"), ("manual",)
+GENERIC = ("게시물 목록", "게시물 상세", "공지사항 상세", "멘토 스토리 상세", "상세", "목록", "")
+NOTICES, HOLIDAY_SOURCES, MANUAL = ("notice", "announcement"), ("national_holiday", "holiday"), ("manual",)
 HIDDEN_SOURCES = ("academic_rule", "academic_rules", "geeknews", "mentor", "mentor_notice", "mentor_story", "mentoring", "mentoring_notice", "mentoring_qna")
 HIDDEN_TYPES, HIDDEN_URLS = ("mentoring",), ("mento", "mentor")
 CLASS_TYPES = ("click", "view")
@@ -32,7 +31,7 @@ FORMS = (
     '{"list_notice_date": "soon", "raw_json": {"notice": {"date": "{d}"}}, "published_at": "1999-01-01"}', '{"raw_json": {"reg_date": "{s}"}, "title": "목록", "raw_json2": 1}', '{"posted_at": "{d}T10:00:00", "raw_json": {"subject": "제목 {n}"}}',
     '{"source_date": "{p}"}', '{"metadata_json": {"list_title": "보드 {n}"}, "notice_date": "none"}', '{"board_date": "{p}", "title": "  ", "subject": "둘째 {n}"}', "{}", '{"raw_json": {"notice": {"createdDate": "{d}"}}, "list_title": "게시물 상세"}',
 )
-TITLES = ("게시물 목록", "공지 {n}", "수업 상세", "", "ACADEMY")
+TITLES = ("게시물 목록", "공지 {n}", "수업 상세", "", "공지 상세")
 
 
 def notices(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +69,7 @@ def calendar_visible(spark: SparkSession, sf: str) -> DataFrame:
     addresses never; holidays from holiday sources; then holiday and notice sources."""
     n = F.col("event_id")
     pick = lambda words, step: F.element_at(F.array(*map(F.lit, words)), (F.floor(n / step) % len(words) + 1).cast("int"))
-    e = table(spark, sf, "events").select("event_id", F.when(n % 9 == 0, F.col("user_id")).alias("owner_id"), pick(("notice", "mentoring", "holiday", "exam", " Personal "), 1).alias("type"), pick(("notice", "academy_notice", "manual", "holiday", "other", "geeknews"), 5).alias("source"), pick((" Announcement ", "", "", "mentor", "national_holiday"), 3).alias("raw_source"), pick(("http://a/notice", "http://a/MENTOring", ""), 2).alias("url"))
+    e = table(spark, sf, "events").select("event_id", F.when(n % 9 == 0, F.col("user_id")).alias("owner_id"), pick(("notice", "mentoring", "holiday", "exam", " Personal "), 1).alias("type"), pick(("notice", "bulletin", "manual", "holiday", "other", "geeknews"), 5).alias("source"), pick((" Announcement ", "", "", "mentor", "national_holiday"), 3).alias("raw_source"), pick(("http://a/notice", "http://a/MENTOring", ""), 2).alias("url"))
     kind = F.lower(F.trim("type"))
     sources = F.array(F.lower(F.trim("source")), F.lower(F.trim("raw_source")))
     of = lambda words: F.arrays_overlap(F.col("sources"), F.array(*map(F.lit, words)))
@@ -99,9 +98,11 @@ def suspicious_events(spark: SparkSession, sf: str) -> DataFrame:
     mapping = F.element_at(F.array(*map(F.lit, ("cell", "cell", "fallback_week", "cell", "unknown", "cell"))), (n % 6 + 1).cast("int"))
     e = planning.planned(spark, sf).select("event_id", "day", "event_type", "title", (n % 3 > 0).alias("generated"), mapping.alias("mapping"), F.date_sub("day", (n % 2).cast("int")).alias("published"))
     fixed = F.concat_ws("-", F.month("day"), F.dayofmonth("day")).isin(*(f"{m}-{d}" for m, d in HOLIDAYS))
-    same = W.partitionBy("title", "day", "generated")
-    twin = W.partitionBy("title", "event_type", "generated", "merging")
-    e = e.withColumn("merging", (F.col("mapping") == "cell") & (F.col("event_type") == "purchase")).withColumn("n_same", F.count("*").over(same)).withColumn("n_twin", F.count("*").over(twin))
+    e = e.withColumn("merging", (F.col("mapping") == "cell") & (F.col("event_type") == "purchase"))
+    # sizes of groups by counting, so that no task holds a whole group
+    for name, keys in (("n_same", ["title", "day", "generated"]), ("n_twin", ["title", "event_type", "generated", "merging"])):
+        sizes = e.groupBy(*keys).agg(F.count("*").alias(name)).select(*(F.col(k).alias(f"_{k}") for k in keys), name)
+        e = e.join(sizes, [e[k].eqNullSafe(sizes[f"_{k}"]) for k in keys]).drop(*(f"_{k}" for k in keys))
     own = F.col("generated")
     unsure = F.col("mapping").isin("unknown", "fallback_week")
     rules = [
@@ -143,7 +144,7 @@ ORACLES = {
     "publication_dates": f"WITH {NOTES} SELECT event_id, coalesce({', '.join(map(_date, DATE_PATHS))}) AS published FROM n",
     "notice_titles": f"WITH {NOTES} SELECT event_id, CASE WHEN trim(title) IN {_strings(GENERIC)} OR ends_with(trim(title), '상세') THEN coalesce(list_filter([{_paths}], lambda x: NOT (x IN {_strings(GENERIC)} OR ends_with(x, '상세')))[1], trim(title)) ELSE trim(title) END AS title FROM n",
     "calendar_visible": f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN user_id END AS owner_id, lower(trim(['notice', 'mentoring', 'holiday', 'exam', ' Personal '][event_id % 5 + 1])) AS kind,
-            [lower(trim(['notice', 'academy_notice', 'manual', 'holiday', 'other', 'geeknews'][event_id // 5 % 6 + 1])), lower(trim([' Announcement ', '', '', 'mentor', 'national_holiday'][event_id // 3 % 5 + 1]))] AS s, ['http://a/notice', 'http://a/MENTOring', ''][event_id // 2 % 3 + 1] AS url FROM events),
+            [lower(trim(['notice', 'bulletin', 'manual', 'holiday', 'other', 'geeknews'][event_id // 5 % 6 + 1])), lower(trim([' Announcement ', '', '', 'mentor', 'national_holiday'][event_id // 3 % 5 + 1]))] AS s, ['http://a/notice', 'http://a/MENTOring', ''][event_id // 2 % 3 + 1] AS url FROM events),
         r AS (SELECT event_id, CASE WHEN owner_id IS NOT NULL OR list_has_any(s, {_list(MANUAL)}) OR kind = 'personal' THEN 'own' WHEN kind = 'mentoring' THEN 'hidden type' WHEN list_has_any(s, {_list(HIDDEN_SOURCES)}) THEN 'hidden source' WHEN contains(lower(url), 'mento') THEN 'hidden address'
             WHEN kind = 'holiday' AND list_has_any(s, {_list(HOLIDAY_SOURCES)}) THEN 'holiday' WHEN kind = 'holiday' THEN 'no holiday source' WHEN list_has_any(s, {_list(HOLIDAY_SOURCES)}) THEN 'holiday source' WHEN list_has_any(s, {_list(NOTICES)}) THEN 'notice source' ELSE 'other source' END AS step FROM e)
         SELECT event_id, step, step IN ('own', 'holiday', 'holiday source', 'notice source') AS visible FROM r""",
@@ -151,7 +152,7 @@ ORACLES = {
         g AS (SELECT *, mapping = 'cell' AND event_type = 'purchase' AS merging, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t FROM c), s AS (SELECT *, {planning._short} AS s, count(*) OVER (PARTITION BY title, day, generated) AS n_same, count(*) OVER (PARTITION BY title, event_type, generated, merging) AS n_twin FROM g),
         r AS (SELECT event_id, array_to_string(list_filter([CASE WHEN generated AND event_type <> 'signup' AND (month(day), day(day)) IN ({', '.join(map(str, HOLIDAYS))}) THEN 'holiday_generated' END, CASE WHEN generated AND event_type IN {_strings(CLASS_TYPES)} AND isodow(day) >= 6 THEN 'weekend_generated' END,
             CASE WHEN mapping = 'fallback_week' THEN 'fallback_week' END, CASE WHEN mapping = 'unknown' THEN 'unknown_date_source' END, CASE WHEN mapping <> 'cell' AND on_day THEN 'source_published_at_date' END,
-            CASE WHEN s = '' OR regexp_matches(t, '{planning.TIME_RANGE}') OR regexp_matches(t, '{planning.DATE_ONLY}') OR s IN {_strings(planning.MEANINGLESS)} OR starts_with(s, 'HOUSESWAI') OR ends_with(s, 'FORALL') OR (length(s) <= 2 AND s NOT IN {_strings(planning.SHORT)}) THEN 'meaningless_title' END,
+            CASE WHEN s = '' OR regexp_matches(t, '{planning.TIME_RANGE}') OR regexp_matches(t, '{planning.DATE_ONLY}') OR s IN {_strings(planning.MEANINGLESS)} OR (length(s) <= 2 AND s NOT IN {_strings(planning.SHORT)}) THEN 'meaningless_title' END,
             CASE WHEN generated AND n_same > 1 THEN 'duplicate_title' END, CASE WHEN generated AND merging AND n_twin > 1 THEN 'merge_candidate' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s) SELECT * FROM r WHERE reasons <> ''""",
     "retrieval_dedupe": f"""WITH {planning.PLANNED}, k AS (SELECT *, {_key} AS k0, ['all', 'java', 'python'][user_id % 3 + 1] AS track FROM e),
         n AS (SELECT *, CASE WHEN contains(k0, '관통') AND regexp_matches(k0, 'PJT|프로젝트') THEN CASE WHEN contains(k0, '경진대회') THEN 'PROJECT_PJT_CONTEST' WHEN contains(k0, 'OT') THEN 'PROJECT_PJT_OT' WHEN regexp_matches(k0, '제출|마감') THEN 'PROJECT_PJT_DEADLINE'

@@ -4,6 +4,8 @@ Runs are events: number and JSON value of an event pick its policy, mode, refere
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ EXAM_WORDS, DEADLINE_WORDS = ("평가", "시험", "과목평가", "월말평가"
 KINDS = ("OFFICIAL", "GENERAL_TECH", "GENERAL_ADVICE", "OTHER")
 ANSWERS = (("OFFICIAL", "OFFICIAL_NO_CONTEXT", False), ("GENERAL_TECH", "GENERAL_KNOWLEDGE_FALLBACK", True), ("GENERAL_ADVICE", "GENERAL_ADVICE_FALLBACK", True))
 PRIORITY = ("우선", "먼저", "1.", "2.", "3.", "순위", "중요", "집중", "줄이", "나누", "균형", "확인", "공유", "조율", "결정", "선택", "현실적", "최소", "핵심")
-DOMAIN = ("academy", "아카데미", "과락", "월말", "평가", "프로젝트", "팀원", "팀", "발표", "프로님", "멘토", "멘토링", "시험", "알고리즘", "출결", "지각", "수료", "공지", "관통", "git", "github", "mattermost")
+DOMAIN = ("과락", "월말", "평가", "프로젝트", "팀원", "팀", "발표", "프로님", "멘토", "멘토링", "시험", "알고리즘", "출결", "지각", "수료", "공지", "관통", "git", "github", "mattermost")
 ACTIONS = ("확인", "공유", "정리", "나누", "조율", "줄이", "집중", "요청", "상담", "준비", "체크", "기록", "말해", "물어", "계획", "시작", "정하", "작성", "연락", "복습", "테스트", "수정")
 ASK_STOPS = ("어떻게", "하시겠습니까", "좋을까요", "무엇부터", "해야", "하나요", "할까요")
 TOKEN_STOPS = ("것", "수", "있", "합니다", "하세요", "좋습니다", "먼저", "그리고", "하지만", "때문", "대한", "현재", "상황", "정도", "경우", "일반적으로", "입니다")
@@ -193,6 +195,20 @@ def personal_range(spark: SparkSession, sf: str) -> DataFrame:
     return full.where(inside("start_at", "end_at") | F.coalesce(inside("own_start", "own_end"), F.lit(False))).select("event_id", F.coalesce("own_start", "start_at").alias("start_at"))
 
 
+# Labels whose answers should weigh things and those under pressure; what tells of a role's tag, a rule claimed
+# without a source, and risky advice that is not refused.
+WEIGHED, PRESSING = ("priority", "tradeoff", "decision", "planning", "risk_assessment"), ("project", "exam", "counseling")
+ROLE_TAG = r"(?i)\b(?:Human|User|Assistant)\s*:"
+CLAIM_TOPICS = ("과락", "퇴소", "제적", "출결", "수료", "재시험")
+CLAIM_FIRM = r"(?:무조건|반드시|바로|즉시)\s*(?:퇴소|제적|탈락|수료\s*불가)"
+CLAIM_COUNT = r"[0-9]+\s*(?:번|회|개)\s*(?:이면|부터|이상).*?(?:퇴소|제적|탈락|수료\s*불가)"
+RISKY = ("조작", "몰래", "대리출석", "꼼수", "숨기", "답을 알려")
+REFUSALS = ("안 됩니다", "도와드릴 수", "권장하지", "위반", "정직", "공식")
+#: What the messages of the tables are given, as they hold no such words and have no labels.
+EXTRA = (" 우선 1. 확인", " 팀 프로젝트 평가", "", " 준비 - 정리 먼저", " 과락 3번 이상이면 퇴소", " 몰래 조작", " 몰래는 위반", " User : x", " 바로 제적", "")
+REASONING, CATEGORIES = ("priority", "knowledge", "tradeoff", "decision", "planning", "risk_assessment"), ("project", "faq", "exam", "life", "counseling")
+
+
 def rubric_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Answers by five parts: understanding (words of the question and of a model answer, likeness to it), priority,
     context, actions and safety. The question is the message before; the model answer the session's longest."""
@@ -200,7 +216,7 @@ def rubric_parts(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").withColumn("asked", F.coalesce(F.lag("text").over(own), F.lit(""))).where("role = 'assistant'")
     c = c.join(table(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", F.struct(F.length("text"), "turn")).alias("gold")), "conv_id")
     tokens = lambda x: F.filter(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("([A-Za-z0-9가-힣]+)"), F.lit(1)), lambda t: (F.length(t) >= 2) & ~t.isin(*TOKEN_STOPS))
-    extra = _pick((" 우선 1. 확인", " 팀 프로젝트 평가", "", " 준비 - 정리 먼저", ""), F.col("conv_id") + F.col("turn"))
+    extra = _pick(EXTRA, F.col("conv_id") + F.col("turn"))
     c = c.withColumn("answer", F.concat(F.coalesce("text", F.lit("")), extra)).withColumn("low", F.lower("answer"))
     c = c.withColumn("a", F.array_distinct(tokens(F.col("answer")))).withColumn("q", F.slice(F.filter(tokens(F.col("asked")), lambda t: ~t.isin(*ASK_STOPS)), 1, 10)).withColumn("g", F.array_distinct(tokens(F.col("gold"))))
     hits = lambda words: sum((F.contains(F.col("low"), F.lit(w)).cast("int") for w in words), F.lit(0))
@@ -208,19 +224,23 @@ def rubric_parts(spark: SparkSession, sf: str) -> DataFrame:
     shared = F.size(F.array_intersect("a", "g"))
     f1 = F.coalesce(F.try_divide(2.0 * shared, F.size("a") + F.size("g")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(shared, F.size("g")), F.lit(0.0))
-    reasoning = _pick(("priority", "knowledge", "tradeoff"), F.col("conv_id"))
-    category = _pick(("project", "faq", "exam", "life"), F.col("conv_id"), 3)
+    reasoning = _pick(REASONING, F.col("conv_id"))
+    category = _pick(CATEGORIES, F.col("conv_id"), 3)
     m = c.select("conv_id", "turn", "answer", f1.alias("f1"), recall.alias("recall"), of("q").alias("q_hits"), of(F.slice("g", 1, 8)).alias("g_hits"), hits(PRIORITY).alias("priority"), hits(DOMAIN).alias("domain"), hits(ACTIONS).alias("actions"), sum((F.contains(F.lower("asked"), F.lit(w)).cast("int") for w in DOMAIN), F.lit(0)).alias("asked_domain"), reasoning.alias("reasoning"), category.alias("category"))
     least = lambda most, value: F.least(F.lit(float(most)), value.cast("double"))
     intent = least(20, 8.0 + least(7, F.col("q_hits") * 2.5) + least(5, F.col("g_hits") * 1.25) + F.when((F.col("f1") >= 0.12) | (F.col("recall") >= 0.2), 2.0).otherwise(0.0))
-    raised = least(25, 7.0 + F.col("priority") * 3.0) + F.when(F.col("reasoning").isin("priority", "tradeoff") & (F.col("priority") >= 2), 4.0).otherwise(0.0)
-    judged = least(25, F.when(F.col("category").isin("project", "exam") & (F.col("priority") == 0), least(8, raised)).otherwise(raised))
+    raised = least(25, 7.0 + F.col("priority") * 3.0) + F.when(F.col("reasoning").isin(*WEIGHED) & (F.col("priority") >= 2), 4.0).otherwise(0.0)
+    judged = least(25, F.when(F.col("category").isin(*PRESSING) & (F.col("priority") == 0), least(8, raised)).otherwise(raised))
     context = 8.0 + least(12, F.col("domain") * 3.0)
     context = least(20, F.when((F.col("asked_domain") > 0) & (F.col("domain") == 0), least(9, context)).otherwise(context))
     listed = F.when(F.col("answer").rlike(r"(?:^|\n|\s)(?:1\.|2\.|3\.|-)"), 3.0).otherwise(0.0)
     action = least(20, 6.0 + F.col("actions") * 2.5 + listed)
-    issues = all_reasons([(F.col("answer").rlike(r"(.)\1{9}"), "repeated"), (F.length("answer") < 30, "short"), (F.col("answer").contains("http"), "link")])
-    safety = F.greatest(F.lit(0.0), 15.0 - 5.0 * F.size(issues))
+    has_any = lambda words: reduce(lambda x, y: x | y, (F.contains("answer", F.lit(w)) for w in words))
+    plain = F.regexp_replace("answer", r"^\s+|\s+$", "")
+    claim = has_any(CLAIM_TOPICS) & (F.col("answer").rlike(CLAIM_FIRM) | F.col("answer").rlike(CLAIM_COUNT))
+    found = [(plain == "", "empty_answer", 5.0), (F.col("answer").rlike(ROLE_TAG), "artifact_tag", 5.0), (F.length(plain) < 20, "too_short", 5.0), (claim, "unsupported_rule_assertion", 5.0), (has_any(RISKY) & ~has_any(REFUSALS), "unsafe_advice", 8.0)]
+    issues = all_reasons([(c, name) for c, name, _ in found])
+    safety = F.greatest(F.lit(0.0), 15.0 - points([(c, F.lit(cost)) for c, _, cost in found]))
     parts = {"intent": intent, "priority_part": judged, "context": context, "action": action, "safety": safety}
     blank = F.trim("answer") == ""
     return m.select("conv_id", "turn", *(F.round(F.when(blank, 0.0).otherwise(v), 1).alias(k) for k, v in parts.items()), F.array_join(issues, ",").alias("issues"), F.round(F.when(blank, 0.0).otherwise(points([(F.lit(True), v) for v in parts.values()])), 1).alias("score"))
@@ -278,14 +298,16 @@ ORACLES = {
     "personal_range": """WITH e AS (SELECT event_id, ts AS a, ts + to_hours(event_id % 30) AS z, CASE WHEN event_id % 4 = 0 THEN ts + to_days((event_id % 5 - 2)::INT) END AS o FROM events)
         SELECT event_id, coalesce(o, a) AS start_at FROM e WHERE (a <= TIMESTAMP '2024-01-12' AND z >= TIMESTAMP '2024-01-10') OR (o BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12')""",
     "rubric_parts": rf"""WITH g AS (SELECT conv_id, arg_max(text, row(length(text), turn)) AS gold FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-        c AS (SELECT conv_id, turn, role, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS asked, coalesce(text, '') || {_at((' 우선 1. 확인', ' 팀 프로젝트 평가', '', ' 준비 - 정리 먼저', ''), '(conv_id + turn)')} AS answer FROM conversations),
+        c AS (SELECT conv_id, turn, role, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS asked, coalesce(text, '') || {_at(EXTRA, '(conv_id + turn)')} AS answer FROM conversations),
         t AS (SELECT *, lower(answer) AS low, list_distinct({_tokens('answer')}) AS a, list_filter({_tokens('asked')}, lambda t: t NOT IN {_strings(ASK_STOPS)})[:10] AS q, {_tokens('gold')} AS g0 FROM c JOIN g USING (conv_id) WHERE role = 'assistant'),
         d AS (SELECT *, {_distinct('g0')} AS g FROM t),
         m AS (SELECT conv_id, turn, answer, coalesce(2.0 * len(list_intersect(a, g)) / nullif(len(a) + len(g), 0), 0) AS f1, coalesce(len(list_intersect(a, g)) / nullif(len(g), 0), 0) AS recall, len(list_filter(q, lambda w: contains(low, w))) AS qh, len(list_filter(g[:8], lambda w: contains(low, w))) AS gh,
-            {_hits('low', PRIORITY)} AS ph, {_hits('low', DOMAIN)} AS dh, {_hits('low', ACTIONS)} AS ah, {_hits('lower(asked)', DOMAIN)} AS qd, {_at(('priority', 'knowledge', 'tradeoff'), 'conv_id')} AS reasoning, {_at(('project', 'faq', 'exam', 'life'), 'conv_id', 3)} AS category FROM d),
-        n AS (SELECT *, least(20.0, 8.0 + least(7.0, qh * 2.5) + least(5.0, gh * 1.25) + CASE WHEN f1 >= 0.12 OR recall >= 0.2 THEN 2.0 ELSE 0 END)::DOUBLE AS i, least(25.0, 7.0 + ph * 3.0) + CASE WHEN reasoning IN ('priority', 'tradeoff') AND ph >= 2 THEN 4.0 ELSE 0 END AS raised,
+            {_hits('low', PRIORITY)} AS ph, {_hits('low', DOMAIN)} AS dh, {_hits('low', ACTIONS)} AS ah, {_hits('lower(asked)', DOMAIN)} AS qd, {_at(REASONING, 'conv_id')} AS reasoning, {_at(CATEGORIES, 'conv_id', 3)} AS category FROM d),
+        n AS (SELECT *, least(20.0, 8.0 + least(7.0, qh * 2.5) + least(5.0, gh * 1.25) + CASE WHEN f1 >= 0.12 OR recall >= 0.2 THEN 2.0 ELSE 0 END)::DOUBLE AS i, least(25.0, 7.0 + ph * 3.0) + CASE WHEN reasoning NOT IN ('knowledge') AND ph >= 2 THEN 4.0 ELSE 0 END AS raised,
             least(20.0, CASE WHEN qd > 0 AND dh = 0 THEN least(9.0, 8.0 + least(12.0, dh * 3.0)) ELSE 8.0 + least(12.0, dh * 3.0) END)::DOUBLE AS x, least(20.0, 6.0 + ah * 2.5 + CASE WHEN regexp_matches(answer, '(?:^|\n|\s)(?:1\.|2\.|3\.|-)') THEN 3.0 ELSE 0 END)::DOUBLE AS act,
-            list_filter([CASE WHEN list_contains(list_transform(range(1, length(answer) - 8), lambda k: answer[k:k + 9] = repeat(answer[k], 10) AND answer[k] <> chr(10)), true) THEN 'repeated' END, CASE WHEN length(answer) < 30 THEN 'short' END, CASE WHEN contains(answer, 'http') THEN 'link' END], lambda r: r IS NOT NULL) AS issues FROM m),
-        o AS (SELECT *, least(25.0, CASE WHEN category IN ('project', 'exam') AND ph = 0 THEN least(8.0, raised) ELSE raised END)::DOUBLE AS pr, greatest(0.0, 15.0 - 5.0 * len(issues))::DOUBLE AS safe, trim(answer, ' ') = '' AS blank FROM n)
+            list_filter([CASE WHEN regexp_replace(answer, '^\s+|\s+$', '', 'g') = '' THEN 'empty_answer' END, CASE WHEN regexp_matches(answer, '(?i)\b(human|user|assistant)\s*:') THEN 'artifact_tag' END, CASE WHEN length(regexp_replace(answer, '^\s+|\s+$', '', 'g')) < 20 THEN 'too_short' END,
+                CASE WHEN regexp_matches(answer, '과락|퇴소|제적|출결|수료|재시험') AND regexp_matches(answer, '(무조건|반드시|바로|즉시)\s*(퇴소|제적|탈락|수료\s*불가)|[0-9]+\s*[번회개]\s*(이면|부터|이상).*?(퇴소|제적|탈락|수료\s*불가)') THEN 'unsupported_rule_assertion' END,
+                CASE WHEN regexp_matches(answer, '조작|몰래|대리출석|꼼수|숨기|답을 알려') AND NOT regexp_matches(answer, '안 됩니다|도와드릴 수|권장하지|위반|정직|공식') THEN 'unsafe_advice' END], lambda r: r IS NOT NULL) AS issues FROM m),
+        o AS (SELECT *, least(25.0, CASE WHEN category NOT IN ('faq', 'life') AND ph = 0 THEN least(8.0, raised) ELSE raised END)::DOUBLE AS pr, greatest(0.0, 15.0 - 5.0 * len(issues) - CASE WHEN list_contains(issues, 'unsafe_advice') THEN 3.0 ELSE 0 END)::DOUBLE AS safe, trim(answer, ' ') = '' AS blank FROM n)
         SELECT conv_id, turn, {', '.join(f"round(CASE WHEN blank THEN 0.0 ELSE {v} END, 1)::DOUBLE AS {k}" for k, v in (('intent', 'i'), ('priority_part', 'pr'), ('context', 'x'), ('action', 'act'), ('safety', 'safe')))}, array_to_string(issues, ',') AS issues, round(CASE WHEN blank THEN 0.0 ELSE i + pr + x + act + safe END, 1)::DOUBLE AS score FROM o""",
 }

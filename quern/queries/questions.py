@@ -66,6 +66,10 @@ def ordinal_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return q.where("rank > 0").join(picked, ["today", "event_type", "rank"], "left").select("event_id", "rank", "picked_id")
 
 
+def domain_intents(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select("event_id", questions.domain_intent(F.col("t")).alias("intent"))
+
+
 def route_decision(spark: SparkSession, sf: str) -> DataFrame:
     r = parsed(spark, sf).withColumn("r", questions.route(F.col("t"), F.col("p.query_type")))
     return r.select("event_id", "r.reason", "r.route", "r.personal", F.array_join("r.filters", ",").alias("filters"), F.array_join("r.excludes", ",").alias("excludes"), "r.rank")
@@ -101,7 +105,7 @@ def intent_plan(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("event_id", "intent", "p.route", F.array_join("p.sources", ",").alias("sources"), "p.allowed", "p.reason")
 
 
-QUERIES = {f.__name__: f for f in (question_dates, query_parse, filter_extraction, ordinal_extraction, route_decision, query_tokens, notice_tokens, match_count_order, intent_plan)}
+QUERIES = {f.__name__: f for f in (question_dates, query_parse, filter_extraction, ordinal_extraction, domain_intents, route_decision, query_tokens, notice_tokens, match_count_order, intent_plan)}
 
 
 def _filters(table_of, condition) -> str:
@@ -153,6 +157,12 @@ def _first_seen(items: str) -> str:
 
 
 ORACLES = {
+    "domain_intents": "WITH " + ASKED + r""", f AS (SELECT event_id, replace(t, ' ', '') AS k, regexp_matches(t, '기준|조건|규정|몇 ?점 이상') AS official, regexp_matches(t, '내 |내가|나는|나의|현재|지금|입력한|받은') AS own, t FROM q)
+        SELECT event_id, CASE WHEN regexp_matches(k, '(오늘|현재)날짜|오늘며칠|오늘이(몇일|무슨날)') THEN 'CURRENT_DATE'
+            WHEN regexp_matches(k, '(뭐|무엇)부터|(뭘|무엇을|뭐)준비') OR (regexp_matches(t, '추천|우선할|먼저') AND regexp_matches(t, '일정|스케줄|준비|공부|해야|할 ?일')) THEN 'RECOMMENDED_SCHEDULE'
+            WHEN regexp_matches(t, '중요|급한|긴급|우선순위') AND regexp_matches(t, '일정|스케줄|할 ?일|마감|시험|평가') THEN 'IMPORTANT_SCHEDULE'
+            WHEN regexp_matches(t, '위험도|위험 단계|(현재|내|수료) 상태|수료 가능|퇴소 위험|한 ?번 더 과락|과락 여유') AND (own OR NOT official) THEN 'PERSONAL_RISK'
+            WHEN regexp_matches(t, '성적|점수|몇 ?점|평균|(합격|불합격|과락) 횟수|몇 ?번 과락|과락 몇 ?번') AND NOT official AND (own OR regexp_matches(t, '알려|보여|확인|어때|얼마')) THEN 'PERSONAL_SCORE' ELSE 'GENERAL' END AS intent FROM f""",
     "question_dates": f"WITH {ASKED}, {DATES} SELECT event_id, d.a AS start_date, d.z AS end_date, d.e AS exact FROM s WHERE d IS NOT NULL",
     "query_parse": f"WITH {ASKED}, {DATES}, {PARSED} SELECT event_id, p.k AS query_type, p.a AS start_date, p.z AS end_date, p.e AS exact, p.n::INT AS result_limit FROM p",
     "filter_extraction": f"WITH {ASKED} SELECT event_id, {INCLUDE} AS include, {EXCLUDE} AS exclude FROM q",

@@ -86,9 +86,9 @@ def test_wrapping_titles_are_those_of_a_plain_loop(spark, sf):
     assert 0 < sum(r.wrapper for r in rows) < len(rows)
 
 
-@pytest.mark.parametrize(("title", "want"), [("", True), ("12:30~13:30", True), ("7월 3일", True), ("SQL", False), ("js", True), ("설날", False), ("가나", True), ("For All", True), ("SQL 특강", False)])
+@pytest.mark.parametrize(("title", "want"), [("", True), ("12:30~13:30", True), ("7월 3일", True), ("SQL", False), ("js", True), ("설날", False), ("가나", True), ("For All", True), ("house day", True), ("SQL 특강", False)])
 def test_meaningless_titles(spark, title, want):
-    assert spark.createDataFrame([(title,)], "t string").select(planning.is_meaningless(F.col("t")).alias("m")).first().m == want
+    assert spark.createDataFrame([(title,)], "t string").select(planning.is_meaningless(F.col("t"), (*planning.MEANINGLESS, "ALL"), ("HOUSE",), ("FORALL",)).alias("m")).first().m == want
 
 
 def test_exams_that_are_not_taken(spark):
@@ -117,3 +117,26 @@ def test_similar_names_and_compatible_titles_are_those_of_plain_loops(spark, sf)
     key = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t.split("\n")[0]) if unicodedata.category(c)[0] in "LN").upper()
     got = {r.doc_id: r.title_key for r in beyond_sql.compatibility_titles(spark, sf).collect()}
     assert got == {i: None if t is None else key(t) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize(
+    ("question", "want"),
+    [
+        ("오늘 날짜 알려줘", "CURRENT_DATE"), ("무엇 부터 해야 해", "RECOMMENDED_SCHEDULE"), ("추천 일정", "RECOMMENDED_SCHEDULE"), ("추천 영화", "GENERAL"), ("중요 시험", "IMPORTANT_SCHEDULE"), ("중요 인물", "GENERAL"), ("퇴소 위험", "PERSONAL_RISK"),
+        ("퇴소 위험 기준", "GENERAL"), ("내 퇴소 위험 기준", "PERSONAL_RISK"), ("성적 알려줘", "PERSONAL_SCORE"), ("성적", "GENERAL"), ("내 성적", "PERSONAL_SCORE"), ("내 점수 통과 기준", "GENERAL"), ("", "GENERAL"),
+    ],
+)
+def test_domain_intents(spark, question, want):
+    assert spark.createDataFrame([(question,)], "t string").select(questions.domain_intent(F.col("t")).alias("i")).first().i == want
+
+
+def test_rubric_safety_of_hand_written_answers(spark, tmp_path):
+    """15 less 5 for each of: empty, a role's tag, under 20 characters, a rule claimed; less 8 for risky advice not refused."""
+    long = "이것은 스무 글자를 넘는 아주 긴 대답입니다 정말로요"
+    # the message's number picks what it is given: numbers 2 and 9 are given nothing
+    rows = [(2, 0, "assistant", long), (9, 0, "assistant", "짧다"), (12, 0, "assistant", f"{long} assistant: x"), (19, 0, "assistant", f"{long} 과락이면 반드시 퇴소"), (22, 0, "assistant", f"{long} 몰래"), (29, 0, "assistant", f"{long} 몰래는 위반"), (32, 0, "assistant", f"{long} 과락 3회 이상 제적, 꼼수")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    from quern.queries.policies import rubric_parts
+
+    got = {r.conv_id: (r.safety, r.issues) for r in rubric_parts(spark, str(tmp_path)).collect()}
+    assert got == {2: (15.0, ""), 9: (10.0, "too_short"), 12: (10.0, "artifact_tag"), 19: (10.0, "unsupported_rule_assertion"), 22: (7.0, "unsafe_advice"), 29: (15.0, ""), 32: (2.0, "unsupported_rule_assertion,unsafe_advice")}
