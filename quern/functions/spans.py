@@ -73,18 +73,22 @@ def with_moments(rows: DataFrame, line: str, deadline_words: tuple[str, ...] = D
     """``rows`` (with first and last day) with start_at, end_at (timestamps without a zone) and all_day: a line's range of times if it
     has one, else its one time, for a minute if a word tells of a deadline and an hour if none does, else the whole days.
     Times that no clock shows count as none. The line should have its dates taken out."""
-    parts = lambda pattern, groups: F.array(*(F.nullif(F.regexp_extract(line, pattern, g), F.lit("")).cast("int") for g in groups))
-    read = rows.withColumn("_two", F.when(F.col(line).rlike(TIME_RANGE), parts(TIME_RANGE, (1, 2, 3, 4)))).withColumn("_one", F.when(F.col(line).rlike(TIME), parts(TIME, (1, 2))))
+    # each pattern is looked for once; what it found is taken apart by its signs
+    clock = lambda text: F.transform(F.split(F.trim(text), ":"), lambda n: F.nullif(F.trim(n), F.lit("")).cast("int"))
+    read = rows.withColumn("_range", F.regexp_extract(line, TIME_RANGE, 0)).withColumn("_clock", F.regexp_extract(line, TIME, 0))
+    sides = F.split(F.nullif("_range", F.lit("")), f"~|-|{FROM}")
+    read = read.withColumn("_sides", F.transform(sides, clock)).withColumn("_one", clock(F.nullif("_clock", F.lit(""))))
 
     def at(day: str, hour: Column, minute: Column) -> Column:
         minutes = F.coalesce(minute, F.lit(0))
         return F.when((hour < 24) & (minutes < 60), F.col(day).cast("timestamp_ntz") + F.make_dt_interval(hours=hour, mins=minutes))
 
-    two, one = F.col("_two"), F.col("_one")
-    read = read.withColumn("_start", at("first", two[0], two[1])).withColumn("_end", at("last", two[2], two[3])).withColumn("_time", at("first", one[0], one[1]))
+    part = lambda side, n: F.try_element_at(F.try_element_at("_sides", F.lit(side)), F.lit(n))
+    hour, minute = F.try_element_at("_one", F.lit(1)), F.try_element_at("_one", F.lit(2))
+    read = read.withColumn("_start", at("first", part(1, 1), part(1, 2))).withColumn("_end", at("last", part(2, 1), part(2, 2))).withColumn("_time", at("first", hour, minute))
     ranged = F.col("_start").isNotNull() & F.col("_end").isNotNull()
     due = F.lower(line).rlike("|".join(deadline_words))
     length = F.when(due, F.make_dt_interval(mins=F.lit(1))).otherwise(F.make_dt_interval(hours=F.lit(1)))
     start = F.when(ranged, F.col("_start")).when(F.col("_time").isNotNull(), F.col("_time")).otherwise(F.col("first").cast("timestamp_ntz"))
     end = F.when(ranged, F.col("_end")).when(F.col("_time").isNotNull(), F.col("_time") + length).otherwise(F.date_add("last", 1).cast("timestamp_ntz"))
-    return read.withColumn("start_at", start).withColumn("end_at", end).withColumn("all_day", ~ranged & F.col("_time").isNull()).drop("_two", "_one", "_start", "_end", "_time")
+    return read.withColumn("start_at", start).withColumn("end_at", end).withColumn("all_day", ~ranged & F.col("_time").isNull()).drop("_range", "_clock", "_sides", "_one", "_start", "_end", "_time")
