@@ -69,11 +69,11 @@ def title_key(title: Column, words: TitleWords = WORDS) -> Column:
 
 
 def _shown_label(text: Column, words: TitleWords) -> Column:
-    """Noise labels go; one of practice or questions becomes the words in front."""
-    label = F.trim(F.regexp_extract(text, r"^\s*\[([^\]]+)\]", 1))
-    rest = F.regexp_replace(text, r"^\s*\[[^\]]+\]\s*", "")
+    """Noise labels go; one of practice or questions becomes the words in front. The text is named once, so that passes do not
+    double the expression."""
+    bracketed = lambda labels: rf"^\s*\[\s*{one_of(labels)}\s*\]\s*"
     asked = (f"{words.practice} {words.joined} Q&A", f"{words.practice} Q&A", "Q&A")
-    return F.when(label.isin(*words.noise), rest).when(label.isin(*asked), F.concat(F.lit(asked[1] + " "), rest)).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(text, bracketed(asked), asked[1] + " "), bracketed(words.noise), "")
 
 
 def display_title(title: Column, words: TitleWords = WORDS, passes: int = 4) -> Column:
