@@ -196,7 +196,7 @@ ORACLES: dict[str, str] = {
             SELECT * FROM counted WHERE support >= ceil(0.002::DOUBLE * (SELECT count(*) FROM m)) AND support > 0 AND n >= 20
         ), rules AS (
             SELECT *, array_to_string(tokens, ' ') AS mined_rule FROM frequent s
-            WHERE confidence >= 0.6 AND NOT EXISTS (SELECT 1 FROM frequent p WHERE len(p.tokens) < len(s.tokens) AND list_has_all(s.tokens, p.tokens) AND p.confidence >= s.confidence)
+            WHERE confidence >= 0.6 AND support * (SELECT count(*) FILTER (NOT bad) FROM m) >= 3 * (SELECT count(*) FILTER (bad) FROM m) * (n - support) AND (SELECT bool_or(NOT bad) FROM m) AND NOT EXISTS (SELECT 1 FROM frequent p WHERE len(p.tokens) < len(s.tokens) AND list_has_all(s.tokens, p.tokens) AND p.confidence >= s.confidence)
         ), best AS (
             SELECT page_id, arg_max(mined_rule, row(confidence, support, mined_rule)) AS mined_rule, max(confidence) AS confidence FROM k JOIN rules ON list_has_all(k.tokens, rules.tokens) WHERE rule IS NULL GROUP BY page_id
         )

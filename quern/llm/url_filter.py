@@ -1,8 +1,8 @@
 """URL filtering by host and path rules and by association rules mined from labelled pages.
 
 Given rules decide first: the longest that fits. For the other urls, FP-growth mines combinations of
-url tokens that go with the label; a combination becomes a rule if its support and confidence suffice
-and no part of it says as much. Pages are labelled by the caller, or else by the given rules: the urls that
+url tokens that go with the label; a combination becomes a rule if its support and confidence suffice, its
+odds of a bad page are well over those of any page, and no part of it says as much. Pages are labelled by the caller, or else by the given rules: the urls that
 these decide are the examples for the urls that they leave open. Tokens that are on the same labelled pages are
 one token to the mining (the least of them stands for all), so that a template with many fixed tokens does not
 give every combination of them, and only tokens of bad pages are mined. The rules form an inverted index by
@@ -11,8 +11,8 @@ one of them fits.
 
 DataFrame and pyspark.ml operations only. Defined results: a null url, or one without ``://``, has
 empty host and path and no tokens, is fitted by no rule and allowed; repeated rows each give a row
-and all count when mining; without labelled pages no rules are mined and all is allowed that no given
-rule blocks; columns besides the id and the url are ignored.
+and all count when mining; without labelled pages, or where all of them are bad or none is, no rules are mined and all is
+allowed that no given rule blocks; columns besides the id and the url are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +45,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class Mining:
-    """Thresholds: a rule's bad pages as a share of all labelled ones, share of its pages that are bad, its pages."""
+    """Thresholds: a rule's bad pages as a share of all labelled ones, share of its pages that are bad, its pages, and the
+    odds that one of its pages is bad against the odds of any labelled page."""
 
     min_support: float = 0.002
     min_confidence: float = 0.6
     min_pages: int = 20
+    min_odds_ratio: int = 3
 
 
 def host_of(url: Column) -> Column:
@@ -111,21 +113,24 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     bad = frequent.where(F.array_contains("items", BLOCK) & (F.size("items") > 1))
     bad = bad.select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("support"))
     plain = frequent.where(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    strong = bad.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("n"))
+    n_all, n_bad = found.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    # in whole numbers: support / (n - support) at or over the ratio times n_bad / (n_all - n_bad)
+    telling_apart = F.col("support") * (n_all - n_bad) >= mining.min_odds_ratio * n_bad * (F.col("n") - F.col("support"))
+    strong = bad.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("n")).withColumn("apart", telling_apart & F.lit(n_bad < n_all))
     # support falls with every token more, so the parts of a frequent combination are all here: carry the best
     # confidence of any part upwards, one token at a time
-    strong = cut_lineage(strong.where(F.col("n") >= mining.min_pages).select("tokens", "support", "confidence"))
+    strong = cut_lineage(strong.where(F.col("n") >= mining.min_pages).select("tokens", "support", "confidence", "apart"))
     longest = strong.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0))).first()[0]
-    best = strong.where(F.size("tokens") == 1).select("tokens", "support", "confidence", F.lit(-1.0).alias("part"))
+    best = strong.where(F.size("tokens") == 1).select("tokens", "support", "confidence", "apart", F.lit(-1.0).alias("part"))
     levels = [best]
     for size in range(2, longest + 1):
         above = levels[-1].select(F.col("tokens").alias("fewer"), F.greatest("confidence", "part").alias("best"))
         own = strong.where(F.size("tokens") == size)
         fewer = own.select("tokens", F.explode("tokens").alias("token")).select("tokens", F.array_remove("tokens", F.col("token")).alias("fewer"))
         parts = fewer.join(above, "fewer").groupBy("tokens").agg(F.max("best").alias("part"))
-        levels.append(cut_lineage(own.join(parts, "tokens", "left").select("tokens", "support", "confidence", F.coalesce("part", F.lit(-1.0)).alias("part"))))
+        levels.append(cut_lineage(own.join(parts, "tokens", "left").select("tokens", "support", "confidence", "apart", F.coalesce("part", F.lit(-1.0)).alias("part"))))
     every = reduce(DataFrame.unionByName, levels)
-    kept = every.where((F.col("confidence") >= mining.min_confidence) & (F.col("part") < F.col("confidence"))).select("tokens", "support", "confidence")
+    kept = every.where(F.col("apart") & (F.col("confidence") >= mining.min_confidence) & (F.col("part") < F.col("confidence"))).select("tokens", "support", "confidence")
     single = plain.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("n").alias("token_n"))
     least = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("token_n", "token")).alias("index_token"))
     return kept.join(least, "tokens").select("tokens", "index_token", "confidence", "support")
