@@ -4,10 +4,9 @@ Examples are a bounded sample of labelled documents, all of whose terms count. A
 (1 + log its count there) times its inverse document frequency over all documents, times the square of its
 relevance, log2(2 + a / max(1, c)) for a toxic and c other examples that have it: by inverse frequencies alone
 texts are near to those of their subject and language, whatever their label. The examples' vectors form an
-inverted index in blocks of examples of like words, with the largest weight of each term in each block. What
-common terms (those of a sixteenth of the examples) add to the cosines is one matrix product for many texts; a
-query then takes the blocks by falling upper bound, the best of these sums and the largest weights of its other
-terms, and stops where no block can reach the k-th best cosine: the neighbours are exact. Their votes weigh by nearness and are smoothed towards the examples' share, which makes the score a
+inverted index in blocks of 16 like examples, with the largest weight of each term in each block. A query takes the
+blocks by falling upper bound, the sum of its terms' largest weights there, and stops where no block can reach
+the k-th best cosine: the neighbours are exact. Their votes weigh by nearness and are smoothed towards the examples' share, which makes the score a
 probability; the neighbours' ids are the evidence.
 
 Defined results: terms that no example has are left out of a text's vector; a text that has no other (an empty
@@ -32,10 +31,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut_lineage, prepare, texts
 from quern.llm.quality_rules import labelled_sample
 
-#: Examples, and terms of all of them together, at most; neighbours that vote; examples of a block.
-EXAMPLES, POSTINGS, NEIGHBOURS, BLOCK = 3_000, 3_000_000, 15, 1_024
-#: A term in one of so many examples is common; texts whose common terms are multiplied at once.
-COMMON, ROWS = 16, 64
+#: Examples, and terms of all of them together and of one, at most; neighbours that vote.
+EXAMPLES, POSTINGS, LONGEST, NEIGHBOURS = 3_000, 3_000_000, 50_000, 15
+#: Examples of a block; blocks scored between two looks at the bounds; numbers of a hashed vector, by which like examples are found.
+BLOCK, STEP, DIMENSIONS = 16, 16, 512
 #: Weight of the examples' share of toxic ones against the votes; results one worker keeps.
 SMOOTH, KEPT = 0.5, 100_000
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»¿¡…"
@@ -79,47 +78,67 @@ def document_frequencies(docs: DataFrame, terms: set[str]) -> tuple[dict[str, in
     return found, found.pop(None, 0)
 
 
+def alike(term: np.ndarray, owner: np.ndarray, own: np.ndarray, examples: int) -> np.ndarray:
+    """An order of the examples in which like ones are near: halves by the direction in which they differ most, of hashed
+    vectors of DIMENSIONS, again and again down to blocks."""
+    dense = np.zeros((examples, DIMENSIONS))
+    mixed = term.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    np.add.at(dense, (owner, (mixed % np.uint64(DIMENSIONS)).astype(np.int64)), own * np.where(mixed // np.uint64(DIMENSIONS) % np.uint64(2), 1, -1))
+    done, open_ones = [], [np.arange(examples)]
+    while open_ones:
+        part = open_ones.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        spread = dense[part] - dense[part].mean(axis=0)
+        along = spread @ np.linalg.eigh(spread.T @ spread)[1][:, -1]
+        # whole blocks on one side, so that only the last one is not full
+        cut = BLOCK * max(1, round(len(part) / BLOCK / 2))
+        order = np.argsort(along, kind="stable")
+        open_ones += [part[order[cut:]], part[order[:cut]]]
+    return np.concatenate(done) if done else np.arange(0)
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
 class Index:
-    """The examples' vectors, by term, in blocks of examples."""
+    """The examples' vectors by term, in blocks of like examples; for each term the blocks that have it, its largest weight
+    there and where its postings there begin. All of it is sparse: there are no more of these than postings."""
 
     def __init__(self, examples: list[Example], frequencies: dict[str, int], documents: int) -> None:
-        worded = [e for e in examples if e[1]]
-        # examples of one leading word stand together, so that blocks have few terms and tight bounds
-        worded.sort(key=lambda e: (max(zip(e[2], e[1])), e[0], e[3]))
+        worded = sorted((e for e in examples if e[1]), key=lambda e: (e[0], e[3]))
         bad, blank = sum(e[3] for e in examples), [e[3] for e in examples if not e[1]]
         self.share = (bad + 0.5) / (len(examples) + 1)
         self.without = (sum(blank) + SMOOTH * self.share) / (len(blank) + SMOOTH)
-        self.ids, self.bad = (np.array([e[i] for e in worded], np.int64) for i in (0, 3))
         self.number: dict[str, int] = {}
         term = np.array([self.number.setdefault(t, len(self.number)) for e in worded for t in e[1]], np.int64)
-        owner = np.repeat(np.arange(len(worded)), [len(e[1]) for e in worded])
+        owner = np.repeat(np.arange(len(worded)), [len(e[1]) for e in worded]).astype(np.int64)
         count = np.array([n for e in worded for n in e[2]], np.float64)
-        size = len(self.number)
-        toxic = np.bincount(term, weights=self.bad[owner], minlength=size) if size else np.zeros(0)
-        other = np.bincount(term, minlength=size) - toxic if size else np.zeros(0)
+        size, labels = len(self.number), np.array([e[3] for e in worded], np.int64)
+        toxic = np.bincount(term, weights=labels[owner], minlength=size)
+        other = np.bincount(term, minlength=size) - toxic
         idf = np.array([math.log((1 + documents) / (1 + frequencies.get(t, 0))) + 1 for t in self.number])
         self.weight = idf * np.log2(2 + toxic / np.maximum(1, other)) ** 2
-        own = (1 + np.log(count)) * self.weight[term] if size else count
-        norm = np.sqrt(np.bincount(owner, weights=own**2, minlength=len(worded)))
-        own = own / norm[owner]
-        # common terms by rows of all examples
-        have = np.bincount(term, minlength=size) if size else np.zeros(0)
-        common = np.flatnonzero(have * COMMON >= max(1, len(worded)))
-        self.row = np.full(size, -1)
-        self.row[common] = np.arange(len(common))
-        self.common = np.zeros((len(common), len(worded)))
-        dense = self.row[term] >= 0 if size else np.zeros(0, bool)
-        self.common[self.row[term[dense]], owner[dense]] = own[dense]
-        term, owner, own = term[~dense], owner[~dense], own[~dense]
-        # for each block the postings of its other terms: who has it, with what weight
-        self.blocks, self.starts = [], np.arange(0, len(worded), BLOCK)
-        self.most = np.zeros((len(self.starts), size))
-        for number, low in enumerate(self.starts):
-            mine = (owner >= low) & (owner < low + BLOCK)
-            order = np.argsort(term[mine], kind="stable")
-            t, w = term[mine][order], own[mine][order]
-            np.maximum.at(self.most[number], t, w)
-            self.blocks.append((np.searchsorted(t, np.arange(size + 1)).astype(np.int32), (owner[mine][order] - low).astype(np.int32), w))
+        own = (1 + np.log(count)) * self.weight[term]
+        own = own / np.sqrt(np.bincount(owner, weights=own**2, minlength=len(worded)))[owner]
+        order = alike(term, owner, own, len(worded))
+        place = np.empty(len(worded), np.int64)
+        place[order] = np.arange(len(worded))
+        owner, self.bad, self.ids = place[owner], labels[order], np.array([e[0] for e in worded], np.int64)[order]
+        self.blocks = -(-len(worded) // BLOCK)
+        # postings by term and block
+        by = np.lexsort((owner, term))
+        term, self.owner, self.own = term[by], owner[by].astype(np.int32), own[by]
+        pair = term * max(1, self.blocks) + self.owner // BLOCK
+        self.low = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.length = np.diff(self.low, append=len(pair))
+        self.most = np.maximum.reduceat(self.own, self.low) if len(pair) else self.own
+        self.block = (self.owner[self.low] // BLOCK).astype(np.uint16)
+        self.first = np.searchsorted(term[self.low], np.arange(size + 1))
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit-length weights of a text."""
@@ -129,45 +148,41 @@ class Index:
         weights = (1 + np.log(counts)) * self.weight[terms]
         return terms, weights / math.sqrt((weights**2).sum()) if len(terms) else weights
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the examples at least as near as the k-th nearest, none at cosine 0, for other terms
-        and what the common ones add."""
-        bound = np.maximum.reduceat(base, self.starts) + self.most[:, terms] @ weights
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers and cosines of the examples at least as near as the k-th nearest, none at cosine 0, and how many blocks were
+        scored for it: STEP at a time by falling bound, until no bound reaches the k-th cosine."""
+        start, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        pairs, factor = spans(start, size), np.repeat(weights, size)
+        bound = np.bincount(self.block[pairs], weights=self.most[pairs] * factor, minlength=self.blocks)
+        by = np.argsort(self.block[pairs], kind="stable")
+        pairs, factor = pairs[by], factor[by]
+        edges = np.searchsorted(self.block[pairs], np.arange(self.blocks + 1))
+        queue = np.argsort(-bound, kind="stable")
+        queue, done = queue[: np.count_nonzero(bound > 0)], 0
         every, values, least = np.array([], np.int64), np.array([]), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
+        while done < len(queue):
+            step = queue[done : done + STEP]
+            step = step[bound[step] >= least - 1e-9]
+            if not len(step):
                 break
-            low, (starts, owners, own) = self.starts[b], self.blocks[b]
-            score = base[low : low + BLOCK].copy()
-            start, size = starts[terms], starts[terms + 1] - starts[terms]
-            some = size > 0
-            if some.any():
-                start, size = start[some], size[some]
-                ends = np.cumsum(size)
-                place = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
-                score += np.bincount(owners[place], weights=own[place] * np.repeat(weights[some], size), minlength=len(score))
+            done += len(step)
+            mine = spans(edges[step], edges[step + 1] - edges[step])
+            some, length = pairs[mine], self.length[pairs[mine]]
+            at = spans(self.low[some], length)
+            score = np.bincount(self.owner[at], weights=self.own[at] * np.repeat(factor[mine], length), minlength=len(self.ids))
             hit = np.flatnonzero(score > max(0.0, least - 1e-12))
-            every, values = np.concatenate([every, hit + low]), np.concatenate([values, score[hit]])
+            every, values = np.concatenate([every, hit]), np.concatenate([values, score[hit]])
             if len(every) > k:
                 least = np.partition(values, -k)[-k]
                 stay = values >= least - 1e-12
                 every, values = every[stay], values[stay]
         order = np.lexsort((every, -values))
-        return every[order], values[order]
+        return every[order], values[order], done
 
     def scores(self, whole: list[str]) -> list[tuple[float, list[int]]]:
         """For each text the smoothed, distance-weighted vote, and the ids of up to three of the nearest examples."""
-        found = []
-        for first in range(0, len(whole), ROWS):
-            vectors = [self.vector(terms_of(text)) for text in whole[first : first + ROWS]]
-            queries = np.zeros((len(vectors), len(self.common)))
-            for query, (terms, weights) in zip(queries, vectors):
-                common = self.row[terms] >= 0
-                query[self.row[terms[common]]] = weights[common]
-            for (terms, weights), base in zip(vectors, queries @ self.common):
-                other = self.row[terms] < 0
-                found.append(self.vote(*self.nearest(terms[other], weights[other], base)) if len(terms) else (self.without, []))
-        return found
+        vectors = (self.vector(terms_of(text)) for text in whole)
+        return [self.vote(*self.nearest(*vector)[:2]) if len(vector[0]) else (self.without, []) for vector in vectors]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int]]:
         if not len(found):
@@ -201,14 +216,15 @@ def _score(shared, id_column: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most: int = EXAMPLES) -> Index:
-    """The index over at most ``most`` labelled documents that ``usable`` allows, with at most POSTINGS terms in all."""
+    """The index over at most ``most`` labelled documents that ``usable`` allows, with at most POSTINGS terms in all;
+    a document of over LONGEST different terms is no example."""
     prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, usable, most).withColumn("label", F.col("label").cast("int"))
     distinct = sample.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = cut_lineage(texts(distinct, "doc_id", "label").mapInArrow(_counted, f"doc_id {kind}, label int, terms array<string>, counts array<long>"))
     so_far = F.sum(F.size("terms")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "label"))  # of at most ``most`` rows
-    chosen = counted.withColumn("so_far", so_far).where(F.col("so_far") <= POSTINGS)
+    chosen = counted.where(F.size("terms") <= LONGEST).withColumn("so_far", so_far).where(F.col("so_far") <= POSTINGS)
     rows = [(r.doc_id, r.terms, r.counts, r.label) for r in chosen.toLocalIterator()]  # in bounds: POSTINGS
     frequencies, documents = document_frequencies(docs, {t for r in rows for t in r[1]})
     return Index(rows, frequencies, documents)

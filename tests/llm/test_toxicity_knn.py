@@ -66,13 +66,42 @@ def test_neighbours_and_scores_are_those_of_brute_force(monkeypatch):
     examples = [example(i, draw(), rng.randint(0, 1)) for i in range(900)]
     frequencies = {t: 1 + i * 7 for i, t in enumerate(terms)}
     index = toxicity_knn.Index(examples, frequencies, 1000)
-    assert len(index.blocks) > 3
-    assert 0 < len(index.common) < 60
+    assert index.blocks == -(-sum(1 for e in examples if e[1]) // 40)
     queries = [draw() for _ in range(80)] + ["", "unknown", "t3", "t59 t59 unknown"]
     for text, (score, _) in zip(queries, index.scores(queries)):
         assert math.isclose(score, plain_score(text, examples, frequencies, 1000), rel_tol=1e-9)
 
 
+def test_half_of_the_blocks_are_skipped_at_the_registered_parameters(spark):
+    """Over held-out texts of sf0.1; the neighbours are those of all blocks."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    rows = read("documents").join(read("labels"), "doc_id", "left").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    frequencies = Counter(t for r in rows for t in toxicity_knn.terms_of(r.text or ""))
+    used = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5 != 0
+    examples = [example(r.doc_id, r.text or "", r.toxic) for r in rows if r.toxic is not None and used(r)]
+    index = toxicity_knn.Index(random.Random(5).sample(examples, toxicity_knn.EXAMPLES), frequencies, len(rows))
+    assert index.blocks > 150
+    vectors = [index.vector(toxicity_knn.terms_of(r.text or "")) for r in rows if not used(r)][:500]
+    scored = 0
+    for n, (terms, weights) in enumerate(v for v in vectors if len(v[0])):
+        numbers, cosines, blocks = index.nearest(terms, weights)
+        scored += blocks
+        if n < 60:
+            every = dict(zip(*index.nearest(terms, weights, k=len(index.ids))[:2]))
+            least = sorted(every.values())[-toxicity_knn.NEIGHBOURS]
+            assert set(numbers) == {i for i, c in every.items() if c >= least - 1e-12}
+    assert scored <= 0.5 * index.blocks * len(vectors)
+
+
+def test_one_long_example_does_not_drop_the_others(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_knn, "LONGEST", 50)
+    monkeypatch.setattr(toxicity_knn, "POSTINGS", 300)
+    rows = [(i, " ".join(f"w{n}" for n in range(1000 if i % 3 == 0 else 3)) + f" own{i}") for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    index = toxicity_knn.fit(docs(spark, rows), labels, F.lit(True))
+    assert sorted(index.ids) == [i for i in range(30) if i % 3]
+
+
 def test_query_scores_are_those_of_brute_force(spark, sf):
     from quern.llm.queries import op3_toxicity
 
