@@ -4,9 +4,10 @@ Examples are a bounded sample of labelled documents, all of whose terms count. A
 (1 + log its count there) times its inverse document frequency over all documents, times the square of its
 relevance, log2(2 + a / max(1, c)) for a toxic and c other examples that have it: by inverse frequencies alone
 texts are near to those of their subject and language, whatever their label. The examples' vectors form an
-inverted index in blocks of 16 like examples, with the largest weight of each term in each block. A query takes the
-blocks by falling upper bound, the sum of its terms' largest weights there, and stops where no block can reach
-the k-th best cosine: the neighbours are exact. Their votes weigh by nearness and are smoothed towards the examples' share, which makes the score a
+inverted index in blocks of 16 like examples, with the largest weight of each term in each block. What common terms
+(those of one in 32 examples) add to the cosines is one matrix product for many texts. A query takes the
+blocks by falling upper bound, the best of these sums and its other terms' largest weights there, and stops where no
+block can reach the k-th best cosine: the neighbours are exact. Their votes weigh by nearness and are smoothed towards the examples' share, which makes the score a
 probability; the neighbours' ids are the evidence.
 
 Defined results: terms that no example has are left out of a text's vector; a text that has no other (an empty
@@ -34,7 +35,9 @@ from quern.llm.quality_rules import labelled_sample
 #: Examples, and terms of all of them together and of one, at most; neighbours that vote.
 EXAMPLES, POSTINGS, LONGEST, NEIGHBOURS = 3_000, 3_000_000, 50_000, 15
 #: Examples of a block; blocks scored between two looks at the bounds; numbers of a hashed vector, by which like examples are found.
-BLOCK, STEP, DIMENSIONS = 16, 16, 512
+BLOCK, STEP, DIMENSIONS = 16, 24, 512
+#: A term in one of so many examples is common, for as many numbers as make 16 MB; texts whose common terms are multiplied at once.
+COMMON, DENSE, ROWS = 32, 2_000_000, 64
 #: Weight of the examples' share of toxic ones against the votes; results one worker keeps.
 SMOOTH, KEPT = 0.5, 100_000
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»¿¡…"
@@ -60,11 +63,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, found, rows = shared.value, Counter(), 0
+        wanted, found, rows, stripped = shared.value, Counter(), 0, {}
         for batch in batches:
             rows += batch.num_rows
             for text in batch["text"].to_pylist():
-                found.update({w.strip(STRIP) for w in set(text.lower().split())} & wanted)
+                words = set(text.lower().split())
+                if len(stripped) > KEPT:
+                    stripped.clear()
+                stripped.update({w: w.strip(STRIP) for w in words if w not in stripped})
+                found.update(set(map(stripped.__getitem__, words)) & wanted)
         yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), pa.array([*found.values(), rows], pa.int64())], names=["term", "n"])
 
     return run
@@ -106,8 +113,8 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The examples' vectors by term, in blocks of like examples; for each term the blocks that have it, its largest weight
-    there and where its postings there begin. All of it is sparse: there are no more of these than postings."""
+    """The examples' vectors by term, in blocks of like examples: a bounded number of common terms as rows of all examples; for
+    each other term the blocks that have it, its largest weight there and where its postings there begin."""
 
     def __init__(self, examples: list[Example], frequencies: dict[str, int], documents: int) -> None:
         worded = sorted((e for e in examples if e[1]), key=lambda e: (e[0], e[3]))
@@ -130,7 +137,17 @@ class Index:
         place[order] = np.arange(len(worded))
         owner, self.bad, self.ids = place[owner], labels[order], np.array([e[0] for e in worded], np.int64)[order]
         self.blocks = -(-len(worded) // BLOCK)
-        # postings by term and block
+        # rows of the most common terms, whole blocks wide
+        have = np.bincount(term, minlength=size)
+        common = np.argsort(-have, kind="stable")[: DENSE // max(1, self.blocks * BLOCK)]
+        common = common[have[common] * COMMON >= max(1, len(worded))]
+        self.row = np.full(size, -1)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), self.blocks * BLOCK))
+        dense = self.row[term] >= 0
+        self.common[self.row[term[dense]], owner[dense]] = own[dense]
+        term, owner, own = term[~dense], owner[~dense], own[~dense]
+        # postings of the others by term and block
         by = np.lexsort((owner, term))
         term, self.owner, self.own = term[by], owner[by].astype(np.int32), own[by]
         pair = term * max(1, self.blocks) + self.owner // BLOCK
@@ -148,12 +165,14 @@ class Index:
         weights = (1 + np.log(counts)) * self.weight[terms]
         return terms, weights / math.sqrt((weights**2).sum()) if len(terms) else weights
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
         """Numbers and cosines of the examples at least as near as the k-th nearest, none at cosine 0, and how many blocks were
-        scored for it: STEP at a time by falling bound, until no bound reaches the k-th cosine."""
+        scored for it, for terms that are not common and what the common ones add to each example. A block's bound is the best
+        such sum in it and the largest weights of its other terms; STEP blocks at a time are scored by falling bound, until
+        no bound reaches the k-th cosine."""
         start, size = self.first[terms], self.first[terms + 1] - self.first[terms]
         pairs, factor = spans(start, size), np.repeat(weights, size)
-        bound = np.bincount(self.block[pairs], weights=self.most[pairs] * factor, minlength=self.blocks)
+        bound = np.bincount(self.block[pairs], weights=self.most[pairs] * factor, minlength=self.blocks) + base.reshape(self.blocks, BLOCK).max(axis=1)
         by = np.argsort(self.block[pairs], kind="stable")
         pairs, factor = pairs[by], factor[by]
         edges = np.searchsorted(self.block[pairs], np.arange(self.blocks + 1))
@@ -169,9 +188,10 @@ class Index:
             mine = spans(edges[step], edges[step + 1] - edges[step])
             some, length = pairs[mine], self.length[pairs[mine]]
             at = spans(self.low[some], length)
-            score = np.bincount(self.owner[at], weights=self.own[at] * np.repeat(factor[mine], length), minlength=len(self.ids))
+            members = (step[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = np.bincount(self.owner[at], weights=self.own[at] * np.repeat(factor[mine], length), minlength=len(base))[members] + base[members]
             hit = np.flatnonzero(score > max(0.0, least - 1e-12))
-            every, values = np.concatenate([every, hit]), np.concatenate([values, score[hit]])
+            every, values = np.concatenate([every, members[hit]]), np.concatenate([values, score[hit]])
             if len(every) > k:
                 least = np.partition(values, -k)[-k]
                 stay = values >= least - 1e-12
@@ -179,10 +199,19 @@ class Index:
         order = np.lexsort((every, -values))
         return every[order], values[order], done
 
+    def searches(self, whole: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+        """What `nearest` takes, for each text; None where no example has a term of it."""
+        for first in range(0, len(whole), ROWS):
+            vectors = [self.vector(terms_of(text)) for text in whole[first : first + ROWS]]
+            queries, rows = np.zeros((len(vectors), len(self.common))), [self.row[terms] for terms, _ in vectors]
+            for query, row, (_, weights) in zip(queries, rows, vectors):
+                query[row[row >= 0]] = weights[row >= 0]
+            for row, (terms, weights), base in zip(rows, vectors, queries @ self.common):
+                yield (terms[row < 0], weights[row < 0], base) if len(terms) else None
+
     def scores(self, whole: list[str]) -> list[tuple[float, list[int]]]:
         """For each text the smoothed, distance-weighted vote, and the ids of up to three of the nearest examples."""
-        vectors = (self.vector(terms_of(text)) for text in whole)
-        return [self.vote(*self.nearest(*vector)[:2]) if len(vector[0]) else (self.without, []) for vector in vectors]
+        return [self.vote(*self.nearest(*search)[:2]) if search else (self.without, []) for search in self.searches(whole)]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int]]:
         if not len(found):

@@ -67,6 +67,7 @@ def test_neighbours_and_scores_are_those_of_brute_force(monkeypatch):
     frequencies = {t: 1 + i * 7 for i, t in enumerate(terms)}
     index = toxicity_knn.Index(examples, frequencies, 1000)
     assert index.blocks == -(-sum(1 for e in examples if e[1]) // 40)
+    assert 0 < len(index.common) < 60
     queries = [draw() for _ in range(80)] + ["", "unknown", "t3", "t59 t59 unknown"]
     for text, (score, _) in zip(queries, index.scores(queries)):
         assert math.isclose(score, plain_score(text, examples, frequencies, 1000), rel_tol=1e-9)
@@ -81,16 +82,16 @@ def test_half_of_the_blocks_are_skipped_at_the_registered_parameters(spark):
     examples = [example(r.doc_id, r.text or "", r.toxic) for r in rows if r.toxic is not None and used(r)]
     index = toxicity_knn.Index(random.Random(5).sample(examples, toxicity_knn.EXAMPLES), frequencies, len(rows))
     assert index.blocks > 150
-    vectors = [index.vector(toxicity_knn.terms_of(r.text or "")) for r in rows if not used(r)][:500]
+    searches = list(index.searches([r.text or "" for r in rows if not used(r)][:500]))
     scored = 0
-    for n, (terms, weights) in enumerate(v for v in vectors if len(v[0])):
-        numbers, cosines, blocks = index.nearest(terms, weights)
+    for n, search in enumerate(s for s in searches if s):
+        numbers, cosines, blocks = index.nearest(*search)
         scored += blocks
         if n < 60:
-            every = dict(zip(*index.nearest(terms, weights, k=len(index.ids))[:2]))
+            every = dict(zip(*index.nearest(*search, k=len(index.ids))[:2]))
             least = sorted(every.values())[-toxicity_knn.NEIGHBOURS]
             assert set(numbers) == {i for i, c in every.items() if c >= least - 1e-12}
-    assert scored <= 0.5 * index.blocks * len(vectors)
+    assert scored <= 0.5 * index.blocks * len(searches)
 
 
 def test_one_long_example_does_not_drop_the_others(spark, monkeypatch):
