@@ -144,3 +144,30 @@ def test_grid_cells(spark):
     frame = spark.createDataFrame([(p, t, *map(float, xy), c) for p, t, *xy, c in boxes], "page long, text string, x1 double, y1 double, x2 double, y2 double, confidence double")
     got = sorted((r.page, r.row_no, r.column_no, r.text, r.n_boxes) for r in grid(frame).collect())
     assert got == [(1, 0, 0, "a", 1), (1, 0, 1, "b", 1), (1, 1, 0, "c d", 2), (2, 0, 0, "solo", 1)]
+
+
+def test_best_matches_by_kinds_are_those_of_plain_loops_from_few_pairs(spark, tmp_path, monkeypatch):
+    from quern.queries import joins
+
+    nations = [(0, "Peru"), (1, None), (2, ""), (3, "oman")]
+    suppliers = [(i, i % 4) for i in range(-20, 400)]
+    parts = [(i, None if i % 41 == 0 else i * 7 % 50, (None, "", "plate", "Old ring", "x")[i % 5]) for i in range(-30, 3000, 3)]
+    for name, rows, kind in (("nation", nations, "n_nationkey int, n_name string"), ("supplier", suppliers, "s_suppkey long, s_nationkey int"), ("part", parts, "p_partkey long, p_size int, p_name string")):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rest = lambda a, b: abs(a) % b * (1 if a >= 0 else -1)
+    want, full = {}, 0
+    for key, nation in suppliers:
+        place = dict(nations)[nation]
+        for part, size, name in parts:
+            if rest(part, 25) == rest(key, 25):
+                full += 1
+                word = None not in (place, name) and place[:1].lower() == name[:1].lower()
+                score = None if size is None else 2 * word + (abs(size - rest(key, 50)) <= 5) + (rest(part, 10) == rest(key, 10))
+                if score is not None and score >= 2:
+                    want[key] = max(want.get(key, (-1, 0)), (score, -part))
+    sizes = []
+    own = joins.best_match
+    monkeypatch.setattr(joins, "best_match", lambda pairs, *rest: sizes.append(pairs.count()) or own(pairs, *rest))
+    got = {r.s_suppkey: (r.score, -r.p_partkey) for r in joins.fuzzy_best_match(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert sizes[0] < full / 2
