@@ -20,7 +20,7 @@ DATE_PATHS = (
     "raw_json.posted_at", "raw_json.published_at", "raw_json.source_date", "notice_date", "published_at", "posted_at", "source_date",
 )
 TITLE_KEYS = ("title", "subject", "notice_title", "article_title", "board_title", "original_title", "list_title")
-GENERIC = ("게시물 목록", "게시물 상세", "공지사항 상세", "멘토 스토리 상세", "상세", "목록", "")
+GENERIC = ("게시물 목록", "게시물 상세", "공지사항 상세", "멘토 스토리 상세", "상세", "목록", "ACADEMY", "")
 NOTICES, HOLIDAY_SOURCES, MANUAL = ("notice", "announcement"), ("national_holiday", "holiday"), ("manual",)
 HIDDEN_SOURCES = ("academic_rule", "academic_rules", "geeknews", "mentor", "mentor_notice", "mentor_story", "mentoring", "mentoring_notice", "mentoring_qna")
 HIDDEN_TYPES, HIDDEN_URLS = ("mentoring",), ("mento", "mentor")
@@ -32,11 +32,13 @@ FORMS = (
     '{"source_date": "{p}"}', '{"metadata_json": {"list_title": "보드 {n}"}, "notice_date": "none"}', '{"board_date": "{p}", "title": "  ", "subject": "둘째 {n}"}', "{}", '{"raw_json": {"notice": {"createdDate": "{d}"}}, "list_title": "게시물 상세"}',
 )
 TITLES = ("게시물 목록", "공지 {n}", "수업 상세", "", "공지 상세")
+#: Those of the query on titles.
+NOTICE_TITLES = ("게시물 목록", "공지 {n}", "수업 상세", "", "ACADEMY")
 
 
-def notices(spark: SparkSession, sf: str) -> DataFrame:
+def notices(spark: SparkSession, sf: str, titles: tuple[str, ...] = TITLES) -> DataFrame:
     n, day = F.col("event_id"), F.to_date("ts")
-    e = table(spark, sf, "events").select("event_id", day.alias("day"), F.element_at(F.array(*map(F.lit, FORMS)), (n % len(FORMS) + 1).cast("int")).alias("form"), F.element_at(F.array(*map(F.lit, TITLES)), (F.floor(n / 8) % len(TITLES) + 1).cast("int")).alias("t"))
+    e = table(spark, sf, "events").select("event_id", day.alias("day"), F.element_at(F.array(*map(F.lit, FORMS)), (n % len(FORMS) + 1).cast("int")).alias("form"), F.element_at(F.array(*map(F.lit, titles)), (F.floor(n / 8) % len(titles) + 1).cast("int")).alias("t"))
     put = lambda c: F.replace(c, F.lit("{n}"), n.cast("string"))
     full = put(F.col("form"))
     for mark, pattern in (("{d}", "yyyy-MM-dd"), ("{s}", "yyyy/MM/dd"), ("{p}", "yyyy.MM.dd")):
@@ -61,7 +63,7 @@ def notice_titles(spark: SparkSession, sf: str) -> DataFrame:
     own = F.trim("title")
     paths = [f"$.{place}{key}" for place in ("", "raw_json.", "metadata_json.") for key in TITLE_KEYS]
     found = F.filter(F.array(*(F.trim(F.coalesce(F.get_json_object("metadata", p), F.lit(""))) for p in paths)), lambda x: ~generic(x))
-    return notices(spark, sf).select("event_id", F.when(~generic(own), own).otherwise(F.coalesce(F.get(found, F.lit(0)), own)).alias("title"))
+    return notices(spark, sf, NOTICE_TITLES).select("event_id", F.when(~generic(own), own).otherwise(F.coalesce(F.get(found, F.lit(0)), own)).alias("title"))
 
 
 def calendar_visible(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,14 +137,15 @@ QUERIES = {f.__name__: f for f in (publication_dates, notice_titles, calendar_vi
 
 _list, _strings = planning._list, planning._strings
 _put = "replace(replace(replace(replace({}, '{{n}}', event_id::VARCHAR), '{{d}}', strftime(ts, '%Y-%m-%d')), '{{s}}', strftime(ts, '%Y/%m/%d')), '{{p}}', strftime(ts, '%Y.%m.%d'))"
-NOTES = f"n AS (SELECT event_id, {_put.format(f'{_list(FORMS)}[event_id % {len(FORMS)} + 1]')} AS metadata, {_put.format(f'{_list(TITLES)}[event_id // 8 % {len(TITLES)} + 1]')} AS title FROM events)"
+_notes = lambda titles: f"n AS (SELECT event_id, {_put.format(f'{_list(FORMS)}[event_id % {len(FORMS)} + 1]')} AS metadata, {_put.format(f'{_list(titles)}[event_id // 8 % {len(titles)} + 1]')} AS title FROM events)"
+NOTES = _notes(TITLES)
 _date = lambda p: f"coalesce(try_strptime(trim(metadata->>'$.{p}')[:10], ['%Y-%m-%d', '%Y.%m.%d', '%Y/%m/%d', '%Y%m%d'])::DATE)"
 _paths = ", ".join(f"trim(coalesce(metadata->>'$.{place}{key}', ''))" for place in ("", "raw_json.", "metadata_json.") for key in TITLE_KEYS)
 _key = r"replace(upper(regexp_replace(title, '[\s.()_\-/~:\[\]]+', '', 'g')), 'PROJECT', 'PJT')"
 
 ORACLES = {
     "publication_dates": f"WITH {NOTES} SELECT event_id, coalesce({', '.join(map(_date, DATE_PATHS))}) AS published FROM n",
-    "notice_titles": f"WITH {NOTES} SELECT event_id, CASE WHEN trim(title) IN {_strings(GENERIC)} OR ends_with(trim(title), '상세') THEN coalesce(list_filter([{_paths}], lambda x: NOT (x IN {_strings(GENERIC)} OR ends_with(x, '상세')))[1], trim(title)) ELSE trim(title) END AS title FROM n",
+    "notice_titles": f"WITH {_notes(NOTICE_TITLES)} SELECT event_id, CASE WHEN trim(title) IN {_strings(GENERIC)} OR ends_with(trim(title), '상세') THEN coalesce(list_filter([{_paths}], lambda x: NOT (x IN {_strings(GENERIC)} OR ends_with(x, '상세')))[1], trim(title)) ELSE trim(title) END AS title FROM n",
     "calendar_visible": f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN user_id END AS owner_id, lower(trim(['notice', 'mentoring', 'holiday', 'exam', ' Personal '][event_id % 5 + 1])) AS kind,
             [lower(trim(['notice', 'bulletin', 'manual', 'holiday', 'other', 'geeknews'][event_id // 5 % 6 + 1])), lower(trim([' Announcement ', '', '', 'mentor', 'national_holiday'][event_id // 3 % 5 + 1]))] AS s, ['http://a/notice', 'http://a/MENTOring', ''][event_id // 2 % 3 + 1] AS url FROM events),
         r AS (SELECT event_id, CASE WHEN owner_id IS NOT NULL OR list_has_any(s, {_list(MANUAL)}) OR kind = 'personal' THEN 'own' WHEN kind = 'mentoring' THEN 'hidden type' WHEN list_has_any(s, {_list(HIDDEN_SOURCES)}) THEN 'hidden source' WHEN contains(lower(url), 'mento') THEN 'hidden address'

@@ -174,3 +174,10 @@ def test_meaningless_titles_are_those_of_all_rules(spark, sf):
     named = [i for i, t in enumerate(planning.TITLES) if t in ("HouseSWAI Academy", "for all")]
     found = {r.title for r in planning.meaningless_titles(spark, sf).where("meaningless").join(planning.planned(spark, sf), "event_id").select("title").distinct().collect()}
     assert len(named) == 2 and found >= {planning.TITLES[i] for i in named}
+
+
+def test_an_institutions_name_is_no_notice_title(spark, sf):
+    from quern.queries import notices
+
+    found = notices.notices(spark, sf, notices.NOTICE_TITLES).select("event_id", F.col("title").alias("own")).where("own = 'ACADEMY'").join(notices.notice_titles(spark, sf), "event_id")
+    assert found.count() > 0 and found.where("title LIKE '보드 %' OR title LIKE '둘째 %' OR title LIKE '제목 %'").count() == found.where("event_id % 8 IN (2, 4, 5)").count() > 0
