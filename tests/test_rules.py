@@ -181,3 +181,10 @@ def test_an_institutions_name_is_no_notice_title(spark, sf):
 
     found = notices.notices(spark, sf, notices.NOTICE_TITLES).select("event_id", F.col("title").alias("own")).where("own = 'ACADEMY'").join(notices.notice_titles(spark, sf), "event_id")
     assert found.count() > 0 and found.where("title LIKE '보드 %' OR title LIKE '둘째 %' OR title LIKE '제목 %'").count() == found.where("event_id % 8 IN (2, 4, 5)").count() > 0
+
+
+def test_the_institutions_own_notices_are_seen_in_the_calendar(spark, sf):
+    from quern.queries import notices
+
+    own = notices.calendar_visible(spark, sf).where("floor(event_id / 5) % 6 = 1 AND event_id % 5 IN (0, 3) AND floor(event_id / 3) % 5 IN (1, 2) AND floor(event_id / 2) % 3 <> 1 AND event_id % 9 <> 0")
+    assert {r.step for r in own.select("step").distinct().collect()} == {"notice source"}
