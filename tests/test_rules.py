@@ -188,3 +188,17 @@ def test_the_institutions_own_notices_are_seen_in_the_calendar(spark, sf):
 
     own = notices.calendar_visible(spark, sf).where("floor(event_id / 5) % 6 = 1 AND event_id % 5 IN (0, 3) AND floor(event_id / 3) % 5 IN (1, 2) AND floor(event_id / 2) % 3 <> 1 AND event_id % 9 <> 0")
     assert {r.step for r in own.select("step").distinct().collect()} == {"notice source"}
+
+
+def test_suspicious_events_have_scraps_of_names_in_code_and_sql(spark, sf):
+    import duckdb
+
+    from quern.queries import notices
+
+    e = planning.planned(spark, sf).where("title IN ('HouseSWAI Academy', 'for all')").select("event_id")
+    found = notices.suspicious_events(spark, sf).join(e, "event_id")
+    assert found.count() == e.count() and found.where("NOT contains(reasons, 'meaningless_title')").isEmpty()
+    ids = {r.event_id for r in e.collect()}
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    told = {r[0] for r in duckdb.sql(notices.ORACLES["suspicious_events"]).fetchall() if "meaningless_title" in r[1]}
+    assert ids and ids <= told
