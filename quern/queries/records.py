@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import texts
 from quern.functions.rules import all_reasons, first_rule
+from quern.operators import partitions
 from quern.operators.matching import upsert
 from quern.operators.ranking import first_per_key
 from quern.queries.text import CHUNKS
@@ -64,11 +65,13 @@ def notification_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def protected_reparse(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of an order are made anew unless one is protected (shipped late): then the old ones stay."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_linestatus") == "F").alias("protected"))
-    kept = lines.where("protected").select("l_orderkey").distinct()
-    anew = lines.join(kept, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("quantity"), F.lit("new").alias("origin"))
-    return anew.unionByName(lines.join(kept, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.lit("old").alias("origin")))
+    """Lines of an order are made anew unless one is protected (shipped late): then the old ones stay. Lines of no order are new."""
+    every = table(spark, sf, "lineitem")
+    lines = every.select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_linestatus") == "F").alias("protected"))
+    dealt = partitions.dealt(lines.where("l_orderkey IS NOT NULL"), every.count(), "l_orderkey")  # the count is read from the files' ends
+    kept = F.coalesce(F.max("protected").over(W.partitionBy("l_orderkey")), F.lit(False))
+    marked = dealt.withColumn("kept", kept).unionByName(lines.where("l_orderkey IS NULL").withColumn("kept", F.lit(False)))
+    return marked.select("l_orderkey", "l_linenumber", F.when(F.col("kept"), F.col("l_quantity")).otherwise(F.col("l_quantity") * 2).alias("quantity"), F.when(F.col("kept"), "old").otherwise("new").alias("origin"))
 
 
 def import_plan(spark: SparkSession, sf: str) -> DataFrame:

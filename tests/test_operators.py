@@ -230,3 +230,17 @@ def test_lexical_hits_in_small_parts_are_those_of_plain_loops(spark, monkeypatch
     assert {(r.query_id, r.id, r.score) for r in retrieval.lexical_hits(d, q, 20).collect()} == want
     # pairs of texts and questions are not grouped
     assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reparse_keeps_what_an_order_protects_in_partitions_of_bounded_size(spark, tmp_path, monkeypatch):
+    from quern.operators import partitions
+    from quern.queries import records
+
+    rows = [(None if i % 50 == 7 else i // 4, i % 4 + 1, float(i), (None, "F", "O", "O", "O", "O", "O")[i % 7]) for i in range(4000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    kept = {r[0] for r in rows if r[3] == "F"} - {None}
+    want = {(r[0], r[1], r[2] if r[0] in kept else 2 * r[2], "old" if r[0] in kept else "new") for r in rows}
+    monkeypatch.setattr(partitions.dealt, "__kwdefaults__", {"rows": 500})
+    found = records.protected_reparse(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == want and found.count() == 4000
+    assert found.rdd.getNumPartitions() >= 8  # by bytes all lines were one partition
