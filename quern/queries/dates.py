@@ -15,11 +15,14 @@ YEAR = 2026
 
 def spans_of_lines(lines: DataFrame, *key: str) -> DataFrame:
     """(key…, start, length, first, last, start_at, end_at, all_day) of all dates and ranges of dates in lines (key…, line). Only lines with a
-    digit are read by the scanner."""
-    read = spans.with_spans(lines.where(F.col("line").rlike("[0-9]")), "line")
-    each = read.select(*key, spans.without_spans(F.col("line")).alias("rest"), F.explode("spans").alias("s")).select(*key, "rest", "s.*")
-    when = spans.with_moments(spans.with_days(each, YEAR), "rest")
-    return when.select(*key, "start", "length", "first", "last", "start_at", "end_at", "all_day")
+    digit are read by the scanner, and those of one text once."""
+    # the scanner's work is in lines, not in bytes, by which small partitions would be put together
+    own = lines.where(F.col("line").rlike("[0-9]")).select("line").distinct().repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line")
+    read = spans.with_spans(own, "line")
+    # explode would have Spark ask for filled spans before lines are made distinct; lines without a span have no days and go with those
+    each = read.select("line", spans.without_spans(F.col("line")).alias("rest"), F.explode_outer("spans").alias("s")).select("line", "rest", "s.*")
+    when = spans.with_moments(spans.with_days(each, YEAR), "rest").select("line", "start", "length", "first", "last", "start_at", "end_at", "all_day")
+    return lines.join(when, "line").select(*key, "start", "length", "first", "last", "start_at", "end_at", "all_day")
 
 
 def shipping_spans(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,3 +97,15 @@ def test_cells_above_are_those_of_comparing_all(spark):
         near = [(cy - y, n) for q, n, _, x1, x2, y in cells if q == p and x1 <= cx <= x2 and y <= cy]
         want += [(p, b, min(near)[1])] if near else []
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_lines_of_one_text_are_scanned_once_and_all_have_their_spans(spark):
+    from quern.queries import dates
+
+    texts = ["due 2026-03-04 14:05", "2026/3/5 or 2026.4.6", "no digits", None, "7"]
+    lines = spark.createDataFrame([(i, texts[i % 5]) for i in range(500)], "n int, line string")
+    found = dates.spans_of_lines(lines, "n")
+    got = sorted((r.n, r.start, str(r.first)) for r in found.collect())
+    assert got == sorted((i, *s) for i in range(500) for s in ([[(4, "2026-03-04")], [(0, "2026-03-05"), (12, "2026-04-06")]] + [[]] * 3)[i % 5])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "regexp_extract_all" not in plan[plan.index("Aggregate [line") :]
