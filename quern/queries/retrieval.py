@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import texts
 from quern.functions.vectors import cosine
+from quern.operators import partitions
 from quern.operators.ranking import first_per_key
 from quern.plans import retrieval as plan
 from quern.sources.tables import table
 
 TERMS = ["the", "Thand", "eaux", "ich", "con", "idiot", "license"]
 
+#: Texts of a partition whose words are summed in it, about.
+TEXTS = 2000
+
 
 def _nearest(spark: SparkSession, sf: str, k: int, condition: str = "true") -> DataFrame:
     """The k best by cosine to vector 0, then only the positive: the order of the two matters."""
@@ -78,12 +83,16 @@ def retrieval_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hash_embed_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    """Signed feature hashing of the words in 384 dimensions, of unit length, as sparse rows."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(texts.word_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    """Signed feature hashing of the words in 384 dimensions, of unit length, as sparse rows.
+
+    Texts are dealt by document once; words, dimensions and lengths are then summed where they are."""
+    every = table(spark, sf, "documents")
+    dealt = partitions.dealt(every.select("doc_id", "text"), every.count(), "doc_id", rows=TEXTS)  # the count is read from the files' ends
+    words = dealt.select("doc_id", F.explode(texts.word_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     d = words.select("doc_id", "n", texts.signed_feature(F.col("word")).alias("f"))
     summed = d.groupBy("doc_id", F.col("f.dimension").alias("dimension")).agg(F.sum(F.col("f.sign") * F.col("n")).alias("v"))
-    norms = summed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
-    return summed.join(norms, "doc_id").where("v <> 0").select("doc_id", "dimension", F.round(F.col("v") / F.col("norm"), 6).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("doc_id")).cast("double"))
+    return summed.withColumn("norm", norm).where("doc_id IS NOT NULL AND v <> 0").select("doc_id", "dimension", F.round(F.col("v") / F.col("norm"), 6).alias("weight"))
 
 
 def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:

@@ -244,3 +244,10 @@ def test_reparse_keeps_what_an_order_protects_in_partitions_of_bounded_size(spar
     found = records.protected_reparse(spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == want and found.count() == 4000
     assert found.rdd.getNumPartitions() >= 8  # by bytes all lines were one partition
+
+
+def test_hashed_words_are_shuffled_with_their_text_only(spark, sf):
+    from quern.queries import retrieval
+
+    plan = retrieval.hash_embed_sparse(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
