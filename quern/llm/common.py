@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch hands to Python, at most; one row may have more.
 BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+#: Share of the driver's heap that may be taken before its garbage is collected where a result is stored.
+HEAP_SHARE = 0.5
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -56,7 +58,18 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    collect_garbage(df.sparkSession)
+    return stored
+
+
+def collect_garbage(spark: SparkSession, share: float = HEAP_SHARE) -> None:
+    """Collect the driver's garbage if its heap has grown to more than ``share`` of what it may take. The plans of many short
+    jobs are nearly all garbage, with which the heap would grow to its limit; the cleaner also deletes the shuffle files
+    of results that are gone."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > share * runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
 
 
 def pieces_of(runs: DataFrame, size: int, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, texts
+from quern.llm.common import collect_garbage, cut_lineage, texts
 
 #: Labelled rows that the trees and weights are fitted on, at most.
 SAMPLE = 8_000
@@ -113,6 +113,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Rules:
         return Rules(prior, ())
     rules = cut_lineage(measured.select("label", array_to_vector(F.array(*(F.when(holds(r), 1.0).otherwise(0.0) for r in paths))).alias("features")))
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=60).fit(rules)
+    collect_garbage(labelled.sparkSession)  # of the jobs of both fits
     weighed = tuple((r, float(w)) for r, w in zip(paths, lasso.coefficients.toArray()) if abs(w) > 1e-6)
     return Rules(float(lasso.intercept), weighed)
 

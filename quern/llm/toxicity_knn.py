@@ -254,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     counted = cut_lineage(texts(distinct, "doc_id", "label").mapInArrow(_counted, f"doc_id {kind}, label int, terms array<string>, counts array<long>"))
     so_far = F.sum(F.size("terms")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "label"))  # of at most ``most`` rows
     chosen = counted.where(F.size("terms") <= LONGEST).withColumn("so_far", so_far).where(F.col("so_far") <= POSTINGS)
-    rows = [(r.doc_id, r.terms, r.counts, r.label) for r in chosen.toLocalIterator()]  # in bounds: POSTINGS
+    named: dict[str, str] = {}  # one text a term, not one a posting
+    rows = [(r.doc_id, [named.setdefault(t, t) for t in r.terms], r.counts, r.label) for r in chosen.toLocalIterator()]  # in bounds: POSTINGS
     frequencies, documents = document_frequencies(docs, {t for r in rows for t in r[1]})
     return Index(rows, frequencies, documents)
 

@@ -1,9 +1,13 @@
+import gc
 import random
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import decontaminate, quality_rules, simhash_dedup, toxicity_knn
+from quern.llm import common, decontaminate, quality_rules, simhash_dedup, toxicity_knn
+from quern.llm.common import collect_garbage
 from tests.llm.data import AWKWARD, docs
 
 
@@ -202,3 +206,25 @@ def test_nulls_repeats_and_empty_tables_through_all_stages(spark, tmp_path):
         got = corpus_pipeline.run(spark, f"{tmp_path}/{folder}").collect()
         assert len(got) <= len(some["documents"])
     assert {r.doc_id for r in got} <= {i for i, _ in AWKWARD}
+
+
+def test_the_drivers_garbage_goes_where_a_result_is_stored(spark, monkeypatch):
+    jvm = spark._jvm
+    forgotten = lambda: jvm.java.lang.ref.WeakReference(jvm.java.util.ArrayList())
+    monkeypatch.setattr(common, "collect_garbage", lambda spark: collect_garbage(spark, 0.0))
+    gone = forgotten()
+    gc.collect()  # here as well, for the reference from Python
+    assert common.cut_lineage(spark.range(3)).count() == 3
+    assert gone.get() is None
+
+
+def test_a_small_heap_is_left_alone(spark):
+    class Quiet:
+        def __getattr__(self, name):
+            raise AssertionError("collected")
+
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime), System=Quiet())))
+    collect_garbage(SimpleNamespace(_jvm=jvm), share=1.0)
+    with pytest.raises(AssertionError, match="collected"):
+        collect_garbage(SimpleNamespace(_jvm=jvm), share=0.0)
