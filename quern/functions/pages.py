@@ -33,6 +33,8 @@ FURNITURE_CLASSES = {"header", "footer", "gnb", "lnb", "menu", "breadcrumb", "pa
 SELECTORS = (".view-content", ".detail-content", ".content", "#content", "article", "main", "td", "body")
 MENU_WORDS = ("HOME", "Copyright", "Menu")
 HEADINGS = ("h1", "h2", ".title", ".subject")
+#: Pages whose trees are built at once.
+TREES = 64
 #: Points a menu word takes off and an image adds, and the score from which a part counts as content.
 MENU_COST, IMAGE_WORTH, REAL = 80, 30, 20
 
@@ -167,13 +169,18 @@ def tree_of(html: str, selectors: Sequence[str] = SELECTORS, menu_words: Sequenc
     return _Tree(selectors, menu_words).read(html)
 
 
+def tree_batches(batches: Iterator[pa.RecordBatch], keep: Sequence[str], selectors: Sequence[str], menu_words: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The trees of the pages, of TREES pages at once, however many come in a batch."""
+    for batch in (whole.slice(low, TREES) for whole in batches for low in range(0, whole.num_rows, TREES)):
+        trees = pa.array([tree_of(h, selectors, menu_words) for h in batch["_html"].to_pylist()], _KIND)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *trees.flatten()], names=[*keep, *(f.name for f in _KIND)])
+
+
 def with_trees(pages: DataFrame, *keep: str, html: str = "html", selectors: Sequence[str] = SELECTORS, menu_words: Sequence[str] = MENU_WORDS) -> DataFrame:
     """The columns to keep and those of TREE; a null page is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees = pa.array([tree_of(h, selectors, menu_words) for h in batch["_html"].to_pylist()], _KIND)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *trees.flatten()], names=[*keep, *(f.name for f in _KIND)])
+        yield from tree_batches(batches, keep, selectors, menu_words)
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return pages.select(*keep, F.coalesce(F.col(html), F.lit("")).alias("_html")).mapInArrow(run, f"{schema}, {TREE}")

@@ -4,6 +4,7 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,13 @@ def test_link_query_is_a_plain_loop_over_whole_pages(spark, sf):
             seen.add(url)
             want.append((r.page_id, url, text))
     assert sorted(map(tuple, page_links(spark, sf).collect())) == sorted(want) and want
+
+
+def test_a_batch_of_many_pages_is_read_in_small_parts():
+    texts = [f"<title>{i}</title><main>page {i}<img src=/{i}.png></main>" for i in range(150)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(texts)], names=["page_id", "_html"])
+    parts = list(pages.tree_batches(iter([whole, whole.slice(0, 0)]), ["page_id"], pages.SELECTORS, pages.MENU_WORDS))
+    assert [p.num_rows for p in parts] == [64, 64, 22]
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert [r["page_id"] for r in rows] == list(range(150))
+    assert all(r["document_title"] == str(i) and r["images"][0]["url"] == f"/{i}.png" for i, r in enumerate(rows))
