@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import phrases, questions
 from quern.functions.rules import first_rule
+from quern.operators.partitions import once_each
 from quern.sources.tables import table
 
 #: Parts of a question: when, who, what, and what is asked, with spaces and case to be normalised.
@@ -38,13 +39,17 @@ ASKED = "q AS (SELECT event_id, ts::DATE AS today, event_type, value, trim(regex
 
 
 def question_dates(spark: SparkSession, sf: str) -> DataFrame:
-    found = questions.with_dates(asked(spark, sf)).select("event_id", F.inline(F.array("d")))
+    found = once_each(asked(spark, sf).select("event_id", "t", "today"), questions.with_dates, "t", "today").select("event_id", F.inline(F.array("d")))
     return found.where("start_date IS NOT NULL")
 
 
+def _parsed(own: DataFrame) -> DataFrame:
+    return questions.with_dates(own).withColumn("p", questions.schedule_query(F.col("t"), F.col("today"), F.col("d")))
+
+
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    t, today = F.col("t"), F.col("today")
-    return questions.with_dates(asked(spark, sf)).withColumn("p", questions.schedule_query(t, today, F.col("d")))
+    """What is asked, read once for all who ask the same on the same day."""
+    return once_each(asked(spark, sf).select("event_id", "t", "today"), _parsed, "t", "today")
 
 
 def query_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +76,9 @@ def domain_intents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def route_decision(spark: SparkSession, sf: str) -> DataFrame:
-    r = parsed(spark, sf).withColumn("r", questions.route(F.col("t"), F.col("p.query_type")))
+    """Where a question goes: its rules run once for all who ask the same on the same day."""
+    routed = lambda own: _parsed(own).withColumn("r", questions.route(F.col("t"), F.col("p.query_type"))).select("t", "today", "r")
+    r = once_each(asked(spark, sf).select("event_id", "t", "today"), routed, "t", "today")
     return r.select("event_id", "r.reason", "r.route", "r.personal", F.array_join("r.filters", ",").alias("filters"), F.array_join("r.excludes", ",").alias("excludes"), "r.rank")
 
 

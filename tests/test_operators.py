@@ -9,6 +9,7 @@ from quern.functions.rules import all_reasons, any_of_groups, first_rule
 from quern.functions.vectors import cosine
 from quern.operators import intervals, matching, ranking
 from quern.operators.grid import gap_centres, grid
+from quern.operators.partitions import once_each
 
 
 def ts(text):
@@ -251,3 +252,21 @@ def test_hashed_words_are_shuffled_with_their_text_only(spark, sf):
 
     plan = retrieval.hash_embed_sparse(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_equal_rows_are_read_once_and_nulls_are_equal(spark):
+    days = [None, dt.date(2026, 1, 1)]
+    rows = [(i, f"q{i % 3}", days[i % 2]) for i in range(60)] + [(60, None, None)]
+    df, seen = spark.createDataFrame(rows, "id long, t string, day date"), spark.sparkContext.accumulator(0)
+
+    def read(own):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return own.mapInArrow(count, own.schema).withColumn("n", F.concat_ws("|", F.coalesce("t", F.lit("none")), F.coalesce(F.col("day").cast("string"), F.lit("none"))))
+
+    got = {r.id: (r.t, r.day, r.n) for r in once_each(df, read, "t", "day").collect()}
+    assert got == {i: (t, d, f"{t or 'none'}|{d or 'none'}") for i, t, d in rows}
+    assert seen.value == 7

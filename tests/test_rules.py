@@ -202,3 +202,14 @@ def test_suspicious_events_have_scraps_of_names_in_code_and_sql(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     told = {r[0] for r in duckdb.sql(notices.ORACLES["suspicious_events"]).fetchall() if "meaningless_title" in r[1]}
     assert ids and ids <= told
+
+
+def test_questions_of_copied_events_are_routed_once(spark, sf, tmp_path):
+    from quern.queries import questions as queries
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.union(events.withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType))).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.route_decision(spark, str(tmp_path))
+    assert got.count() == 2 * events.count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" in plan and plan.index("parsed_schedule_rule") < plan.index("Aggregate [")  # rules stand above the distinct questions
