@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.rules import first_rule
+from quern.operators.partitions import stored as computed_once
 
 #: Candidates that an event remembers.
 REMEMBERED = 20
@@ -44,6 +45,7 @@ def merge_candidates(candidates: DataFrame, events: DataFrame, order: Sequence[s
     title is the shortest, then least, of all titles and aliases; aliases are the others in order. merged holds the last
     ``remembered`` candidates, the stored ones before the new ones, without the candidate that makes a new event.
     A key that no event has is an ``insert``, with a null event_id; a null or empty title names nothing."""
+    candidates = computed_once(candidates.select("key", "title", "candidate", *order))  # read three times, and dear to make
     stored = events.groupBy("key").agg(F.min_by(F.struct("event_id", "title", "aliases", "merged"), "event_id").alias("e"))
     named = candidates.where("title <> ''").select("key", "title").distinct()
     counts = candidates.groupBy("key").agg(F.count("*").alias("n_candidates"))

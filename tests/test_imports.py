@@ -150,3 +150,18 @@ def test_search_verdicts(spark):
     rows = spark.createDataFrame([(False, "x"), (True, "low"), (True, ""), (None, None)], "bad boolean, why string")
     found = rows.select(verdicts.text_verdict(F.col("bad"), F.col("why")).alias("v")).select("v.status", "v.reason", "v.retry").collect()
     assert [tuple(r) for r in found] == [("enough", "rag_enough_context", False), ("insufficient", "low", True), ("insufficient", "rag_insufficient_context", True), ("insufficient", "rag_insufficient_context", True)]
+
+
+def test_candidates_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"k{i % 4}", f"t{i % 2}", str(i), i) for i in range(40)], "key string, title string, candidate string, place long")
+    events = spark.createDataFrame([], "key string, event_id long, title string, aliases array<string>, merged array<string>")
+    found = imports.merge_candidates(rows.mapInArrow(count, rows.schema), events, ["place"]).collect()
+    assert [r.n_candidates for r in found] == [10] * 4
+    assert seen.value == 40
