@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import texts
+from quern.operators.partitions import stored
 from quern.operators.ranking import first_per_key
 from quern.sources.tables import table
 
@@ -81,7 +82,7 @@ def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
     are taken, and only documents that have one of them are compared with it."""
     bag = lambda name, key: table(spark, sf, name).select(key, F.explode(texts.word_tokens(F.col("text"))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
     items, found = bag("benchmark", "item_id").withColumnRenamed("n", "m"), bag("documents", "doc_id")
-    known = found.join(items.select("word").distinct(), "word", "left_semi")
+    known = stored(found.join(items.select("word").distinct(), "word", "left_semi"))  # read three times
     seen = known.groupBy("word").agg(F.count("*").alias("n_docs"))
     own = W.partitionBy("item_id")
     ranked = items.join(seen, "word", "left").withColumn("total", F.sum("m").over(own)).withColumn("before", F.sum("m").over(own.orderBy(F.coalesce("n_docs", F.lit(0)), "word")) - F.col("m"))

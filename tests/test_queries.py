@@ -61,3 +61,10 @@ def test_entry_runs(spark):
 
     assert 0 < __spark_entry__.entry(spark).count() <= 10
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_benchmark_overlap_counts_the_documents_words_once(spark, sf):
+    from quern.queries.text import benchmark_overlap
+
+    # what is left to read are the stored counts
+    assert not [f for f in benchmark_overlap(spark, sf).inputFiles() if "documents" in f]
