@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from quern.llm.quality_rules import labelled_sample
 
 #: Examples, and terms of all of them together and of one, at most; neighbours that vote.
 EXAMPLES, POSTINGS, LONGEST, NEIGHBOURS = 3_000, 3_000_000, 50_000, 15
-#: Examples of a block; blocks scored between two looks at the bounds; numbers of a hashed vector, by which like examples are found.
+#: Examples of a block; blocks scored before the first look at the bounds; numbers of a hashed vector, by which like examples are found.
 BLOCK, STEP, DIMENSIONS = 16, 24, 512
 #: A term in one of so many examples is common, for as many numbers as make 16 MB; texts whose common terms are multiplied at once.
 COMMON, DENSE, ROWS = 32, 2_000_000, 64
@@ -47,13 +48,16 @@ Example = tuple[int, list[str], list[int], int]
 
 def terms_of(text: str) -> Counter:
     """Counts of lower-case words without punctuation around them."""
-    found: Counter = Counter()
-    for word, n in Counter(text.lower().split()).items():
-        if term := word.strip(STRIP):
-            found[term] += n
+    found = Counter(map(str.strip, text.lower().split(), repeat(STRIP)))
+    found.pop("", None)
     return found
 
 
+def numbers_of(terms: Iterable[str], number: dict[str, int], size: int) -> np.ndarray:
+    """The numbers of so many terms, -1 where there is none: looked up without a step of Python for each."""
+    return np.fromiter(map(number.get, terms, repeat(-1)), np.int64, size)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [terms_of(text) for text in batch["text"].to_pylist()]
@@ -63,26 +67,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, found, rows, stripped = shared.value, Counter(), 0, {}
+        number, rows = shared.value, 0
+        found = np.zeros(len(number), np.int64)
         for batch in batches:
             rows += batch.num_rows
             for text in batch["text"].to_pylist():
-                words = set(text.lower().split())
-                if len(stripped) > KEPT:
-                    stripped.clear()
-                stripped.update({w: w.strip(STRIP) for w in words if w not in stripped})
-                found.update(set(map(stripped.__getitem__, words)) & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), pa.array([*found.values(), rows], pa.int64())], names=["term", "n"])
+                terms = set(map(str.strip, text.lower().split(), repeat(STRIP)))
+                numbers = numbers_of(terms, number, len(terms))
+                found[numbers[numbers >= 0]] += 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(found[some], rows))], names=["term", "n"])
 
     return run
 
 
 def document_frequencies(docs: DataFrame, terms: set[str]) -> tuple[dict[str, int], int]:
     """Documents with each term, and all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
-    counted = texts(docs).mapInArrow(_frequencies(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    names = sorted(terms)
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+    counted = texts(docs).mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r.term: r.n for r in counted.toLocalIterator()}  # in bounds: POSTINGS
-    return found, found.pop(None, 0)
+    documents = found.pop(-1, 0)
+    return {names[i]: n for i, n in found.items()}, documents
 
 
 def alike(term: np.ndarray, owner: np.ndarray, own: np.ndarray, examples: int) -> np.ndarray:
@@ -159,8 +165,7 @@ class Index:
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit-length weights of a text."""
-        terms = np.array([self.number.get(t, -1) for t in found], np.int64)
-        counts = np.array(list(found.values()), np.float64)
+        terms, counts = numbers_of(found, self.number, len(found)), np.fromiter(found.values(), np.float64, len(found))
         terms, counts = terms[terms >= 0], counts[terms >= 0]
         weights = (1 + np.log(counts)) * self.weight[terms]
         return terms, weights / math.sqrt((weights**2).sum()) if len(terms) else weights
@@ -168,25 +173,26 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
         """Numbers and cosines of the examples at least as near as the k-th nearest, none at cosine 0, and how many blocks were
         scored for it, for terms that are not common and what the common ones add to each example. A block's bound is the best
-        such sum in it and the largest weights of its other terms; STEP blocks at a time are scored by falling bound, until
-        no bound reaches the k-th cosine."""
+        such sum in it and the largest weights of its other terms; blocks are scored by falling bound, first STEP and then
+        about twice as many each time, until no bound reaches the k-th cosine."""
         start, size = self.first[terms], self.first[terms + 1] - self.first[terms]
         pairs, factor = spans(start, size), np.repeat(weights, size)
-        bound = np.bincount(self.block[pairs], weights=self.most[pairs] * factor, minlength=self.blocks) + base.reshape(self.blocks, BLOCK).max(axis=1)
-        by = np.argsort(self.block[pairs], kind="stable")
-        pairs, factor = pairs[by], factor[by]
-        edges = np.searchsorted(self.block[pairs], np.arange(self.blocks + 1))
+        block = self.block[pairs]
+        bound = np.bincount(block, weights=self.most[pairs] * factor, minlength=self.blocks) + base.reshape(self.blocks, BLOCK).max(axis=1)
         queue = np.argsort(-bound, kind="stable")
         queue, done = queue[: np.count_nonzero(bound > 0)], 0
         every, values, least = np.array([], np.int64), np.array([]), 0.0
         while done < len(queue):
-            step = queue[done : done + STEP]
+            step = queue[done : 2 * done + STEP]
             step = step[bound[step] >= least - 1e-9]
             if not len(step):
                 break
             done += len(step)
-            mine = spans(edges[step], edges[step + 1] - edges[step])
-            some, length = pairs[mine], self.length[pairs[mine]]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[step] = True
+            mine = np.flatnonzero(wanted[block])
+            some = pairs[mine]
+            length = self.length[some]
             at = spans(self.low[some], length)
             members = (step[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             score = np.bincount(self.owner[at], weights=self.own[at] * np.repeat(factor[mine], length), minlength=len(base))[members] + base[members]

@@ -1,5 +1,6 @@
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -128,3 +129,26 @@ def test_awkward_rows(spark):
     assert toxicity_knn.score_toxicity(docs(spark, []), index).collect() == []
     blank = toxicity_knn.fit(docs(spark, []), labels, crc_bucket(F.col("doc_id"), 5) != 0)
     assert {round(r.score, 3) for r in toxicity_knn.score_toxicity(frame, blank).collect()} == {0.5}
+
+
+def test_terms_are_looked_up_without_a_step_of_python_for_each_word():
+    words = [f"w{i}" for i in range(2000)]
+    index = toxicity_knn.Index([example(1, " ".join(words), 1), example(2, "other", 0)], {}, 10)
+    text, steps = " ".join(f'"W{i}",' for i in range(2000)) + " -- unknown", []
+    sys.setprofile(lambda frame, event, arg: steps.append(event))
+    terms, _ = index.vector(toxicity_knn.terms_of(text))
+    sys.setprofile(None)
+    assert sorted(terms) == sorted(index.number[w] for w in words)
+    assert len(steps) < 200
+
+
+def test_few_looks_at_the_bounds_where_no_block_can_be_skipped(monkeypatch):
+    """Each look takes the ranges of some postings once; before, there were two of them for every STEP blocks."""
+    monkeypatch.setattr(toxicity_knn, "STEP", 2)
+    index = toxicity_knn.Index([example(i, f"same own{i}", 0) for i in range(toxicity_knn.BLOCK * 200)], {}, 10_000)
+    looks, plain = [], toxicity_knn.spans
+    monkeypatch.setattr(toxicity_knn, "spans", lambda *a: looks.append(1) or plain(*a))
+    (search,) = index.searches(["same"])
+    found, cosines, blocks = index.nearest(*search)
+    assert blocks == index.blocks == 200 and len(found) == len(index.ids)
+    assert len(looks) <= 12
