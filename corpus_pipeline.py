@@ -3,11 +3,13 @@ what is left is encoded. Each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, quality_rules, simhash_dedup, toxicity_knn
-from quern.llm.common import crc_bucket, fresh_folder, prepare, table
+from quern.llm.common import crc_bucket, fresh_folder, prepare, relieve_executors, table
 from quern.llm.queries import digests
 
 
@@ -35,12 +37,25 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digests(docs)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def relieved(stage: Stage) -> Stage:
+    """The stage, begun with the executors' garbage of earlier ones collected."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        relieve_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality", quality),
-    ("toxicity", toxicity),
-    ("simhash_dedup", near_duplicates),
-    ("decontamination", decontamination),
-    ("byte_bpe", encoding),
+    ("quality", relieved(quality)),
+    ("toxicity", relieved(toxicity)),
+    ("simhash_dedup", relieved(near_duplicates)),
+    ("decontamination", relieved(decontamination)),
+    ("byte_bpe", relieved(encoding)),
 ]
 
 #: Classifiers, fingerprints and encodings are beyond SQL; tests hold the stages against brute force.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -72,6 +73,16 @@ def collect_garbage(spark: SparkSession, share: float = HEAP_SHARE) -> None:
         spark._jvm.java.lang.System.gc()
 
 
+def relieve_executors(spark: SparkSession, local: bool = False) -> None:
+    """Collect the garbage of every executor, between two large steps. An executor's heap grows with the garbage of all the jobs
+    that it has run and stays that large beside the Python workers of the next step; a full collection gives back what is free, with the classes
+    of old plans. There is a task for each core, all at once; requests that meet in one process are one collection. In a local
+    session the driver is the executor, which `collect_garbage` looks after."""
+    if local or not re.match(r"local(\[|$)", spark.sparkContext.master):
+        slots = spark.sparkContext.defaultParallelism
+        spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def pieces_of(runs: DataFrame, size: int, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(by…, piece, parts): runs (run, rows, columns) put together in order to pieces of about ``size`` rows, so that
     the number of pieces does not follow the number of partitions. Only the runs' numbers are windowed."""

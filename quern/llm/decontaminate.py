@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, prepare, texts
+from quern.llm.common import cut_lineage, prepare, relieve_executors, texts
 
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
 #: Characters of the benchmark that one pass takes, and which may become about thirty bytes each.
@@ -207,6 +207,7 @@ def _contaminated(docs: DataFrame, items: Items, similarity: float, radius: int)
     shared = spark.sparkContext.broadcast(items)
     seen = texts(docs, "doc_id").mapInArrow(_windows(shared), f"doc_id {kind}, n long, size long, start long, fp long, shingles array<long>")
     seen = cut_lineage(seen.withColumn("window", F.sha2(F.concat_ws(",", F.col("shingles").cast("array<string>")), 256)))
+    relieve_executors(spark)
     own = spark.createDataFrame(items.found, "item_id long, n long, size long, fp long, own array<long>").withColumnRenamed("fp", "item_fp")
     index = own.select("item_id", "n", "size", F.explode(block_values("item_fp", radius // BLOCKS)).alias("at")).select("item_id", "n", "size", "at.block", "at.value")
     # a whole document may be a window for items of several sizes

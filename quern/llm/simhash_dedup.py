@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, pieces_of, prepare, texts
+from quern.llm.common import cut_lineage, pieces_of, prepare, relieve_executors, texts
 from quern.llm.components import Joined, connected_components
 
 #: Fingerprints of a tile: about a 24th of all, so that there are pairs enough to deal out, in bounds.
@@ -473,12 +473,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("size", *MARKS)))
     nodes = cut_lineage(nodes)
     hubs = cut_lineage(settled(docs, nodes, wide, min(NEAREST, both), similarity, words, seed))
+    relieve_executors(docs.sparkSession)  # of the jobs of the components
     placed = cut_lineage(nodes.join(hubs, "node", "left").withColumn("grp", F.coalesce("hub", "node")).drop("hub"))
     columns = (*MARKS, "size", "node", "grp")
     blocks = tile_pairs(placed, wide, columns, similarity).mapInArrow(_open_blocks(wide, both, similarity), ", ".join(f"{c} long" for c in ("u", "v", *columns)))
     full = _with_sets(docs, cut_lineage(blocks), placed, words, seed)
     linked = full.groupBy("u", "v").applyInArrow(_linked(wide, both, similarity), "u long, v long")
     joined = connected_components(linked).select(F.col("node").alias("grp"), "component")
+    relieve_executors(docs.sparkSession)
     placed = cut_lineage(placed.join(joined, "grp", "left").select("node", "least", F.coalesce("component", "grp").alias("grp")))
     names = placed.groupBy("grp").agg(F.min("least").alias("component_id"))
     return marked.join(placed.join(names, "grp").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, prepare, texts
+from quern.llm.common import cut_lineage, prepare, relieve_executors, texts
 from quern.llm.quality_rules import labelled_sample
 
 #: Examples, and terms of all of them together and of one, at most; neighbours that vote.
@@ -263,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     named: dict[str, str] = {}  # one text a term, not one a posting
     rows = [(r.doc_id, [named.setdefault(t, t) for t in r.terms], r.counts, r.label) for r in chosen.toLocalIterator()]  # in bounds: POSTINGS
     frequencies, documents = document_frequencies(docs, {t for r in rows for t in r[1]})
+    relieve_executors(docs.sparkSession)
     return Index(rows, frequencies, documents)
 
 

@@ -228,3 +228,19 @@ def test_a_small_heap_is_left_alone(spark):
     collect_garbage(SimpleNamespace(_jvm=jvm), share=1.0)
     with pytest.raises(AssertionError, match="collected"):
         collect_garbage(SimpleNamespace(_jvm=jvm), share=0.0)
+
+
+def test_each_stage_begins_with_the_garbage_of_executors_collected(spark, sf, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    count = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    before = count()
+    common.relieve_executors(spark)  # local: the driver is looked after elsewhere
+    assert count() == before
+    common.relieve_executors(spark, local=True)
+    assert count() > before
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "relieve_executors", lambda s: begun.append(s))
+    frame = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, frame, sf)
+    assert len(begun) == 5
