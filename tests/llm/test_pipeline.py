@@ -232,7 +232,7 @@ def test_a_small_heap_is_left_alone(spark):
 
 def test_each_stage_begins_with_the_garbage_of_executors_collected(spark, sf, monkeypatch):
     beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
-    count = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    count = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName())
     before = count()
     common.relieve_executors(spark)  # local: the driver is looked after elsewhere
     assert count() == before
