@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch hands to Python, at most; one row may have more.
 BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
-#: Share of the driver's heap that may be taken before its garbage is collected where a result is stored.
-HEAP_SHARE = 0.5
+#: Share of the driver's heap that may be taken before its garbage is collected where a result is stored, and the percentages of
+#: free heap, at least and at most, that such a collection leaves.
+HEAP_SHARE, LEAST_FREE, MOST_FREE = 0.4, 20, 40
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -67,18 +68,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def collect_garbage(spark: SparkSession, share: float = HEAP_SHARE) -> None:
     """Collect the driver's garbage if its heap has grown to more than ``share`` of what it may take. The plans of many short
     jobs are nearly all garbage, with which the heap would grow to its limit; the cleaner also deletes the shuffle files
-    of results that are gone."""
+    of results that are gone. By default a collection leaves up to 70 % of the heap free but taken, so for this one MOST_FREE holds."""
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
     if runtime.totalMemory() > share * runtime.maxMemory():
-        spark._jvm.java.lang.System.gc()
+        collect = spark._jvm.java.lang.System.gc
+        before = free_heap(spark, LEAST_FREE, MOST_FREE)
+        try:
+            collect()
+        finally:
+            free_heap(spark, *before)
+
+
+def free_heap(spark: SparkSession, *percent: int) -> tuple[int, ...]:
+    """Set the percentages of free heap, at least and at most, that a collection of the driver leaves; the ones before."""
+    if not percent:
+        return ()
+    management = spark._jvm.java.lang.management.ManagementFactory
+    bean = management.getPlatformMXBean(spark._jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    if bean is None:  # another maker's Java has no such options
+        return ()
+    names = ("MinHeapFreeRatio", "MaxHeapFreeRatio")
+    before = tuple(int(bean.getVMOption(name).getValue()) for name in names)
+    bean.setVMOption(names[0], "0")  # the one at least may never be over the one at most
+    for name, value in reversed(list(zip(names, percent))):
+        bean.setVMOption(name, str(value))
+    return before
 
 
 def relieve_executors(spark: SparkSession, local: bool = False) -> None:
     """Collect the garbage of every executor, between two large steps. An executor's heap grows with the garbage of all the jobs
     that it has run and stays that large beside the Python workers of the next step; a full collection gives back what is free, with the classes
     of old plans. There is a task for each core, all at once; requests that meet in one process are one collection. In a local
-    session the driver is the executor, which `collect_garbage` looks after."""
+    session the driver is the executor, which `collect_garbage` looks after; else the driver's turn comes as well."""
     if local or not re.match(r"local(\[|$)", spark.sparkContext.master):
+        collect_garbage(spark)
         slots = spark.sparkContext.defaultParallelism
         spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 

@@ -1,5 +1,6 @@
 import gc
 import random
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -244,3 +245,18 @@ def test_each_stage_begins_with_the_garbage_of_executors_collected(spark, sf, mo
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, frame, sf)
     assert len(begun) == 5
+
+
+def test_a_collection_gives_back_the_heap_that_it_frees(spark):
+    jvm = spark._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    held = [spark.sparkContext._gateway.new_array(jvm.long, 2 << 20) for _ in range(40)]
+    assert runtime.totalMemory() > 40 * (16 << 20)
+    del held
+    gc.collect()
+    time.sleep(2)  # until Python's references are gone in the JVM as well
+    before = common.free_heap(spark, 40, 70)
+    collect_garbage(spark, share=0.0)
+    assert runtime.freeMemory() < 0.6 * runtime.totalMemory()
+    assert common.free_heap(spark, *before) == (40, 70)  # set back
+    assert common.free_heap(spark) == ()
