@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import texts
-from quern.operators.partitions import stored
+from quern.operators.bags import first_sharers
 from quern.operators.ranking import first_per_key
 from quern.sources.tables import table
 
@@ -78,19 +78,13 @@ def label_join_quality(spark: SparkSession, sf: str) -> DataFrame:
 def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Items whose word bag some document contains to 60 per cent at least: the most contained such pair an item.
 
-    Such a document has one of any words that make up over 40 per cent of the item. Of each item the rarest such words
-    are taken, and only documents that have one of them are compared with it."""
-    bag = lambda name, key: table(spark, sf, name).select(key, F.explode(texts.word_tokens(F.col("text"))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    items, found = bag("benchmark", "item_id").withColumnRenamed("n", "m"), bag("documents", "doc_id")
-    known = stored(found.join(items.select("word").distinct(), "word", "left_semi"))  # read three times
-    seen = known.groupBy("word").agg(F.count("*").alias("n_docs"))
-    own = W.partitionBy("item_id")
-    ranked = items.join(seen, "word", "left").withColumn("total", F.sum("m").over(own)).withColumn("before", F.sum("m").over(own.orderBy(F.coalesce("n_docs", F.lit(0)), "word")) - F.col("m"))
-    rare = ranked.where("before <= 0.41 * total").select("item_id", "word")
-    pairs = known.join(rare, "word").select("doc_id", "item_id").distinct()
-    shared = pairs.join(ranked.select("item_id", "word", "m", "total"), "item_id").join(known, ["doc_id", "word"])
-    shares = shared.groupBy("doc_id", "item_id").agg(F.round(F.sum(F.least("n", "m")) / F.first("total"), 6).alias("share")).where("share >= 0.6")
-    return shares.groupBy("item_id").agg(F.max("share").alias("share"), F.min_by("doc_id", F.struct(-F.col("share"), F.col("doc_id"))).alias("doc_id"))
+    Words are counted and compared where a document is read; a row comes of each number of an item's words that documents share."""
+    words = lambda name, key: table(spark, sf, name).select(key, texts.word_tokens(F.col("text")).alias("words"))
+    # a little under the share that is rounded to 0.6
+    sharers, equal = first_sharers(words("documents", "doc_id"), words("benchmark", "item_id"), "doc_id", "item_id", "words", 0.599)
+    shares = sharers.select("doc_id", F.col("item_id").alias("first"), F.round(F.col("shared") / F.col("total"), 6).alias("share")).where("share >= 0.6")
+    best = F.min_by("doc_id", F.when(F.col("doc_id").isNotNull(), F.struct(-F.col("share"), F.col("doc_id"))))
+    return equal.join(shares.groupBy("first").agg(F.max("share").alias("share"), best.alias("doc_id")), "first").drop("first")
 
 
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
